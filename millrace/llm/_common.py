@@ -47,6 +47,20 @@ def pieces_of(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Itera
         yield batch.slice(a, b - a)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches joined or cut to about ``limit`` bytes of ``column`` each, for work that gains from many rows at once."""
+    held, size = [], 0
+    for whole in batches:
+        for batch in pieces_of(whole, column, limit):
+            held.append(batch)
+            size += batch.column(column).nbytes
+            if size >= limit:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def lists(flat: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])

@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import lists, pieces_of, text_or_empty
+from ._common import gathered, lists, text_or_empty
 from ._merge import MergeTable
 
 #: Entries that a worker's memo of pre-tokens may hold before it is emptied.
@@ -105,10 +105,9 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path, pattern)
-        for whole in batches:
-            for batch in pieces_of(whole, "text", 4 << 20):
-                ids, lengths = code(batch.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(ids, lengths, pa.int32())], ["doc_id", "ids"])
+        for batch in gathered(batches, "text"):
+            ids, lengths = code(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(ids, lengths, pa.int32())], ["doc_id", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>")

@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import pieces_of, text_or_empty
+from ._common import gathered, text_or_empty
 from ._merge import MergeTable
 
 #: Entries that a worker's memo may hold before it is emptied.
-MEMO = 300_000
+MEMO = 1_000_000
 #: The characters that the tokenizer file treats as white space.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
-#: ASCII characters at which str.split() would cut and the tokenizer does not.
+#: The characters at which str.split() would cut and the tokenizer does not.
 ODD = re.compile("[\x1c-\x1f]")
 #: Below this sign the file's pattern is applied here, above it by the tokenizer itself.
 COMMON = "\u0250"
@@ -52,31 +52,33 @@ class ChunkEncoder:
         self.byte = {c: b for b, c in enumerate(signs)}
         self.pattern = regex.compile(split["pattern"]["Regex"]).findall
         self.memo: dict[str, bytes] = {}
+        self.merged: dict[bytes, bytes] = {}
         self.limit = memo
 
     def pieces(self, chunk: str) -> list[bytes]:
-        """The chunk's pieces; the pattern classes of old, common scripts are the same in every Unicode version."""
-        if chunk.isascii():
-            return [p.encode() for p in self.pattern(chunk.lower())]
-        chunk = self.normalize(chunk)
-        if max(chunk, default="") < COMMON:
-            return [p.encode() for p in self.pattern(chunk)]
-        return [bytes(map(self.byte.__getitem__, p)) for p, _ in self.cut(chunk)]
+        """The chunk's pieces.  Signs of old, common scripts are normal as they are and have the same classes in every Unicode version."""
+        if chunk.isascii() or max(chunk) < COMMON:
+            chunk = chunk.lower()
+            return [chunk.encode()] if chunk.isalpha() else [p.encode() for p in self.pattern(chunk)]
+        return [bytes(map(self.byte.__getitem__, p)) for p, _ in self.cut(self.normalize(chunk))]
 
     def learn(self, chunks: list[str]) -> None:
-        split = [self.pieces(c) for c in chunks]
-        raw = list(set(chain.from_iterable(split)))
+        split = list(map(self.pieces, chunks))
+        if len(self.merged) > self.limit:
+            self.merged = {}
+        raw = list(set(chain.from_iterable(split)).difference(self.merged))
         sizes = np.array([len(p) for p in raw], np.int64)
         flat = np.frombuffer(b"".join(raw), np.uint8)
         token = self.inner[flat]
         ends = np.cumsum(sizes) - 1
         token[ends] = self.last[flat[ends]]
-        known = dict(zip(raw, self.table.merge(token, sizes), strict=True)).__getitem__
-        self.memo.update(zip(chunks, (b"".join(map(known, s)) for s in split), strict=True))
+        known = self.merged
+        known.update(zip(raw, self.table.merge(token, sizes), strict=True))
+        self.memo.update(zip(chunks, (known[s[0]] if len(s) == 1 else b"".join(map(known.__getitem__, s)) for s in split), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
-        split = [(t.split() if t.isascii() and not ODD.search(t) else [x for x in SPACE.split(t) if x]) for t in texts]
+        split = [[x for x in SPACE.split(t) if x] if ODD.search(t) else t.split() for t in texts]
         if len(self.memo) > self.limit:
             self.memo = {}
         if new := list(set(chain.from_iterable(split)).difference(self.memo)):
@@ -122,17 +124,16 @@ def pieces(docs: DataFrame, path: str, end_id: int = 2, most: int = 4096) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         end = end_id.to_bytes(4, "little")
-        for whole in batches:
-            for batch in pieces_of(whole, "text", 2 << 20):
-                out: list[list] = [[], [], [], [], [], []]
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
-                    raw = ids + end
-                    at, n = 0, len(raw) // 4
-                    for k, length in enumerate(binary_lengths(n, most)):
-                        for column, x in zip(out, (doc_id, k, at, length, raw[4 * at : 4 * (at + length)], n), strict=True):
-                            column.append(x)
-                        at += length
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+        for batch in gathered(batches, "text"):
+            rows = []
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
+                raw = ids + end
+                at, n = 0, len(raw) // 4
+                for k, length in enumerate(binary_lengths(n, most)):
+                    rows.append((doc_id, k, at, length, raw[4 * at : 4 * (at + length)], n))
+                    at += length
+            columns = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return rows.mapInArrow(run, "doc_id long, piece_no int, start long, length long, ids binary, doc_tokens long")
