@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cotrain, jaccard, oracle, packing, rules, shards, topk
+from . import bpe, cotrain, jaccard, oracle, packing, pfp, rules, shards, topk
 from ._common import read
 
 
@@ -48,6 +48,18 @@ def op7_multi_order_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return membership.select("doc_id", "n_shingles", "component_id")
 
 
+def op8_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = pfp.without_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), window=50)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return cut.select(
+        "doc_id",
+        size.alias("n_bytes"),
+        (size - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op9_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(read(spark, sf_dir, "documents"), shards=40)
 
@@ -60,7 +72,7 @@ def op10_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cotrained_quality, op2_byte_bpe, op3_histogram_top_k, op5_monotone_tree_rules, op7_multi_order_jaccard, op9_hash_tree_shards, op10_binary_packing)}
+    return {f.__name__: f for f in (op1_cotrained_quality, op2_byte_bpe, op3_histogram_top_k, op5_monotone_tree_rules, op7_multi_order_jaccard, op8_prefix_free_dedup, op9_hash_tree_shards, op10_binary_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
