@@ -200,11 +200,10 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: in
     signed = signatures(docs, k, percent, sketch).checkpoint()
     worded = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     reps = worded.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
-    members = worded.select("doc_id", "n", "set_hash").join(reps, "set_hash").select("doc_id", "n", "rep")
-    first = signed.join(_near(reps.select(F.col("rep").alias("doc_id"), F.col("set_hash").alias("own"))), "doc_id").where(F.col("set_hash") == F.col("own")).dropDuplicates(["doc_id", "set_hash"])
-    chosen = first.select("doc_id", "n", "rare", "tops", "prefix").checkpoint()
-    # one doc_id may stand for several sets if it repeats with different texts; such sets are united by their id
-    nodes = chosen.select("doc_id").distinct()
+    members = worded.select("doc_id", "n", "set_hash").join(reps, "set_hash").select("doc_id", "n", "set_hash", "rep").checkpoint()
+    copies = members.where("doc_id <> rep").select("doc_id", "set_hash").distinct()
+    chosen = worded.join(_near(copies), ["doc_id", "set_hash"], "left_anti").select("doc_id", "n", "rare", "tops", "prefix")
+    nodes = members.select(F.col("rep").alias("doc_id")).distinct()
 
     tops = chosen.select("doc_id", "rare", F.posexplode("tops").alias("j", "top"))
     heads = tops.groupBy("j", "top").agg(F.min_by("doc_id", F.struct("rare", "doc_id")).alias("head"), F.count("*").alias("size")).where("size > 1")
