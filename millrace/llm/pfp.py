@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import gathered, pieces_of
+from ._common import gathered
 from ._phrases import phrases
 
 #: Phrases of one trigger that a batch sends on at most; beyond that, and where more than MANY meet, single windows are compared.
@@ -18,6 +18,8 @@ SENT, MANY = 64, 256
 #: Rows up to which a side of a join is sent to every executor.
 SMALL = 1_000_000
 MARK = 128
+#: Bytes of text that are parsed at once; every byte takes about a hundred in the course of it.
+PART = 4 << 20
 PHRASE = np.dtype([("key", "u1", 5), ("ident", "u1", 6), ("doc", "<u2"), ("pos", "<u4"), ("n", "u1")])
 
 
@@ -108,7 +110,7 @@ def _parse(window: int, parts: int):
     """Phrases of each batch: what repeats within the batch is resolved there, one of every phrase goes to the part of its trigger."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in gathered(batches, "text"):
+        for whole in gathered(batches, "text", PART):
             for at in range(0, whole.num_rows, 50_000):
                 batch = whole.slice(at, 50_000)
                 doc, first, n, key, ident = phrases(*_bytes_of(batch), window)
@@ -211,7 +213,7 @@ def _open(window: int, parts: int):
     """Open phrases again: their texts go to the part of their trigger; of hot triggers, their windows go to the parts of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in gathered(batches, "text"):
+        for whole in gathered(batches, "text", PART):
             for at in range(0, whole.num_rows, 50_000):
                 batch = whole.slice(at, 50_000)
                 batch = batch.take(pa.compute.sort_indices(batch.column("doc_id")))
@@ -245,8 +247,8 @@ def _open(window: int, parts: int):
                 if hot.any():
                     which, pos = _windows(first[hot], n[hot])
                     d = doc[hot][which]
-                    for a in range(0, len(d), 500_000):
-                        yield from _resolve_windows(data, starts, ids, tags, d[a : a + 500_000], pos[a : a + 500_000], window, parts)
+                    for a in range(0, len(d), 200_000):
+                        yield from _resolve_windows(data, starts, ids, tags, d[a : a + 200_000], pos[a : a + 200_000], window, parts)
 
     return run
 
