@@ -189,7 +189,7 @@ def _words(data: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     """The windows that begin at the given bytes as rows of big-endian 64-bit words, so that they sort like the bytes."""
     width = -(-window // 8)
     raw = np.zeros((len(at), 8 * width), np.uint8)
-    raw[:, :window] = data[at[:, None] + np.arange(window)]
+    raw[:, :window] = np.lib.stride_tricks.sliding_window_view(data, window)[at]
     return raw.view(">u8").astype(np.uint64)
 
 
