@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cotrain, jaccard, oracle, packing, pfp, rules, shards, topk
+from . import bpe, cotrain, jaccard, oracle, packing, pfp, rules, secrets, shards, topk
 from ._common import read
 
 
@@ -43,6 +43,18 @@ def op5_monotone_tree_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["order"] < 4)
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op7_multi_order_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     membership, _ = jaccard.jaccard_join(read(spark, sf_dir, "documents"), k=5, percent=80)
     return membership.select("doc_id", "n_shingles", "component_id")
@@ -72,7 +84,7 @@ def op10_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cotrained_quality, op2_byte_bpe, op3_histogram_top_k, op5_monotone_tree_rules, op7_multi_order_jaccard, op8_prefix_free_dedup, op9_hash_tree_shards, op10_binary_packing)}
+    return {f.__name__: f for f in (op1_cotrained_quality, op2_byte_bpe, op3_histogram_top_k, op5_monotone_tree_rules, op6_randomness_secrets, op7_multi_order_jaccard, op8_prefix_free_dedup, op9_hash_tree_shards, op10_binary_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
