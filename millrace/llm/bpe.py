@@ -105,7 +105,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path, pattern)
-        for batch in gathered(batches, "text"):
+        for batch in gathered(batches, "text", 8 << 20):
             ids, lengths = code(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(ids, lengths, pa.int32())], ["doc_id", "ids"])
 

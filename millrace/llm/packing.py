@@ -17,14 +17,15 @@ from pyspark.sql.window import Window
 from ._common import gathered, text_or_empty
 from ._merge import MergeTable
 
-#: Entries that a worker's memo may hold before it is emptied.
-MEMO = 1_000_000
+#: Entries that a worker's memos of chunks and of pieces may hold before they are emptied.
+MEMO, MERGED = 500_000, 150_000
 #: The characters that the tokenizer file treats as white space.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 #: The characters at which str.split() would cut and the tokenizer does not.
 ODD = re.compile("[\x1c-\x1f]")
-#: Below this sign the file's pattern is applied here, above it by the tokenizer itself.
-COMMON = "\u0250"
+#: Signs from which on the file's pattern is applied by the tokenizer itself.
+WIDE = re.compile("[\u0250-\U0010ffff]")
+MARKS = ".,;:!?|"
 
 
 class ChunkEncoder:
@@ -56,15 +57,20 @@ class ChunkEncoder:
         self.limit = memo
 
     def pieces(self, chunk: str) -> list[bytes]:
-        """The chunk's pieces.  Signs of old, common scripts are normal as they are and have the same classes in every Unicode version."""
-        if chunk.isascii() or max(chunk) < COMMON:
-            chunk = chunk.lower()
-            return [chunk.encode()] if chunk.isalpha() else [p.encode() for p in self.pattern(chunk)]
-        return [bytes(map(self.byte.__getitem__, p)) for p, _ in self.cut(self.normalize(chunk))]
+        """The pieces of a lower-case chunk; a word with one mark after it needs no pattern."""
+        if chunk.isalpha():
+            return [chunk.encode()]
+        if chunk[-1] in MARKS and chunk[:-1].isalpha():
+            return [chunk[:-1].encode(), chunk[-1].encode()]
+        return [p.encode() for p in self.pattern(chunk)]
+
+    def lowered(self, text: str) -> str:
+        """The text in lower case.  Signs of old, common scripts are normal as they are and have the same classes in every Unicode version."""
+        return text.lower() if not WIDE.search(text) else text
 
     def learn(self, chunks: list[str]) -> None:
-        split = list(map(self.pieces, chunks))
-        if len(self.merged) > self.limit:
+        split = [self.pieces(c.lower()) if not WIDE.search(c) else [bytes(map(self.byte.__getitem__, p)) for p, _ in self.cut(self.normalize(c))] for c in chunks]
+        if len(self.merged) > MERGED:
             self.merged = {}
         raw = list(set(chain.from_iterable(split)).difference(self.merged))
         sizes = np.array([len(p) for p in raw], np.int64)
@@ -78,10 +84,11 @@ class ChunkEncoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
-        split = [[x for x in SPACE.split(t) if x] if ODD.search(t) else t.split() for t in texts]
+        split = [[x for x in SPACE.split(t) if x] if ODD.search(t) else t.split() for t in map(self.lowered, texts)]
+        used = set(chain.from_iterable(split))
         if len(self.memo) > self.limit:
-            self.memo = {}
-        if new := list(set(chain.from_iterable(split)).difference(self.memo)):
+            self.memo = {c: self.memo[c] for c in used.intersection(self.memo)}
+        if new := list(used.difference(self.memo)):
             self.learn(new)
         known = self.memo.__getitem__
         return [b"".join(map(known, s)) for s in split]
@@ -124,7 +131,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 2, most: int = 4096) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         end = end_id.to_bytes(4, "little")
-        for batch in gathered(batches, "text"):
+        for batch in gathered(batches, "text", 8 << 20):
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
                 raw = ids + end
