@@ -1,15 +1,81 @@
-"""A corpus pipeline over documents."""
+"""A corpus pipeline over documents: judge quality, drop near copies, cut repeats, mask secrets, pack.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
+last keep the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import cotrain, jaccard, packing, pfp, secrets
+from millrace.llm._common import prepare, read
+
+
+def _with_text(docs: DataFrame, text) -> DataFrame:
+    """docs with another text, and n_chars, where it is there, its length in characters."""
+    docs = docs.withColumn("text", text)
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier holds good."""
+    return cotrain.keep_good(docs, read(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest doc_id, of every group of near copies (five words, similarity of 0.8)."""
+    prepare(spark)
+    return jaccard.keep_first(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes that repeat 50-byte strings of smaller documents.
+
+    What is left of a character whose bytes were cut in part goes as well, and
+    so do documents of which nothing is left.
+    """
+    prepare(spark)
+    cut = pfp.without_repeats(docs, window=50)
+    text = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
+    emptied = (F.size("spans") > 0) & (F.length(F.trim(text)) == 0)
+    return _with_text(cut.where(~emptied), F.when(F.size("spans") > 0, text).otherwise(F.col("text"))).select(docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with secrets replaced by a mark."""
+    return _with_text(secrets.redact(docs), F.col("text")).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of power-of-two lengths, each a sequence: ids as little-endian 32-bit integers."""
+    import public_tokenizers
+
+    prepare(spark)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, most=4096)
+
+
+STAGES = [
+    ("quality classifier", judge_quality),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("suffix-array dedup", cut_repeats),
+    ("secret scans", mask_secrets),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
+#: SQL can express neither the classifier nor the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages on documents; what each returns is stored in the shared folder before the next begins."""
+    prepare(spark)
+    docs = read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES):
+            docs = docs.checkpoint()
     return docs

@@ -57,13 +57,13 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, pattern: str, memo: int = MEMO):
         self.vocabulary, self.limit = vocabulary, memo
-        self.pieces = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
+        self.pieces = self.pattern.findall
         self.memo: dict[str, bytes] = {}
 
-    def learn(self, pieces: Iterator[str]) -> None:
-        """Put all pieces into the memo; those that are not in it are merged together."""
-        if len(self.memo) > self.limit:
-            self.memo.clear()
+    def learn(self, pieces: Iterator[str], keep: bool = False) -> None:
+        """Put all pieces into the memo; those that are not in it are merged together.  keep: don't empty a full memo first."""
+        if len(self.memo) > self.limit and not keep:
             self.memo = {}
         new = set(pieces).difference(self.memo)
         ranks, rest = self.vocabulary.ranks, []

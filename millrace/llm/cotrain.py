@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ._common import pieces_of
 from ._stats import COUNTS, counts_of, document_counts, features_of
+from .rules import sample
 
 #: What each view sees.  The metadata view knows a page's language, source, declared length and layout, but no content.
 TEXT_VIEW = ("mean_word", "symbols", "repeats", "distinct", "upper", "digits", "marks", "stops", "longest_word")
@@ -125,14 +126,14 @@ def described(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def fit(table: DataFrame, most_labelled: int = 20_000, rounds: int = 3, exchange: int = 500, confidence: float = 0.95) -> CoTrained | None:
     """Co-train on a table from described(); None if the labels are not of both kinds.
 
-    At most ``most_labelled`` labelled documents take part, those first by a
-    hash of doc_id; a fifth of them is held out for calibration.  In each
+    A sample of about ``most_labelled`` labelled documents takes part, those
+    with a low hash of doc_id; a fifth of them is held out for calibration.  In each
     round both views score every unlabelled document, and each hands the
     other its ``exchange`` surest documents of either class whose calibrated
     probability reaches ``confidence``; these count half.
     """
     order = F.xxhash64("doc_id", F.lit(1))
-    got = table.where(F.col("quality").isNotNull()).orderBy(order, *COUNTS).limit(most_labelled).toPandas()
+    got = sample(table.where(F.col("quality").isNotNull()), most_labelled).toPandas().sort_values(["doc_id", *COUNTS], kind="stable")
     y = got["quality"].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         return None

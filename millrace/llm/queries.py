@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cotrain, jaccard, oracle, packing, pfp, rules, secrets, shards, topk
+from . import bpe, cotrain, edits, jaccard, oracle, packing, pfp, rules, secrets, shards, topk
 from ._common import read
 
 
@@ -38,6 +38,13 @@ def op3_histogram_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64)
 
 
+def op4_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    revised = edits.revision(read(spark, sf_dir, "documents"))
+    return edits.token_counts(revised, _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("piece_chars", "piece_tokens")
+
+
 def op5_monotone_tree_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -84,7 +91,7 @@ def op10_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cotrained_quality, op2_byte_bpe, op3_histogram_top_k, op5_monotone_tree_rules, op6_randomness_secrets, op7_multi_order_jaccard, op8_prefix_free_dedup, op9_hash_tree_shards, op10_binary_packing)}
+    return {f.__name__: f for f in (op1_cotrained_quality, op2_byte_bpe, op3_histogram_top_k, op4_edit_token_counts, op5_monotone_tree_rules, op6_randomness_secrets, op7_multi_order_jaccard, op8_prefix_free_dedup, op9_hash_tree_shards, op10_binary_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

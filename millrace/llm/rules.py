@@ -102,10 +102,18 @@ def fit_trees(x: np.ndarray, y: np.ndarray, signs: np.ndarray, trees: int = 60,
     return FlatTrees(np.array(roots, np.int64), np.array(feature, np.int64), np.array(threshold), np.array(child, np.int64), np.array(value), depth, base)
 
 
+def sample(rows: DataFrame, most: int) -> DataFrame:
+    """About ``most`` of the rows, or all if they are no more: those whose hash of doc_id is low enough for that share."""
+    total = rows.count()
+    if total <= most:
+        return rows
+    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 32)) < int((1 << 32) * most / total))
+
+
 def labelled_sample(counts: DataFrame, labels: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Features and labels of at most ``most`` labelled documents: those first by a hash of doc_id."""
+    """Features and labels of about ``most`` labelled documents at most, in a fixed order."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = counts.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), *COUNTS).limit(most).toPandas()
+    rows = sample(counts.join(marks, "doc_id"), most).toPandas().sort_values(["doc_id", *COUNTS], kind="stable")
     names, x = features_of({c: rows[c].to_numpy() for c in COUNTS})
     return x, rows["quality"].to_numpy().astype(float), names
 
@@ -116,8 +124,8 @@ def judge(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, min_w
     base_failed: fewer than ``min_words`` words, or more than
     ``max_repeat_percent`` of them in repeated five-word windows.  Other
     documents are kept if the trees give quality 1 odds of ``threshold`` or
-    more.  The trees are fitted on at most ``most_labelled`` rows of
-    ``labels`` (doc_id, quality); everything else covers all documents.
+    more.  The trees are fitted on a sample of about
+    ``most_labelled`` rows of ``labels`` (doc_id, quality); everything else covers all documents.
 
     A null text has no words and fails the base; rows with null doc_id or
     label take no part in fitting; repeated rows are judged each for itself;
