@@ -138,9 +138,10 @@ class MergeTable:
             rank[at] = NONE
             left = before[at]
             near = left < n
+            near[1:] &= left[1:] != at[:-1]  # a merge whose left neighbour has merged as well: that one is in the list already
             changed = np.concatenate([at[linked], left[near]])
             if len(changed):
-                changed = np.unique(changed)
+                changed.sort()
                 fresh = self.pair_rank(token[changed], token[after[changed]])
                 rank[changed] = fresh
                 live = fresh != NONE

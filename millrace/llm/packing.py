@@ -9,6 +9,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +22,8 @@ from ._merge import MergeTable
 MEMO, MERGED = 500_000, 150_000
 #: The characters that the tokenizer file treats as white space.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
-#: The characters at which str.split() would cut and the tokenizer does not.
-ODD = re.compile("[\x1c-\x1f]")
+#: White space that is not ASCII, or signs next to it that other splitters take for white space.
+RARE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Signs from which on the file's pattern is applied by the tokenizer itself.
 WIDE = re.compile("[\u0250-\U0010ffff]")
 MARKS = ".,;:!?|"
@@ -64,12 +65,11 @@ class ChunkEncoder:
             return [chunk[:-1].encode(), chunk[-1].encode()]
         return [p.encode() for p in self.pattern(chunk)]
 
-    def lowered(self, text: str) -> str:
-        """The text in lower case.  Signs of old, common scripts are normal as they are and have the same classes in every Unicode version."""
-        return text.lower() if not WIDE.search(text) else text
+    def wide_pieces(self, chunk: str) -> list[bytes]:
+        return [bytes(map(self.byte.__getitem__, p)) for p, _ in self.cut(self.normalize(chunk))]
 
-    def learn(self, chunks: list[str]) -> None:
-        split = [self.pieces(c.lower()) if not WIDE.search(c) else [bytes(map(self.byte.__getitem__, p)) for p, _ in self.cut(self.normalize(c))] for c in chunks]
+    def learn(self, chunks: list[str], wide: bool) -> None:
+        split = [self.wide_pieces(c) if WIDE.search(c) else self.pieces(c.lower()) for c in chunks] if wide else list(map(self.pieces, chunks))
         if len(self.merged) > MERGED:
             self.merged = {}
         raw = list(set(chain.from_iterable(split)).difference(self.merged))
@@ -84,14 +84,28 @@ class ChunkEncoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
-        split = [[x for x in SPACE.split(t) if x] if ODD.search(t) else t.split() for t in map(self.lowered, texts)]
-        used = set(chain.from_iterable(split))
+        # signs of old, common scripts are normal as they are, have the same classes in every Unicode version and lower-case one by one
+        apart = [bool(WIDE.search(t)) for t in texts]
+        lowered = (t if w else t.lower() for t, w in zip(texts, apart, strict=True))
+        plain = pa.array([" ".join(SPACE.split(t)) if RARE.search(t) else t for t in lowered], pa.string())
+        split = pc.ascii_split_whitespace(plain)
+        coded = split.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
         if len(self.memo) > self.limit:
-            self.memo = {c: self.memo[c] for c in used.intersection(self.memo)}
-        if new := list(used.difference(self.memo)):
-            self.learn(new)
-        known = self.memo.__getitem__
-        return [b"".join(map(known, s)) for s in split]
+            self.memo = {c: self.memo[c] for c in set(chunks).intersection(self.memo)}
+        self.memo[""] = b""
+        if new := [c for c in chunks if c not in self.memo]:
+            self.learn(new, any(apart))
+        found = list(map(self.memo.__getitem__, chunks))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids, at = np.frombuffer(b"".join(found), "<i4"), coded.indices.to_numpy()
+        lengths = sizes[at]
+        ends = np.cumsum(lengths)
+        shift = (np.cumsum(sizes) - sizes)[at] - (ends - lengths)
+        raw = ids[np.arange(int(lengths.sum())) + np.repeat(shift, lengths)].tobytes()
+        words = np.cumsum(split.value_lengths().to_numpy())
+        cuts = (4 * np.concatenate([[0], ends])[words]).tolist()
+        return [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
 
 
 def _byte_signs() -> list[str]:
