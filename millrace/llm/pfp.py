@@ -20,6 +20,8 @@ SMALL = 1_000_000
 MARK = 128
 #: Bytes of text that are parsed at once; every byte takes about a hundred in the course of it.
 PART = 4 << 20
+#: Windows of a suffix array that are sorted at once.
+RANGE = 150_000
 PHRASE = np.dtype([("key", "u1", 5), ("ident", "u1", 6), ("doc", "<u2"), ("pos", "<u4"), ("n", "u1")])
 
 
@@ -302,11 +304,19 @@ def _sort(window: int):
             data = np.frombuffer(b"".join(bodies), np.uint8)
             begin = np.cumsum(n + window - 1) - (n + window - 1)
             which, pos = _windows(first, n)
-            words = _words(data, begin[which] + pos - first[which], window)
             # documents by id and tag, so that stretches of one document come together again
-            pair = np.stack([ids, tags], axis=1)
-            uniq, back = np.unique(pair, axis=0, return_inverse=True)
-            yield from resolved([words[:, k] for k in range(words.shape[1])], back.ravel()[which], pos, uniq[:, 0].copy(), uniq[:, 1].copy())
+            uniq, back = np.unique(np.stack([ids, tags], axis=1), axis=0, return_inverse=True)
+            doc, at = back.ravel()[which], begin[which] + pos - first[which]
+            del texts, heads, bodies, which
+            # the suffix array range by range: equal windows begin with the same eight bytes
+            lead = _words(data, at, 8)[:, 0]
+            cuts = np.unique(np.quantile(lead, np.linspace(0, 1, len(lead) // RANGE + 2)[1:-1], method="lower"))
+            span = np.searchsorted(cuts, lead, side="right")
+            for k in range(len(cuts) + 1):
+                mine = np.flatnonzero(span == k)
+                if len(mine):
+                    words = _words(data, at[mine], window)
+                    yield from resolved([words[:, c] for c in range(words.shape[1])], doc[mine], pos[mine], uniq[:, 0], uniq[:, 1])
         if blobs:
             entries, doc, ids, tags = _unpacked(blobs, WINDOW)
             yield from resolved([entries["a"], entries["b"]], doc, entries["pos"].astype(np.int64), ids, tags)
@@ -345,7 +355,7 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     copies = hashed.join(firsts.where("rows > 1").select("same", "first"), "same").where("doc_id > first").select("doc_id", "tag", "size").checkpoint()
     spark = docs.sparkSession
     total = firsts.agg(F.sum("bytes")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (32 << 20)))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (8 << 20)))
 
     own = rows.join(_near(copies.select("doc_id", "tag").distinct()), ["doc_id", "tag"], "left_anti")
     dealt = own.mapInArrow(_parse(window, parts), _FIELDS).withColumn("part", F.when(F.col("kind") == "phrase", F.col("part")).otherwise(F.xxhash64("doc_id")))
