@@ -39,10 +39,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     so do documents of which nothing is left.
     """
     prepare(spark)
-    cut = pfp.without_repeats(docs, window=50)
-    text = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
-    emptied = (F.size("spans") > 0) & (F.length(F.trim(text)) == 0)
-    return _with_text(cut.where(~emptied), F.when(F.size("spans") > 0, text).otherwise(F.col("text"))).select(docs.columns)
+    cut = pfp.without_repeats(docs, window=50, spans_column="__spans", kept_column="__kept")
+    text = F.regexp_replace(F.make_valid_utf8(F.col("__kept").cast("string")), "�", "")
+    emptied = (F.size("__spans") > 0) & (F.length(F.trim(text)) == 0)
+    return _with_text(cut.where(~emptied), F.when(F.size("__spans") > 0, text).otherwise(F.col("text"))).select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -212,9 +212,11 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: in
     links = _verify(stars, sets, percent).distinct().checkpoint()
     united = _classes(nodes, links)
 
-    posted = chosen.join(united, "doc_id").select("doc_id", "n", "component", F.posexplode("prefix").alias("pos", "token"))
+    # the set's size and the token's place in one number: postings are most of what is shuffled
+    posted = chosen.join(united, "doc_id").select("doc_id", "n", "component", F.posexplode("prefix").alias("pos", "token")).select("token", "doc_id", "component", (F.shiftleft("n", 32) + F.col("pos")).alias("at"))
     open_ = posted.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     left = posted.join(open_, "token").checkpoint()
+    left = left.select("token", "doc_id", "component", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(2**32 - 1).alias("pos"))
     x, y = (left.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "component", "pos"))) for s in "xy")
     least = -F.floor(-(F.lit(percent) * (F.col("n_x") + F.col("n_y"))) / (100 + percent))
     reach = 1 + F.least(F.col("n_x") - F.col("pos_x") - 1, F.col("n_y") - F.col("pos_y") - 1)

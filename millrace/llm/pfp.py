@@ -388,16 +388,18 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     return found.union(all_)
 
 
-def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 50, spans_column: str = "spans", kept_column: str = "kept") -> DataFrame:
     """The documents, with all their columns, and spans and kept (binary, the bytes outside the spans).
 
+    Columns of docs that have the names of these two are replaced.
+
     A null text counts as empty; a row with null doc_id stays whole and is
     not compared; equal rows are one document; rows of one doc_id with
     different texts are never compared with each other; matches never cross
     documents; an empty table gives an empty result.
     """
     spans = repeated_spans(docs, window).checkpoint()
-    names = docs.columns
+    names = [n for n in docs.columns if n not in (spans_column, kept_column)]
     body = docs.select(*(F.col(f"`{n}`").alias(f"c{k}") for k, n in enumerate(names)), F.col("doc_id").cast("long").alias("doc_id"), F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("tag"))
     joined = body.join(_near(spans), ["doc_id", "tag"], "left").drop("doc_id", "tag")
     text = F.coalesce(F.col(f"c{names.index('text')}").cast("string"), F.lit("")).cast("binary")
@@ -405,4 +407,4 @@ def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     stops = F.concat(F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))), F.coalesce("spans", F.expr("array()").cast("array<struct<start:long,end:long>>")))
     between = F.zip_with(stops, F.slice(F.concat(stops, F.array(F.struct(F.lit(1 << 40).alias("start"), F.lit(1 << 40).alias("end")))), F.lit(2), F.size(stops)), lambda a, b: F.substring(text, (a["end"] + 1).cast("int"), (F.least(b["start"], F.octet_length(text).cast("long")) - a["end"]).cast("int")))
     kept = F.aggregate(between, F.expr("cast('' as binary)"), lambda held, x: F.concat(held, x))
-    return joined.select(*(F.col(f"c{k}").alias(n) for k, n in enumerate(names)), F.coalesce("spans", F.expr("array()").cast("array<struct<start:long,end:long>>")).alias("spans"), F.when(F.col("spans").isNull(), text).otherwise(kept).alias("kept"))
+    return joined.select(*(F.col(f"c{k}").alias(n) for k, n in enumerate(names)), F.coalesce("spans", F.expr("array()").cast("array<struct<start:long,end:long>>")).alias(spans_column), F.when(F.col("spans").isNull(), text).otherwise(kept).alias(kept_column))

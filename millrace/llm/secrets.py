@@ -133,9 +133,11 @@ def false_discovery_limit(docs: DataFrame, rate: float = 0.01) -> tuple[float, f
     return best, mean
 
 
-def scan(docs: DataFrame, rate: float = 0.01) -> DataFrame:
+def scan(docs: DataFrame, rate: float = 0.01, spans_column: str = "spans") -> DataFrame:
     """The documents, with all their columns, and spans: (start, order, end, kind), by start, then kind as listed.
 
+    A column of docs with the name of the last is replaced.
+
     start and end are code points, end exclusive.  Kinds are assign, access
     and hex, found by pattern, leftmost and non-overlapping for each kind,
     and random: tokens of 20 or more signs of an encoding whose symbols pass
@@ -148,11 +150,12 @@ def scan(docs: DataFrame, rate: float = 0.01) -> DataFrame:
     spans; an empty table gives an empty result.
     """
     limit, mean = false_discovery_limit(docs, rate)
+    docs = docs.select(*(F.col(f"`{n}`") for n in docs.columns if n != spans_column))
     names = docs.columns
     random = f"""transform(filter(tokens, k -> k.evidence + ln(k.n / {mean}D) >= {min(limit, 1e9)}D AND NOT exists(base, b -> b.start < k.`end` AND k.start < b.`end`)),
         k -> named_struct('start', k.start, 'order', 4, 'end', k.`end`, 'kind', 'random'))"""
     found = _base(docs).withColumn("spans", F.expr(f"array_sort(concat(base, {random}))"))
-    return found.select(*(F.col(f"c{k}").alias(n) for k, n in enumerate(names)), "spans")
+    return found.select(*(F.col(f"c{k}").alias(n) for k, n in enumerate(names)), F.col("spans").alias(spans_column))
 
 
 def listed(spans: Column) -> Column:
@@ -162,7 +165,7 @@ def listed(spans: Column) -> Column:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", rate: float = 0.01) -> DataFrame:
     """The documents, with all their columns, with every stretch of overlapping spans in text replaced by ``mark``."""
-    found = scan(docs, rate)
+    found = scan(docs, rate, "__secrets")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     begin = F.expr("named_struct('at', 0, 'text', '')")
 
@@ -170,5 +173,5 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rate: float = 0.01) -> DataF
         between = F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["end"] <= a["at"], a["text"]).otherwise(F.concat(a["text"], between, F.when((s["start"] < a["at"]), F.lit("")).otherwise(F.lit(mark)))).alias("text"))
 
-    end = F.aggregate("spans", begin, step, lambda a: F.concat(a["text"], F.substring(text, a["at"] + 1, F.length(text))))
-    return found.withColumn("text", F.when(F.size("spans") > 0, end).otherwise(F.col("text"))).drop("spans")
+    end = F.aggregate("__secrets", begin, step, lambda a: F.concat(a["text"], F.substring(text, a["at"] + 1, F.length(text))))
+    return found.withColumn("text", F.when(F.size("__secrets") > 0, end).otherwise(F.col("text"))).drop("__secrets")
