@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
 
@@ -47,6 +48,15 @@ def pieces_of(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Itera
         yield batch.slice(a, b - a)
 
 
+def trim() -> None:
+    """Hand memory that a task has freed back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Batches joined or cut to about ``limit`` bytes of ``column`` each, for work that gains from many rows at once."""
     held, size = [], 0
@@ -59,6 +69,8 @@ def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int = 16 <<
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    del held
+    trim()
 
 
 def lists(flat: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.ListArray:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import gathered
+from ._common import gathered, trim
 from ._phrases import phrases
 
 #: Phrases of one trigger that a batch sends on at most; beyond that, and where more than MANY meet, single windows are compared.
@@ -19,9 +19,9 @@ SENT, MANY = 64, 256
 SMALL = 1_000_000
 MARK = 128
 #: Bytes of text that are parsed at once; every byte takes about a hundred in the course of it.
-PART = 4 << 20
+PART = 2 << 20
 #: Windows of a suffix array that are sorted at once.
-RANGE = 150_000
+RANGE = 100_000
 PHRASE = np.dtype([("key", "u1", 5), ("ident", "u1", 6), ("doc", "<u2"), ("pos", "<u4"), ("n", "u1")])
 
 
@@ -182,6 +182,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _by_doc("known", doc[known], ids, tags, entries["pos"][known], n[known])
     if open_.any():
         yield _by_doc("open", doc[open_], ids, tags, entries["pos"][open_], np.where(hot[open_], n[open_] | MARK, n[open_]))
+    del entries, doc, ids, tags, key, ident, order, own, same, begins, known, group, several, kinds, marked, hot, open_, n
+    trim()
 
 
 WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<u2"), ("pos", "<u4")])
@@ -320,6 +322,7 @@ def _sort(window: int):
         if blobs:
             entries, doc, ids, tags = _unpacked(blobs, WINDOW)
             yield from resolved([entries["a"], entries["b"]], doc, entries["pos"].astype(np.int64), ids, tags)
+        trim()
 
     return run
 
