@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,29 +28,58 @@ class TokenTree:
     so the sums of log(size) nodes change for each of them.
     """
 
-    def __init__(self, pieces: list[str], tokens: list[int]):
+    def __init__(self, pieces: list[str], tokens: np.ndarray):
         self.build(pieces, tokens)
 
-    def build(self, pieces: list[str], tokens: list[int]) -> None:
-        self.size = 1 << max(len(pieces) - 1, 0).bit_length()
-        self.leaves: list[list[str]] = [[p] for p in pieces] + [[] for _ in range(self.size - len(pieces))]
-        self.counts: list[list[int]] = [[t] for t in tokens] + [[] for _ in range(self.size - len(pieces))]
-        sums = np.zeros((2, 2 * self.size), np.int64)
-        sums[0, self.size : self.size + len(pieces)] = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        sums[1, self.size : self.size + len(pieces)] = tokens
+    def build(self, pieces: list[str], tokens: np.ndarray) -> None:
+        n = len(pieces)
+        self.size = 1 << max(n - 1, 0).bit_length()
+        self.first, self.count = pieces, n
+        self.changed: dict[int, tuple[list[str], list[int]]] = {}  # leaves that no longer hold their one pre-token
+        self.chars, self.tokens = np.zeros(2 * self.size, np.int64), np.zeros(2 * self.size, np.int64)
+        self.chars[self.size : self.size + n] = np.fromiter(map(len, pieces), np.int64, n)
+        self.tokens[self.size : self.size + n] = tokens
         level = self.size
         while level > 1:
-            sums[:, level // 2 : level] = sums[:, level : 2 * level : 2] + sums[:, level + 1 : 2 * level : 2]
+            for sums in (self.chars, self.tokens):
+                np.add(sums[level : 2 * level : 2], sums[level + 1 : 2 * level : 2], out=sums[level // 2 : level])
             level //= 2
-        self.chars, self.tokens = sums.tolist()
+
+    def leaf(self, k: int) -> list[str]:
+        """The pre-tokens of a leaf."""
+        held = self.changed.get(k)
+        return held[0] if held is not None else [self.first[k]] if k < self.count else []
+
+    def pieces(self) -> list[str]:
+        """All pre-tokens in order."""
+        if not self.changed:
+            return self.first
+        out, at = [], 0
+        for k in sorted(self.changed):
+            out += self.first[at:k]
+            out += self.changed[k][0]
+            at = k + 1
+        return out + self.first[at:]
+
+    def piece_tokens(self) -> np.ndarray:
+        """The tokens of all pre-tokens in order."""
+        own = self.tokens[self.size : self.size + self.count]
+        if not self.changed:
+            return own.copy()
+        out, at = [], 0
+        for k in sorted(self.changed):
+            out += [own[at:k], np.array(self.changed[k][1], np.int64)]
+            at = k + 1
+        return np.concatenate([*out, own[at:]])
 
     def find(self, at: int) -> tuple[int, int]:
         """The leaf that holds code point ``at`` and the code points before that leaf; the last filled leaf if there are no more."""
-        node, before = 1, 0
+        node, before, sums = 1, 0, self.chars
         while node < self.size:
             node *= 2
-            if at - before >= self.chars[node] and (self.chars[node + 1] or at - before > self.chars[node]):
-                before += self.chars[node]
+            here = int(sums[node])
+            if at - before >= here and (sums[node + 1] or at - before > here):
+                before += here
                 node += 1
         return node - self.size, before
 
@@ -62,12 +92,12 @@ class TokenTree:
         Returns first leaf, last leaf, the pieces that they then hold, and
         how many of these were kept before and after the new ones.
         """
-        total = self.chars[1]
+        total = int(self.chars[1])
         start = min(max(start, 0), total)
         end = min(max(end, start), total)
         leaf, before = self.find(max(start - CONTEXT, 0))
         head, at = [], before
-        inside = iter(self.leaves[leaf])
+        inside = iter(self.leaf(leaf))
         rest: list[str] = []
         for piece in inside:
             if at + len(piece) > max(start - CONTEXT, 0):
@@ -77,12 +107,12 @@ class TokenTree:
             at += len(piece)
         last, ahead = leaf, 4
         while True:
-            while last + 1 < self.size and (at + sum(map(len, rest)) < end or ahead > 0):
+            while last + 1 < self.count and (at + sum(map(len, rest)) < end or ahead > 0):
                 last += 1
-                if self.leaves[last]:
-                    rest += self.leaves[last]
-                    ahead -= 1 if at + sum(map(len, self.leaves[last])) else 0
-            whole = last + 1 >= self.size
+                if more := self.leaf(last):
+                    rest += more
+                    ahead -= 1
+            whole = last + 1 >= self.count
             old = "".join(rest)
             new = old[: start - at] + text + old[end - at :]
             shift = len(text) - (end - start)
@@ -113,25 +143,24 @@ class TokenTree:
         """Let the first of the leaves hold the pieces and empty the others; sums follow up to the root."""
         for k in range(leaf, last + 1):
             own, counts = (pieces, tokens) if k == leaf else ([], [])
-            if not own and not self.leaves[k]:
+            if not own and not self.leaf(k):
                 continue
-            self.leaves[k], self.counts[k] = own, counts
-            more = sum(map(len, own)) - self.chars[k + self.size], sum(counts) - self.tokens[k + self.size]
-            node = k + self.size
-            while node:
-                self.chars[node] += more[0]
-                self.tokens[node] += more[1]
-                node //= 2
+            self.changed[k] = (own, counts)
+            more = sum(map(len, own)) - int(self.chars[k + self.size]), sum(counts) - int(self.tokens[k + self.size])
+            path = k + self.size >> np.arange(self.size.bit_length())
+            self.chars[path] += more[0]
+            self.tokens[path] += more[1]
         if len(pieces) > CROWDED:
-            self.build([p for x in self.leaves for p in x], [t for x in self.counts for t in x])
+            self.build(self.pieces(), self.piece_tokens())
 
 
 def _recounted(code: Encoder, texts: list[str], edits: list[list[dict]]) -> Iterator[tuple[TokenTree, int, int, int]]:
     """For each text: its tree after the edits, tokens before, edits made and pre-tokens matched again."""
     split = [code.pieces(t) for t in texts]
-    code.learn(p for s in split for p in s)
-    trees = [TokenTree(s, [len(code.memo[p]) // 4 for p in s]) for s in split]
-    before = [t.tokens[1] for t in trees]
+    code.learn(chain.from_iterable(split))
+    known = code.memo.__getitem__
+    trees = [TokenTree(s, np.fromiter(map(len, map(known, s)), np.int64, len(s)) // 4) for s in split]
+    before = [int(t.tokens[1]) for t in trees]
     again = [0] * len(texts)
     pattern = code.pattern
     for turn in range(max(map(len, edits), default=0)):  # all documents' nth edits together, so that new pre-tokens are merged together
@@ -144,34 +173,34 @@ def _recounted(code: Encoder, texts: list[str], edits: list[list[dict]]) -> Iter
         yield tree, before[d], len(edits[d]), again[d]
 
 
-def token_counts(docs: DataFrame, path: str, pattern: str, edits_column: str = "edits") -> DataFrame:
+def token_counts(docs: DataFrame, path: str, pattern: str, edits_column: str = "edits", with_tree: bool = True) -> DataFrame:
     """Token counts before and after edits, and the pre-tokens that carry them.
 
     Each row's edits, an array of (start, end, text), are made in order: code
     points [start, end) of the text as the edits before left it are replaced.
     Returns doc_id, n_tokens_before, n_edits, n_recounted (pre-tokens matched
-    again), n_pieces and n_tokens after all edits, and piece_chars and
-    piece_tokens, the leaves of the tree.
+    again), n_pieces and n_tokens after all edits, and, with ``with_tree``,
+    piece_chars and piece_tokens, the leaves of the tree.
 
     A null text counts as empty; null edits are none, and a null place in one
     is 0, a null text empty; places beyond the text mean its end; rows that
     repeat are counted each for itself; an empty table gives an empty result.
     """
-    schema = "doc_id long, n_tokens_before long, n_edits long, n_recounted long, n_pieces long, n_tokens long, piece_chars array<int>, piece_tokens array<int>"
+    names = ["doc_id", "n_tokens_before", "n_edits", "n_recounted", "n_pieces", "n_tokens"]
+    schema = ", ".join(f"{n} long" for n in names) + ", piece_chars array<int>, piece_tokens array<int>" * with_tree
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path, pattern)
         for batch in gathered(batches, "text", 4 << 20):
             rows, chars, tokens = [], [], []
             for tree, before, n, again in _recounted(code, batch.column("text").to_pylist(), [e or [] for e in batch.column("edits").to_pylist()]):
-                chars.append(np.array([len(p) for x in tree.leaves for p in x], np.int32))
-                tokens.append(np.array([t for x in tree.counts for t in x], np.int32))
-                rows.append((before, n, again, len(chars[-1]), tree.tokens[1]))
-            sizes = np.array([len(c) for c in chars], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in zip(*rows, strict=True)), *(lists(np.concatenate(x), sizes, pa.int32()) for x in (chars, tokens))],
-                ["doc_id", "n_tokens_before", "n_edits", "n_recounted", "n_pieces", "n_tokens", "piece_chars", "piece_tokens"],
-            )
+                size = tree.count + sum(len(own) - (k < tree.count) for k, (own, _) in tree.changed.items())
+                rows.append((before, n, again, size, int(tree.tokens[1])))
+                if with_tree:
+                    chars.append(np.fromiter(map(len, tree.pieces()), np.int32, size))
+                    tokens.append(tree.piece_tokens().astype(np.int32))
+            leaves = [lists(np.concatenate(x), np.array([len(c) for c in chars], np.int64), pa.int32()) for x in (chars, tokens)] if with_tree else []
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in zip(*rows, strict=True)), *leaves], [*names, *["piece_chars", "piece_tokens"][: len(leaves)]])
 
     kind = "array<struct<start:int,end:int,text:string>>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.col(edits_column).cast(kind).alias("edits")).mapInArrow(run, schema)

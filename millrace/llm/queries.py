@@ -42,7 +42,7 @@ def op4_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     revised = edits.revision(read(spark, sf_dir, "documents"))
-    return edits.token_counts(revised, _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("piece_chars", "piece_tokens")
+    return edits.token_counts(revised, _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_tree=False)
 
 
 def op5_monotone_tree_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,7 +117,7 @@ def test_edits_equal_full_recount():
         final.append(text)
     code = bpe.encoder(PLAIN, P.PATTERN)
     for (tree, before, n, _), start, end, own in zip(edits._recounted(code, texts, made), texts, final, made, strict=True):
-        pieces = [p for leaf in tree.leaves for p in leaf]
+        pieces = tree.pieces()
         assert pieces == code.pieces(end) and n == len(own)
         assert (before, tree.tokens[1], tree.chars[1]) == (len(REFERENCE_PLAIN.encode_ordinary(start)), len(REFERENCE_PLAIN.encode_ordinary(end)), len(end))
 
