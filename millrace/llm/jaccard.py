@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import lists, pieces_of, text_or_empty
+from ._common import lists, pieces_of, text_or_empty, trim
 from ._links import components
 from ._shingles import mix, shingle_sets
 
@@ -42,13 +42,15 @@ def count_sketch(docs: DataFrame, k: int, bits: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
         for whole in batches:
-            for batch in pieces_of(whole, "text"):
+            for batch in pieces_of(whole, "text", 2 << 20):
                 grams, _ = shingle_sets(batch.column("text").to_pylist(), k)
                 np.add.at(total, (grams >> np.uint64(64 - bits)).astype(np.int64), 1)
         for s in range(slices):
             part = total[s * width : (s + 1) * width]
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([zlib.compress(part.astype("<i8").tobytes(), 1)], pa.binary())], ["s", "data"])
+        del total
+        trim()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -81,7 +83,7 @@ def signatures(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Dat
         table = shared.value
         shift = np.uint64(65 - len(table).bit_length())
         for whole in batches:
-            for batch in pieces_of(whole, "text"):
+            for batch in pieces_of(whole, "text", 2 << 20):
                 grams, n = shingle_sets(batch.column("text").to_pylist(), k)
                 ends = np.cumsum(n)
                 starts = ends - n
@@ -106,6 +108,7 @@ def signatures(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Dat
                     [batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(hashes, pa.binary()), pa.array(rare), lists(tops.ravel(), np.full(len(n), len(STAR_SEEDS)), pa.int64()), lists(prefix, take, pa.int64())],
                     ["doc_id", "n", "set_hash", "rare", "tops", "prefix"],
                 )
+        trim()
 
     return _texts(docs).mapInArrow(run, "doc_id long, n long, set_hash binary, rare long, tops array<long>, prefix array<long>")
 
@@ -120,10 +123,11 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces_of(whole, "text"):
+            for batch in pieces_of(whole, "text", 2 << 20):
                 grams, n = shingle_sets(batch.column("text").to_pylist(), k)
                 raw, ends = grams.astype("<u8").tobytes(), (8 * np.cumsum(n)).tolist()
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())], ["id", "shingles"])
+        trim()
 
     chosen = _texts(docs).join(_near(ids.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi")
     return chosen.mapInArrow(run, "id long, shingles binary")
