@@ -13,4 +13,36 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY rank <= 20
 """
 
-QUERIES = {"op3_histogram_top_k": OP3}
+OP7 = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w
+), x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), r AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM r WHERE a = doc_id), doc_id)) AS component_id FROM s
+"""
+
+OP8 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, range(0, CAST(length(h) / 2 AS BIGINT) - 49) AS places FROM d WHERE length(h) >= 100),
+x AS (SELECT doc_id, unnest(places) AS i, unnest(list_transform(places, lambda i: substr(h, 2 * i + 1, 100))) AS v FROM n),
+f AS (SELECT v, min(doc_id) AS first FROM x GROUP BY v HAVING min(doc_id) < max(doc_id)),
+y AS (SELECT doc_id, i, first FROM x JOIN f ON x.v = f.v),
+z AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM y WHERE first < doc_id),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM z),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY ALL),
+k AS (
+  SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS begin, a AS until FROM r
+  UNION ALL SELECT d.doc_id, coalesce(max(b), 0), any_value(CAST(length(h) / 2 AS BIGINT)) FROM d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id
+), t AS (SELECT k.doc_id, string_agg(substr(h, 2 * begin + 1, 2 * (until - begin)), '' ORDER BY begin) AS kept FROM k JOIN d ON d.doc_id = k.doc_id GROUP BY k.doc_id)
+SELECT d.doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, CAST((length(h) - length(kept)) / 2 AS BIGINT) AS n_removed,
+  (SELECT count(*) FROM r WHERE r.doc_id = d.doc_id) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN t ON t.doc_id = d.doc_id
+"""
+
+QUERIES = {"op3_histogram_top_k": OP3, "op7_multi_order_jaccard": OP7, "op8_prefix_free_dedup": OP8}

@@ -18,8 +18,9 @@ SENT, MANY = 64, 256
 #: Rows up to which a side of a join is sent to every executor.
 SMALL = 1_000_000
 MARK = 128
-#: Bytes of text that are parsed at once; every byte takes about a hundred in the course of it.
-PART = 2 << 20
+#: Bytes of text whose phrases are compared in a task at once, and those that are parsed at once, for each of which
+#: parsing takes about 150 bytes.
+PART, STRETCH = 4 << 20, 1 << 19
 #: Windows of a suffix array that are sorted at once.
 RANGE = 100_000
 PHRASE = np.dtype([("key", "u1", 5), ("ident", "u1", 6), ("doc", "<u2"), ("pos", "<u4"), ("n", "u1")])
@@ -44,6 +45,33 @@ def _bytes_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return data, offsets[:-1] - offsets[0], np.diff(offsets)
 
 
+def _phrases_of(batch: pa.RecordBatch, window: int) -> tuple[np.ndarray, ...]:
+    """phrases() of a batch, stretch by stretch.
+
+    A text that is longer than a stretch is parsed in several.  The phrase at
+    their border then comes in two parts, which is right as well: parts that
+    match no other document's phrase are compared by windows.
+    """
+    data, starts, sizes = _bytes_of(batch)
+    doc, at, end = [], [], []
+    for d in np.flatnonzero(sizes >= window).tolist():
+        for a in range(0, int(sizes[d]) - window + 1, STRETCH):
+            doc.append(d)
+            at.append(a)
+            end.append(min(a + STRETCH + window - 1, int(sizes[d])))
+    doc, at, end = (np.array(x, np.int64) for x in (doc, at, end))
+    group = np.cumsum(end - at) // STRETCH
+    cuts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+    out = []
+    for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=True):
+        n = end[a:b] - at[a:b]
+        body = np.concatenate([data[starts[d] + x : starts[d] + y] for d, x, y in zip(doc[a:b].tolist(), at[a:b].tolist(), end[a:b].tolist(), strict=True)])
+        owner, first, many, key, ident = phrases(body, np.cumsum(n) - n, n, window)
+        out.append((doc[a:b][owner], first + at[a:b][owner], many, key, ident))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, none, none.astype(np.uint64), none.astype(np.uint64))
+
+
 def _groups(*columns: np.ndarray) -> np.ndarray:
     """Which rows of sorted columns begin a group of equal ones."""
     new = np.zeros(len(columns[0]), bool)
@@ -115,7 +143,7 @@ def _parse(window: int, parts: int):
         for whole in gathered(batches, "text", PART):
             for at in range(0, whole.num_rows, 50_000):
                 batch = whole.slice(at, 50_000)
-                doc, first, n, key, ident = phrases(*_bytes_of(batch), window)
+                doc, first, n, key, ident = _phrases_of(batch, window)
                 if not len(doc):
                     continue
                 ids, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tag"))
@@ -229,34 +257,39 @@ def _open(window: int, parts: int):
                 hot = n >= MARK
                 n &= MARK - 1
                 cold = np.flatnonzero(~hot)
-                if len(cold):
-                    sizes = n[cold] + window - 1
-                    begin = np.cumsum(sizes) - sizes
-                    body = data[np.arange(int(sizes.sum())) - np.repeat(begin, sizes) + np.repeat(starts[doc[cold]] + first[cold], sizes)]
-                    _, _, _, key, _ = phrases(body, begin, sizes, window)
-                    part = (key % np.uint64(parts)).astype(np.int64)
-                    out, raw = [], body.tobytes()
-                    order = np.argsort(part, kind="stable")
-                    cuts = np.flatnonzero(_groups(part[order])).tolist()
-                    for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
-                        mine = order[a:b]
-                        d = doc[cold[mine]]
-                        head = np.stack([ids[d], tags[d], first[cold[mine]], n[cold[mine]]]).astype("<i8").tobytes()
-                        out.append((int(part[order[a]]), np.array([len(mine)], "<i8").tobytes() + zlib.compress(head, 1), b"".join(raw[begin[k] : begin[k] + sizes[k]] for k in mine.tolist())))
-                    m = len(out)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(["texts"] * m), pa.array([p for p, _, _ in out], pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([np.array([len(h)], "<i8").tobytes() + h + b for _, h, b in out], pa.binary())],
-                        schema=_SCHEMA,
-                    )
+                group = np.cumsum(n[cold] + window - 1) // STRETCH
+                cuts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+                for a, b in zip(cuts, [*cuts[1:], len(cold)], strict=True):
+                    yield _texts_of(cold[a:b], data, starts, ids, tags, doc, first, n, window, parts)
                 if hot.any():
                     which, pos = _windows(first[hot], n[hot])
                     d = doc[hot][which]
-                    for a in range(0, len(d), 200_000):
-                        yield from _resolve_windows(data, starts, ids, tags, d[a : a + 200_000], pos[a : a + 200_000], window, parts)
+                    for a in range(0, len(d), 100_000):
+                        yield from _resolve_windows(data, starts, ids, tags, d[a : a + 100_000], pos[a : a + 100_000], window, parts)
 
     return run
 
 
+def _texts_of(cold, data, starts, ids, tags, doc, first, n, window, parts) -> pa.RecordBatch:
+    """Texts of phrases, those of one part together, each with its document, first window and number of windows."""
+    sizes = n[cold] + window - 1
+    begin = np.cumsum(sizes) - sizes
+    body = data[np.arange(int(sizes.sum())) - np.repeat(begin, sizes) + np.repeat(starts[doc[cold]] + first[cold], sizes)]
+    _, _, _, key, _ = phrases(body, begin, sizes, window)
+    part = (key % np.uint64(parts)).astype(np.int64)
+    out, raw = [], body.tobytes()
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(_groups(part[order])).tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        mine = order[a:b]
+        d = doc[cold[mine]]
+        head = zlib.compress(np.stack([ids[d], tags[d], first[cold[mine]], n[cold[mine]]]).astype("<i8").tobytes(), 1)
+        texts = b"".join(raw[begin[k] : begin[k] + sizes[k]] for k in mine.tolist())
+        out.append((int(part[order[a]]), np.array([8 + len(head), len(mine)], "<i8").tobytes() + head + texts))
+    m = len(out)
+    return pa.RecordBatch.from_arrays([pa.array(["texts"] * m), pa.array([p for p, _ in out], pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([x for _, x in out], pa.binary())], schema=_SCHEMA)
+
+
 def _resolve_windows(data, starts, ids, tags, d, pos, window, parts) -> Iterator[pa.RecordBatch]:
     """Windows of hot triggers: what a smaller document of the batch holds is known, one of each goes on by its digest."""
     a, b = _digest(_words(data, starts[d] + pos, window))
