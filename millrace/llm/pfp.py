@@ -45,6 +45,12 @@ def _bytes_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return data, offsets[:-1] - offsets[0], np.diff(offsets)
 
 
+def _stretches(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of entries that hold about a stretch of bytes each."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // STRETCH, prepend=-1)).tolist()
+    return list(zip(cuts, [*cuts[1:], len(sizes)], strict=True)) if cuts else []
+
+
 def _phrases_of(batch: pa.RecordBatch, window: int) -> tuple[np.ndarray, ...]:
     """phrases() of a batch, stretch by stretch.
 
@@ -60,10 +66,8 @@ def _phrases_of(batch: pa.RecordBatch, window: int) -> tuple[np.ndarray, ...]:
             at.append(a)
             end.append(min(a + STRETCH + window - 1, int(sizes[d])))
     doc, at, end = (np.array(x, np.int64) for x in (doc, at, end))
-    group = np.cumsum(end - at) // STRETCH
-    cuts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
     out = []
-    for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=True):
+    for a, b in _stretches(end - at):
         n = end[a:b] - at[a:b]
         body = np.concatenate([data[starts[d] + x : starts[d] + y] for d, x, y in zip(doc[a:b].tolist(), at[a:b].tolist(), end[a:b].tolist(), strict=True)])
         owner, first, many, key, ident = phrases(body, np.cumsum(n) - n, n, window)
@@ -257,9 +261,7 @@ def _open(window: int, parts: int):
                 hot = n >= MARK
                 n &= MARK - 1
                 cold = np.flatnonzero(~hot)
-                group = np.cumsum(n[cold] + window - 1) // STRETCH
-                cuts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
-                for a, b in zip(cuts, [*cuts[1:], len(cold)], strict=True):
+                for a, b in _stretches(n[cold] + window - 1):
                     yield _texts_of(cold[a:b], data, starts, ids, tags, doc, first, n, window, parts)
                 if hot.any():
                     which, pos = _windows(first[hot], n[hot])

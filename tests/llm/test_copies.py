@@ -2,6 +2,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import jaccard, pfp, shards
@@ -103,15 +104,52 @@ def spans_of(docs):
     return out
 
 
-@pytest.mark.parametrize("sent,many", [(64, 256), (1, 1)])
-def test_spans_against_brute_force(odd_docs, monkeypatch, sent, many):
-    """With the low limits, every shared trigger is treated as a hot one (those that stay in the driver's process see them)."""
-    monkeypatch.setattr(pfp, "SENT", sent)
-    monkeypatch.setattr(pfp, "MANY", many)
+def test_spans_against_brute_force(odd_docs):
     got = sorted(x for x in spans_of(odd_docs) if x[0] is not None)
     assert got == brute_spans([(r.doc_id, (r.text or "").encode()) for r in odd_docs.collect() if r.doc_id is not None])
 
 
+@pytest.mark.parametrize("sent,many,stretch", [(64, 256, 1 << 19), (1, 1, 1 << 19), (2, 3, 70), (64, 256, 130)])
+def test_span_steps_in_one_process(monkeypatch, sent, many, stretch):
+    """All steps on batches here, with limits so low that triggers are hot and texts are parsed in several stretches."""
+    import random
+
+    for name, value in (("SENT", sent), ("MANY", many), ("STRETCH", stretch)):
+        monkeypatch.setattr(pfp, name, value)
+    rng = random.Random(stretch + sent)
+    words = [f"w{k}" for k in range(40)]
+    base = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(4)]
+    rows = []
+    for i in range(40):
+        a, b = rng.choice(base), rng.choice(base)
+        x, y = rng.randrange(len(a)), rng.randrange(len(b))
+        rows.append((i * 3, (a[:x] + b[y:] + "é" * rng.randrange(3)).encode()))
+    rng.shuffle(rows)
+
+    def batch(part, **more):
+        columns = {"doc_id": pa.array([i for i, _ in part], pa.int64()), "tag": pa.array([7] * len(part), pa.int64()), "text": pa.array([t.decode(errors="replace") for _, t in part])} | more
+        return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    rows = [(i, t.decode(errors="replace").encode()) for i, t in rows]
+    dealt = [x for part in (rows[:13], rows[13:25], rows[25:]) for x in pfp._parse(50, 5)(iter([batch(part)]))]
+    met = list(pfp._meet(iter(dealt)))
+    still = {}
+    for b in met:
+        for kind, doc, data in zip(*(b.column(c).to_pylist() for c in ("kind", "doc_id", "data")), strict=True):
+            if kind == "open":
+                still.setdefault(doc, []).append(data)
+    mine = [r for r in rows if r[0] in still]
+    again = [batch(part, open=pa.array([still[i] for i, _ in part])) for part in (mine[:9], mine[9:]) if part]
+    opened = [x for b in again for x in pfp._open(50, 5)(iter([b]))]
+    covered = {i: bytearray(len(t)) for i, t in rows}
+    for b in (*met, *pfp._sort(50)(iter(opened))):
+        for kind, doc, data in zip(*(b.column(c).to_pylist() for c in ("kind", "doc_id", "data")), strict=True):
+            if kind == "known":
+                for first, n in np.frombuffer(data, "<i4").reshape(-1, 2).tolist():
+                    covered[doc][first : first + n + 49] = b"\1" * (n + 49)
+    assert sorted((i, sum(c)) for i, c in covered.items()) == [(i, r) for i, _, r, _, _ in brute_spans(rows)]
+
+
 def test_spans_of_repetitive_texts(spark):
     texts = ["ab" * 100, "ba" * 60, "x" * 200, "x" * 49, "x" * 50, "é" * 40, "z" + "é" * 40, "ab" * 30 + "q" * 60 + "x" * 60, "ab" * 100]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
