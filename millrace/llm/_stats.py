@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, pieces_of, text_or_empty
+from ._common import WORD, pieces_of, text_or_empty, trim
 
 find_words = re.compile(WORD).findall
 find_symbols = re.compile(r"[#*$%&|<>]").findall
@@ -71,6 +71,7 @@ def document_counts(docs: DataFrame, *extra: Column) -> DataFrame:
             for batch in pieces_of(whole, "text"):
                 table = np.array([counts_of(t) for t in batch.column("text").to_pylist()], np.int64).reshape(-1, len(COUNTS))
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(np.ascontiguousarray(c)) for c in table.T)], [*names, *COUNTS])
+        trim()
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "text"]
     return kept.mapInArrow(run, ", ".join([*fields, *(f"{n} long" for n in COUNTS)]))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import pieces_of
+from ._common import pieces_of, trim
 from ._stats import COUNTS, counts_of, document_counts, features_of
 from .rules import sample
 
@@ -226,6 +226,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **fitt
                     score = model.score(_inputs(dict(zip(COUNTS, table.T, strict=True)) | meta))[2]
                     batch = batch.filter(pa.array(score >= threshold))
                 yield batch.select([f"c{k}" for k in range(len(names))])
+        trim()
 
     fields = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields))
     return body.mapInArrow(run, fields).toDF(*names)

@@ -53,7 +53,7 @@ class ChunkEncoder:
         self.normalize, self.cut = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
         self.byte = {c: b for b, c in enumerate(signs)}
         self.pattern = regex.compile(split["pattern"]["Regex"]).findall
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {"": b""}
         self.merged: dict[bytes, bytes] = {}
         self.limit = memo
 
@@ -92,17 +92,21 @@ class ChunkEncoder:
         coded = split.flatten().dictionary_encode()
         chunks = coded.dictionary.to_pylist()
         if len(self.memo) > self.limit:
-            self.memo = {c: self.memo[c] for c in set(chunks).intersection(self.memo)}
-        self.memo[""] = b""
-        if new := [c for c in chunks if c not in self.memo]:
+            self.memo = {"": b""} | {c: self.memo[c] for c in set(chunks).intersection(self.memo)}
+        found = list(map(self.memo.get, chunks))
+        if missing := [k for k, f in enumerate(found) if f is None]:
+            new = [chunks[k] for k in missing]
             self.learn(new, any(apart))
-        found = list(map(self.memo.__getitem__, chunks))
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            for k, ids in zip(missing, map(self.memo.__getitem__, new), strict=True):
+                found[k] = ids
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
         ids, at = np.frombuffer(b"".join(found), "<i4"), coded.indices.to_numpy()
         lengths = sizes[at]
-        ends = np.cumsum(lengths)
-        shift = (np.cumsum(sizes) - sizes)[at] - (ends - lengths)
-        raw = ids[np.arange(int(lengths.sum())) + np.repeat(shift, lengths)].tobytes()
+        ends = np.cumsum(lengths, dtype=np.int64)
+        shift = (np.cumsum(sizes, dtype=np.int32) - sizes)[at] - (ends - lengths)
+        flat = np.repeat(shift.astype(np.int32), lengths)
+        flat += np.arange(len(flat), dtype=np.int32)
+        raw = ids[flat].tobytes()
         words = np.cumsum(split.value_lengths().to_numpy())
         cuts = (4 * np.concatenate([[0], ends])[words]).tolist()
         return [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
@@ -145,7 +149,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 2, most: int = 4096) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         end = end_id.to_bytes(4, "little")
-        for batch in gathered(batches, "text", 8 << 20):
+        for batch in gathered(batches, "text", 6 << 20):
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
                 raw = ids + end
