@@ -294,15 +294,15 @@ def explode_array(spark, sf_dir):
 
 @query("""
 WITH base AS (SELECT o_custkey, l_extendedprice * (1 - l_discount) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= DATE '1998-01-01'),
-agg AS (SELECT o_custkey, sum(revenue) AS revenue, count(*) AS lines FROM base GROUP BY 1)
-SELECT c_custkey AS customer, n_name AS nation, round(revenue, 2) AS revenue, lines FROM agg JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
+agg AS (SELECT o_custkey, CAST(sum(CAST(revenue AS DECIMAL(18, 4))) AS DOUBLE) AS revenue, count(*) AS lines FROM base GROUP BY 1)
+SELECT c_custkey AS customer, n_name AS nation, revenue, lines FROM agg JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
 """)
 def base_agg_dim_final(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") >= F.lit("1998-01-01").cast("date"))
     base = lines.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).withColumnRenamed("o_custkey", "c_custkey")
     customers = shapes.latest_rows(table(spark, sf_dir, "customer"), ["c_custkey"], F.desc("c_acctbal")).select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    measures = {"revenue": F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2), "lines": F.count("*")}
+    measures = {"revenue": F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")).cast("double"), "lines": F.count("*")}
     return shapes.report(base, ["c_custkey"], measures, [(customers, ["c_custkey"]), (nations, ["n_nationkey"])], {"customer": "c_custkey", "nation": "n_name", "revenue": "revenue", "lines": "lines"}, [F.desc("revenue"), F.col("customer")])
 
 
