@@ -83,7 +83,7 @@ def write_catalog(catalog: DataFrame, root: str) -> None:
     """Two levels: a narrow table to search, and full entries by layer."""
     catalog.select(
         "layer", "name", "description", "table_comment", F.transform("columns", lambda c: F.array(c["name"], c["comment"])).alias("columns"),
-        F.transform("partition_columns", lambda c: c["name"]).alias("partition_columns"), F.element_at("sql_files", 1).alias("path"),
+        F.transform("partition_columns", lambda c: c["name"]).alias("partition_columns"), F.try_element_at(F.concat("sql_files", "doc_files"), F.lit(1)).alias("path"),
     ).write.mode("overwrite").json(os.path.join(root, "search"))
     catalog.write.mode("overwrite").partitionBy("layer").json(os.path.join(root, "full"))
 
