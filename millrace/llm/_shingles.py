@@ -30,8 +30,8 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str], k: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of each text, ascending, one text after the other, and how many each has.
+def shingles(texts: list[str], k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles of each text, one text after the other, and how many each has.
 
     Letters A-Z are lower-cased and words end at space and tab to carriage
     return.  Shingles are ``k`` words in a row; a text with fewer words has
@@ -45,20 +45,33 @@ def shingle_sets(texts: list[str], k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     n = int(sizes.sum())
     codes = np.fromiter(map(_memo.__getitem__, chain.from_iterable(words)), np.uint64, n)
     starts = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(texts)), sizes)
     with np.errstate(over="ignore"):
         whole = max(n - k + 1, 0)
         grams = np.zeros(whole, np.uint64)
         for j in range(k):
             grams += codes[j : j + whole] * FACTORS[j % len(FACTORS)]
-        at = np.flatnonzero(np.arange(whole) + k <= (starts + sizes)[owner[:whole]]) if whole else np.zeros(0, np.int64)
-        grams, who = mix(grams[at], k), owner[at]
+        inside = np.ones(whole, bool)
+        for j in range(1, k):  # a window must not reach into the next text
+            border = starts[1:] - j
+            inside[border[(border >= 0) & (border < whole)]] = False
+        grams = mix(grams[inside], k)
         short = np.flatnonzero((sizes > 0) & (sizes < k))
+        if not len(short):
+            return grams, np.maximum(sizes - k + 1, 0)
+        counts = np.maximum(sizes - k + 1, 0)
         extra = np.array([int((codes[starts[d] : starts[d] + sizes[d]] * FACTORS[: sizes[d]]).sum(dtype=np.uint64)) for d in short], np.uint64)
         extra = mix(extra + sizes[short].astype(np.uint64), k + 1)
-    grams, who = np.concatenate([grams, extra]), np.concatenate([who, short])
-    order = np.lexsort((grams, who))
-    grams, who = grams[order], who[order]
+    return np.insert(grams, (np.cumsum(counts) - counts)[short], extra), np.where((sizes > 0) & (sizes < k), 1, counts)
+
+
+def shingle_sets(texts: list[str], k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text, ascending, one text after the other, and how many each has."""
+    grams, n = shingles(texts, k)
+    ends = np.cumsum(n)
+    for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True):
+        grams[a:b].sort()
     new = np.ones(len(grams), bool)
-    new[1:] = (grams[1:] != grams[:-1]) | (who[1:] != who[:-1])
-    return grams[new], np.bincount(who[new], minlength=len(texts))
+    new[1:] = grams[1:] != grams[:-1]
+    new[(ends - n)[n > 0]] = True
+    kept = np.concatenate([[0], np.cumsum(new)])
+    return grams[new], kept[ends] - kept[ends - n]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ._common import lists, pieces_of, text_or_empty, trim
 from ._links import components
-from ._shingles import mix, shingle_sets
+from ._shingles import mix, shingle_sets, shingles
 
 #: Seeds of the orders that lead to the first candidates, and of those that a pair's prefixes must also share tokens under.
 STAR_SEEDS, FILTER_SEEDS = (11, 12, 13, 14), (21, 22)
@@ -43,7 +43,7 @@ def count_sketch(docs: DataFrame, k: int, bits: int) -> np.ndarray:
         total = np.zeros(1 << bits, np.int64)
         for whole in batches:
             for batch in pieces_of(whole, "text", 2 << 20):
-                grams, _ = shingle_sets(batch.column("text").to_pylist(), k)
+                grams, _ = shingles(batch.column("text").to_pylist(), k)
                 np.add.at(total, (grams >> np.uint64(64 - bits)).astype(np.int64), 1)
         for s in range(slices):
             part = total[s * width : (s + 1) * width]
@@ -91,7 +91,7 @@ def signatures(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Dat
                 counts = table[(grams >> shift).astype(np.int64)]
                 raw = grams.astype("<u8").tobytes()
                 hashes = [xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                order = np.lexsort((grams, counts, owner))
+                order = np.argsort(owner << 8 | counts, kind="stable")  # equal counts stay in order of value
                 take = np.where(n > 0, n - _needed(n, percent) + 1, 0)
                 keep = np.arange(len(grams)) - starts[owner] < take[owner]
                 prefix = grams[order][keep].view(np.int64)
