@@ -55,7 +55,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     import public_tokenizers
 
     prepare(spark)
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, most=4096)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, most=4096, memo=150_000, batch_bytes=3 << 20)
 
 
 STAGES = [

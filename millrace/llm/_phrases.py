@@ -93,7 +93,7 @@ def _grown(name: str, base: int, n: int) -> np.ndarray:
     held = _table.get(name)
     if held is None or len(held) < n:
         with np.errstate(over="ignore"):
-            held = np.cumprod(np.full(max(n, 1 << 19), base, np.uint64)) * np.uint64(pow(base, -1, 1 << 64))
+            held = np.cumprod(np.full(max(n, 1 << 18), base, np.uint64)) * np.uint64(pow(base, -1, 1 << 64))
         _table[name] = held
     return held[:n]
 

@@ -70,7 +70,7 @@ class ChunkEncoder:
 
     def learn(self, chunks: list[str], wide: bool) -> None:
         split = [self.wide_pieces(c) if WIDE.search(c) else self.pieces(c.lower()) for c in chunks] if wide else list(map(self.pieces, chunks))
-        if len(self.merged) > MERGED:
+        if len(self.merged) > min(MERGED, self.limit):
             self.merged = {}
         raw = list(set(chain.from_iterable(split)).difference(self.merged))
         sizes = np.array([len(p) for p in raw], np.int64)
@@ -119,14 +119,14 @@ def _byte_signs() -> list[str]:
     return [chr(b if b in own else next(others)) for b in range(256)]
 
 
-_held: dict[str, ChunkEncoder] = {}
+_held: dict[tuple, ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, memo: int = MEMO) -> ChunkEncoder:
     """This worker's encoder; it outlives tasks, so that later ones find its memo filled."""
-    if path not in _held:
-        _held[path] = ChunkEncoder(path)
-    return _held[path]
+    if (path, memo) not in _held:
+        _held[path, memo] = ChunkEncoder(path, memo)
+    return _held[path, memo]
 
 
 def binary_lengths(n: int, most: int) -> list[int]:
@@ -135,11 +135,13 @@ def binary_lengths(n: int, most: int) -> list[int]:
     return [most] * (n // most) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pieces(docs: DataFrame, path: str, end_id: int = 2, most: int = 4096) -> DataFrame:
+def pieces(docs: DataFrame, path: str, end_id: int = 2, most: int = 4096, memo: int = MEMO, batch_bytes: int = 6 << 20) -> DataFrame:
     """Tokenized documents in binary-length pieces: doc_id, piece_no, start, length, ids, doc_tokens.
 
     ids holds little-endian unsigned 32-bit token ids; each document ends with
-    ``end_id``.  ``most`` must be a power of two.  A null text counts as
+    ``end_id``.  ``most`` must be a power of two.  A worker's memo holds about
+    ``memo`` entries and it encodes ``batch_bytes`` of text at once: less of
+    either takes less memory and more time.  A null text counts as
     empty, so it gives the single piece [end_id].
     """
     if most < 1 or most & (most - 1):
@@ -147,9 +149,9 @@ def pieces(docs: DataFrame, path: str, end_id: int = 2, most: int = 4096) -> Dat
     schema = pa.schema([("doc_id", pa.int64()), ("piece_no", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, memo)
         end = end_id.to_bytes(4, "little")
-        for batch in gathered(batches, "text", 6 << 20):
+        for batch in gathered(batches, "text", batch_bytes):
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
                 raw = ids + end
@@ -185,11 +187,11 @@ def place(pieces: DataFrame, most: int = 4096, buckets: int = 256) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 2, most: int = 4096, buckets: int = 256) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 2, most: int = 4096, buckets: int = 256, **encoding) -> DataFrame:
     """Packs all documents: a row per piece with doc_id, piece_no, start, length, ids, doc_tokens, sequence_id, offset.
 
     Null texts count as empty (one piece with ``end_id``); repeated rows are
     packed each for itself; an empty table gives an empty result; a text of
     any length is cut, never shortened.
     """
-    return place(pieces(docs, path, end_id, most), most, buckets)
+    return place(pieces(docs, path, end_id, most, **encoding), most, buckets)

@@ -20,7 +20,7 @@ SMALL = 1_000_000
 MARK = 128
 #: Bytes of text whose phrases are compared in a task at once, and those that are parsed at once, for each of which
 #: parsing takes about 150 bytes.
-PART, STRETCH = 4 << 20, 1 << 19
+PART, STRETCH = 2 << 20, 1 << 18
 #: Windows of a suffix array that are sorted at once.
 RANGE = 100_000
 PHRASE = np.dtype([("key", "u1", 5), ("ident", "u1", 6), ("doc", "<u2"), ("pos", "<u4"), ("n", "u1")])
