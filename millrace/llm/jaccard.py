@@ -203,8 +203,9 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: in
     sketch = count_sketch(docs, k, bits)
     signed = signatures(docs, k, percent, sketch).checkpoint()
     worded = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    reps = worded.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
-    members = worded.select("doc_id", "n", "set_hash").join(reps, "set_hash").select("doc_id", "n", "set_hash", "rep").checkpoint()
+    # only sets that several rows have need a join, and their list is small or, if not, stored apart so that hot sets can be split
+    shared = worded.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").select("set_hash", "rep").checkpoint()
+    members = worded.select("doc_id", "n", "set_hash").join(_near(shared), "set_hash", "left").select("doc_id", "n", "set_hash", F.coalesce("rep", "doc_id").alias("rep")).checkpoint()
     copies = members.where("doc_id <> rep").select("doc_id", "set_hash").distinct()
     chosen = worded.join(_near(copies), ["doc_id", "set_hash"], "left_anti").select("doc_id", "n", "rare", "tops", "prefix")
     nodes = members.select(F.col("rep").alias("doc_id")).distinct()

@@ -389,10 +389,10 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     """
     rows = _rows(docs)
     hashed = rows.select("doc_id", "tag", F.md5(F.col("text").cast("binary")).alias("same"), F.octet_length("text").cast("long").alias("size"))
-    firsts = hashed.groupBy("same").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), F.sum("size").alias("bytes"))
-    copies = hashed.join(firsts.where("rows > 1").select("same", "first"), "same").where("doc_id > first").select("doc_id", "tag", "size").checkpoint()
+    firsts = hashed.groupBy("same").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("same", "first").checkpoint()
+    copies = hashed.join(_near(firsts), "same").where("doc_id > first").select("doc_id", "tag", "size").checkpoint()
     spark = docs.sparkSession
-    total = firsts.agg(F.sum("bytes")).first()[0] or 0
+    total = hashed.agg(F.sum("size")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (8 << 20)))
 
     own = rows.join(_near(copies.select("doc_id", "tag").distinct()), ["doc_id", "tag"], "left_anti")
