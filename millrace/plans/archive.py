@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,14 @@ from ..functions import posts as P
 from ..functions import times
 from ..operators import merge, profile, rank
 
+#: Words that tell posts on AI.
+AI_KEYWORDS = (
+    "AI", "Claude", "GPT", "LLM", "Codex", "agent", "skill", "skills", "model", "Gemini", "OpenAI", "Anthropic", "coding", "code",
+    "prompt", "GLM", "Grok", "Cursor", "Remotion", "Devin", "MCP", "RAG", "embedding", "fine-tune", "RLHF", "vibe",
+    "Ralphy", "Ralph", "Zed", "Kiro", "LangChain", "token", "API", "neural", "deep learning", "machine learning",
+    "automation", "chatbot", "inference", "智能", "模型", "编程", "提示词", "大模型", "人工智能",
+)
+
 
 def typed(posts: DataFrame, referenced: DataFrame, users: DataFrame) -> DataFrame:
     """Adds full_text, tweet_type and original_tweet by what a post refers to.
@@ -19,9 +29,7 @@ def typed(posts: DataFrame, referenced: DataFrame, users: DataFrame) -> DataFram
     username) are joined on the one reference that counts, so posts move once
     for each.
     """
-    ref = lambda kind: F.element_at(F.filter(F.coalesce("referenced_tweets", F.expr("CAST(array() AS array<struct<type:string,id:string>>)")), lambda r: r["type"] == kind), 1)
     pick = F.coalesce(F.try_element_at(F.filter("referenced_tweets", lambda r: r["type"] == "replied_to"), F.lit(1)), F.try_element_at(F.filter("referenced_tweets", lambda r: r["type"] == "quoted"), F.lit(1)))
-    del ref
     out = posts.withColumn("__ref", pick)
     known = referenced.select(F.col("id").alias("__rid"), F.substring(P.full_text(F.lit(None).cast("string"), F.col("note_tweet.text"), F.col("text")), 1, 2000).alias("__rtext"), F.col("author_id").alias("__rauthor")).dropDuplicates(["__rid"])
     out = out.join(known, F.col("__ref.id") == F.col("__rid"), "left")
@@ -89,7 +97,7 @@ def style(posts: DataFrame, created: str = "created_at") -> dict[str, DataFrame]
     }
 
 
-def related(posts: DataFrame, keywords: list[str], text: str = "content", name: str = "displayName") -> DataFrame:
+def related(posts: DataFrame, keywords: Sequence[str] = AI_KEYWORDS, text: str = "content", name: str = "displayName") -> DataFrame:
     """Posts whose text or author's name contains any keyword."""
     from ..functions.texts import contains_any
 

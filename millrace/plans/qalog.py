@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from ..operators.merge import upsert
 
-GOOD, BAD = ("good", "ok", "yes", "1", "true", "正确", "好"), ("bad", "wrong", "no", "0", "false", "错误", "差")
+#: How answers are labelled.
+GOOD, BAD, UNKNOWN = ("good", "good_case", "goodcase"), ("bad", "bad_case", "badcase"), "unknown"
 
 
 def label_of(x: Column) -> Column:
-    """good, bad or an empty text."""
+    """good, bad or unknown."""
     low = F.lower(F.trim(F.coalesce(x, F.lit(""))))
-    return F.when(low.isin(*GOOD), "good").when(low.isin(*BAD), "bad").otherwise("")
+    return F.when(low.isin(*GOOD), "good").when(low.isin(*BAD), "bad").otherwise(UNKNOWN)
 
 
 def totals(log: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def update(log: DataFrame, changes: DataFrame) -> DataFrame:
 
 def due(log: DataFrame, seen_before: int, least: int = 20) -> tuple[bool, int]:
     """Whether the log has ``least`` labelled rows, and as many new ones since the last look; and how many there are."""
-    labelled = log.where(label_of(F.col("label")) != "").count()
+    labelled = log.where(label_of(F.col("label")) != UNKNOWN).count()
     return labelled >= least and labelled - seen_before >= least, labelled
 
 

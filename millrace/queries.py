@@ -262,7 +262,7 @@ def issue_top12(spark, sf_dir):
 
 @query("SELECT count(*) AS total, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE quality = 0) AS bad FROM labels")
 def label_totals(spark, sf_dir):
-    return qalog.totals(table(spark, sf_dir, "labels").select(F.when(F.col("quality") == 1, " Good").when(F.col("quality") == 0, "WRONG").alias("label")))
+    return qalog.totals(table(spark, sf_dir, "labels").select(F.when(F.col("quality") == 1, " Good").when(F.col("quality") == 0, "BAD_case").alias("label")))
 
 
 @query("""

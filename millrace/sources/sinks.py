@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 #: Names of topics and texts of digests.
 TOPICS = ("research", "product", "opensource", "funding", "policy", "other")
 TOPIC_NAMES = {
-    "zh": {"research": "研究", "product": "产品", "opensource": "开源", "funding": "融资", "policy": "政策", "other": "其他"},
-    "en": {"research": "Research", "product": "Product", "opensource": "Open Source", "funding": "Funding", "policy": "Policy", "other": "Other"},
-    "ja": {"research": "研究", "product": "製品", "opensource": "オープンソース", "funding": "資金調達", "policy": "政策", "other": "その他"},
+    "zh": {"research": "研究 / 论文 / 实验室", "product": "产品 / 模型 / 发布", "opensource": "开源 / 工具 / 工程", "funding": "投融资 / 商业", "policy": "政策 / 伦理 / 安全", "other": "其他"},
+    "en": {"research": "Research / Papers / Labs", "product": "Products / Models / Releases", "opensource": "Open Source / Tools / Engineering", "funding": "Funding / Business", "policy": "Policy / Ethics / Safety", "other": "Other"},
+    "ja": {"research": "研究 / 論文 / ラボ", "product": "製品 / モデル / リリース", "opensource": "オープンソース / ツール / エンジニアリング", "funding": "資金調達 / ビジネス", "policy": "政策 / 倫理 / 安全性", "other": "その他"},
 }
 WORDS = {
     "zh": {"title": "AI 资讯", "items": "共 {n} 条", "failures": "抓取失败", "source": "来源", "also": "另见"},

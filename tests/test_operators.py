@@ -165,7 +165,7 @@ def test_digest(spark, tmp_path):
     rows, text, counts = digest.run(landed, sources, ask, "2026-01-15", "en")
     assert {(r.topic, r.title, r.weight) for r in rows.collect()} == {("research", "T & U", 9), ("other", "guid", 9)}
     page = text.first().text
-    assert "## Research" in page and "## Other" in page and "timeout" in page and "## Product" not in page and tuple(counts.first()) == (1, 1)
+    assert "## Research / Papers / Labs" in page and "## Other" in page and "timeout" in page and "## Products" not in page and tuple(counts.first()) == (1, 1)
 
 
 def test_similar_digest_and_translation(spark):
@@ -239,7 +239,7 @@ def test_sql_checks(spark, sql, dialect, want):
 
 def test_qa_log(spark, tmp_path):
     path = tmp_path / "qa.jsonl"
-    path.write_text('{"id":"1","label":"Bad","issues":["x","y"],"feedback":{"issues":["x"]}}\n\nnot json\n[1]\n{"id":"2","label":"good","issues":["z"]}\n{"id":"3","label":"wrong","issues":["y"]}\n')
+    path.write_text('{"id":"1","label":"Bad","issues":["x","y"],"feedback":{"issues":["x"]}}\n\nnot json\n[1]\n{"id":"2","label":"good","issues":["z"]}\n{"id":"3","label":"badcase","issues":["y"]}\n')
     log = files.json_lines(spark, str(path), QA).withColumn("seq", F.col("id").cast("long"))
     assert tuple(qalog.totals(log).first()) == (3, 1, 2)
     top = qalog.top_issues(log)
