@@ -195,26 +195,28 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not blobs:
         return
     entries, doc, ids, tags = _unpacked(blobs, PHRASE)
-    del blobs
-    key, ident = _number(entries["key"]), _number(entries["ident"])
+    blobs.clear()
+    key, ident, pos, many = _number(entries["key"]), _number(entries["ident"]), entries["pos"].copy(), entries["n"].copy()
+    del entries
     order = np.lexsort((ids[doc], ident, key))
-    entries, doc, key, ident = entries[order], doc[order], key[order], ident[order]
+    doc, key, ident, pos, many = doc[order], key[order], ident[order], pos[order], many[order]
     own = ids[doc]
+    del order
     same, begins = _groups(key, ident), _groups(key)
     known = own > own[same][np.cumsum(same) - 1]
     at = np.flatnonzero(begins)
     group = np.cumsum(begins) - 1
     several = (np.minimum.reduceat(own, at) < np.maximum.reduceat(own, at))[group]
     kinds = np.add.reduceat(same.astype(np.int64), at)[group]
-    marked = np.logical_or.reduceat(entries["n"] >= MARK, at)[group]
+    marked = np.logical_or.reduceat(many >= MARK, at)[group]
     hot = marked | (kinds > MANY)
     open_ = ~known & (hot | several & (kinds > 1))
-    n = (entries["n"] & (MARK - 1)).astype(np.int64)
+    n = (many & (MARK - 1)).astype(np.int64)
     if known.any():
-        yield _by_doc("known", doc[known], ids, tags, entries["pos"][known], n[known])
+        yield _by_doc("known", doc[known], ids, tags, pos[known], n[known])
     if open_.any():
-        yield _by_doc("open", doc[open_], ids, tags, entries["pos"][open_], np.where(hot[open_], n[open_] | MARK, n[open_]))
-    del entries, doc, ids, tags, key, ident, order, own, same, begins, known, group, several, kinds, marked, hot, open_, n
+        yield _by_doc("open", doc[open_], ids, tags, pos[open_], np.where(hot[open_], n[open_] | MARK, n[open_]))
+    del doc, ids, tags, key, ident, pos, many, own, same, begins, known, group, several, kinds, marked, hot, open_, n
     trim()
 
 
@@ -393,7 +395,7 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     copies = hashed.join(_near(firsts), "same").where("doc_id > first").select("doc_id", "tag", "size").checkpoint()
     spark = docs.sparkSession
     total = hashed.agg(F.sum("size")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (8 << 20)))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 << 20)))
 
     own = rows.join(_near(copies.select("doc_id", "tag").distinct()), ["doc_id", "tag"], "left_anti")
     dealt = own.mapInArrow(_parse(window, parts), _FIELDS).withColumn("part", F.when(F.col("kind") == "phrase", F.col("part")).otherwise(F.xxhash64("doc_id")))
