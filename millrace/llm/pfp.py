@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import gathered, trim
@@ -15,8 +15,8 @@ from ._phrases import phrases
 
 #: Phrases of one trigger that a batch sends on at most; beyond that, and where more than MANY meet, single windows are compared.
 SENT, MANY = 64, 256
-#: Rows up to which a side of a join is sent to every executor.
-SMALL = 1_000_000
+#: Rows and bytes up to which a side of a join is sent to every executor.
+SMALL, SMALL_BYTES = 1_000_000, 128 << 20
 MARK = 128
 #: Bytes of text whose phrases are compared in a task at once, and those that are parsed at once, for each of which
 #: parsing takes about 150 bytes.
@@ -32,9 +32,10 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull() & text.isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(text.cast("binary")).alias("tag"), text.alias("text"))
 
 
-def _near(df: DataFrame) -> DataFrame:
-    """df, to be sent to every executor if it has few rows; else Spark joins it by shuffling."""
-    return F.broadcast(df) if df.count() <= SMALL else df
+def _near(df: DataFrame, width: Column | None = None) -> DataFrame:
+    """df, to be sent to every executor if it has few rows and, by the bytes that ``width`` gives a row, is small; else Spark joins it by shuffling."""
+    facts = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(width if width is not None else F.lit(16)), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if facts["rows"] <= SMALL and facts["bytes"] <= SMALL_BYTES else df
 
 
 def _bytes_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -401,8 +402,8 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     dealt = own.mapInArrow(_parse(window, parts), _FIELDS).withColumn("part", F.when(F.col("kind") == "phrase", F.col("part")).otherwise(F.xxhash64("doc_id")))
     met = dealt.repartition(parts, "part").mapInArrow(_meet, _FIELDS).checkpoint()
 
-    still = met.where("kind = 'open'").groupBy("doc_id", "tag").agg(F.collect_list("data").alias("open"))
-    opened = own.join(_near(still), ["doc_id", "tag"]).select("doc_id", "tag", "text", "open").mapInArrow(_open(window, parts), _FIELDS)
+    still = met.where("kind = 'open'").groupBy("doc_id", "tag").agg(F.collect_list("data").alias("open")).checkpoint()
+    opened = own.join(_near(still, F.aggregate("open", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x))), ["doc_id", "tag"]).select("doc_id", "tag", "text", "open").mapInArrow(_open(window, parts), _FIELDS)
     opened = opened.withColumn("part", F.when(F.col("kind") != "known", F.col("part")).otherwise(F.xxhash64("doc_id")))
     sorted_ = opened.repartition(parts, "part").mapInArrow(_sort(window), _FIELDS)
 
@@ -441,7 +442,7 @@ def without_repeats(docs: DataFrame, window: int = 50, spans_column: str = "span
     spans = repeated_spans(docs, window).checkpoint()
     names = [n for n in docs.columns if n not in (spans_column, kept_column)]
     body = docs.select(*(F.col(f"`{n}`").alias(f"c{k}") for k, n in enumerate(names)), F.col("doc_id").cast("long").alias("doc_id"), F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("tag"))
-    joined = body.join(_near(spans), ["doc_id", "tag"], "left").drop("doc_id", "tag")
+    joined = body.join(_near(spans, F.size("spans") * 16), ["doc_id", "tag"], "left").drop("doc_id", "tag")
     text = F.coalesce(F.col(f"c{names.index('text')}").cast("string"), F.lit("")).cast("binary")
     # what lies between the spans, from the end of each (and from the start) to the next
     stops = F.concat(F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))), F.coalesce("spans", F.expr("array()").cast("array<struct<start:long,end:long>>")))
