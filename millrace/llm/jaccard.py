@@ -148,8 +148,12 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (la + lb - common)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets."""
+def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets.
+
+    Sets of the second documents meet their pairs where they are made and
+    then move to the first documents, whose sets move once each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,9 +162,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ]
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    first = _sets_of(docs, pairs.select(F.col("a").alias("id")), k).select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
+    second = _sets_of(docs, pairs.select(F.col("b").alias("id")), k).select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    return second.join(_near(pairs), "b").join(first, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def _classes(reps: DataFrame, links: DataFrame) -> DataFrame:
@@ -212,9 +216,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: in
 
     tops = chosen.select("doc_id", "rare", F.posexplode("tops").alias("j", "top"))
     heads = tops.groupBy("j", "top").agg(F.min_by("doc_id", F.struct("rare", "doc_id")).alias("head"), F.count("*").alias("size")).where("size > 1")
-    stars = tops.join(heads, ["j", "top"]).where("doc_id <> head").select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b")).distinct().checkpoint()
-    sets = _sets_of(docs, stars.select(F.explode(F.array("a", "b")).alias("id")), k)
-    links = _verify(stars, sets, percent).distinct().checkpoint()
+    stars = tops.join(heads, ["j", "top"]).where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct().checkpoint()
+    links = _verify(docs, stars, k, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
     united = _classes(nodes, links)
 
     # the set's size and the token's place in one number: postings are most of what is shuffled
@@ -227,8 +230,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: in
     reach = 1 + F.least(F.col("n_x") - F.col("pos_x") - 1, F.col("n_y") - F.col("pos_y") - 1)
     passes = (F.col("doc_id_x") < F.col("doc_id_y")) & (F.col("component_x") != F.col("component_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (reach >= least)
     pairs = x.join(y, (x["token"] == y["token"]) & passes).select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct().checkpoint()
-    sets = _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), k)
-    links = links.union(_verify(pairs, sets, percent)).distinct().checkpoint()
+    links = links.union(_verify(docs, pairs, k, percent)).distinct().checkpoint()
 
     # a doc_id with several texts ties their representatives together
     ties = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).join(nodes.select(F.col("doc_id").alias("a")), "a", "left_semi")
