@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import gathered, text_or_empty
+from ._common import gathered, text_or_empty, trim
 from ._merge import MergeTable
 
 #: Entries that a worker's memos of chunks and of pieces may hold before they are emptied.
@@ -126,6 +126,7 @@ def encoder(path: str, memo: int = MEMO) -> ChunkEncoder:
     """This worker's encoder; it outlives tasks, so that later ones find its memo filled."""
     if (path, memo) not in _held:
         _held[path, memo] = ChunkEncoder(path, memo)
+        trim()
     return _held[path, memo]
 
 
