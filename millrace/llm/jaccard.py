@@ -167,10 +167,10 @@ def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
     return second.join(_near(pairs), "b").join(first, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _classes(reps: DataFrame, links: DataFrame) -> DataFrame:
-    """reps with component: the smallest id linked with each."""
-    found = components(links).withColumnRenamed("id", "doc_id")
-    return reps.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+def _with_component(rows: DataFrame, id_: str, links: DataFrame) -> DataFrame:
+    """rows with component: the smallest id linked with each.  Only linked ids are listed, so rows seldom have to move."""
+    found = components(links).withColumnRenamed("id", id_)
+    return rows.join(_near(found), id_, "left").withColumn("component", F.coalesce("component", id_))
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -218,10 +218,9 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: in
     heads = tops.groupBy("j", "top").agg(F.min_by("doc_id", F.struct("rare", "doc_id")).alias("head"), F.count("*").alias("size")).where("size > 1")
     stars = tops.join(heads, ["j", "top"]).where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct().checkpoint()
     links = _verify(docs, stars, k, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
-    united = _classes(nodes, links)
 
     # the set's size and the token's place in one number: postings are most of what is shuffled
-    posted = chosen.join(united, "doc_id").select("doc_id", "n", "component", F.posexplode("prefix").alias("pos", "token")).select("token", "doc_id", "component", (F.shiftleft("n", 32) + F.col("pos")).alias("at"))
+    posted = _with_component(chosen, "doc_id", links).select("doc_id", "n", "component", F.posexplode("prefix").alias("pos", "token")).select("token", "doc_id", "component", (F.shiftleft("n", 32) + F.col("pos")).alias("at"))
     open_ = posted.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     left = posted.join(open_, "token").checkpoint()
     left = left.select("token", "doc_id", "component", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(2**32 - 1).alias("pos"))
@@ -234,8 +233,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: in
 
     # a doc_id with several texts ties their representatives together
     ties = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).join(nodes.select(F.col("doc_id").alias("a")), "a", "left_semi")
-    final = _classes(nodes, links.union(ties)).select(F.col("doc_id").alias("rep"), "component")
-    found = members.join(final, "rep").select("doc_id", F.col("n").alias("n_shingles"), "rep", F.col("component").alias("component_id"))
+    found = _with_component(members, "rep", links.union(ties)).select("doc_id", F.col("n").alias("n_shingles"), "rep", F.col("component").alias("component_id"))
     rest = signed.where((F.col("n") == 0) | F.col("doc_id").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("rep"), F.col("doc_id").alias("component_id"))
     return found.unionByName(rest), links
 
