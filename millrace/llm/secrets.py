@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,21 +14,44 @@ HEX = r"[0-9a-f]{24,}"  # runs of 24 and more are the same as all runs without t
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
-#: Encodings in the order in which they are tried: pattern, alphabet in order of value, and the chance that two symbols
-#: of natural text written in it are equal.
+#: Encodings in the order in which they are tried: pattern and alphabet in order of value.
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENCODINGS = (
-    ("^[0-9a-f]+$", DIGITS + LOWER[:6], 0.110),
-    ("^[0-9A-F]+$", DIGITS + UPPER[:6], 0.110),
-    ("^[A-Z2-7]+$", UPPER + DIGITS[2:8], 0.065),
-    ("^[0-9a-z]+$", DIGITS + LOWER, 0.062),
-    ("^[0-9A-Z]+$", DIGITS + UPPER, 0.062),
-    ("^[0-9A-Za-z]+$", DIGITS + UPPER + LOWER, 0.058),
-    ("^[0-9A-Za-z+/]+$", UPPER + LOWER + DIGITS + "+/", 0.058),
-    ("^[0-9A-Za-z_-]+$", UPPER + LOWER + DIGITS + "-_", 0.058),
+    ("^[0-9a-f]+$", DIGITS + LOWER[:6]),
+    ("^[0-9A-F]+$", DIGITS + UPPER[:6]),
+    ("^[A-Z2-7]+$", UPPER + DIGITS[2:8]),
+    ("^[0-9a-z]+$", DIGITS + LOWER),
+    ("^[0-9A-Z]+$", DIGITS + UPPER),
+    ("^[0-9A-Za-z]+$", DIGITS + UPPER + LOWER),
+    ("^[0-9A-Za-z+/]+$", UPPER + LOWER + DIGITS + "+/"),
+    ("^[0-9A-Za-z_-]+$", UPPER + LOWER + DIGITS + "-_"),
 )
-#: Share of neighbours in natural text that are of different classes (digit, upper, lower, other).
-TURNS = 0.25
+
+#: Natural text: chances of the class of the next sign (lower, upper, digit, other) at a token's start and after each
+#: class, and -4 ln of the chance of each letter after each letter, then at the start of a word, as digits of base 36.
+#: Letters are from English sources and prose in four languages, a fifth of each chance spread over rarer pairs.
+SIGNS = UPPER + LOWER + DIGITS + "+/-_"
+CLASSES = {"": (0.55, 0.25, 0.10, 0.10), "a": (0.80, 0.05, 0.05, 0.10), "A": (0.27, 0.55, 0.06, 0.12), "0": (0.05, 0.05, 0.82, 0.08), "+": (0.62, 0.20, 0.13, 0.05)}
+PAIRS = """
+ggdddkhhcmkbd7ghmaa8cijkjm clgi6kkiecm5kgbjmefhcmmmbl cmijakl57nedjg8kmfhbglmmlm bgif4jle9mmfle9kneddemiljn bjebcfjgdmlag8fgk7abhjifjj ahihaeif8njekf6im8ebdklmkk 9gij5khdbnkdjbdjnd9ddjimlj 7ijj4kkeanlgkeakneechlimll fidgadhhhmlde59hlfa9jilkmj
+3mhk5llihnjjlhajnhhhbmmmln elih2kiicnmekegimgchhldmlm akjg5aliammakgcjmhdefmlm8m agki3kli8nmihgbcnhfggmmmln bhd88iafdmjfjeailfc8giimkl ggfdfbjiemkge5gfm7cc9jhllm 5lji97lhenmclg9fmbhcgklmgn ilkjfkliimnilfhkmfhh1mmmmn ahhh5jffbmjghbajmccbgjimhl
+djbi7ki9cklgifdgkfc6emjmhn bjii8jl58nmgjfbjmbeedljmgi eggi6gigenlbd8eek9cbjkkbml 7lkk4kli6nmjjgblnhihkmlmln 9lkhakl48nmhleclnbfhkmklmn 9k8j8ilibnmeehbbfch7kgmikl cfii8jkcbnmegbb8ne98jlemkl dhgi4kigbljfggejkgfe5jmmki aecc9ehfbjidfcaeicb8ghfjjj
+""".split()
+
+
+def _costs() -> list[float]:
+    """-ln of the chance of every sign after nothing and after every sign in natural text, in rows of SIGNS."""
+    kind = lambda s: "a" if s in LOWER else "A" if s in UPPER else "0" if s in DIGITS else "+"
+    rows = [[math.exp(-int(c, 36) / 4) for c in row] for row in PAIRS]
+    costs = []
+    for last in ("", *SIGNS):
+        row = rows[LOWER.index(last.lower()) if last.isalpha() else 26]
+        for s in SIGNS:
+            among = row[LOWER.index(s.lower())] / sum(row) if s.isalpha() else 1 / sum(kind(s) == kind(t) for t in SIGNS)
+            costs.append(-math.log(CLASSES[last and kind(last)]["aA0+".index(kind(s))] * among))
+    return costs
+
+
 #: Deviations from randomness, in standard deviations, that the battery allows; grid of evidence (-ln p).
 ALLOWED, STEP, STEPS = 3.3, 0.25, 400
 
@@ -52,8 +77,7 @@ def _spans(order: int, kind: str, found: str) -> str:
 
 def _pick(column: str, index: int) -> str:
     """SQL that picks an entry of ENCODINGS by the number e."""
-    values = [f"'{x[index]}'" if isinstance(x[index], str) else f"{x[index]}D" for x in ENCODINGS]
-    return f"element_at(array({', '.join(values)}), {column})"
+    return f"element_at(array({', '.join(repr(x[index]) for x in ENCODINGS)}), {column})"
 
 
 def _tested() -> str:
@@ -61,34 +85,37 @@ def _tested() -> str:
 
     The encoding is the first whose symbols cover the token; tokens without a
     digit or without a letter are words or numbers and are not tested.
+    Evidence is the log-likelihood ratio of random symbols of the encoding to
+    natural text, less ln of the number of encodings: natural text reaches
+    evidence x with a chance of at most exp(-x) (Markov's inequality).
     """
-    first = " ".join(f"WHEN m.x RLIKE '{p}' THEN {k}" for k, (p, _, _) in enumerate(ENCODINGS, 1))
+    first = " ".join(f"WHEN m.x RLIKE '{p}' THEN {k}" for k, (p, _) in enumerate(ENCODINGS, 1))
     tokens = f"filter({_found(TOKEN)}, m -> m.x RLIKE '[0-9]' AND m.x RLIKE '[A-Za-z]')"
     coded = f"filter(transform({tokens}, m -> named_struct('m', m, 'e', CASE {first} END)), c -> c.e IS NOT NULL)"
     # sums over symbols and over neighbours
     alphabet = _pick("c.e", 1)
+    costs = f"CAST(split('{','.join(f'{c:.4f}' for c in _costs())}', ',') AS array<double>)"
     counted = f"""transform({coded}, c -> named_struct(
-        'm', c.m, 'n', length(c.m.x), 'size', length({alphabet}), 'equal', {_pick("c.e", 2)},
+        'm', c.m, 'n', length(c.m.x), 'size', length({alphabet}),
         'squares', aggregate(sequence(1, length({alphabet})), 0D, (a, k) -> a + power(length(c.m.x) - length(replace(c.m.x, substr({alphabet}, k, 1), '')), 2)),
-        'classes', length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(c.m.x, '[0-9]+', '0'), '[A-Z]+', 'A'), '[a-z]+', 'a'), '[^0-9A-Za-z]+', '+')),
+        'natural', aggregate(transform(filter(split(c.m.x, ''), s -> s <> ''), s -> instr('{SIGNS}', s)), named_struct('last', 0, 'sum', 0D),
+            (a, v) -> named_struct('last', v, 'sum', a.sum + element_at({costs}, a.last * {len(SIGNS)} + v)), a -> a.sum),
         'halves', transform(filter(split(c.m.x, ''), s -> s <> ''), s -> instr({alphabet}, s) - 1)))"""
-    halved = f"""transform({counted}, c -> named_struct('m', c.m, 'n', c.n, 'size', c.size, 'equal', c.equal, 'squares', c.squares, 'classes', c.classes,
+    halved = f"""transform({counted}, c -> named_struct('m', c.m, 'n', c.n, 'size', c.size, 'squares', c.squares, 'natural', c.natural,
         'low', size(filter(c.halves, v -> 2 * v < c.size)),
         'walk', aggregate(c.halves, named_struct('last', -1, 'runs', 0, 'sum', 0D, 'square', 0D, 'cross', 0D), (a, v) -> named_struct(
             'last', v, 'runs', a.runs + CASE WHEN a.last < 0 OR (2 * v < c.size) <> (2 * a.last < c.size) THEN 1 ELSE 0 END,
             'sum', a.sum + v, 'square', a.square + CAST(v AS DOUBLE) * v, 'cross', a.cross + CASE WHEN a.last < 0 THEN 0D ELSE CAST(v AS DOUBLE) * a.last END))))"""
     scored = f"""transform({halved}, c -> named_struct('start', c.m.start, 'end', c.m.`end`, 'n', c.n,
-        'chi', c.size / CAST(c.n AS DOUBLE) * c.squares - c.n, 'df', c.size - 1, 'excess', c.size * c.equal - 1,
-        'turns', c.classes - 1,
+        'chi', c.size / CAST(c.n AS DOUBLE) * c.squares - c.n, 'df', c.size - 1,
+        'gain', c.natural - c.n * ln(CAST(c.size AS DOUBLE)),
         'runs', CASE WHEN c.low IN (0, c.n) THEN 99D ELSE abs(c.walk.runs - 1 - 2D * c.low * (c.n - c.low) / c.n)
             / sqrt(greatest(2D * c.low * (c.n - c.low) * (2D * c.low * (c.n - c.low) - c.n) / (CAST(c.n AS DOUBLE) * c.n * (c.n - 1)), 0.01D)) END,
         'serial', CASE WHEN c.walk.square * c.n <= c.walk.sum * c.walk.sum THEN 99D ELSE sqrt(CAST(c.n AS DOUBLE))
             * abs((c.walk.cross / (c.n - 1) - c.walk.sum * c.walk.sum / (CAST(c.n AS DOUBLE) * c.n)) / (c.walk.square / c.n - c.walk.sum * c.walk.sum / (CAST(c.n AS DOUBLE) * c.n))) END))"""
     limit = f"{ALLOWED}D"
     passes = f"(c.chi - c.df) / sqrt(2D * c.df) <= {limit} AND c.runs <= {limit} AND c.serial <= {limit}"
-    far = "greatest((c.n * c.excess + c.df - c.chi) / sqrt(2D * c.df + 4D * c.n * c.excess * (1 + c.excess)), 0D)"
-    turned = f"greatest((c.turns - (c.n - 1) * {TURNS}D) / sqrt((c.n - 1) * {TURNS * (1 - TURNS)}D), 0D)"
-    return f"transform({scored}, c -> named_struct('start', c.start, 'end', c.`end`, 'n', c.n, 'evidence', CASE WHEN {passes} THEN power(greatest({far}, {turned}), 2) / 2 - ln(2D) END))"
+    return f"transform({scored}, c -> named_struct('start', c.start, 'end', c.`end`, 'n', c.n, 'evidence', CASE WHEN {passes} THEN c.gain - ln({len(ENCODINGS)}D) END))"
 
 
 def _base(docs: DataFrame) -> DataFrame:
@@ -107,8 +134,8 @@ def false_discovery_limit(docs: DataFrame, rate: float = 0.01) -> tuple[float, f
     """The least weighted evidence that counts as random, and the mean length of all tested tokens.
 
     Every token that the battery tests is a hypothesis "natural text"; its
-    p-value bounds the chance of as little structure under it, and is divided
-    by the token's length over the mean length, since long tokens tell more.
+    p-value bounds the chance of as high a likelihood ratio under it, and is
+    divided by the token's length over the mean length, since long tokens tell more.
     The step-up rule of Benjamini and Hochberg then picks the lowest limit on
     a grid of -ln p at which expected false finds stay below ``rate``.  The
     tokens of all documents take part; counts by grid step are all that
@@ -121,8 +148,6 @@ def false_discovery_limit(docs: DataFrame, rate: float = 0.01) -> tuple[float, f
     total = sum(r["tokens"] for r in table)
     if not total:
         return float(STEPS), 1.0
-    import math
-
     mean = sum(r["chars"] for r in table) / total
     weighted = sorted(((r["step"] * STEP + math.log(max(r["chars"] / r["tokens"] / mean, 1e-9)), r["tokens"]) for r in table if r["step"] >= 0), reverse=True)
     best, seen = math.inf, 0
@@ -142,8 +167,8 @@ def scan(docs: DataFrame, rate: float = 0.01, spans_column: str = "spans") -> Da
     and hex, found by pattern, leftmost and non-overlapping for each kind,
     and random: tokens of 20 or more signs of an encoding whose symbols pass
     a chi-squared test of uniformity, a runs test and a serial-correlation
-    test, and whose evidence against natural text passes the corpus-wide
-    false-discovery limit.  A random token that overlaps a pattern's span is
+    test, and whose likelihood ratio against natural text passes the
+    corpus-wide false-discovery limit.  A random token that overlaps a pattern's span is
     not listed again.
 
     A null or empty text has no spans; repeated rows stay, each with its
