@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import pieces_of, trim
+from ._common import pieces_of, text_or_empty, trim
 from ._stats import COUNTS, counts_of, document_counts, features_of
 from .rules import sample
 
@@ -51,31 +50,43 @@ class View:
     slope: float = 1.0
     shift: float = 0.0
 
-    def design(self, numbers: np.ndarray, names: np.ndarray) -> np.ndarray:
-        parts = [np.ones((len(numbers), 1))]
-        for f, e in enumerate(self.edges):
-            parts.append(np.eye(len(e) + 1)[np.searchsorted(e, numbers[:, f], side="left")])
-        for f in range(names.shape[1]):
-            parts.append(np.eye(NAME_SLOTS)[names[:, f]])
-        return np.concatenate(parts, axis=1)
+    def cells(self, numbers: np.ndarray, names: np.ndarray) -> np.ndarray:
+        """The bin of every number and the slot of every name."""
+        bins = [np.searchsorted(e, numbers[:, f], side="left") for f, e in enumerate(self.edges)]
+        return np.stack([*bins, *names.T], axis=1).astype(np.uint8)
 
-    def logit(self, numbers: np.ndarray, names: np.ndarray) -> np.ndarray:
-        return self.slope * (self.design(numbers, names) @ self.beta) + self.shift
+    def places(self, cells: np.ndarray) -> np.ndarray:
+        """Columns of the design that are 1, besides the constant."""
+        widths = [*(len(e) + 1 for e in self.edges), *[NAME_SLOTS] * (cells.shape[1] - len(self.edges))]
+        return cells + np.cumsum([1, *widths[:-1]])
 
-    @classmethod
-    def fit(cls, numbers: np.ndarray, names: np.ndarray, y: np.ndarray, w: np.ndarray, held: tuple[np.ndarray, np.ndarray, np.ndarray], bins: int = 16) -> View:
-        edges = [np.unique(np.quantile(numbers[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(numbers.shape[1])]
-        view = cls(edges, np.zeros(0))
-        view.beta = _logistic(view.design(numbers, names), y, w, ridge=1.0)
-        z = view.design(held[0], held[1]) @ view.beta  # calibrated on rows that took no part in the fit
-        a = _logistic(np.stack([np.ones(len(z)), z], axis=1), held[2], np.ones(len(z)), ridge=0.05)
-        view.shift, view.slope = float(a[0]), float(a[1])
-        return view
+    def design(self, cells: np.ndarray) -> np.ndarray:
+        widths = [*(len(e) + 1 for e in self.edges), *[NAME_SLOTS] * (cells.shape[1] - len(self.edges))]
+        return np.concatenate([np.ones((len(cells), 1)), *(np.eye(w)[cells[:, f]] for f, w in enumerate(widths))], axis=1)
+
+    def raw(self, cells: np.ndarray) -> np.ndarray:
+        z = np.full(len(cells), self.beta[0])
+        for column in self.places(cells).T:  # sums of a row never depend on its neighbours
+            z += self.beta[column]
+        return z
+
+    def logit(self, cells: np.ndarray) -> np.ndarray:
+        return self.slope * self.raw(cells) + self.shift
+
+    def calibrated(self, cells: np.ndarray, y: np.ndarray) -> View:
+        """Calibrated on rows that took no part in the fit."""
+        z = self.raw(cells)
+        a = _logistic(np.stack([np.ones(len(z)), z], axis=1), y, np.ones(len(z)), ridge=0.05)
+        return View(self.edges, self.beta, float(a[1]), float(a[0]))
+
+
+def edges_of(numbers: np.ndarray, bins: int = 16) -> list[np.ndarray]:
+    return [np.unique(np.quantile(numbers[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(numbers.shape[1])]
 
 
 @dataclass
 class CoTrained:
-    """Both calibrated views and the share of good documents among the labelled ones."""
+    """Both calibrated views, the share of good documents among the labelled ones and the number of texts of the last exchange."""
 
     text: View
     meta: View
@@ -85,7 +96,7 @@ class CoTrained:
     def score(self, inputs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probabilities of good quality by the text view, by the metadata view and by both (views independent given quality)."""
         text, numbers, names = inputs
-        a, b = self.text.logit(text, names[:, :0]), self.meta.logit(numbers, names)
+        a, b = self.text.logit(self.text.cells(text, names[:, :0])), self.meta.logit(self.meta.cells(numbers, names))
         return _sigmoid(a), _sigmoid(b), _sigmoid(a + b - np.log(self.prior / (1 - self.prior)))
 
 
@@ -118,9 +129,59 @@ def _metadata(docs: DataFrame) -> list:
 
 
 def described(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Counts and metadata of every document with its label, or null; labels of one doc_id count once, the best of them."""
+    """Counts, metadata and text hash of every document with its label, or null; labels of one doc_id count once, the best of them."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return document_counts(docs, *_metadata(docs)).join(marks, "doc_id", "left")
+    return document_counts(docs, *_metadata(docs), F.xxhash64(text_or_empty()).alias("text_hash")).join(marks, "doc_id", "left")
+
+
+#: Places after the point, in bits, to which terms of sums over documents are rounded, so that their order is of no effect.
+FRACTION = 2.0**20
+#: Parts in which cells are kept; each part sends its sums to the driver.
+PARTS = 16
+
+
+def unlabelled_cells(table: DataFrame, text: View, meta: View) -> DataFrame:
+    """Cells of both views with the number of different unlabelled texts in them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                t, numbers, names = _inputs({c: batch.column(c).to_pylist() for c in (*COUNTS, "n_chars", *META_NAMES)})
+                cells = np.concatenate([text.cells(t, names[:, :0]), meta.cells(numbers, names)], axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("text_hash"), pa.array([r.tobytes() for r in cells], pa.binary())], ["text_hash", "cells"])
+
+    rows = table.where(F.col("quality").isNull()).mapInArrow(run, "text_hash long, cells binary")
+    texts = rows.groupBy("text_hash").agg(F.min("cells").alias("cells"))
+    return texts.groupBy("cells").agg(F.count("*").alias("n")).coalesce(PARTS).checkpoint()
+
+
+def exchanged_sums(cells: DataFrame, givers: dict[str, View], takers: dict[str, View], confidence: float) -> dict[tuple[str, int], tuple[int, np.ndarray, np.ndarray]]:
+    """For each taker and class, over all documents of which the other view is sure: their number, gradient and curvature of the log likelihood."""
+    cut = len(TEXT_VIEW)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int], list] = {}
+        for batch in batches:
+            both = np.frombuffer(b"".join(batch.column("cells").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            n = batch.column("n").to_numpy()
+            own = {"text": both[:, :cut], "meta": both[:, cut:]}
+            for giver, taker in (("text", "meta"), ("meta", "text")):
+                p = _sigmoid(givers[giver].logit(own[giver]))
+                for good in (0, 1):
+                    at = p >= confidence if good else p <= 1 - confidence
+                    x, q, m = takers[taker].design(own[taker][at]), _sigmoid(takers[taker].raw(own[taker][at])), n[at]
+                    new = [m.sum(), x.T @ (m * np.round((good - q) * FRACTION) / FRACTION), (x * (m * np.round(q * (1 - q) * FRACTION) / FRACTION)[:, None]).T @ x]
+                    sums[taker, good] = [a + b for a, b in zip(sums.get((taker, good), [0, 0.0, 0.0]), new, strict=True)]
+        if sums:
+            keys = list(sums)
+            columns = [[k[0] for k in keys], [k[1] for k in keys], [int(sums[k][0]) for k in keys], [sums[k][1].tobytes() for k in keys], [sums[k][2].tobytes() for k in keys]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["taker", "good", "n", "slope", "bend"])
+
+    total = {(v, g): (0, np.zeros(len(t.beta)), np.zeros((len(t.beta),) * 2)) for v, t in takers.items() for g in (0, 1)}
+    for r in cells.mapInArrow(run, "taker string, good int, n long, slope binary, bend binary").collect():  # at most 4 rows a part
+        n, slope, bend = total[r.taker, r.good]
+        total[r.taker, r.good] = (n + r.n, slope + np.frombuffer(r.slope), bend + np.frombuffer(r.bend).reshape(bend.shape))
+    return total
 
 
 def fit(table: DataFrame, most_labelled: int = 20_000, rounds: int = 3, exchange: int = 500, confidence: float = 0.95) -> CoTrained | None:
@@ -128,11 +189,13 @@ def fit(table: DataFrame, most_labelled: int = 20_000, rounds: int = 3, exchange
 
     A sample of about ``most_labelled`` labelled documents takes part, those
     with a low hash of doc_id; a fifth of them is held out for calibration.  In each
-    round both views score every unlabelled document, and each hands the
-    other its ``exchange`` surest documents of either class whose calibrated
-    probability reaches ``confidence``; these count half.
+    round both views score every unlabelled text, and each hands the other
+    all texts of either class whose calibrated probability reaches
+    ``confidence``.  Copies of a text count once.  A class that a view hands
+    over counts half a labelled document a text and round, and all its texts
+    together no more than ``exchange`` texts would, so that labels keep their
+    say however large the table is.  Only sums over texts leave the executors.
     """
-    order = F.xxhash64("doc_id", F.lit(1))
     got = sample(table.where(F.col("quality").isNotNull()), most_labelled).toPandas().sort_values(["doc_id", *COUNTS], kind="stable")
     y = got["quality"].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
@@ -143,36 +206,35 @@ def fit(table: DataFrame, most_labelled: int = 20_000, rounds: int = 3, exchange
         held = np.zeros(len(y), bool)
     check = held if held.any() else ~held
     prior = float(np.clip(y.mean(), 0.01, 0.99))
-    added: dict[str, list] = {"text": [], "meta": []}
-    model = None
-    for turn in range(rounds + 1):
-        views = {}
-        for view, x, z in (("text", text, names[:, :0]), ("meta", numbers, names)):
-            more = added[view]
-            views[view] = View.fit(
-                np.concatenate([x[~held], *(m[0] for m in more)]),
-                np.concatenate([z[~held], *(m[1] for m in more)]),
-                np.concatenate([y[~held], *(m[2] for m in more)]),
-                np.concatenate([np.ones((~held).sum()), *(np.full(len(m[2]), 0.5) for m in more)]),
-                (x[check], z[check], y[check]),
-            )
-        model = CoTrained(views["text"], views["meta"], prior, sum(len(m[2]) for ms in added.values() for m in ms))
-        if turn == rounds:
-            break
-        scored = apply(table.where(F.col("quality").isNull()), model)
-        sure = []
-        for giver in ("text", "meta"):
-            p = F.col(f"{giver}_score")
-            for good in (0, 1):
-                rank = [p.desc() if good else p.asc(), order]
-                sure.append(scored.where(p >= confidence if good else p <= 1 - confidence).orderBy(*rank).limit(exchange).withColumn("giver", F.lit(giver)).withColumn("said", F.lit(float(good))))
-        rows = reduce(DataFrame.unionByName, sure).toPandas()
-        for giver, taker in (("text", "meta"), ("meta", "text")):
-            part = rows[rows["giver"] == giver]
-            if len(part):
-                t, m, c = _inputs({k: part[k].tolist() for k in (*COUNTS, "n_chars", *META_NAMES)})
-                added[taker].append((t, c[:, :0], part["said"].to_numpy()) if taker == "text" else (m, c, part["said"].to_numpy()))
-    return model
+    views, own = {}, {}
+    for view, x, z in (("text", text, names[:, :0]), ("meta", numbers, names)):
+        blank = View(edges_of(x[~held]), np.zeros(0))
+        own[view] = blank.cells(x, z)
+        blank.beta = _logistic(blank.design(own[view][~held]), y[~held], np.ones((~held).sum()), ridge=1.0)
+        views[view] = blank.calibrated(own[view][check], y[check])
+    exchanged = 0
+    cells = unlabelled_cells(table, views["text"], views["meta"]) if rounds else None
+    for turn in range(1, rounds + 1):
+        takers = {v: View(m.edges, m.beta) for v, m in views.items()}
+        for _ in range(12):
+            sums = exchanged_sums(cells, views, takers, confidence)
+            largest = 0.0
+            for v, taker in takers.items():
+                x, q = taker.design(own[v][~held]), _sigmoid(taker.raw(own[v][~held]))
+                ridge = np.array([1e-6, *[1.0] * (len(taker.beta) - 1)])
+                slope, bend = x.T @ (y[~held] - q) - ridge * taker.beta, (x * np.maximum(q * (1 - q), 1e-9)[:, None]).T @ x + np.diag(ridge)
+                for good in (0, 1):
+                    n, more_slope, more_bend = sums[v, good]
+                    weight = 0.5 * turn * min(n, exchange) / max(n, 1)
+                    slope, bend = slope + weight * more_slope, bend + weight * more_bend
+                step = np.linalg.solve(bend, slope)
+                takers[v] = View(taker.edges, taker.beta + step)
+                largest = max(largest, float(np.abs(step).max()))
+            if largest < 1e-5:
+                break
+        exchanged = sum(n for n, _, _ in sums.values())
+        views = {v: t.calibrated(own[v][check], y[check]) for v, t in takers.items()}
+    return CoTrained(views["text"], views["meta"], prior, exchanged)
 
 
 SCORES = ("text_score", "meta_score", "quality_score")

@@ -67,6 +67,22 @@ def test_cotraining_rows(odd_docs, no_docs, labels):
     assert kept.columns == odd_docs.columns
 
 
+def test_all_confident_documents_are_exchanged(spark):
+    """Neither a bound nor copies of one text decide what the views learn from each other."""
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    marks = marks.where("doc_id % 2 = 0")
+    table = cotrain.described(docs, marks).localCheckpoint()
+    one = table.where("quality IS NULL").orderBy("doc_id").limit(1)
+    copies = one.crossJoin(spark.range(1000)).withColumn("doc_id", F.col("id") + 10**9).drop("id")
+    model, again = (cotrain.fit(t, rounds=1, exchange=5) for t in (table, table.unionByName(copies)))
+    first = cotrain.apply(table.where("quality IS NULL"), cotrain.fit(table, rounds=0))
+    sure = F.array(*(((F.col(f"{v}_score") >= 0.95) | (F.col(f"{v}_score") <= 0.05)).cast("int") for v in ("text", "meta")))
+    by_text = first.groupBy("text_hash").agg(*(F.sum(sure[v]).alias(f"n{v}") for v in (0, 1)), F.count("*").alias("rows"))
+    least, most = by_text.agg(*(F.sum(sum((F.col(f"n{v}") >= k).cast("int") for v in (0, 1))) for k in (F.col("rows"), F.lit(1)))).first()
+    assert 20 < least <= model.exchanged <= most  # copies may differ in metadata
+    assert again.exchanged == model.exchanged and np.array_equal(again.text.beta, model.text.beta) and np.array_equal(again.meta.beta, model.meta.beta)
+
+
 def test_quality_of_held_out_labels(spark):
     """Trained on half of the labels, both models find the others right."""
     docs, marks = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
