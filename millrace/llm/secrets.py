@@ -171,6 +171,9 @@ def scan(docs: DataFrame, rate: float = 0.01, spans_column: str = "spans") -> Da
     corpus-wide false-discovery limit.  A random token that overlaps a pattern's span is
     not listed again.
 
+    Tokens without a digit or without a letter are not tested, so that keys of
+    letters only or of digits only are never random.
+
     A null or empty text has no spans; repeated rows stay, each with its
     spans; an empty table gives an empty result.
     """
