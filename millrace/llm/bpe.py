@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -17,6 +18,8 @@ from ._merge import MergeTable
 
 #: Entries that a worker's memo of pre-tokens may hold before it is emptied.
 MEMO = 300_000
+
+
 class Vocabulary:
     """Tokens and ranks of a tiktoken rank file; ids are ranks."""
 
@@ -31,13 +34,17 @@ class Vocabulary:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+
+    @cached_property
+    def table(self) -> MergeTable:
+        """Every split of a token into two tokens; only encoding needs it."""
         pairs = {}
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
                     pairs[left, right] = (rank, rank)
-        self.table = MergeTable(pairs)
+        return MergeTable(pairs)
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece (none of them empty) as little-endian 32-bit integers."""
@@ -52,6 +59,12 @@ class Vocabulary:
         return self.bytes[np.repeat(self.starts[ids], lengths) + within], lengths
 
 
+@lru_cache(maxsize=4)
+def vocabulary(path: str) -> Vocabulary:
+    """This worker's vocabulary of a file; it outlives tasks."""
+    return Vocabulary(path)
+
+
 class Encoder:
     """Encodes texts match by match of a pattern; merged pre-tokens are remembered."""
 
@@ -90,7 +103,7 @@ _held: dict[tuple, Encoder] = {}
 def encoder(path: str, pattern: str) -> Encoder:
     """This worker's encoder; it outlives tasks, so that later ones find its memo filled."""
     if (path, pattern) not in _held:
-        _held[path, pattern] = Encoder(Vocabulary(path), pattern)
+        _held[path, pattern] = Encoder(vocabulary(path), pattern)
     return _held[path, pattern]
 
 
@@ -120,14 +133,14 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(path)
+        known = vocabulary(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
                 part = batch.slice(at, 250)
                 column = part.column("ids")
                 flat = column.flatten().to_numpy(zero_copy_only=False)
                 counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                data, lengths = vocabulary.decode(flat)
+                data, lengths = known.decode(flat)
                 sums = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
                 raw = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(sums.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists(flat, counts, pa.int32()), raw], ["doc_id", "ids", "data"])
