@@ -35,6 +35,8 @@ class ChunkEncoder:
     For such a tokenizer a text's ids are those of its chunks between white
     space, in order.  Known chunks are looked up.  New ones go through the
     file's own normalizer and pattern, and their pieces are merged together.
+    The strings of the file's added tokens are single ids, as the library has
+    them by default, and what lies between them is encoded by itself.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
@@ -53,6 +55,10 @@ class ChunkEncoder:
         self.normalize, self.cut = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
         self.byte = {c: b for b, c in enumerate(signs)}
         self.pattern = regex.compile(split["pattern"]["Regex"]).findall
+        if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
+            raise ValueError("added tokens that need normal text, borders or white space are not supported")
+        self.added = {t["content"]: t["id"].to_bytes(4, "little") for t in spec["added_tokens"]}
+        self.cut_added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or "(?!)")
         self.memo: dict[str, bytes] = {"": b""}
         self.merged: dict[bytes, bytes] = {}
         self.limit = memo
@@ -84,6 +90,21 @@ class ChunkEncoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
+        apart = {k: (self.cut_added.split(t), self.cut_added.findall(t)) for k, t in enumerate(texts) if self.cut_added.search(t)}
+        if not apart:
+            return self.plain(texts)
+        flat = [s for k, t in enumerate(texts) for s in (apart[k][0] if k in apart else [t])]
+        coded = iter(self.plain(flat))
+        out = []
+        for k in range(len(texts)):
+            ids = next(coded)
+            for mark in apart[k][1] if k in apart else ():
+                ids += self.added[mark] + next(coded)
+            out.append(ids)
+        return out
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        """The same for texts without added tokens."""
         # signs of old, common scripts are normal as they are, have the same classes in every Unicode version and lower-case one by one
         apart = [bool(WIDE.search(t)) for t in texts]
         lowered = (t if w else t.lower() for t, w in zip(texts, apart, strict=True))
@@ -167,32 +188,34 @@ def pieces(docs: DataFrame, path: str, end_id: int = 2, most: int = 4096, memo:
     return rows.mapInArrow(run, "doc_id long, piece_no int, start long, length long, ids binary, doc_tokens long")
 
 
-def place(pieces: DataFrame, most: int = 4096, buckets: int = 256) -> DataFrame:
-    """Adds sequence_id and offset to pieces, whatever else their rows carry.
+def place(pieces: DataFrame, most: int = 4096, buckets: int | None = None) -> DataFrame:
+    """Adds sequence_id and offset to pieces, whatever else their rows carry (but for columns of these names, which are replaced).
 
     Each piece is a sequence of its own of a power-of-two length, so nothing
     is padded and offset is 0.  Equal lengths share a bucket of sequence ids:
     ids of one length are congruent to it modulo the number of (length, hash
     bucket) groups, and rank within a group makes them unique.  Batches of
-    one length are thus consecutive ranks, and no task ranks a whole length.
+    one length are thus consecutive ranks.  Rows are dealt to buckets by their
+    number, so that repeated rows spread as well, and there are as many
+    buckets a length as shuffle partitions (256 at least), so that no task
+    ranks more than its share.
     """
     kinds = most.bit_length()
+    buckets = buckets or max(256, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    names = [n for n in pieces.columns if n not in ("sequence_id", "offset")]
     level = (F.lit(kinds - 1) - F.log2(F.col("length").cast("double")).cast("int")).cast("long")
-    group = level * buckets + F.pmod(F.xxhash64("doc_id", "start", F.lit(10)), F.lit(buckets))
-    order = Window.partitionBy("__group").orderBy("doc_id", "start")
-    return (
-        pieces.withColumn("__group", group)
-        .withColumn("sequence_id", ((F.row_number().over(order) - 1).cast("long") * (kinds * buckets) + F.col("__group")).cast("long"))
-        .withColumn("offset", F.lit(0).cast("long"))
-        .drop("__group")
-    )
+    rows = pieces.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("piece"), F.monotonically_increasing_id().alias("row"), level.alias("level"))
+    rows = rows.withColumn("bucket", F.col("level") * buckets + F.pmod(F.xxhash64("row", F.lit(10)), F.lit(buckets)))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("row")) - 1
+    return rows.select(F.col("piece.*"), (rank.cast("long") * (kinds * buckets) + F.col("bucket")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 2, most: int = 4096, buckets: int = 256, **encoding) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 2, most: int = 4096, buckets: int | None = None, **encoding) -> DataFrame:
     """Packs all documents: a row per piece with doc_id, piece_no, start, length, ids, doc_tokens, sequence_id, offset.
 
     Null texts count as empty (one piece with ``end_id``); repeated rows are
     packed each for itself; an empty table gives an empty result; a text of
-    any length is cut, never shortened.
+    any length is cut, never shortened; other columns of docs are not read,
+    whatever they are called.
     """
     return place(pieces(docs, path, end_id, most, **encoding), most, buckets)

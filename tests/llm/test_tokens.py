@@ -22,7 +22,6 @@ def library(path):
 
 REFERENCE, REFERENCE_PLAIN = library(MULTI), library(PLAIN)
 TOKENIZER = Tokenizer.from_file(WORDS)
-TOKENIZER.encode_special_tokens = True
 
 
 @settings(max_examples=150, deadline=None)
@@ -38,6 +37,26 @@ def test_long_pretokens():
         assert bpe.encoder(MULTI, P.PATTERN)([text])[0].tolist() == REFERENCE.encode_ordinary(text)
 
 
+def test_dense_pretokens_in_linear_time():
+    """Word-like and periodic strings, where merges enable others of lower rank."""
+    import time
+
+    rng = random.Random(4)
+    code = bpe.encoder(MULTI, P.PATTERN)
+    words = ["the", "ing", "tion", "and", "er", "abc", "x", "qu", "st", "é"]
+    text = "".join(rng.choice(words) for _ in range(20_000))
+    for t in (text, "abcabd" * 10_000, "the" * 20_000, "ing" * 8_000 + "tion" * 3_000):
+        assert code([t])[0].tolist() == REFERENCE.encode_ordinary(t)
+    for t in (text * 4, "abcabd" * 40_000):
+        took = []
+        for part in (t[: len(t) // 4], t):
+            code.memo.clear()
+            began = time.process_time()
+            code([part])
+            took.append(time.process_time() - began)
+        assert took[1] < 10 * took[0] + 0.5  # quadratic time would be 16 times as much, of seconds
+
+
 def test_rank_queue_order():
     from millrace.llm._merge import RankQueue
 
@@ -67,12 +86,26 @@ def test_chunk_encoder_equals_library(text):
     assert np.frombuffer(got[0], "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
+def test_special_strings_are_single_ids():
+    texts = ["one <|startoftext|> two", "<|endoftext|>", "a<|endoftext|>b<|startoftext|><|startoftext|>c", "<|ENDOFTEXT|> <|endoftext", "ΑΣ<|endoftext|>Σ \u0301<|startoftext|>\u0301 e", "plain"]
+    got = packing.encoder(WORDS)(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [TOKENIZER.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 49406 in np.frombuffer(got[0], "<u4") and got[1] == np.array([49407], "<u4").tobytes()
+
+
 def test_binary_lengths():
     for n in (1, 2, 7, 4095, 4096, 4097, 8192, 20_001):
         got = packing.binary_lengths(n, 4096)
         assert sum(got) == n and all(x & (x - 1) == 0 and x <= 4096 for x in got) and got == sorted(got, reverse=True)
 
 
+def starts(n, most):
+    at = 0
+    for length in packing.binary_lengths(n, most):
+        yield at, length
+        at += length
+
+
 def test_packing_covers_every_id(odd_docs, no_docs):
     rows = packing.pack(odd_docs, WORDS, 2, 512).collect()
     assert len({r.sequence_id for r in rows}) == len(rows) and all(r.offset == 0 and r.length == len(r.ids) // 4 for r in rows)
@@ -84,9 +117,9 @@ def test_packing_covers_every_id(odd_docs, no_docs):
         ids = TOKENIZER.encode(d.text or "", add_special_tokens=False).ids + [2]
         texts.setdefault((d.doc_id, len(ids)), []).append(np.array(ids, "<u4").tobytes())
     for key, pieces in made.items():
-        copies = len(texts[key])
-        assert b"".join(bytes(p.ids) for p in pieces[::copies]) == texts[key][0] or copies > 1
-        assert sum(p.length for p in pieces) == copies * key[1]
+        # repeated rows give each piece as often as they repeat; texts of one doc_id and length may differ, and then each has its own pieces
+        want = sorted((at, ids[4 * at : 4 * (at + n)]) for ids in texts[key] for at, n in starts(len(ids) // 4, 512))
+        assert sorted((p.start, bytes(p.ids)) for p in pieces) == want
     assert set(made) == set(texts)
     assert packing.pack(no_docs, WORDS).count() == 0
 
