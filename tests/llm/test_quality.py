@@ -1,7 +1,9 @@
 import hashlib
 import re
 import string
+import math
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -173,6 +175,26 @@ def test_top_k(spark, k, rows):
     assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("size", [600.0, 1e6, 1e8, 1e12, 1e300])
+def test_top_k_of_large_vectors(spark, size):
+    rng = random.Random(int(min(size, 1e12)))
+    data = [(i, [rng.uniform(-size, size) for _ in range(3)] if i % 3 else [rng.gauss(0, 1), -size, 0.0]) for i in range(50)] + [(100, [1.7e308 * (size > 1e200)] * 3)]
+    whole = {i: [math.floor(min(max(64 * x, -sys.float_info.max), sys.float_info.max)) for x in v] for i, v in data}
+    want = set()
+    for q in (i for i in whole if i % 20 == 0):
+        score = lambda c: min(max(sum(a * b for a, b in zip(whole[q], whole[c], strict=True)), -(2**63)), 2**63 - 1)  # noqa: B023, E731
+        want |= {(q, n, c, -s) for n, (s, c) in enumerate(sorted((-score(c), c) for c in whole if c != q)[:5], 1)}
+    got = topk.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0, k=5).collect()
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want and len(got) == len(want)
+
+
+def test_top_k_groups_of_blocks():
+    assert topk.grid(1, 1, 32) == (1, 1)
+    for queries, candidates, tasks in ((5, 100, 4000), (500, 10_000, 4000), (3, 7, 8)):
+        a, b = topk.grid(queries, candidates, tasks)
+        assert a <= queries and b <= candidates and a * b >= min(tasks, queries * candidates) / 2
+
+
 def test_top_k_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(df, F.col("id") % 20 == 0).count() == 0
