@@ -23,9 +23,14 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Session settings under which long texts cross to Python in bounded batches."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    if spark.sparkContext.getCheckpointDir() is None:
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or f"/tmp/millrace-checkpoints-{os.getpid()}")
+        if not shared:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+            shared = f"/tmp/millrace-checkpoints-{os.getpid()}"
+        context.setCheckpointDir(shared)
     return spark
 
 
@@ -37,6 +42,14 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, or a longer one if a column has it (names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def pieces_of(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds at most about ``limit`` bytes of ``column``, and one row at least."""
     if batch.num_rows == 0:

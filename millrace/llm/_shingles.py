@@ -21,6 +21,12 @@ class _Memo(dict):
 _memo = _Memo()
 
 
+def forget() -> None:
+    """Empty this worker's memo: workers outlive their tasks, and other operators need the memory."""
+    global _memo
+    _memo = _Memo()
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijection of 64-bit integers that scatters them, another one for every seed."""
     with np.errstate(over="ignore"):

@@ -8,12 +8,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import lists, pieces_of, text_or_empty, trim
 from ._links import components
-from ._shingles import mix, shingle_sets, shingles
+from ._shingles import forget, mix, shingle_sets, shingles
 
 #: Seeds of the orders that lead to the first candidates, and of those that a pair's prefixes must also share tokens under.
 STAR_SEEDS, FILTER_SEEDS = (11, 12, 13, 14), (21, 22)
@@ -50,6 +51,7 @@ def count_sketch(docs: DataFrame, k: int, bits: int) -> np.ndarray:
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([zlib.compress(part.astype("<i8").tobytes(), 1)], pa.binary())], ["s", "data"])
         del total
+        forget()
         trim()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,15 +71,14 @@ def count_sketch(docs: DataFrame, k: int, bits: int) -> np.ndarray:
     return table
 
 
-def signatures(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataFrame:
+def signatures(docs: DataFrame, k: int, percent: int, shared: Broadcast) -> DataFrame:
     """doc_id, n, set_hash, rare, tops and prefix of every document.
 
     prefix: the tokens of the set that come first by corpus count (then by
     value), as many as a linked set must share one of.  tops: the first token
     under each of the star orders.  rare: how many tokens are in the lower
-    half of the counts that this set has.
+    half of the counts that this set has.  shared: the table of count_sketch().
     """
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -108,6 +109,7 @@ def signatures(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Dat
                     [batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(hashes, pa.binary()), pa.array(rare), lists(tops.ravel(), np.full(len(n), len(STAR_SEEDS)), pa.int64()), lists(prefix, take, pa.int64())],
                     ["doc_id", "n", "set_hash", "rare", "tops", "prefix"],
                 )
+        forget()
         trim()
 
     return _texts(docs).mapInArrow(run, "doc_id long, n long, set_hash binary, rare long, tops array<long>, prefix array<long>")
@@ -127,6 +129,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 grams, n = shingle_sets(batch.column("text").to_pylist(), k)
                 raw, ends = grams.astype("<u8").tobytes(), (8 * np.cumsum(n)).tolist()
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())], ["id", "shingles"])
+        forget()
         trim()
 
     chosen = _texts(docs).join(_near(ids.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi")
@@ -204,8 +207,9 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: in
     """
     total = docs.count()
     bits = sketch_bits or int(np.clip(int(16 * max(total, 1)).bit_length(), 16, 24))
-    sketch = count_sketch(docs, k, bits)
+    sketch = docs.sparkSession.sparkContext.broadcast(count_sketch(docs, k, bits))
     signed = signatures(docs, k, percent, sketch).checkpoint()
+    sketch.unpersist()
     worded = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     # only sets that several rows have need a join, and their list is small or, if not, stored apart so that hot sets can be split
     shared = worded.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").select("set_hash", "rep").checkpoint()

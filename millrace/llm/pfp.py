@@ -21,9 +21,7 @@ MARK = 128
 #: Bytes of text whose phrases are compared in a task at once, and those that are parsed at once, for each of which
 #: parsing takes about 150 bytes.
 PART, STRETCH = 2 << 20, 1 << 18
-#: Windows of a suffix array that are sorted at once.
-RANGE = 100_000
-PHRASE = np.dtype([("key", "u1", 5), ("ident", "u1", 6), ("doc", "<u2"), ("pos", "<u4"), ("n", "u1")])
+PHRASE = np.dtype([("key", "u1", 5), ("ident", "<u8"), ("doc", "<u2"), ("pos", "<u4"), ("n", "u1")])
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -34,7 +32,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def _near(df: DataFrame, width: Column | None = None) -> DataFrame:
     """df, to be sent to every executor if it has few rows and, by the bytes that ``width`` gives a row, is small; else Spark joins it by shuffling."""
-    facts = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(width if width is not None else F.lit(16)), F.lit(0)).alias("bytes")).first()
+    facts = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(width if width is not None else F.lit(32)), F.lit(0)).alias("bytes")).first()
     return F.broadcast(df) if facts["rows"] <= SMALL and facts["bytes"] <= SMALL_BYTES else df
 
 
@@ -153,17 +151,16 @@ def _parse(window: int, parts: int):
                     continue
                 ids, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tag"))
                 rank = np.unique(ids, return_inverse=True)[1]
-                short = ident >> np.uint64(16)
-                order = np.lexsort((rank[doc], short, key))
-                doc, first, n, key, short = (x[order] for x in (doc, first, n, key, short))
-                same = _groups(key, short)
+                order = np.lexsort((rank[doc], ident, key))
+                doc, first, n, key, ident = (x[order] for x in (doc, first, n, key, ident))
+                same = _groups(key, ident)
                 least = rank[doc[same]][np.cumsum(same) - 1]
                 known = rank[doc] > least
                 if known.any():
                     yield _by_doc("known", doc[known], ids, tags, first[known], n[known])
-                doc, first, n, key, short = (x[~known] for x in (doc, first, n, key, short))
+                doc, first, n, key, ident = (x[~known] for x in (doc, first, n, key, ident))
                 begins = _groups(key)
-                kinds = np.cumsum(_groups(key, short))
+                kinds = np.cumsum(_groups(key, ident))
                 ordinal = kinds - kinds[begins][np.cumsum(begins) - 1]
                 last = np.concatenate([np.flatnonzero(begins)[1:], [len(key)]]) - 1
                 many = (ordinal[last] >= SENT)[np.cumsum(begins) - 1]
@@ -173,7 +170,7 @@ def _parse(window: int, parts: int):
                 sent = np.zeros(int((~over).sum()), PHRASE)
                 kept = ~over
                 sent["key"] = (key[kept] >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                sent["ident"] = short[kept].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                sent["ident"] = ident[kept]
                 by_id = np.argsort(ids, kind="stable")  # documents in order of id, so that ids pack well
                 place = np.empty(len(ids), np.int64)
                 place[by_id] = np.arange(len(ids))
@@ -197,7 +194,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     entries, doc, ids, tags = _unpacked(blobs, PHRASE)
     blobs.clear()
-    key, ident, pos, many = _number(entries["key"]), _number(entries["ident"]), entries["pos"].copy(), entries["n"].copy()
+    key, ident, pos, many = _number(entries["key"]), entries["ident"].copy(), entries["pos"].copy(), entries["n"].copy()
     del entries
     order = np.lexsort((ids[doc], ident, key))
     doc, key, ident, pos, many = doc[order], key[order], ident[order], pos[order], many[order]
@@ -311,55 +308,99 @@ def _resolve_windows(data, starts, ids, tags, d, pos, window, parts) -> Iterator
     yield from _packed("window", (a[~known] % np.uint64(parts)).astype(np.int64), entries, ids, tags)
 
 
-def _sort(window: int):
-    """Suffix arrays of each part's dictionary, to the depth of a window: equal neighbours are one window, and its smallest document keeps it."""
+def _suffix_ranks(data: np.ndarray, window: int) -> np.ndarray:
+    """The rank of the suffix at each byte among all suffixes, by its first ``window`` bytes: equal ranks, equal windows.
 
-    def resolved(columns: list[np.ndarray], doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, tags: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((ids[doc], *columns[::-1]))
-        same = _groups(*(c[order] for c in columns))
-        doc, pos = doc[order], pos[order]
-        own = ids[doc]
-        known = own > own[same][np.cumsum(same) - 1]
-        if known.any():
-            yield _by_doc("known", doc[known], ids, tags, pos[known], np.ones(int(known.sum()), np.int64))
+    Prefix doubling: two ranks at half the depth make one, the last two
+    overlapping.  Near the end of the data ranks have no meaning.
+    """
+    depth = min(8, window)
+    lead = np.zeros((len(data), 8), np.uint8)
+    for k in range(depth):
+        lead[: len(data) - k, k] = data[k:]
+    rank = lead.view(">u8")[:, 0].astype(np.uint64)
+    del lead
+    while True:
+        rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
+        if depth == window:
+            return rank
+        step = min(depth, window - depth)
+        both = rank << np.uint64(32)
+        both[: len(rank) - step] |= rank[step:]
+        rank, depth = both, depth + step
+
+
+def _merged(texts: list[bytes], window: int) -> Iterator[pa.RecordBatch]:
+    """The dictionary of a part in the order of its suffixes, and the parse merged into it: who holds each window first.
+
+    Equal phrases are one entry of the dictionary, with its occurrences in
+    the parse.  Suffixes of entries whose first ``window`` bytes are equal
+    are a run of the suffix array; the occurrences of their entries are the
+    run's places in the corpus, of which those in the smallest document keep
+    their bytes.
+    """
+    heads, bodies = [], []
+    for blob in texts:
+        size, n = int(np.frombuffer(blob, "<i8", 1)[0]), int(np.frombuffer(blob, "<i8", 1, 8)[0])
+        heads.append(np.frombuffer(zlib.decompress(blob[16 : 8 + size]), "<i8").reshape(4, n))
+        bodies.append(blob[8 + size :])
+    ids, tags, first, n = np.concatenate(heads, axis=1)
+    raw = b"".join(bodies)
+    ends = np.cumsum(n + window - 1).tolist()
+    del texts, heads, bodies
+    entries: dict[bytes, int] = {}
+    entry = np.array([entries.setdefault(raw[a:b], len(entries)) for a, b in zip([0, *ends[:-1]], ends, strict=True)], np.int64)
+    del raw
+    data = np.frombuffer(b"".join(entries), np.uint8)
+    sizes = np.fromiter(map(len, entries), np.int64, len(entries))
+    del entries
+    # where each window of the dictionary begins, and the run of the suffix array that it is in
+    which, at = _windows(np.cumsum(sizes) - sizes, sizes - window + 1)
+    run = np.unique(_suffix_ranks(data, window)[at], return_inverse=True)[1]
+    del at, data
+    # the smallest document of each entry, then of each run
+    least = np.full(len(sizes), np.iinfo(np.int64).max)
+    np.minimum.at(least, entry, ids)
+    holder = np.full(int(run.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(holder, run, least[which])
+    holder = holder[run]
+    begin = np.cumsum(sizes - window + 1) - (sizes - window + 1)
+    # documents by id and tag, so that stretches of one document come together again
+    uniq, back = np.unique(np.stack([ids, tags], axis=1), axis=0, return_inverse=True)
+    back = back.ravel()
+    shared = np.flatnonzero(ids > np.minimum.reduceat(holder, begin)[entry])  # occurrences with a window that a smaller document holds
+    for a in range(0, len(shared), 50_000):
+        mine = shared[a : a + 50_000]
+        occurrence, place = _windows(begin[entry[mine]], n[mine])
+        known = ids[mine][occurrence] > holder[place]
+        occurrence, place = mine[occurrence[known]], place[known]
+        pos = place - begin[entry[occurrence]] + first[occurrence]
+        yield _by_doc("known", back[occurrence], uniq[:, 0], uniq[:, 1], pos, np.ones(len(pos), np.int64))
+
+
+def _sort(window: int):
+    """The suffix array of each part's dictionary, to the depth of a window, merged with the parse; windows of hot triggers by their digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, blobs = [], []
         for batch in batches:
-            for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                if kind == "texts":
-                    texts.append(data)
-                elif kind == "window":
-                    blobs.append(data)
-            rest = batch.filter(pa.array([k == "known" for k in batch.column("kind").to_pylist()], pa.bool_()))
+            kinds = batch.column("kind").to_pylist()
+            for kind, data in zip(kinds, batch.column("data"), strict=True):
+                if kind != "known":
+                    (texts if kind == "texts" else blobs).append(data.as_py())
+            rest = batch.filter(pa.array([k == "known" for k in kinds], pa.bool_()))
             if rest.num_rows:
                 yield rest
         if texts:
-            heads, bodies = [], []
-            for blob in texts:
-                size, n = int(np.frombuffer(blob, "<i8", 1)[0]), int(np.frombuffer(blob, "<i8", 1, 8)[0])
-                heads.append(np.frombuffer(zlib.decompress(blob[16 : 8 + size]), "<i8").reshape(4, n))
-                bodies.append(blob[8 + size :])
-            ids, tags, first, n = np.concatenate(heads, axis=1)
-            data = np.frombuffer(b"".join(bodies), np.uint8)
-            begin = np.cumsum(n + window - 1) - (n + window - 1)
-            which, pos = _windows(first, n)
-            # documents by id and tag, so that stretches of one document come together again
-            uniq, back = np.unique(np.stack([ids, tags], axis=1), axis=0, return_inverse=True)
-            doc, at = back.ravel()[which], begin[which] + pos - first[which]
-            del texts, heads, bodies, which
-            # the suffix array range by range: equal windows begin with the same eight bytes
-            lead = _words(data, at, 8)[:, 0]
-            cuts = np.unique(np.quantile(lead, np.linspace(0, 1, len(lead) // RANGE + 2)[1:-1], method="lower"))
-            span = np.searchsorted(cuts, lead, side="right")
-            for k in range(len(cuts) + 1):
-                mine = np.flatnonzero(span == k)
-                if len(mine):
-                    words = _words(data, at[mine], window)
-                    yield from resolved([words[:, c] for c in range(words.shape[1])], doc[mine], pos[mine], uniq[:, 0], uniq[:, 1])
+            yield from _merged(texts, window)
         if blobs:
             entries, doc, ids, tags = _unpacked(blobs, WINDOW)
-            yield from resolved([entries["a"], entries["b"]], doc, entries["pos"].astype(np.int64), ids, tags)
+            order = np.lexsort((ids[doc], entries["b"], entries["a"]))
+            same = _groups(entries["a"][order], entries["b"][order])
+            doc, pos = doc[order], entries["pos"][order].astype(np.int64)
+            known = ids[doc] > ids[doc][same][np.cumsum(same) - 1]
+            if known.any():
+                yield _by_doc("known", doc[known], ids, tags, pos[known], np.ones(int(known.sum()), np.int64))
         trim()
 
     return run
@@ -382,18 +423,20 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
        are known to repeat; a trigger that only one document or one phrase
        has is done.
     3. The texts of the phrases that share a trigger with different phrases
-       are dealt out by trigger once more and sorted into suffix arrays, whose
-       order matters to the depth of a window only.  Windows that are equal
-       neighbours repeat.  Triggers with very many phrases are hot: their
-       windows are dealt out by digest instead, one of each from a batch.
+       are dealt out by trigger once more.  A part's distinct phrases are
+       sorted into a suffix array, whose order matters to the depth of a
+       window only, and the occurrences of its phrases in the parse are
+       merged into it, smallest document first (see _merged()).  Triggers
+       with very many phrases are hot: their windows are dealt out by digest
+       instead, one of each from a batch.
     4. The parse turns known phrases and windows back into spans.
 
-    Phrases are told apart by 88 bits of hashes, hot windows by 128.
+    Phrases are told apart by 104 bits of hashes, hot windows by 128.
     """
     rows = _rows(docs)
-    hashed = rows.select("doc_id", "tag", F.md5(F.col("text").cast("binary")).alias("same"), F.octet_length("text").cast("long").alias("size"))
+    hashed = rows.select("doc_id", "tag", F.unhex(F.md5(F.col("text").cast("binary"))).alias("same"), F.octet_length("text").cast("long").alias("size")).checkpoint()
     firsts = hashed.groupBy("same").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("same", "first").checkpoint()
-    copies = hashed.join(_near(firsts), "same").where("doc_id > first").select("doc_id", "tag", "size").checkpoint()
+    copies = hashed.join(_near(firsts, F.lit(64)), "same").where("doc_id > first").select("doc_id", "tag", "size").checkpoint()
     spark = docs.sparkSession
     total = hashed.agg(F.sum("size")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 << 20)))
@@ -403,7 +446,7 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     met = dealt.repartition(parts, "part").mapInArrow(_meet, _FIELDS).checkpoint()
 
     still = met.where("kind = 'open'").groupBy("doc_id", "tag").agg(F.collect_list("data").alias("open")).checkpoint()
-    opened = own.join(_near(still, F.aggregate("open", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x))), ["doc_id", "tag"]).select("doc_id", "tag", "text", "open").mapInArrow(_open(window, parts), _FIELDS)
+    opened = own.join(_near(still, 64 + F.aggregate("open", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x))), ["doc_id", "tag"]).select("doc_id", "tag", "text", "open").mapInArrow(_open(window, parts), _FIELDS)
     opened = opened.withColumn("part", F.when(F.col("kind") != "known", F.col("part")).otherwise(F.xxhash64("doc_id")))
     sorted_ = opened.repartition(parts, "part").mapInArrow(_sort(window), _FIELDS)
 
@@ -429,23 +472,47 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     return found.union(all_)
 
 
-def without_repeats(docs: DataFrame, window: int = 50, spans_column: str = "spans", kept_column: str = "kept") -> DataFrame:
+def _whole_characters(text: Column, spans: Column) -> Column:
+    """Spans widened to the borders of the characters that they cut; those that then touch stay apart, which does no harm."""
+
+    def inside(at: Column) -> Column:  # the byte at this place continues a character
+        byte = F.substring(text, (at + 1).cast("int"), F.lit(1))
+        return (byte >= F.unhex(F.lit("80"))) & (byte < F.unhex(F.lit("C0")))
+
+    def back(at: Column) -> Column:
+        return F.when(~inside(at), at).when(~inside(at - 1), at - 1).when(~inside(at - 2), at - 2).otherwise(at - 3)
+
+    def on(at: Column) -> Column:
+        return F.when(~inside(at), at).when(~inside(at + 1), at + 1).when(~inside(at + 2), at + 2).otherwise(at + 3)
+
+    return F.transform(spans, lambda s: F.struct(back(s["start"]).alias("start"), on(s["end"]).alias("end")))
+
+
+def without_repeats(docs: DataFrame, window: int = 50, spans_column: str = "spans", kept_column: str = "kept", whole_characters: bool = False) -> DataFrame:
     """The documents, with all their columns, and spans and kept (binary, the bytes outside the spans).
 
-    Columns of docs that have the names of these two are replaced.
+    Columns of docs that have the names of these two are replaced.  With
+    ``whole_characters`` a character that a span cuts in part is left out of
+    kept as a whole, so that kept is UTF-8 whenever the text is.
 
     A null text counts as empty; a row with null doc_id stays whole and is
     not compared; equal rows are one document; rows of one doc_id with
     different texts are never compared with each other; matches never cross
-    documents; an empty table gives an empty result.
+    documents; a text of any length is compared whole, and it must fit in a
+    worker; an empty table gives an empty result.
     """
     spans = repeated_spans(docs, window).checkpoint()
     names = [n for n in docs.columns if n not in (spans_column, kept_column)]
     body = docs.select(*(F.col(f"`{n}`").alias(f"c{k}") for k, n in enumerate(names)), F.col("doc_id").cast("long").alias("doc_id"), F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("tag"))
-    joined = body.join(_near(spans, F.size("spans") * 16), ["doc_id", "tag"], "left").drop("doc_id", "tag")
+    joined = body.join(_near(spans, 64 + F.size("spans") * 32), ["doc_id", "tag"], "left").drop("doc_id", "tag")
     text = F.coalesce(F.col(f"c{names.index('text')}").cast("string"), F.lit("")).cast("binary")
-    # what lies between the spans, from the end of each (and from the start) to the next
-    stops = F.concat(F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))), F.coalesce("spans", F.expr("array()").cast("array<struct<start:long,end:long>>")))
-    between = F.zip_with(stops, F.slice(F.concat(stops, F.array(F.struct(F.lit(1 << 40).alias("start"), F.lit(1 << 40).alias("end")))), F.lit(2), F.size(stops)), lambda a, b: F.substring(text, (a["end"] + 1).cast("int"), (F.least(b["start"], F.octet_length(text).cast("long")) - a["end"]).cast("int")))
-    kept = F.aggregate(between, F.expr("cast('' as binary)"), lambda held, x: F.concat(held, x))
-    return joined.select(*(F.col(f"c{k}").alias(n) for k, n in enumerate(names)), F.coalesce("spans", F.expr("array()").cast("array<struct<start:long,end:long>>")).alias(spans_column), F.when(F.col("spans").isNull(), text).otherwise(kept).alias(kept_column))
+    cuts = _whole_characters(text, F.col("spans")) if whole_characters else F.col("spans")
+    # what lies between the spans, from the end of each (and from the start) to the next; joined as strings, whose bytes nothing checks
+    zero, far = (F.struct(F.lit(x).cast("long").alias("start"), F.lit(x).cast("long").alias("end")) for x in (0, 1 << 40))
+    between = F.zip_with(F.concat(F.array(zero), cuts), F.concat(cuts, F.array(far)), lambda a, b: F.struct(a["end"].alias("from"), F.least(b["start"], F.octet_length(text).cast("long")).alias("to")))
+    kept = F.array_join(F.transform(between, lambda x: F.substring(text, (x["from"] + 1).cast("int"), F.greatest(x["to"] - x["from"], F.lit(0)).cast("int")).cast("string")), "").cast("binary")
+    return joined.select(
+        *(F.col(f"c{k}").alias(n) for k, n in enumerate(names)),
+        F.coalesce("spans", F.expr("array()").cast("array<struct<start:long,end:long>>")).alias(spans_column),
+        F.when(F.col("spans").isNull(), text).otherwise(kept).alias(kept_column),
+    )
