@@ -1,16 +1,24 @@
 """A corpus pipeline over documents: judge quality, drop near copies, cut repeats, mask secrets, pack.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
-last keep the columns of documents.
+last keep the columns of documents, whatever others are there.  In every
+stage a null text counts as empty and stays null, rows with a null doc_id are
+compared with nothing, rows that repeat are one document to the stages that
+look for copies and are packed each for itself, a text of any length is taken
+whole, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import cotrain, jaccard, packing, pfp, secrets
-from millrace.llm._common import prepare, read
+from millrace.llm._common import fresh, prepare, read
+
+
+def _names(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{n}`") for n in docs.columns]
 
 
 def _with_text(docs: DataFrame, text) -> DataFrame:
@@ -35,19 +43,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that repeat 50-byte strings of smaller documents.
 
-    What is left of a character whose bytes were cut in part goes as well, and
-    so do documents of which nothing is left.
+    A character of which bytes were cut goes as a whole, and so do documents
+    of which nothing but white space is left.
     """
     prepare(spark)
-    cut = pfp.without_repeats(docs, window=50, spans_column="__spans", kept_column="__kept")
-    text = F.regexp_replace(F.make_valid_utf8(F.col("__kept").cast("string")), "�", "")
-    emptied = (F.size("__spans") > 0) & (F.length(F.trim(text)) == 0)
-    return _with_text(cut.where(~emptied), F.when(F.size("__spans") > 0, text).otherwise(F.col("text"))).select(docs.columns)
+    spans, kept = fresh("spans", docs.columns), fresh("kept", docs.columns)
+    cut = pfp.without_repeats(docs, window=50, spans_column=spans, kept_column=kept, whole_characters=True)
+    touched, text = F.size(spans) > 0, F.col(kept).cast("string")
+    left = cut.where(~(touched & (F.length(F.trim(text)) == 0)))
+    return _with_text(left, F.when(touched, text).otherwise(F.col("text"))).select(_names(docs))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with secrets replaced by a mark."""
-    return _with_text(secrets.redact(docs), F.col("text")).select(docs.columns)
+    prepare(spark)
+    return _with_text(secrets.redact(docs), F.col("text")).select(_names(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
