@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import fresh
+
 #: Kinds in the order in which they are listed.  A match is dropped if its token is shorter than the least length.
 ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -52,23 +54,36 @@ def _costs() -> list[float]:
     return costs
 
 
-#: Deviations from randomness, in standard deviations, that the battery allows; grid of evidence (-ln p).
-ALLOWED, STEP, STEPS = 3.3, 0.25, 400
+#: Grids of evidence (-ln p) that a token is random, and that it isn't.
+STEP, STEPS = 0.25, 400
+DOUBT_STEP, DOUBT_STEPS = 0.5, 40
+
+
+def _bound(value: str, name: str, body: str) -> str:
+    """SQL for body with name standing for value, which is computed once however often the body needs it."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _scan(numbers: str, step: str) -> str:
+    """SQL for running results over an array by doubling distances: v stands for an entry, w for one before it.
+
+    An array that grew entry by entry would be copied as often.
+    """
+    distances = "transform(sequence(0, CAST(ceil(log2(size(zs.x) + 1)) AS INT)), e -> CAST(power(2, e) AS INT))"
+    merged = step.replace("w", "za[i - zk]")
+    return _bound(f"named_struct('x', {numbers})", "zs", f"aggregate({distances}, zs.x, (za, zk) -> CASE WHEN zk < size(za) THEN transform(za, (v, i) -> CASE WHEN i >= zk THEN {merged} ELSE v END) ELSE za END)")
 
 
 def _found(pattern: str, group: int = 0) -> str:
     """SQL for all matches in t, in order: array of (start, end, x), x the group's text.
 
-    split() and regexp_extract_all() walk the same matches, so the lengths of
-    what lies between them and of themselves give every place.
+    split() and regexp_extract_all() walk the same matches, so running sums of
+    the lengths of what lies between them and of themselves give every place.
     """
-    kind = "array<struct<start:int,`end`:int,x:string>>"
-    return rf"""CASE WHEN t RLIKE r'{pattern}' THEN aggregate(
-        arrays_zip(transform(split(t, r'{pattern}', -1), g -> length(g)), transform(regexp_extract_all(t, r'{pattern}', 0), m -> length(m)), regexp_extract_all(t, r'{pattern}', {group})),
-        named_struct('at', 0, 'found', CAST(array() AS {kind})),
-        (a, z) -> CASE WHEN z['1'] IS NULL THEN a ELSE named_struct('at', a.at + z['0'] + z['1'],
-            'found', concat(a.found, array(named_struct('start', a.at + z['0'], 'end', a.at + z['0'] + z['1'], 'x', z['2'])))) END
-    ).found ELSE CAST(array() AS {kind}) END"""
+    parts = f"named_struct('g', split(t, r'{pattern}', -1), 'm', regexp_extract_all(t, r'{pattern}', 0), 'x', regexp_extract_all(t, r'{pattern}', {group}))"
+    ends = _scan("transform(p.m, (m, i) -> length(m) + length(p.g[i]))", "v + w")
+    places = f"transform({ends}, (q, i) -> named_struct('start', q - length(p.m[i]), 'end', q, 'x', p.x[i]))"
+    return f"CASE WHEN t RLIKE r'{pattern}' THEN {_bound(parts, 'p', places)} ELSE CAST(array() AS array<struct<start:int,`end`:int,x:string>>) END"
 
 
 def _spans(order: int, kind: str, found: str) -> str:
@@ -81,13 +96,16 @@ def _pick(column: str, index: int) -> str:
 
 
 def _tested() -> str:
-    """SQL for the tokens that may be random: array of (start, end, n, evidence), evidence null where the battery finds them not random.
+    """SQL for the tokens that may be random: array of (start, end, n, evidence, doubt).
 
     The encoding is the first whose symbols cover the token; tokens without a
     digit or without a letter are words or numbers and are not tested.
     Evidence is the log-likelihood ratio of random symbols of the encoding to
     natural text, less ln of the number of encodings: natural text reaches
     evidence x with a chance of at most exp(-x) (Markov's inequality).
+    Doubt is what the battery says against randomness: the largest of the
+    three tests' bounds of -ln p (z * z / 2, the chi-squared value taken to a
+    normal one by its cube root), less ln 3, since there are three.
     """
     first = " ".join(f"WHEN m.x RLIKE '{p}' THEN {k}" for k, (p, _) in enumerate(ENCODINGS, 1))
     tokens = f"filter({_found(TOKEN)}, m -> m.x RLIKE '[0-9]' AND m.x RLIKE '[A-Za-z]')"
@@ -113,9 +131,9 @@ def _tested() -> str:
             / sqrt(greatest(2D * c.low * (c.n - c.low) * (2D * c.low * (c.n - c.low) - c.n) / (CAST(c.n AS DOUBLE) * c.n * (c.n - 1)), 0.01D)) END,
         'serial', CASE WHEN c.walk.square * c.n <= c.walk.sum * c.walk.sum THEN 99D ELSE sqrt(CAST(c.n AS DOUBLE))
             * abs((c.walk.cross / (c.n - 1) - c.walk.sum * c.walk.sum / (CAST(c.n AS DOUBLE) * c.n)) / (c.walk.square / c.n - c.walk.sum * c.walk.sum / (CAST(c.n AS DOUBLE) * c.n))) END))"""
-    limit = f"{ALLOWED}D"
-    passes = f"(c.chi - c.df) / sqrt(2D * c.df) <= {limit} AND c.runs <= {limit} AND c.serial <= {limit}"
-    return f"transform({scored}, c -> named_struct('start', c.start, 'end', c.`end`, 'n', c.n, 'evidence', CASE WHEN {passes} THEN c.gain - ln({len(ENCODINGS)}D) END))"
+    chi = "(cbrt(greatest(c.chi, 0D) / c.df) - 1 + 2D / (9 * c.df)) / sqrt(2D / (9 * c.df))"
+    doubt = f"power(greatest({chi}, c.runs, c.serial, 0D), 2) / 2 - ln(3D)"
+    return f"transform({scored}, c -> named_struct('start', c.start, 'end', c.`end`, 'n', c.n, 'evidence', c.gain - ln({len(ENCODINGS)}D), 'doubt', {doubt}))"
 
 
 def _base(docs: DataFrame) -> DataFrame:
@@ -130,32 +148,59 @@ def _base(docs: DataFrame) -> DataFrame:
     return body.withColumn("base", F.expr(f"array_sort(concat({', '.join(kinds)}))")).withColumn("tokens", F.expr(_tested()))
 
 
-def false_discovery_limit(docs: DataFrame, rate: float = 0.01) -> tuple[float, float]:
-    """The least weighted evidence that counts as random, and the mean length of all tested tokens.
+def _octave(n: Column) -> Column:
+    return F.log2(n.cast("double")).cast("int")
+
+
+def _step_up(counts: dict[float, int], total: int, rate: float) -> float:
+    """The least -ln p of those in counts at which, by the rule of Benjamini and Hochberg, expected false finds among ``total`` tests stay below ``rate``."""
+    best, seen = math.inf, 0
+    for evidence in sorted(counts, reverse=True):
+        seen += counts[evidence]
+        if total * math.exp(-evidence) <= rate * seen:
+            best = evidence
+    return best
 
-    Every token that the battery tests is a hypothesis "natural text"; its
-    p-value bounds the chance of as high a likelihood ratio under it, and is
-    divided by the token's length over the mean length, since long tokens tell more.
-    The step-up rule of Benjamini and Hochberg then picks the lowest limit on
-    a grid of -ln p at which expected false finds stay below ``rate``.  The
-    tokens of all documents take part; counts by grid step are all that
+
+def false_discovery_limits(docs: DataFrame, rate: float = 0.01) -> tuple[float, float, float]:
+    """The least weighted evidence that counts as random, the weighted doubt from which it doesn't, and the mean weight.
+
+    Every token that the battery tests is a hypothesis "natural text", which
+    evidence may refute; of those for which it does, each is a hypothesis
+    "random", which the battery's doubt may refute.  Both families are held
+    to ``rate`` false finds by the step-up rule, with p-values divided by
+    weights of mean 1 that grow with a token's length (by octave), since long
+    tokens tell more.  Evidence and doubt are rounded down to a grid, as they
+    are when the limits are applied, so the rate holds as stated.  The tokens
+    of all documents take part; counts by grid step and octave are all that
     leaves the executors.
     """
-    tokens = _base(docs).select(F.explode("tokens").alias("k")).select("k.n", "k.evidence")
-    steps = tokens.groupBy(F.least(F.floor(F.greatest(F.coalesce("evidence", F.lit(-1.0)), F.lit(-1.0)) / STEP), F.lit(STEPS)).alias("step"), F.log2("n").cast("int").alias("octave"))
-    # lengths are summed by octave and step so that a token's weight is known to the grid
-    table = steps.agg(F.count("*").alias("tokens"), F.sum("n").alias("chars")).collect()  # at most (STEPS + 5) * 31 rows
+    tokens = _base(docs).select(F.explode("tokens").alias("k")).select("k.n", "k.evidence", "k.doubt")
+    gain = F.least(F.floor(F.greatest(F.col("evidence"), F.lit(-STEP)) / STEP), F.lit(STEPS)).alias("gain")
+    doubt = F.when(F.col("evidence") >= 0, F.least(F.floor(F.greatest(F.col("doubt"), F.lit(-DOUBT_STEP)) / DOUBT_STEP), F.lit(DOUBT_STEPS))).otherwise(-1).alias("doubt")
+    table = tokens.groupBy(gain, doubt, _octave(F.col("n")).alias("octave")).agg(F.count("*").alias("tokens")).collect()  # at most STEPS * DOUBT_STEPS * 31 rows, of which few occur
     total = sum(r["tokens"] for r in table)
     if not total:
-        return float(STEPS), 1.0
-    mean = sum(r["chars"] for r in table) / total
-    weighted = sorted(((r["step"] * STEP + math.log(max(r["chars"] / r["tokens"] / mean, 1e-9)), r["tokens"]) for r in table if r["step"] >= 0), reverse=True)
-    best, seen = math.inf, 0
-    for evidence, n in weighted:
-        seen += n
-        if total * math.exp(-evidence) <= rate * seen:
-            best = evidence
-    return best, mean
+        return math.inf, math.inf, 1.0
+    mean = sum(r["tokens"] * 2.0 ** r["octave"] for r in table) / total
+
+    def counts(rows, key: str, step: float) -> dict[float, int]:
+        out: dict[float, int] = {}
+        for r in rows:
+            evidence = r[key] * step + math.log(2.0 ** r["octave"] / mean)
+            out[evidence] = out.get(evidence, 0) + (r["tokens"] if r[key] >= 0 else 0)
+        return out
+
+    random = _step_up(counts(table, "gain", STEP), total, rate)
+    passed = [r for r in table if r["gain"] >= 0 and r["gain"] * STEP + math.log(2.0 ** r["octave"] / mean) >= random - 1e-9]
+    return random, _step_up(counts(passed, "doubt", DOUBT_STEP), sum(r["tokens"] for r in passed), rate), mean
+
+
+def _without_overlaps(spans: str) -> str:
+    """SQL for sorted spans without the random ones that overlap a pattern's span."""
+    until = _scan("transform(a, s -> CASE WHEN s.order < 4 THEN s.`end` ELSE 0 END)", "greatest(v, w)")
+    since = f"reverse({_scan('transform(reverse(a), s -> CASE WHEN s.order < 4 THEN s.start ELSE 2147483647 END)', 'least(v, w)')})"
+    return _bound(spans, "a", _bound(f"named_struct('until', {until}, 'since', {since})", "b", "filter(a, (s, i) -> s.order < 4 OR b.until[i] <= s.start AND b.since[i] >= s.`end`)"))
 
 
 def scan(docs: DataFrame, rate: float = 0.01, spans_column: str = "spans") -> DataFrame:
@@ -165,24 +210,34 @@ def scan(docs: DataFrame, rate: float = 0.01, spans_column: str = "spans") -> Da
 
     start and end are code points, end exclusive.  Kinds are assign, access
     and hex, found by pattern, leftmost and non-overlapping for each kind,
-    and random: tokens of 20 or more signs of an encoding whose symbols pass
-    a chi-squared test of uniformity, a runs test and a serial-correlation
-    test, and whose likelihood ratio against natural text passes the
-    corpus-wide false-discovery limit.  A random token that overlaps a pattern's span is
-    not listed again.
+    and random: tokens of 20 or more signs of an encoding whose likelihood
+    ratio against natural text passes the corpus-wide false-discovery limit,
+    unless a chi-squared test of uniformity, a runs test and a
+    serial-correlation test refute under the like limit that its symbols are
+    random.  A random token that overlaps a pattern's span is not listed
+    again.
 
     Tokens without a digit or without a letter are not tested, so that keys of
     letters only or of digits only are never random.
 
     A null or empty text has no spans; repeated rows stay, each with its
-    spans; an empty table gives an empty result.
+    spans; the time for a text of any length is in proportion to it, but for
+    sorting its spans; an empty table gives an empty result.
     """
-    limit, mean = false_discovery_limit(docs, rate)
+    limit, doubted, mean = false_discovery_limits(docs, rate)
     docs = docs.select(*(F.col(f"`{n}`") for n in docs.columns if n != spans_column))
     names = docs.columns
-    random = f"""transform(filter(tokens, k -> k.evidence + ln(k.n / {mean}D) >= {min(limit, 1e9)}D AND NOT exists(base, b -> b.start < k.`end` AND k.start < b.`end`)),
-        k -> named_struct('start', k.start, 'order', 4, 'end', k.`end`, 'kind', 'random'))"""
-    found = _base(docs).withColumn("spans", F.expr(f"array_sort(concat(base, {random}))"))
+    if limit < math.inf:
+        weight = f"ln(power(2D, CAST(log2(CAST(k.n AS DOUBLE)) AS INT)) / {mean!r}D)"
+        grid = lambda value, step: f"floor({value} / {step}D) * {step}D + {weight}"
+        passes = f"k.evidence >= 0 AND {grid(f'least(k.evidence, {STEP * STEPS}D)', STEP)} >= {limit - 1e-9!r}D"
+        if doubted < math.inf:
+            passes += f" AND {grid(f'least(greatest(k.doubt, {-DOUBT_STEP}D), {DOUBT_STEP * DOUBT_STEPS}D)', DOUBT_STEP)} < {doubted - 1e-9!r}D"
+        random = f"transform(filter(tokens, k -> {passes}), k -> named_struct('start', k.start, 'order', 4, 'end', k.`end`, 'kind', 'random'))"
+        both = _bound(f"named_struct('r', {random}, 'base', base)", "f", f"CASE WHEN size(f.r) = 0 THEN f.base ELSE {_without_overlaps('array_sort(concat(f.base, f.r))')} END")
+    else:
+        both = "base"
+    found = _base(docs).withColumn("spans", F.expr(both))
     return found.select(*(F.col(f"c{k}").alias(n) for k, n in enumerate(names)), F.col("spans").alias(spans_column))
 
 
@@ -192,14 +247,21 @@ def listed(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", rate: float = 0.01) -> DataFrame:
-    """The documents, with all their columns, with every stretch of overlapping spans in text replaced by ``mark``."""
-    found = scan(docs, rate, "__secrets")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    begin = F.expr("named_struct('at', 0, 'text', '')")
+    """The documents, with all their columns, with every stretch of overlapping spans in text replaced by ``mark``.
 
-    def step(a: Column, s: Column) -> Column:
-        between = F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["end"] <= a["at"], a["text"]).otherwise(F.concat(a["text"], between, F.when((s["start"] < a["at"]), F.lit("")).otherwise(F.lit(mark)))).alias("text"))
-
-    end = F.aggregate("__secrets", begin, step, lambda a: F.concat(a["text"], F.substring(text, a["at"] + 1, F.length(text))))
-    return found.withColumn("text", F.when(F.size("__secrets") > 0, end).otherwise(F.col("text"))).drop("__secrets")
+    Nulls, repeated rows, long texts and empty tables are as with scan(); a
+    text without spans, null or empty, stays as it is.  Places are found in
+    the text as UTF-32, where each sign has four bytes, so a text of many
+    spans is walked once.
+    """
+    spans = fresh("spans", docs.columns)
+    found = scan(docs, rate, spans)
+    until = _scan("transform(a, s -> s.`end`)", "greatest(v, w)")
+    # a stretch begins where no span before it reaches beyond the start
+    begins = "filter(sequence(0, size(a) - 1), i -> i = 0 OR a[i].start >= b.until[i - 1])"
+    start = "CASE WHEN k < size(d.at) THEN a[d.at[k]].start ELSE length(d.t) END"
+    end = "CASE WHEN k = 0 THEN 0 ELSE b.until[CASE WHEN k < size(d.at) THEN d.at[k] ELSE size(a) END - 1] END"
+    piece = f"decode(substring(d.wide, 4 * ({end}) + 1, 4 * (({start}) - ({end}))), 'UTF-32')"
+    pieces = f"array_join(transform(sequence(0, size(d.at)), k -> {piece}), '{mark.replace(chr(92), chr(92) * 2).replace(chr(39), chr(92) + chr(39))}')"
+    made = _bound(f"`{spans}`", "a", _bound(f"named_struct('until', {until})", "b", _bound(f"named_struct('at', {begins}, 't', CAST(text AS STRING), 'wide', encode(CAST(text AS STRING), 'UTF-32'))", "d", pieces)))
+    return found.withColumn("text", F.expr(f"CASE WHEN size(`{spans}`) > 0 THEN {made} ELSE text END")).drop(spans)
