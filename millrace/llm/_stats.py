@@ -38,8 +38,8 @@ def repeated_words(words: list[str]) -> int:
     return covered
 
 
-def counts_of(text: str) -> tuple[int, ...]:
-    words = find_words(text)
+def counts_of(text: str, words: list[str] | None = None) -> tuple[int, ...]:
+    words = find_words(text) if words is None else words
     lines = [line for line in text.split("\n") if find_words(line)] if "\n" in text else [text][: bool(words)]
     letters = text.encode("utf-32-le")
     codes = np.frombuffer(letters, np.uint32)

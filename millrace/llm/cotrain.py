@@ -8,18 +8,104 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import pieces_of, text_or_empty, trim
-from ._stats import COUNTS, counts_of, document_counts, features_of
+from ._stats import COUNTS, counts_of, features_of, find_words
 from .rules import sample
 
-#: What each view sees.  The metadata view knows a page's language, source, declared length and layout, but no content.
-TEXT_VIEW = ("mean_word", "symbols", "repeats", "distinct", "upper", "digits", "marks", "stops", "longest_word")
-META_NUMBERS = ("declared", "lines", "line_length", "words_a_line", "dup_lines")
+#: What each view sees.  The text-content view has what words, signs and lines a text is made of; the metadata view a
+#: page's language, source and declared length, and nothing of its text.
+GRAMS = ("word_odds", "sign_odds")
+TEXT_VIEW = (*GRAMS, "mean_word", "symbols", "repeats", "distinct", "upper", "digits", "marks", "stops", "longest_word", "words_a_line", "dup_lines", "lines", "line_length")
+META_NUMBERS = ("declared",)
 META_NAMES = ("lang", "source")
 NAME_SLOTS = 64
+#: Hash slots of words and of character trigrams (three bytes).
+GRAM_SLOTS = 4096
+
+
+class _Slots(dict):
+    def __missing__(self, word: str) -> int:
+        found = self[word] = xxhash.xxh32_intdigest(word) % GRAM_SLOTS
+        return found
+
+
+def gram_slots(text: str, words: list[str], slots: _Slots) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct slots of a text's words and of its character trigrams."""
+    own = np.unique(np.fromiter(map(slots.__getitem__, words), np.int64, len(words)))
+    raw = np.frombuffer(text.encode(), np.uint8).astype(np.uint32)
+    signs = (raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]) * np.uint32(2654435761) >> np.uint32(20) if len(raw) > 2 else raw[:0]
+    return own, np.flatnonzero(np.bincount(signs, minlength=GRAM_SLOTS))
+
+
+@dataclass
+class Grams:
+    """How many labelled texts of each fold and class hold each slot: counts[fold, class, kind, slot], texts[fold, class]."""
+
+    counts: np.ndarray
+    texts: np.ndarray
+
+    def odds(self, fold: int | None) -> np.ndarray:
+        """Log odds of good quality by kind and slot; for a labelled text those of the other fold, so that it doesn't tell on itself."""
+        use = [f for f in range(len(self.texts)) if f != fold]
+        held, texts = self.counts[use].sum(axis=0), self.texts[use].sum(axis=0)
+        rates = np.log((held + 1) / (texts + 2)[:, None, None])
+        return rates[1] - rates[0]
+
+
+FOLDS = 2
+
+
+def _fold(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(7)), F.lit(FOLDS)).cast("int")
+
+
+def learn_grams(docs: DataFrame, marks: DataFrame) -> Grams:
+    """Grams of labelled documents: marks (doc_id, quality) are a sample of a bounded number.
+
+    A document counts once, whatever its rows; only counts by slot leave the executors.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(marks), "doc_id")  # bounded by the sample
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select((_fold(F.col("doc_id")) * 2 + F.col("quality")).alias("group"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, texts, slots = np.zeros((FOLDS * 2, 2 * GRAM_SLOTS), np.int64), np.zeros(FOLDS * 2, np.int64), _Slots()
+        for whole in batches:
+            for batch in pieces_of(whole, "text"):
+                for group, text in zip(batch.column("group").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    words, signs = gram_slots(text, find_words(text), slots)
+                    held[group, words] += 1
+                    held[group, GRAM_SLOTS + signs] += 1
+                    texts[group] += 1
+        group, slot = np.nonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.append(group, range(FOLDS * 2)), np.append(slot, [-1] * FOLDS * 2), np.append(held[group, slot], texts))], ["group", "slot", "n"])
+
+    counts, texts = np.zeros((FOLDS * 2, 2 * GRAM_SLOTS), np.int64), np.zeros(FOLDS * 2, np.int64)
+    for r in rows.mapInArrow(run, "group long, slot long, n long").groupBy("group", "slot").agg(F.sum("n").alias("n")).collect():  # at most one row a group and slot
+        if r["slot"] < 0:
+            texts[r["group"]] = r["n"]
+        else:
+            counts[r["group"], r["slot"]] = r["n"]
+    return Grams(counts.reshape(FOLDS, 2, 2, GRAM_SLOTS), texts.reshape(FOLDS, 2))
+
+
+class Describer:
+    """COUNTS and GRAMS of texts; fold tells which labelled texts take the odds of the other fold (null: all labelled texts)."""
+
+    def __init__(self, grams: Grams):
+        self.odds = {f: grams.odds(f) for f in (None, *range(FOLDS))}
+
+    def __call__(self, texts: list[str], folds: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
+        slots = _Slots()
+        counts, odds = np.zeros((len(texts), len(COUNTS)), np.int64), np.zeros((len(texts), 2))
+        for k, (text, fold) in enumerate(zip(texts, folds, strict=True)):
+            words = find_words(text)
+            counts[k] = counts_of(text, words)
+            table = self.odds[fold]
+            odds[k] = [table[kind][own].mean() if len(own) else 0.0 for kind, own in enumerate(gram_slots(text, words, slots))]
+        return counts, np.round(odds * FRACTION) / FRACTION
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -104,15 +190,10 @@ def _inputs(columns: dict[str, np.ndarray | list]) -> tuple[np.ndarray, np.ndarr
     """Text features, metadata numbers and hashed names."""
     counts = {c: np.asarray(columns[c], np.int64) for c in COUNTS}
     known, x = features_of(counts)
-    text = x[:, [known.index(n) for n in TEXT_VIEW]]
     lines = np.maximum(counts["n_lines"], 1)
-    numbers = {
-        "declared": np.log1p(np.maximum(np.array([v or 0 for v in columns["n_chars"]], np.float64), 0)),
-        "lines": np.log1p(counts["n_lines"]),
-        "line_length": np.log1p(counts["text_chars"] / lines),
-        "words_a_line": np.log1p(counts["n_words"] / lines),
-        "dup_lines": counts["n_dup_lines"] / lines,
-    }
+    more = {"lines": np.log1p(counts["n_lines"]), "line_length": np.log1p(counts["text_chars"] / lines), **{g: np.asarray(columns[g], np.float64) for g in GRAMS}}
+    text = np.stack([more[n] if n in more else x[:, known.index(n)] for n in TEXT_VIEW], axis=1)
+    numbers = {"declared": np.log1p(np.maximum(np.array([v or 0 for v in columns["n_chars"]], np.float64), 0))}
     slots: dict[str | None, int] = {}
     names = np.zeros((len(text), len(META_NAMES)), np.int64)
     for f, column in enumerate(META_NAMES):
@@ -128,16 +209,36 @@ def _metadata(docs: DataFrame) -> list:
     return [(F.col(c) if c in docs.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]
 
 
-def described(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Counts, metadata and text hash of every document with its label, or null; labels of one doc_id count once, the best of them."""
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return document_counts(docs, *_metadata(docs), F.xxhash64(text_or_empty()).alias("text_hash")).join(marks, "doc_id", "left")
+def labelled(labels: DataFrame, most: int) -> DataFrame:
+    """doc_id and quality of about ``most`` labelled documents at most; labels of one doc_id count once, the best of them."""
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().where("quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return sample(marks, most).checkpoint()
+
+
+def described(docs: DataFrame, marks: DataFrame, grams: Grams) -> DataFrame:
+    """Counts, odds, metadata and text hash of every document, with its label if marks has it, else null."""
+    tell = Describer(grams)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *_metadata(docs))
+    rows = rows.join(F.broadcast(marks), "doc_id", "left")  # bounded by the sample
+    rows = rows.withColumn("fold", F.when(F.col("quality").isNotNull(), _fold(F.col("doc_id")))).withColumn("text_hash", F.xxhash64("text"))
+    names = [c for c in rows.columns if c not in ("text", "fold")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces_of(whole, "text"):
+                counts, odds = tell(batch.column("text").to_pylist(), batch.column("fold").to_pylist())
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(np.ascontiguousarray(c)) for c in (*counts.T, *odds.T))], [*names, *COUNTS, *GRAMS])
+        trim()
+
+    fields = [f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names]
+    return rows.mapInArrow(run, ", ".join([*fields, *(f"{n} long" for n in COUNTS), *(f"{g} double" for g in GRAMS)]))
 
 
+USED = (*COUNTS, *GRAMS, "n_chars", *META_NAMES)
 #: Places after the point, in bits, to which terms of sums over documents are rounded, so that their order is of no effect.
 FRACTION = 2.0**20
 #: Parts in which cells are kept; each part sends its sums to the driver.
-PARTS = 16
+PARTS = 4
 
 
 def unlabelled_cells(table: DataFrame, text: View, meta: View) -> DataFrame:
@@ -146,7 +247,7 @@ def unlabelled_cells(table: DataFrame, text: View, meta: View) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                t, numbers, names = _inputs({c: batch.column(c).to_pylist() for c in (*COUNTS, "n_chars", *META_NAMES)})
+                t, numbers, names = _inputs({c: batch.column(c).to_pylist() for c in USED})
                 cells = np.concatenate([text.cells(t, names[:, :0]), meta.cells(numbers, names)], axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column("text_hash"), pa.array([r.tobytes() for r in cells], pa.binary())], ["text_hash", "cells"])
 
@@ -184,23 +285,27 @@ def exchanged_sums(cells: DataFrame, givers: dict[str, View], takers: dict[str,
     return total
 
 
-def fit(table: DataFrame, most_labelled: int = 20_000, rounds: int = 3, exchange: int = 500, confidence: float = 0.95) -> CoTrained | None:
+def fit(table: DataFrame, rounds: int = 3, exchange: int = 500, confidence: float = 0.95) -> CoTrained | None:
     """Co-train on a table from described(); None if the labels are not of both kinds.
 
-    A sample of about ``most_labelled`` labelled documents takes part, those
-    with a low hash of doc_id; a fifth of them is held out for calibration.  In each
+    A fifth of the labelled documents is held out for calibration.  In each
     round both views score every unlabelled text, and each hands the other
     all texts of either class whose calibrated probability reaches
     ``confidence``.  Copies of a text count once.  A class that a view hands
     over counts half a labelled document a text and round, and all its texts
     together no more than ``exchange`` texts would, so that labels keep their
-    say however large the table is.  Only sums over texts leave the executors.
+    say however large the table is.  A round is one pass over the distinct
+    cells of unlabelled texts: gradient and curvature of what is handed over,
+    at the taker's present weights, are all that leaves the executors, and
+    the driver then fits labels and that second-order term together.
     """
-    got = sample(table.where(F.col("quality").isNotNull()), most_labelled).toPandas().sort_values(["doc_id", *COUNTS], kind="stable")
+    # one row a document, so that rows that repeat don't make the sample larger
+    known = table.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min(F.struct("text_hash", "quality", *USED)).alias("r")).select("doc_id", "r.*")
+    got = known.toPandas().sort_values("doc_id", kind="stable")
     y = got["quality"].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         return None
-    text, numbers, names = _inputs({c: got[c].tolist() for c in (*COUNTS, "n_chars", *META_NAMES)})
+    text, numbers, names = _inputs({c: got[c].tolist() for c in USED})
     held = np.arange(len(y)) % 5 == 4
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held = np.zeros(len(y), bool)
@@ -216,27 +321,32 @@ def fit(table: DataFrame, most_labelled: int = 20_000, rounds: int = 3, exchange
     cells = unlabelled_cells(table, views["text"], views["meta"]) if rounds else None
     for turn in range(1, rounds + 1):
         takers = {v: View(m.edges, m.beta) for v, m in views.items()}
-        for _ in range(12):
-            sums = exchanged_sums(cells, views, takers, confidence)
-            largest = 0.0
-            for v, taker in takers.items():
-                x, q = taker.design(own[v][~held]), _sigmoid(taker.raw(own[v][~held]))
-                ridge = np.array([1e-6, *[1.0] * (len(taker.beta) - 1)])
-                slope, bend = x.T @ (y[~held] - q) - ridge * taker.beta, (x * np.maximum(q * (1 - q), 1e-9)[:, None]).T @ x + np.diag(ridge)
-                for good in (0, 1):
-                    n, more_slope, more_bend = sums[v, good]
-                    weight = 0.5 * turn * min(n, exchange) / max(n, 1)
-                    slope, bend = slope + weight * more_slope, bend + weight * more_bend
-                step = np.linalg.solve(bend, slope)
-                takers[v] = View(taker.edges, taker.beta + step)
-                largest = max(largest, float(np.abs(step).max()))
-            if largest < 1e-5:
-                break
+        sums = exchanged_sums(cells, views, takers, confidence)
         exchanged = sum(n for n, _, _ in sums.values())
+        for v, taker in takers.items():
+            weight = {good: 0.5 * turn * min(sums[v, good][0], exchange) / max(sums[v, good][0], 1) for good in (0, 1)}
+            pull = sum(weight[good] * sums[v, good][1] for good in (0, 1))
+            bend = sum(weight[good] * sums[v, good][2] for good in (0, 1))
+            takers[v] = View(taker.edges, _refit(taker.design(own[v][~held]), y[~held], taker.beta, pull, bend))
         views = {v: t.calibrated(own[v][check], y[check]) for v, t in takers.items()}
     return CoTrained(views["text"], views["meta"], prior, exchanged)
 
 
+def _refit(x: np.ndarray, y: np.ndarray, start: np.ndarray, pull: np.ndarray, bend: np.ndarray, ridge: float = 1.0, steps: int = 12) -> np.ndarray:
+    """Newton steps on labels, ridge and a second-order term with gradient ``pull`` and curvature ``bend`` at ``start``."""
+    beta, penalty = start.copy(), np.full(len(start), ridge)
+    penalty[0] = 1e-6
+    for _ in range(steps):
+        q = _sigmoid(x @ beta)
+        slope = x.T @ (y - q) - penalty * beta + pull - bend @ (beta - start)
+        curve = (x * np.maximum(q * (1 - q), 1e-9)[:, None]).T @ x + np.diag(penalty) + bend
+        step = np.linalg.solve(curve, slope)
+        beta += step
+        if np.abs(step).max() < 1e-6:
+            break
+    return beta
+
+
 SCORES = ("text_score", "meta_score", "quality_score")
 
 
@@ -248,44 +358,61 @@ def apply(table: DataFrame, model: CoTrained | None) -> DataFrame:
             if model is None or not batch.num_rows:
                 scores = [np.ones(batch.num_rows)] * 3
             else:
-                scores = model.score(_inputs({c: batch.column(c).to_pylist() for c in (*COUNTS, "n_chars", *META_NAMES)}))
+                scores = model.score(_inputs({c: batch.column(c).to_pylist() for c in USED}))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(s) for s in scores)], [*batch.schema.names, *SCORES])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields)
     return table.mapInArrow(run, fields + "".join(f", {s} double" for s in SCORES))
 
 
+def trained(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, **fitting) -> tuple[CoTrained | None, Grams, DataFrame]:
+    """The model of a corpus, the grams that it needs, and the table of all documents that it was fitted on."""
+    marks = labelled(labels, most_labelled)
+    grams = learn_grams(docs, marks)
+    table = described(docs, marks, grams).checkpoint()
+    return fit(table, **fitting), grams, table
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **fitting) -> DataFrame:
     """doc_id, text_score, meta_score, quality_score and kept for every document.
 
     kept: the combined calibrated probability of good quality is at least
-    ``threshold``.  A null text counts as empty; null metadata is a value of
-    its own; columns lang, source and n_chars may be missing; rows with null
-    doc_id are scored but never labelled; repeated rows are scored each for
-    itself; an empty table gives an empty result; without labels of both
-    kinds every document is kept with scores of 1.
+    ``threshold``.  The model is fitted on a sample of about
+    ``most_labelled`` labelled documents, those with a low hash of doc_id,
+    and on all unlabelled ones.  A null text counts as empty; null metadata
+    is a value of its own; columns lang, source and n_chars may be missing;
+    rows with null doc_id are scored but never labelled; repeated rows are
+    scored each for itself; texts of any length are read whole; an empty
+    table gives an empty result; without labels of both kinds every document
+    is kept with scores of 1.
     """
-    table = described(docs, labels).checkpoint()
-    return apply(table, fit(table, **fitting)).select("doc_id", *SCORES, (F.col("quality_score") >= threshold).alias("kept"))
+    model, _, table = trained(docs, labels, **fitting)
+    return apply(table, model).select("doc_id", *SCORES, (F.col("quality_score") >= threshold).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **fitting) -> DataFrame:
-    """The documents, with all their columns, that classify() keeps.
+    """The documents, with all their columns, that classify() keeps, on the same terms.
 
     Rows are scored where they lie: texts are counted once more instead of
     being shuffled to their scores.
     """
-    model = fit(described(docs, labels).checkpoint(), **fitting)
-    names = docs.columns
-    body = docs.select(*(F.col(f"`{n}`").alias(f"c{k}") for k, n in enumerate(names)), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"), *(c.alias(f"m{k}") for k, c in enumerate(_metadata(docs))))
+    marks = labelled(labels, fitting.pop("most_labelled", 20_000))
+    grams = learn_grams(docs, marks)
+    model = fit(described(docs, marks, grams).checkpoint(), **fitting)
+    tell, names = Describer(grams), docs.columns
+    body = docs.select(
+        *(F.col(f"`{n}`").alias(f"c{k}") for k, n in enumerate(names)), F.col("doc_id").cast("long").alias("d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"), *(c.alias(f"m{k}") for k, c in enumerate(_metadata(docs)))
+    )
+    known = marks.select(F.col("doc_id").alias("d"), _fold(F.col("doc_id")).alias("fold"))
+    body = body.join(F.broadcast(known), "d", "left")  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces_of(whole, "t"):
                 if model is not None:
-                    table = np.array([counts_of(t) for t in batch.column("t").to_pylist()], np.int64).reshape(-1, len(COUNTS))
+                    counts, odds = tell(batch.column("t").to_pylist(), batch.column("fold").to_pylist())
                     meta = {c: batch.column(f"m{k}").to_pylist() for k, c in enumerate(("lang", "source", "n_chars"))}
-                    score = model.score(_inputs(dict(zip(COUNTS, table.T, strict=True)) | meta))[2]
+                    score = model.score(_inputs(dict(zip(COUNTS, counts.T, strict=True)) | dict(zip(GRAMS, odds.T, strict=True)) | meta))[2]
                     batch = batch.filter(pa.array(score >= threshold))
                 yield batch.select([f"c{k}" for k in range(len(names))])
         trim()

@@ -73,7 +73,7 @@ def test_all_confident_documents_are_exchanged(spark):
     """Neither a bound nor copies of one text decide what the views learn from each other."""
     docs, marks = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     marks = marks.where("doc_id % 2 = 0")
-    table = cotrain.described(docs, marks).localCheckpoint()
+    _, grams, table = cotrain.trained(docs, marks, rounds=0)
     one = table.where("quality IS NULL").orderBy("doc_id").limit(1)
     copies = one.crossJoin(spark.range(1000)).withColumn("doc_id", F.col("id") + 10**9).drop("id")
     model, again = (cotrain.fit(t, rounds=1, exchange=5) for t in (table, table.unionByName(copies)))
@@ -85,6 +85,61 @@ def test_all_confident_documents_are_exchanged(spark):
     assert again.exchanged == model.exchanged and np.array_equal(again.text.beta, model.text.beta) and np.array_equal(again.meta.beta, model.meta.beta)
 
 
+def test_cotraining_against_plain_python(spark):
+    """One round on a small table, recomputed from the rows one by one."""
+    docs, marks = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    _, grams, table = cotrain.trained(docs, marks.where("doc_id % 2 = 0"), rounds=0)
+    rows = sorted((r.asDict() for r in table.collect()), key=lambda r: r["doc_id"])
+    # grams: every labelled text by itself
+    held = {r["doc_id"] for r in rows if r["quality"] is not None}
+    words = {}
+    for r in docs.collect():
+        if r.doc_id in held:
+            for w in {slot_of(w) for w in re.findall(r"[^\x20\x09-\x0D]+", r.text or "")}:
+                words[w] = words.get(w, 0) + 1
+    assert {k: int(n) for k, n in enumerate(grams.counts[:, :, 0].sum(axis=(0, 1))) if n} == words
+    before, after = cotrain.fit(table, rounds=0), cotrain.fit(table, rounds=1, exchange=10, confidence=0.8)
+    inputs = cotrain._inputs({c: [r[c] for r in rows] for c in cotrain.USED})
+    cells = {"text": before.text.cells(inputs[0], inputs[2][:, :0]), "meta": before.meta.cells(inputs[1], inputs[2])}
+    views = {"text": before.text, "meta": before.meta}
+    seen, unlabelled = set(), []
+    for k, r in enumerate(rows):
+        if r["quality"] is None and r["text_hash"] not in seen:
+            least = min((bytes(np.concatenate([cells["text"][j], cells["meta"][j]])), j) for j, o in enumerate(rows) if o["quality"] is None and o["text_hash"] == r["text_hash"])
+            seen.add(r["text_hash"])
+            unlabelled.append(least[1])
+    labelled = [k for k, r in enumerate(rows) if r["quality"] is not None]
+    fitted = [k for i, k in enumerate(labelled) if i % 5 != 4]
+    y, total = np.array([rows[k]["quality"] for k in fitted], float), 0
+    for giver, taker in (("text", "meta"), ("meta", "text")):
+        view = views[taker]
+        pull, bend = np.zeros(len(view.beta)), np.zeros((len(view.beta),) * 2)
+        for good in (0, 1):
+            given = [k for k in unlabelled if (p := cotrain._sigmoid(views[giver].logit(cells[giver][k : k + 1]))[0]) >= 0.8 and good or p <= 1 - 0.8 and not good]
+            total += len(given)
+            for k in given:
+                x = view.design(cells[taker][k : k + 1])[0]
+                q = cotrain._sigmoid(x @ view.beta)
+                pull += 0.5 * min(len(given), 10) / len(given) * (good - q) * x
+                bend += 0.5 * min(len(given), 10) / len(given) * q * (1 - q) * np.outer(x, x)
+        x, beta, penalty = view.design(cells[taker][fitted]), view.beta.copy(), np.array([1e-6, *[1.0] * (len(view.beta) - 1)])
+        for _ in range(12):
+            q = cotrain._sigmoid(x @ beta)
+            beta += np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.diag(penalty) + bend, x.T @ (y - q) - penalty * beta + pull - bend @ (beta - view.beta))
+        assert np.allclose(beta, getattr(after, taker).beta, atol=1e-3)
+    assert after.exchanged == total and total > 0
+    a, b = after.text.logit(cells["text"]), after.meta.logit(cells["meta"])
+    both = 1 / (1 + np.exp(-(a + b - np.log(after.prior / (1 - after.prior)))))
+    got = {r.doc_id: r.quality_score for r in cotrain.apply(table, after).collect()}
+    assert all(abs(got[r["doc_id"]] - p) < 1e-9 for r, p in zip(rows, both, strict=True))
+
+
+def slot_of(word):
+    import xxhash
+
+    return xxhash.xxh32_intdigest(word) % cotrain.GRAM_SLOTS
+
+
 def test_quality_of_held_out_labels(spark):
     """Trained on half of the labels, both models find the others right."""
     docs, marks = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
@@ -153,6 +208,34 @@ def test_keys_of_every_encoding_are_found(spark):
     assert wrong <= 0.01 * len(keys)
 
 
+def test_scan_and_redaction_take_linear_time(spark):
+    import time
+
+    rng = random.Random(6)
+    took = []
+    for n in (200, 4000, 16_000):
+        text = "é😀 " + " ".join("".join(rng.choice("0123456789abcdef") for _ in range(24)) for _ in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        assert secrets.redact(docs).first().text == "é😀 " + " ".join(["[SECRET]"] * n)
+        took.append(time.time() - began)
+    assert took[2] < 8 * took[1] + 2  # quadratic time would be 16 times as much, and the first call compiles
+
+
+def test_redaction_of_overlaps(spark):
+    key = "0123456789abcdef" * 2
+    texts = [f"token={key}", f"😀 secret: {key}{key} AKIA{'A' * 20}é", f"{key}AKIA{'Q' * 16}", f"a {key}", "token=abcdef;token=abcdef"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {}
+    for k, text in enumerate(texts):
+        out, at = "", 0
+        for start, _, end, _ in brute_base(text):
+            out += "" if start < at else text[at:start] + "[SECRET]"
+            at = max(at, end)
+        want[k] = out + text[at:]
+    assert {r.doc_id: r.text for r in secrets.redact(docs).collect()} == want
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "é password: hunter22 x"), (2, "clean"), (3, None)], "doc_id long, text string")
     assert {r.doc_id: r.text for r in secrets.redact(docs).collect()} == {1: "é [SECRET] x", 2: "clean", 3: None}
