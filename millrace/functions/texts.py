@@ -74,11 +74,11 @@ def add_flag(flags: Column, flag: str) -> Column:
     return F.array_union(F.coalesce(flags, F.array().cast("array<string>")), F.array(F.lit(flag)))
 
 
-def vocabulary(x: Column) -> Column:
-    """The words of a text for counting: lower case, without links, two signs or more, no stop words."""
+def vocabulary(x: Column, stop: bool = True) -> Column:
+    """The words of a text for counting: lower case, without links, two signs or more, no stop words (with ``stop``; counts leave them out at less cost)."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(x), r"https?://\S+", ""), rf"[^a-z0-9_{CJK}]", " ")
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(F.split(plain, r"\s+"), lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w))
+    words = F.filter(F.split(plain, r"\s+"), lambda w: F.length(w) >= 2)
+    return F.filter(words, lambda w: ~w.isin(*STOP_WORDS)) if stop else words
 
 
 def bounded(keyword: str, unicode: bool = True) -> str:
@@ -129,3 +129,21 @@ def fill(template: str, **values: Column) -> Column:
     """A template whose {name} places are filled by columns; a null fills with nothing."""
     parts = re.split(r"\{(\w+)\}", template)
     return F.concat(*(F.coalesce(values[p].cast("string"), F.lit("")) if k % 2 else F.lit(p) for k, p in enumerate(parts)))
+
+
+def front_matter(x: Column) -> Column:
+    """The key: value lines between the two --- lines that a text begins with, as a map; the first of a key counts."""
+    lines = F.split(F.regexp_extract(x, r"(?s)\A---\r?\n(.*?)\r?\n---", 1), r"\r?\n")
+    entries = F.filter(F.transform(lines, lambda l: F.struct(F.trim(F.regexp_extract(l, r"^([^:#\s][^:]*):", 1)).alias("key"), F.trim(F.regexp_extract(l, r"^[^:]*:(.*)$", 1)).alias("value"))), lambda e: e["key"] != "")
+    first = F.element_at(F.transform(F.array(entries), lambda all_: F.filter(all_, lambda e, i: F.array_position(F.transform(all_, lambda o: o["key"]), e["key"]) == i + 1)), 1)
+    return F.map_from_entries(first)
+
+
+def markdown_links(x: Column) -> Column:
+    """The targets of [text](target) links."""
+    return F.regexp_extract_all(x, F.lit(r"\[[^\]\n]*\]\(([^)\s]+)\)"), F.lit(1))
+
+
+def examples(x: Column) -> Column:
+    """How many fenced blocks a text holds."""
+    return F.floor(F.regexp_count(x, F.lit(r"(?m)^```")) / 2)

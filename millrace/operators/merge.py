@@ -37,6 +37,11 @@ def new_follows(latest: DataFrame, baseline: DataFrame, excluded: DataFrame) ->
     return fresh.join(excluded.select(username_key(F.col("username")).alias("__name")), "__name", "left_anti").select(latest.columns)
 
 
+def distinct_ids(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """The ids of two lists, each once."""
+    return first.select(key).union(second.select(key)).distinct()
+
+
 def tag_sources(first: DataFrame, second: DataFrame, key: str, names: tuple[str, str], both: str = "both") -> DataFrame:
     """key and source: which of two tables hold it, or ``both``; a key that the second repeats counts as both."""
     rows = first.select(key).distinct().select(key, F.lit(0).alias("w"), F.lit(1).alias("n")).unionByName(second.select(key, F.lit(1).alias("w"), F.lit(1).alias("n")))
@@ -51,6 +56,21 @@ def status_over_snapshots(snapshots: DataFrame, key: str, day: str) -> DataFrame
     return seen.crossJoin(F.broadcast(last)).select(key, "first_seen", "last_seen", F.when(F.col("last_seen") == F.col("last"), "active").otherwise("unfollowed").alias("status"))  # one row
 
 
+def changed_fields(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """after with change: new, or changed and in which columns; rows that stayed the same are left out.  Nulls equal nulls."""
+    names = [c for c in after.columns if c != key]
+    old = before.select(key, F.struct(*names).alias("__old"))
+    differs = F.array_compact(F.array(*(F.when(~F.col(c).eqNullSafe(F.col(f"__old.{c}")), F.lit(c)) for c in names)))
+    both = after.join(old, key, "left").withColumn("changed", F.when(F.col("__old").isNotNull(), differs))
+    return both.withColumn("change", F.when(F.col("__old").isNull(), "new").otherwise("changed")).where(F.col("__old").isNull() | (F.size("changed") > 0)).drop("__old")
+
+
+def users_with_posts(users: DataFrame, posts: DataFrame, user: str, post: str, created: str) -> DataFrame:
+    """Users with posts, in their order: seq, their number of posts and the newest one's id."""
+    own = posts.groupBy(F.col(user).alias("id")).agg(F.count("*").alias("posts"), F.max_by(post, F.struct(F.coalesce(created, F.lit("")), post)).alias("latest_id"))
+    return users.join(own, "id").orderBy("seq")
+
+
 def previous_snapshot(snapshots: DataFrame, day: str, current) -> DataFrame:
     """The rows of the latest snapshot that isn't the current one."""
     before = snapshots.where(F.col(day) != F.lit(current))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.texts import language_mix, vocabulary
+from ..functions.texts import STOP_WORDS, language_mix, vocabulary
 
 
 def _percent(part: Column, whole: Column) -> Column:
@@ -43,8 +44,8 @@ def most_active_hour(df: DataFrame, ts: str) -> DataFrame:
 
 def top_words(df: DataFrame, text: str, n: int = 50) -> DataFrame:
     """The n most frequent words; equals in order of the word."""
-    words = df.select(F.explode(vocabulary(F.coalesce(F.col(text), F.lit("")))).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(n)
+    words = df.select(F.explode(vocabulary(F.coalesce(F.col(text), F.lit("")), stop=False)).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n")).where(~F.col("word").isin(*STOP_WORDS)).orderBy(F.desc("n"), "word").limit(n)
 
 
 def tag_counts(df: DataFrame, tags: str) -> DataFrame:
@@ -72,3 +73,9 @@ def by_category(df: DataFrame, category: str, seq: str) -> DataFrame:
 
 def count_by(df: DataFrame, column: Column, name: str) -> DataFrame:
     return df.groupBy(column.alias(name)).agg(F.count("*").alias("items"))
+
+
+def type_counts(df: DataFrame, user: str, kind: str) -> DataFrame:
+    """user, kind, items and the user's total, which adds up the counts and not the rows once more."""
+    counts = df.groupBy(user, kind).agg(F.count("*").alias("items"))
+    return counts.withColumn("total", F.sum("items").over(Window.partitionBy(user)))

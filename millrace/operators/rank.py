@@ -37,3 +37,38 @@ def ties(df: DataFrame, n: int, group: str, value: str, policy: str, *breakers:
     """The first n of each group by value, largest first; ties by row_number (one row a place), rank or dense_rank."""
     over = Window.partitionBy(group).orderBy(F.desc(value), *(breakers if policy == "row_number" else ()))
     return df.withColumn("place", getattr(F, policy)().over(over)).where(F.col("place") <= n)
+
+
+def by_followers(users: DataFrame, followers: str = "followers_count", key: str = "id") -> DataFrame:
+    """Users by followers, most first; unknown counts are 0."""
+    return users.orderBy(F.desc(F.coalesce(followers, F.lit(0))), key)
+
+
+def newest_first(posts: DataFrame, created: str = "created_at", key: str = "id") -> DataFrame:
+    """Posts by time as text, newest first; those without a time come last."""
+    return posts.orderBy(F.desc(F.coalesce(created, F.lit(""))), key)
+
+
+def placed(sorted_: DataFrame, n: int) -> DataFrame:
+    """The first n rows of a sorted table with place (from 1)."""
+    return sorted_.limit(n).withColumn("place", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(Window.orderBy("place")))  # n rows
+
+
+def by_layer(catalog: DataFrame) -> DataFrame:
+    """Entries of a catalog in order of layer and name."""
+    return catalog.orderBy("layer", "name")
+
+
+def stop_after(rounds: DataFrame, enough: int = 100, fair: int = 50, idle: int = 5, lost: int = 10) -> DataFrame:
+    """The rounds of a page scan (round, found) up to the one after which it stops, with the rows so far and the rounds without any in a row.
+
+    A scan stops with ``enough`` rows, with a ``fair`` number after ``idle``
+    empty rounds in a row, or after ``lost`` empty rounds.  One scan's rounds
+    are few; the window is over them alone.
+    """
+    so_far = Window.orderBy("round").rowsBetween(Window.unboundedPreceding, 0)
+    told = rounds.withColumn("total", F.sum("found").over(so_far)).withColumn("last", F.max(F.when(F.col("found") > 0, F.col("round"))).over(so_far))
+    told = told.withColumn("idle", (F.col("round") - F.coalesce("last", F.min("round").over(so_far) - 1)).cast("long"))
+    stops = (F.col("total") >= enough) | (F.col("total") >= fair) & (F.col("idle") >= idle) | (F.col("idle") >= lost)
+    before = F.max(F.when(stops, 1).otherwise(0)).over(Window.orderBy("round").rowsBetween(Window.unboundedPreceding, -1))
+    return told.withColumn("__before", before).where(F.coalesce("__before", F.lit(0)) == 0).select("round", "found", "total", "idle")

@@ -97,6 +97,24 @@ def style(posts: DataFrame, created: str = "created_at") -> dict[str, DataFrame]
     }
 
 
+def style_document(posts: DataFrame, created: str = "created_at") -> DataFrame:
+    """style() as one JSON document: a row with the column json."""
+    tables = style(posts, created)
+    one = lambda df, name: df.agg(F.first(F.struct(*df.columns)).alias(name))
+    listed = lambda df, name, *order: df.agg(F.transform(F.sort_array(F.collect_list(F.struct(*order, F.struct(*df.columns).alias("r")))), lambda x: x["r"]).alias(name))
+    out = one(tables["language"], "language")
+    for name in ("length", "most_active", "engagement", "content"):
+        out = out.crossJoin(one(tables[name], name))  # one row each
+    out = out.crossJoin(listed(tables["hours"], "hours", "hour")).crossJoin(listed(tables["vocabulary"], "vocabulary", (-F.col("n")).alias("o"), "word"))  # 24 and 50 entries
+    return out.select(F.to_json(F.struct(*out.columns)).alias("json"))
+
+
+def rewrite_document(rows: DataFrame, day: str, n: int = 10) -> DataFrame:
+    """rewrite_candidates() as one JSON document of a day: a row with the column json."""
+    found = rewrite_candidates(rows, n)
+    return found.agg(F.sort_array(F.collect_list(F.struct(*found.columns))).alias("tweets")).select(F.to_json(F.struct(F.lit(day).alias("date"), F.size("tweets").alias("count"), "tweets")).alias("json"))
+
+
 def related(posts: DataFrame, keywords: Sequence[str] = AI_KEYWORDS, text: str = "content", name: str = "displayName") -> DataFrame:
     """Posts whose text or author's name contains any keyword."""
     from ..functions.texts import contains_any
@@ -104,6 +122,11 @@ def related(posts: DataFrame, keywords: Sequence[str] = AI_KEYWORDS, text: str =
     return posts.where(contains_any(F.col(text), keywords) | contains_any(F.col(name), keywords))
 
 
+def single(posts: DataFrame, id_: str) -> DataFrame:
+    """The post of an id with its full text."""
+    return posts.where(F.col("id") == id_).withColumn("full_text", P.full_text(F.col("full_text"), F.col("note_tweet.text"), F.col("text")))
+
+
 def newest_ids(posts: DataFrame, user: str = "author_id") -> DataFrame:
     """The newest post of each user and the largest id, as numbers."""
     return posts.groupBy(user).agg(F.max_by("id", F.struct(F.coalesce("created_at", F.lit("")), P.numeric_id(F.col("id")))).alias("latest_id"), F.max(P.numeric_id(F.col("id"))).alias("largest_id"))

@@ -39,29 +39,32 @@ def select(items: DataFrame, ask: Digest, similar: float | None = None) -> DataF
     """
     since, until = times.day_window(ask.window, ask.zone, ask.reference) if ask.window else (None, None)
     kept = items.where(times.inside(F.col("published_at"), since, until))
-    merged = dedupe.merge_mentions(kept)
+    merged = dedupe.leaders(kept)
+    members = None
     if similar is not None:
-        merged = merge_similar(merged, similar)
+        members = dedupe.greedy_title_groups(merged, threshold=similar).checkpoint()
+        merged = _led(merged, members)
     sorted_ = classify.classify(merged, ["title", "summary"], ask.keywords, ask.include, ask.exclude)
     scored = sorted_.withColumn("score", posts.article_score(F.col("published_at"), F.col("weight"), F.col("topic_score"), F.lit(ask.reference)))
     if ask.topics:
         scored = scored.where(F.col("topic").isin(list(ask.topics)))
     names = [*ask.keywords, "other"]
     order = F.create_map(*(x for k, t in enumerate(names) for x in (F.lit(t), F.lit(k))))
-    return rank.capped(scored.withColumn("topic_order", order[F.col("topic")]), "topic", "topic_order", ask.per_topic, ask.total, F.desc("score"), F.col("seq"))
+    chosen = rank.capped(scored.withColumn("topic_order", order[F.col("topic")]), "topic", "topic_order", ask.per_topic, ask.total, F.desc("score"), F.col("seq"))
+    return dedupe.with_mentions(chosen, kept, members)  # of the chosen rows alone
+
+
+def _led(items: DataFrame, members: DataFrame) -> DataFrame:
+    """The leaders of members (seq, leader), each with the first known time among its members."""
+    names = [c for c in items.columns if c != "mentions"]
+    found = items.select(names).join(members, "seq").groupBy("leader").agg(F.min_by(F.struct(*names), "seq").alias("r"), F.min_by("published_at", F.when(F.col("published_at").isNotNull(), F.col("seq"))).alias("published_at"))
+    return found.select(*(F.col("published_at") if c == "published_at" else F.col(f"r.`{c}`") for c in names))
 
 
 def merge_similar(items: DataFrame, threshold: float, hours: float = 24) -> DataFrame:
-    """Items with like titles as one: the leader, which mentions its members and whom they mention."""
-    groups = dedupe.greedy_title_groups(items, threshold=threshold, hours=hours)
-    own = F.array(F.struct("source_id", "source_name", "url"))
-    joined = items.join(groups, "seq").withColumn("all", F.when(F.col("seq") == F.col("leader"), F.col("mentions")).otherwise(F.concat(own, "mentions")))
-    found = joined.groupBy("leader").agg(
-        F.min_by(F.struct(*items.columns), "seq").alias("r"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "all"))), lambda x: x["all"])).alias("mentions"),
-        F.min_by("published_at", F.when(F.col("published_at").isNotNull(), F.col("seq"))).alias("published_at"),
-    )
-    return found.select(*(F.col(c) if c in ("mentions", "published_at") else F.col(f"r.`{c}`") for c in items.columns))
+    """Items, each of its own address, with like titles as one: the leader, which mentions its members and whom their addresses mention."""
+    groups = dedupe.greedy_title_groups(dedupe.leaders(items), threshold=threshold, hours=hours).checkpoint()
+    return dedupe.with_mentions(_led(dedupe.leaders(items), groups), items, groups)
 
 
 def run(landed: DataFrame, sources: DataFrame, ask: Digest, date: str, language: str = "zh", similar: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -79,25 +82,27 @@ def enrich(items: DataFrame, provider: Callable[[list[str], list[str]], list[tup
     """Titles and summaries translated by a provider, called with the titles and summaries of a batch.
 
     Rows with Chinese text stay.  Without a provider, or where it gives None,
-    a row keeps its text and has the flag untranslated once.
+    a row keeps its text and has the flag untranslated once.  provider_error
+    holds what a provider raised for the row's batch.
     """
     foreign = ~texts.has_cjk(F.concat_ws(" ", "title", "summary"))
     if provider is None:
-        return items.withColumn("flags", F.when(foreign, texts.add_flag(F.col("flags"), "untranslated")).otherwise(F.col("flags")))
-    kind = T.StructType([T.StructField("title", T.StringType()), T.StructField("summary", T.StringType())])
+        return items.withColumns({"flags": F.when(foreign, texts.add_flag(F.col("flags"), "untranslated")).otherwise(F.col("flags")), "provider_error": F.lit(None).cast("string")})
+    kind = T.StructType([T.StructField(c, T.StringType()) for c in ("title", "summary", "error")])
 
     @F.pandas_udf(kind)
     def translated(titles: pd.Series, summaries: pd.Series) -> pd.DataFrame:
         try:
-            found = provider(titles.fillna("").tolist(), summaries.fillna("").tolist())
-        except Exception:  # a provider's failure costs the translation, not the row
-            found = [None] * len(titles)
-        return pd.DataFrame([f or (None, None) for f in found], columns=["title", "summary"])
+            found = [(*f, None) if f else (None, None, None) for f in provider(titles.fillna("").tolist(), summaries.fillna("").tolist())]
+        except Exception as e:  # whatever it is, it costs the translation and not the row, and is told there
+            found = [(None, None, f"{type(e).__name__}: {e}")] * len(titles)
+        return pd.DataFrame(found, columns=["title", "summary", "error"])
 
     out = items.withColumn("__t", F.when(foreign, translated("title", "summary")))
     done = F.col("__t.title").isNotNull()
     return out.withColumns({
         "title": F.coalesce("__t.title", "title"),
         "summary": F.coalesce("__t.summary", "summary"),
+        "provider_error": F.col("__t.error"),
         "flags": F.when(foreign & ~done, texts.add_flag(F.col("flags"), "untranslated")).otherwise(F.col("flags")),
     }).drop("__t")

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..operators.dedupe import keep_first
 
 
-def latest_rows(dim: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
-    """One row of a dimension for each key, the first in order: joins then can't multiply facts."""
-    return keep_first(dim, keys, *order)
+def latest_rows(dim: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """One row of a dimension for each key, the last in order: joins then can't multiply facts."""
+    return keep_first(dim, keys, *order, last=True)
 
 
 def report(base: DataFrame, grain: Sequence[str], measures: Mapping[str, Column], dims: Sequence[tuple[DataFrame, list[str]]], final: Mapping[str, str], order: Sequence[Column] = ()) -> DataFrame:
@@ -28,8 +28,8 @@ def report(base: DataFrame, grain: Sequence[str], measures: Mapping[str, Column]
 
 
 def latest_partition(df: DataFrame, column: str) -> DataFrame:
-    """The rows with the largest value of a column: a scalar subquery, so a partitioned table reads that partition alone."""
-    return df.join(F.broadcast(df.agg(F.max(column).alias(column))), column, "left_semi")  # one row
+    """The rows with the largest value of a column: a scalar subquery, so that of a table partitioned by it only that partition is read."""
+    return df.where(F.col(column) == df.agg(F.max(column)).scalar())
 
 
 def having_all(rows: DataFrame, key: str, conditions: Sequence[Column]) -> DataFrame:

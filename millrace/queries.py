@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .functions import posts, texts, times, urls
 from .operators import classify, dedupe, merge, profile, rank
-from .plans import archive, catalog, digest, qalog, shapes, sqlcheck
-from .sources import feeds, files, sinks
+from .plans import archive, digest, qalog, shapes
+from .session import shared_folder
+from .sources import feeds
 
 REFERENCE = datetime(2024, 1, 31)
 KEYWORDS = {"research": [("the", 1), ("this", 2), ("thand", 3)], "product": [("les", 2), ("pour", 3)], "opensource": [("der", 2), ("und", 2)], "funding": [("los", 2), ("con", 2)], "policy": [("que", 1), ("all rights", 3)]}
@@ -33,18 +34,18 @@ def query(sql: str | None = None):
     return register
 
 
-_NORMAL = """
-    CASE WHEN kept = '' THEN head ELSE head || '?' || kept END
-"""
-_PARTS = f"""
-    SELECT page_id, regexp_extract(u, '^([^?]*)', 1) AS head,
-      coalesce(array_to_string(list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'),
-        lambda p: p <> '' AND NOT list_contains({list(urls.TRACKING)!r}, lower(regexp_extract(p, '^([^=]*)', 1)))), '&'), '') AS kept
-    FROM (SELECT page_id, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^(?i:https?)://', 'https://') AS u FROM pages)
+_PLAIN = "url_decode(replace(regexp_extract(p, '{}', 1), '+', ' '))"
+_CODED = "replace(url_encode({}), '%20', '+')"
+_NORMAL = f"""
+WITH u AS (SELECT page_id, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^(?i:https?)://', 'https://') AS u FROM pages),
+q AS (SELECT page_id, regexp_extract(u, '^([^?]*)', 1) AS head, list_filter(list_transform(list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'), lambda p: p <> ''),
+  lambda p: {{'k': {_PLAIN.format("^([^=]*)")}, 'v': {_PLAIN.format("^[^=]*=(.*)$")}}}), lambda x: NOT list_contains({list(urls.TRACKING)!r}, lower(x.k))) AS kv FROM u),
+n AS (SELECT page_id, head, kv, list_transform(kv, lambda x: x.k) AS names FROM q)
+SELECT page_id, CASE WHEN len(kv) = 0 THEN head ELSE head || '?' || array_to_string(list_transform(list_sort(list_transform(kv, lambda x, i: {{'first': list_position(names, x.k), 'at': i, 'text': {_CODED.format("x.k")} || '=' || {_CODED.format("x.v")}}})), lambda x: x.text), '&') END AS url FROM n
 """
 
 
-@query(f"SELECT page_id, {_NORMAL} AS url FROM ({_PARTS})")
+@query(_NORMAL)
 def url_normalize(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.normalize(F.col("url")).alias("url"))
 
@@ -265,19 +266,50 @@ def label_totals(spark, sf_dir):
     return qalog.totals(table(spark, sf_dir, "labels").select(F.when(F.col("quality") == 1, " Good").when(F.col("quality") == 0, "BAD_case").alias("label")))
 
 
-@query("""
-WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS s FROM documents), x AS (SELECT doc_id, len(s) AS n, unnest(s) AS w FROM t WHERE len(s) > 0),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM x a JOIN x b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT a, b, round(k / (na + nb - k), 6) AS similarity FROM p WHERE k / (na + nb - k) >= 0.9
-""")
+_TITLES = "SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS s FROM documents"
+_LIKE = f"""t AS ({_TITLES}), u AS (SELECT min(doc_id) AS doc_id, s FROM t WHERE len(s) > 0 GROUP BY s), x AS (SELECT doc_id, len(s) AS n, unnest(s) AS w FROM u),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM x a JOIN x b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY ALL)"""
+
+
+@query(f"WITH {_LIKE} SELECT a, b, round(k / (na + nb - k), 6) AS similarity FROM p WHERE k / (na + nb - k) >= 0.9")
 def jaccard_pairs(spark, sf_dir):
     return dedupe.similar_title_pairs(table(spark, sf_dir, "documents"), "doc_id", "text", 0.9).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+@query(f"WITH {_TITLES.join(('t AS (', ')'))} SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS rep FROM t WHERE len(s) > 0")
+def title_classes(spark, sf_dir):
+    """The membership that goes with jaccard_pairs."""
+    return dedupe.title_sets(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "rep")
+
+
+@query(f"WITH {_LIKE}, c AS (SELECT doc_id, CASE WHEN doc_id % 7 > 0 THEN doc_id * 600 END AS at FROM documents) SELECT a, b FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE k / (na + nb - k) >= 0.9 AND coalesce(abs(x.at - y.at) <= 172800, true)")
+def close_title_pairs(spark, sf_dir):
+    """Titles alike whose times lie close, an unknown time being close to all."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 7 > 0, F.timestamp_seconds(F.col("doc_id") * 600)).alias("at"), "text")
+    pairs = dedupe.similar_title_pairs(rows, "id", "text", 0.9)
+    a, b = (rows.select(F.col("id").alias(s), F.col("at").alias(f"at_{s}")) for s in "ab")
+    return pairs.join(a, "a").join(b, "b").where(times.close(F.col("at_a"), F.col("at_b"), 48)).select("a", "b")
+
+
+_GREEDY = f"""
+WITH RECURSIVE {_LIKE}, q AS (SELECT a, b FROM p WHERE k / (na + nb - k) >= 0.9),
+c AS (SELECT t.doc_id, u.doc_id AS rep FROM t JOIN u ON t.s = u.s),
+e AS (SELECT c.doc_id AS id, list(d.doc_id) AS near FROM c JOIN (SELECT a, b FROM q UNION ALL SELECT b, a FROM q UNION ALL SELECT doc_id, doc_id FROM u) l ON l.a = c.rep JOIN c d ON d.rep = l.b AND d.doc_id < c.doc_id GROUP BY c.doc_id),
+i AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id AS id, CASE WHEN doc_id % 7 > 0 THEN doc_id * 600 END AS w, coalesce(near, []) AS near FROM documents LEFT JOIN e ON id = doc_id),
+r AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS leader, CAST([] AS STRUCT(id BIGINT, w BIGINT)[]) AS leads
+  UNION ALL
+  SELECT m.i, m.id, coalesce(m.found.id, m.id), CASE WHEN m.found IS NULL THEN list_append(m.leads, {{'id': m.id, 'w': m.w}}) WHEN m.found.w IS NULL THEN list_transform(m.leads, lambda l: CASE WHEN l.id = m.found.id THEN {{'id': l.id, 'w': m.w}} ELSE l END) ELSE m.leads END
+  FROM (SELECT i.i, i.id, i.w, r.leads, list_filter(r.leads, lambda l: list_contains(i.near, l.id) AND (i.w IS NULL OR l.w IS NULL OR abs(i.w - l.w) <= 172800))[1] AS found FROM r JOIN i ON i.i = r.i + 1) m
+)
+SELECT id AS seq, leader FROM r WHERE id IS NOT NULL
+"""
+
+
+@query(_GREEDY)
 def title_similarity_dedupe(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("text").alias("title"), F.when(F.col("doc_id") % 7 > 0, F.timestamp_seconds(F.col("doc_id") * 600)).alias("published_at"))
-    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir("/tmp/millrace-checkpoints")
+    shared_folder(spark)
     return dedupe.greedy_title_groups(rows, threshold=0.9, hours=48)
 
 
@@ -300,7 +332,7 @@ SELECT c_custkey AS customer, n_name AS nation, revenue, lines FROM agg JOIN cus
 def base_agg_dim_final(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") >= F.lit("1998-01-01").cast("date"))
     base = lines.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).withColumnRenamed("o_custkey", "c_custkey")
-    customers = shapes.latest_rows(table(spark, sf_dir, "customer"), ["c_custkey"], F.desc("c_acctbal")).select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
+    customers = shapes.latest_rows(table(spark, sf_dir, "customer"), ["c_custkey"], "c_acctbal").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     measures = {"revenue": F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")).cast("double"), "lines": F.count("*")}
     return shapes.report(base, ["c_custkey"], measures, [(customers, ["c_custkey"]), (nations, ["n_nationkey"])], {"customer": "c_custkey", "nation": "n_name", "revenue": "revenue", "lines": "lines"}, [F.desc("revenue"), F.col("customer")])
@@ -405,7 +437,7 @@ def feed_articles(spark, sf_dir):
     item = F.concat(F.lit("<item><title>"), link, F.lit("</title><link>"), link, F.lit("</link><pubDate>Tue, "), day, F.lit(" 03:04:05 GMT</pubDate>"), *(F.lit(f"<category>{c}</category>") for c in "abcdef"), F.lit("</item>"))
     landed = pages.select(F.col("page_id").alias("seq"), F.concat(F.lit("f"), F.col("page_id").cast("string")).alias("source_id"), "url", F.concat(F.lit("<?xml version='1.0'?><rss><channel>"), item, F.lit("</channel></rss>")).alias("content"))
     items, _ = feeds.parse(landed)
-    return items.select((F.col("seq") / 100_000).cast("long").alias("page_id"), "source_id", F.col("title").alias("raw"), F.unix_micros("published_at").alias("published_us"), F.size("tags").cast("long").alias("n_tags"))
+    return items.select(F.shiftright("seq", feeds.ITEM_BITS).alias("page_id"), "source_id", F.col("title").alias("raw"), F.unix_micros("published_at").alias("published_us"), F.size("tags").cast("long").alias("n_tags"))
 
 
 def _flagship(spark, sf_dir) -> DataFrame:
@@ -413,48 +445,7 @@ def _flagship(spark, sf_dir) -> DataFrame:
     return digest.select(_articles(spark, sf_dir), ask)
 
 
-@query()
-def digest_rows(spark, sf_dir):
-    return _flagship(spark, sf_dir).select("place", "topic", "group_rank", "seq", "title", "url", F.round("score", 6).alias("score"), F.size("mentions").alias("n_mentions"))
-
-
-@query()
-def digest_markdown(spark, sf_dir):
-    return sinks.markdown(_flagship(spark, sf_dir), None, "2024-01-31", "en")
-
-
 @query("SELECT c_custkey, CASE WHEN c_custkey * 997 >= 1000000 THEN format('{:.1f}M', c_custkey * 997 / 1000000) WHEN c_custkey * 997 >= 1000 THEN format('{:.1f}K', c_custkey * 997 / 1000) ELSE CAST(c_custkey * 997 AS VARCHAR) END AS followers FROM customer")
 def follower_counts(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", posts.short_count(F.col("c_custkey") * 997).alias("followers"))
 
-
-_DDL = [
-    ("/dw/01-ADS/订单汇总.sql", "CREATE TABLE IF NOT EXISTS ads.order_sum (\n id BIGINT COMMENT '编号', -- key\n amount DECIMAL(10, 2) COMMENT '金额, 元',\n PRIMARY KEY (id)\n) COMMENT '订单汇总表' PARTITIONED BY (dt STRING COMMENT '日期');"),
-    ("/dw/01-ADS/load.sql", "INSERT OVERWRITE TABLE order_sum SELECT id, sum(amount) FROM (SELECT *, row_number() over (partition by id, dt order by ts desc) rn FROM dwd.orders) o JOIN dim.shop s ON o.sid = s.sid WHERE rn = 1 GROUP BY id, o.dt;"),
-    ("/dw/02-DWD/orders.md", "# Orders\nCREATE TABLE dwd.orders (id BIGINT, sid BIGINT)"),
-]
-
-
-def _catalog(spark) -> DataFrame:
-    return catalog.build(spark.createDataFrame(_DDL, "path string, text string"))
-
-
-@query()
-def catalog_build(spark, sf_dir):
-    return _catalog(spark)
-
-
-@query()
-def catalog_search(spark, sf_dir):
-    return catalog.search(_catalog(spark), "统计 order 金额 dt")
-
-
-@query()
-def sql_lint(spark, sf_dir):
-    sql = [("a", "SELECT * FROM order_sum"), ("b", "SELECT id FROM ads.order_sum WHERE dt = '1' ORDER BY amount"), ("c", "SELECT x::int, (SELECT 1) FROM t ORDER BY 1 -- DROP")]
-    return sqlcheck.check(spark.createDataFrame(sql, "path string, sql string"), "hive-legacy", _catalog(spark))
-
-
-@query()
-def page_extract(spark, sf_dir):
-    return files.page_fields(table(spark, sf_dir, "pages"))

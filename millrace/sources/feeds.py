@@ -16,6 +16,8 @@ from ..functions import texts, times, urls
 
 _RAW = "source_id string, feed_url string, item int, title_raw string, link string, published_raw string, summary_raw string, tags array<string>, error string"
 CAP = 500
+#: Bits of seq that tell a feed's items apart.
+ITEM_BITS = 24
 
 
 def _local(tag) -> str:
@@ -83,6 +85,8 @@ def parse(landed: DataFrame) -> tuple[DataFrame, DataFrame]:
             rows = []
             for seq, source, url, content in zip(frame["seq"], frame["source_id"], frame["url"], frame["content"], strict=True):
                 items, error = parse_document(content)
+                if len(items) >> ITEM_BITS:
+                    items, error = [], f"too many items: {len(items)}"
                 rows += [(seq, source, url, k, t, link, p, s, tags, None) for k, (t, link, p, s, tags) in enumerate(items)]
                 if error:
                     rows.append((seq, source, url, -1, None, None, None, None, None, error))
@@ -93,7 +97,7 @@ def parse(landed: DataFrame) -> tuple[DataFrame, DataFrame]:
     empty = F.array().cast("array<string>")
     title, summary = decoded(F.col("title_raw")), decoded(F.col("summary_raw"))
     items = raw.where("error IS NULL").select(
-        (F.col("feed_seq") * 100_000 + F.col("item")).alias("seq"),
+        (F.shiftleft("feed_seq", ITEM_BITS) + F.col("item")).alias("seq"),
         title.alias("title"),
         urls.normalize(F.col("link"), F.col("feed_url")).alias("url"),
         "source_id",

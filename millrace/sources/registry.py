@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,12 +64,20 @@ def parse_yaml(text: str) -> dict:
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """The sources of a YAML file in order, as a table."""
-    with open(path, encoding="utf-8") as f:
-        listed = parse_yaml(f.read()).get("sources") or []
+    """The sources of a YAML file, or of all such files of a folder, as a table."""
+    return sources_of(spark.read.text(path, wholetext=True).select(F.col("value").alias("text")))
+
+
+def sources_of(documents: DataFrame) -> DataFrame:
+    """The sources that YAML documents (text) list, in the order of each list; lists that a source lacks are empty."""
     fields = [f.split(" ")[0] for f in SOURCE.split(", ")]
-    rows = [tuple(s.get(k, [] if k in ("feeds", "topics", "flags") else None) for k in fields) for s in listed]
-    return spark.createDataFrame(rows, SOURCE).coalesce(1)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            listed = [s for text in frame["text"] for s in parse_yaml(text or "").get("sources") or []]
+            yield pd.DataFrame([tuple(s.get(k, [] if k in ("feeds", "topics", "flags") else None) for k in fields) for s in listed], columns=fields)
+
+    return documents.select("text").mapInPandas(run, SOURCE)
 
 
 def usable(sources: DataFrame, ids: Sequence[str] | None = None, without_paywall: bool = True) -> DataFrame:
@@ -90,6 +99,12 @@ def fresh(cache: DataFrame, now, minutes: int = 15) -> DataFrame:
     return cache.where(F.col("fetched_at") + F.expr(f"INTERVAL {int(minutes)} MINUTES") > F.lit(now))
 
 
+def expired(cache: DataFrame, now, hours: int = 24) -> tuple[DataFrame, DataFrame]:
+    """Clears a cache: the rows that stay, and those that are older than so many hours and go."""
+    old = F.coalesce(F.col("fetched_at") < F.lit(now) - F.expr(f"INTERVAL {int(hours)} HOURS"), F.lit(False))
+    return cache.where(~old), cache.where(old)
+
+
 def with_source(items: DataFrame, sources: DataFrame, default_weight: int = 5) -> DataFrame:
     """Items with their source's name and weight, by default its id and ``default_weight``; Spark sends the small side everywhere."""
     known = sources.select(F.col("id").alias("source_id"), F.col("name").alias("__name"), F.col("weight").alias("__weight"))

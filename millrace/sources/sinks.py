@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Names of topics and texts of digests.
@@ -18,17 +19,22 @@ TOPIC_NAMES = {
     "ja": {"research": "研究 / 論文 / ラボ", "product": "製品 / モデル / リリース", "opensource": "オープンソース / ツール / エンジニアリング", "funding": "資金調達 / ビジネス", "policy": "政策 / 倫理 / 安全性", "other": "その他"},
 }
 WORDS = {
-    "zh": {"title": "AI 资讯", "items": "共 {n} 条", "failures": "抓取失败", "source": "来源", "also": "另见"},
-    "en": {"title": "AI News Digest", "items": "{n} items", "failures": "Failed sources", "source": "Source", "also": "Also in"},
-    "ja": {"title": "AI ニュース", "items": "全 {n} 件", "failures": "取得失敗", "source": "出典", "also": "関連"},
+    "zh": {"title": "AI 资讯", "items": "共 {n} 条", "failures": "抓取失败", "source": "来源", "also": "另见", "unknown": "未知"},
+    "en": {"title": "AI News Digest", "items": "{n} items", "failures": "Failed sources", "source": "Source", "also": "Also in", "unknown": "unknown"},
+    "ja": {"title": "AI ニュース", "items": "全 {n} 件", "failures": "取得失敗", "source": "出典", "also": "関連", "unknown": "不明"},
 }
 
 
+def shown_date(ts: Column, raw: Column, unknown: str) -> Column:
+    """A time as day and minute; what can't be read as its first ten signs, nothing as unknown."""
+    return F.coalesce(F.date_format(ts, "yyyy-MM-dd HH:mm"), F.substring(F.nullif(raw, F.lit("")), 1, 10), F.lit(unknown))
+
+
 def markdown(items: DataFrame, failures: DataFrame | None, date: str, language: str = "zh", topics: Sequence[str] = TOPICS) -> DataFrame:
     """One row, text: a digest with a section for each topic that has items, in order of topics and place, and the failures.
 
     items holds the selected rows only (topic, place, title, url, source_name,
-    published_raw, summary, mentions); their number is the digest's cap.
+    published_at, published_raw, summary, mentions); their number is the digest's cap.
     """
     words = WORDS.get(language, WORDS["zh"])
     names = TOPIC_NAMES.get(language, TOPIC_NAMES["zh"])
@@ -36,7 +42,7 @@ def markdown(items: DataFrame, failures: DataFrame | None, date: str, language:
     also = F.array_join(F.transform("mentions", lambda m: F.concat(F.lit("["), m["source_name"], F.lit("]("), m["url"], F.lit(")"))), ", ")
     line = F.concat(
         F.lit("- **["), F.col("title"), F.lit("]("), F.col("url"), F.lit(f")**  \n  {words['source']}: "), F.coalesce("source_name", F.lit("")),
-        F.when(F.col("published_raw") != "", F.concat(F.lit(" | "), F.col("published_raw"))).otherwise(""),
+        F.lit(" | "), shown_date(F.col("published_at"), F.col("published_raw"), words["unknown"]),
         F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit("  \n  "), F.col("summary"))).otherwise(""),
         F.when(F.size("mentions") > 0, F.concat(F.lit(f"  \n  {words['also']}: "), also)).otherwise(""),
     )
@@ -61,30 +67,99 @@ def append_lines(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def write_snapshot(df: DataFrame, path: str, day: str = "date") -> None:
-    """One day's rows replace that day's partition; other days stay."""
+def write_snapshot(df: DataFrame, path: str, day: str = "date", latest: str | None = None) -> None:
+    """One day's rows replace that day's partition, other days stay; ``latest`` names a table that they replace as a whole."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+    if latest:
+        replace_table(df, latest)
+
+
+def _folder(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict[str, str]:
+    """What a table consists of: a folder below ``path`` for each part.  No table: none."""
+    jvm, place, fs = _folder(spark, f"{path}/_manifest")
+    if not fs.exists(place):
+        return {}
+    stream = fs.open(place)
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode())
+    finally:
+        stream.close()
+
+
+def _swap_manifest(spark: SparkSession, path: str, parts: Mapping[str, str]) -> None:
+    """The one step that readers see: a file is renamed over the old one.  Folders that neither the old nor the new manifest names go."""
+    before = read_manifest(spark, path)
+    jvm, place, fs = _folder(spark, f"{path}/_manifest.{uuid.uuid4().hex}")
+    stream = fs.create(place, True)
+    stream.write(json.dumps(dict(parts)).encode())
+    stream.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri() if place.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(place), fs.makeQualified(jvm.org.apache.hadoop.fs.Path(f"{path}/_manifest")), options)
+    used = {f.partition("/")[0] for f in (*before.values(), *parts.values())}
+    for status in fs.listStatus(jvm.org.apache.hadoop.fs.Path(path)):
+        name = status.getPath().getName()
+        if status.isDirectory() and name.startswith("data-") and name not in used:
+            fs.delete(status.getPath(), True)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table that replace_table() or upsert_table() wrote, as its manifest now has it; None if there is none."""
+    parts = sorted(set(read_manifest(spark, path).values()))
+    return spark.read.parquet(*(f"{path}/{p}" for p in parts)) if parts else None
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Writes next to the path, then swaps: a reader sees the old or the new table."""
-    jvm = df.sparkSession.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
-    fresh, old = (jvm.org.apache.hadoop.fs.Path(f"{path}.{kind}-{uuid.uuid4().hex}") for kind in ("new", "old"))
-    df.write.parquet(fresh.toString())
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(fresh, target)
-    fs.delete(old, True)
+    """Writes a new folder, then names it in the manifest: readers see the old or the new table, and a stop in between leaves the old one.
+
+    The folder that the table had before stays until the next replacement, for readers that have begun.
+    """
+    name = f"data-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
+    _swap_manifest(df.sparkSession, path, {"all": name})
 
 
-def write_catalog(catalog: DataFrame, root: str) -> None:
-    """Two levels: a narrow table to search, and full entries by layer."""
-    catalog.select(
+def upsert_table(changes: DataFrame, path: str, key: str, order: str | None = None, buckets: int = 64) -> None:
+    """Merges rows into a table by key, the last wins; only the hash buckets that the rows fall into are written anew.
+
+    Doing it again with the same rows changes nothing, and a stop at any
+    point leaves the old or the new table.
+    """
+    from ..operators.merge import upsert
+
+    spark = changes.sparkSession
+    parts = read_manifest(spark, path)
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    fresh = upsert(changes.limit(0), changes, key, order)
+    touched = [r["b"] for r in fresh.select(bucket.alias("b")).distinct().collect()]  # at most as many as buckets
+    if not touched:
+        return
+    held = sorted(parts[str(b)] for b in touched if str(b) in parts)
+    if held:
+        fresh = upsert(spark.read.parquet(*(f"{path}/{p}" for p in held)).select(fresh.columns), fresh, key, order)
+    name = f"data-{uuid.uuid4().hex}"
+    fresh.withColumn("__bucket", bucket).repartition(len(touched), "__bucket").write.partitionBy("__bucket").parquet(f"{path}/{name}")
+    _swap_manifest(spark, path, parts | {str(b): f"{name}/__bucket={b}" for b in touched})
+
+
+def search_entries(catalog: DataFrame) -> DataFrame:
+    """What a search needs of each entry."""
+    return catalog.select(
         "layer", "name", "description", "table_comment", F.transform("columns", lambda c: F.array(c["name"], c["comment"])).alias("columns"),
         F.transform("partition_columns", lambda c: c["name"]).alias("partition_columns"), F.try_element_at(F.concat("sql_files", "doc_files"), F.lit(1)).alias("path"),
-    ).write.mode("overwrite").json(os.path.join(root, "search"))
+    )
+
+
+def write_catalog(catalog: DataFrame, root: str) -> None:
+    """Two levels: a narrow table to search, and full entries by layer."""
+    search_entries(catalog).write.mode("overwrite").json(os.path.join(root, "search"))
     catalog.write.mode("overwrite").partitionBy("layer").json(os.path.join(root, "full"))
 
 
@@ -95,6 +170,13 @@ def table_card(columns: Column, most: int = 10) -> Column:
     return F.concat(F.array_join(shown, ", "), F.when(rest > 0, F.concat(F.lit(", ...(+"), rest.cast("string"), F.lit(")"))).otherwise(""))
 
 
+def full_card(catalog: DataFrame, root: str = "full") -> DataFrame:
+    """layer, name and card of each entry: its columns, its partitions and where its details are."""
+    parts = F.array_join(F.transform("partition_columns", lambda c: c["name"]), ", ")
+    detail = F.concat(F.lit(f"{root}/layer="), "layer")
+    return catalog.select("layer", "name", F.concat_ws("\n", F.concat("layer", F.lit("."), "name"), F.concat(F.lit("columns: "), table_card(F.col("columns"))), F.when(parts != "", F.concat(F.lit("partitions: "), parts)), F.concat(F.lit("detail: "), detail)).alias("card"))
+
+
 def replace_block(text: str, begin: str, end: str, body: str) -> str:
     """The text with what stands between two marks replaced; without the marks, a block with them at its end."""
     block = f"{begin}\n{body}\n{end}"
@@ -120,3 +202,51 @@ def bookmark_rows(posts: DataFrame) -> DataFrame:
         P.metrics_line(m["like_count"], m["retweet_count"], m["reply_count"], m["impression_count"]).alias("metrics"),
         (F.size(F.coalesce("attachments.media_keys", F.array().cast("array<string>"))) > 0).alias("has_media"),
     )
+
+
+def following_rows(users: DataFrame, day: Column) -> DataFrame:
+    """Followed users as rows of a page sink, active and seen first and last on ``day``; what is missing is empty or 0."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    count = lambda c: F.coalesce(F.col(f"public_metrics.{c}"), F.lit(0)).cast("long")
+    return users.select(
+        F.coalesce(F.nullif("name", F.lit("")), F.col("username")).alias("Name"), F.col("username").alias("Username"), F.col("id").alias("User ID"), text("description").alias("Bio"),
+        count("followers_count").alias("Followers"), count("following_count").alias("Following"), count("tweet_count").alias("Tweets"), text("location").alias("Location"), text("url").alias("Website"),
+        F.lit("active").alias("Status"), day.alias("First Seen"), day.alias("Last Seen"), F.coalesce(F.regexp_extract("created_at", "^([^T]*)", 1), F.lit("")).alias("Created At"),
+    )
+
+
+#: The sink's properties with their types, and what its selects may hold.
+SINK_TYPES = {
+    "标题": "string", "类型": "string", "推文类型": "string", "作者": "string", "内容": "string", "URL": "string", "点赞": "long", "转发": "long", "粉丝数": "long",
+    "Tweet ID": "string", "conversation_id": "string", "原文ID": "string",
+}
+SINK_CHOICES = {"类型": ("关注", "推文", "书签"), "推文类型": ("原创", "长文", "线程", "回复", "引用")}
+
+
+def typed_rows(df: DataFrame, types: Mapping[str, str] = SINK_TYPES, choices: Mapping[str, Sequence[str]] = SINK_CHOICES) -> tuple[DataFrame, DataFrame]:
+    """Rows under a sink's typed schema, and those that it refuses with the columns that are wrong.
+
+    Columns that df lacks are null; a value that the type can't hold, or that
+    a select doesn't list, is wrong.
+    """
+    missing = [c for c in types if c not in df.columns]
+    rows = df.withColumns({c: F.lit(None).cast(types[c]) for c in missing})
+    cast = {c: F.col(f"`{c}`").try_cast(t) for c, t in types.items()}
+    bad = [F.when(F.col(f"`{c}`").isNotNull() & (x.isNull() | (~x.isin(*choices[c]) if c in choices else F.lit(False))), F.lit(c)) for c, x in cast.items()]
+    checked = rows.withColumn("__wrong", F.array_compact(F.array(*bad)))
+    fine = checked.where(F.size("__wrong") == 0).select(*(x.alias(c) for c, x in cast.items()))
+    return fine, checked.where(F.size("__wrong") > 0).select(*(F.col(f"`{c}`") for c in df.columns), F.col("__wrong").alias("wrong"))
+
+
+def posts_table(posts: DataFrame, order: str, most: int = 100) -> DataFrame:
+    """One row, text: the first ``most`` posts as a Markdown table (a digest's list, so it is bounded)."""
+    cell = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"\s+", " "), r"\|", r"\\|")
+    few = posts.orderBy(order).limit(most)
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", cell("author"), F.substring(cell("text"), 1, 100), cell("likes"), cell("url")), F.lit(" |"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda x: x["l"]), "\n")
+    return few.agg(F.concat(F.lit("| author | text | likes | link |\n|---|---|---|---|\n"), body).alias("text"))
+
+
+def card_counts(posts: DataFrame, topic: str, product: str = "product") -> DataFrame:
+    """The numbers of a digest's card: posts, topics and product releases."""
+    return posts.agg(F.count("*").alias("posts"), F.count_distinct(topic).alias("topics"), F.count_if(F.col(topic) == product).alias("products"))

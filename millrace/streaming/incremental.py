@@ -9,16 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.merge import upsert
 from ..plans import qalog
-from ..sources.files import exists
-from ..sources.sinks import replace_table
+from ..sources.sinks import read_table, replace_table, upsert_table, write_snapshot
 
 
-def read(spark: SparkSession, path: str, schema, format: str = "parquet", files_a_batch: int | None = None) -> DataFrame:
-    """A stream of the files that a folder gets; its checkpoint is the cursor."""
+def read(spark: SparkSession, path: str, schema, format: str = "parquet", files_a_batch: int | None = None, names: str | None = None) -> DataFrame:
+    """A stream of the files that a folder gets, or of those whose names fit a pattern; its checkpoint is the cursor."""
     reader = spark.readStream.format(format).schema(schema)
-    return (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).load(path)
+    if files_a_batch:
+        reader = reader.option("maxFilesPerTrigger", files_a_batch)
+    if names:
+        reader = reader.option("pathGlobFilter", names)
+    return reader.load(path)
 
 
 def distinct_ids(stream: DataFrame, id_: str, ts: str, delay: str) -> DataFrame:
@@ -31,16 +33,8 @@ def windowed_counts(stream: DataFrame, ts: str, size: str, delay: str, *keys: st
 
 
 def upsert_into(stream: DataFrame, path: str, key: str, checkpoint: str, order: str | None = None) -> StreamingQuery:
-    """Merges each batch into a table by key, the last wins; running a batch again changes nothing."""
-
-    def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        latest = upsert(batch.limit(0), batch, key, order)
-        if exists(spark, path):
-            latest = upsert(spark.read.parquet(path), latest, key, order)
-        replace_table(latest, path)
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Merges each batch into a table by key, the last wins; only the buckets of its keys are written, and running a batch again changes nothing."""
+    return stream.writeStream.foreachBatch(lambda batch, _: upsert_table(batch, path, key, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def since(rows: DataFrame, cursors: DataFrame, user: str, id_: str = "id") -> DataFrame:
@@ -56,23 +50,31 @@ def first_run_start(now: datetime, days: int = 30) -> datetime:
 
 def rotate_baseline(spark: SparkSession, latest: DataFrame, path: str, diff: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """The difference to the stored baseline, which the latest rows then replace."""
-    before = spark.read.parquet(path) if exists(spark, path) else latest.limit(0)
-    found = diff(latest, before).checkpoint()
+    before = read_table(spark, path)
+    found = diff(latest, latest.limit(0) if before is None else before).checkpoint()
     replace_table(latest, path)
     return found
 
 
 def when_due(stream: DataFrame, path: str, state: str, checkpoint: str, act: Callable[[DataFrame], None], least: int = 20) -> StreamingQuery:
-    """Appends log rows and calls ``act`` on the log once ``least`` rows are labelled, then again for as many new ones."""
+    """Adds log rows and calls ``act`` on the log once ``least`` rows are labelled, then again for as many new ones.
+
+    Rows and their labelled count are stored under their batch, so a batch
+    that runs again replaces what it wrote; counts add up in the state table
+    and the log isn't read for them.  ``act`` runs once a batch, or again if
+    a stop came between it and the note that it ran.
+    """
 
-    def step(batch: DataFrame, _: int) -> None:
+    def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("append").parquet(path)
-        log = spark.read.parquet(path)
-        seen = spark.read.parquet(state).agg(F.max("seen")).first()[0] if exists(spark, state) else 0
-        yes, labelled = qalog.due(log, seen, least)
-        if yes:
-            act(log)
-            replace_table(spark.createDataFrame([(labelled,)], "seen long"), state)
+        write_snapshot(batch.withColumn("batch", F.lit(number)), path, "batch")
+        new = batch.where(qalog.label_of(F.col("label")) != qalog.UNKNOWN).count()
+        upsert_table(spark.createDataFrame([(number, new, None)], "batch long, labelled long, acted_at long"), state, "batch")
+        known = read_table(spark, state).where(F.col("batch") <= number)
+        total = known.agg(F.sum("labelled")).first()[0]
+        seen = known.where(F.col("batch") < number).agg(F.coalesce(F.max("acted_at"), F.lit(0))).first()[0]
+        if total >= least and total - seen >= least:
+            act(spark.read.parquet(path).where(F.col("batch") <= number).drop("batch"))
+            upsert_table(spark.createDataFrame([(number, new, total)], "batch long, labelled long, acted_at long"), state, "batch")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

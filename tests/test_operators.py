@@ -3,7 +3,6 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from millrace import queries
 from millrace.operators import classify, dedupe, merge, profile, rank
 from millrace.plans import archive, catalog, digest, qalog, shapes, sqlcheck
 from millrace.schemas import ARTICLE, POST, QA
@@ -200,21 +199,32 @@ def test_archive(spark):
     assert archive.related(spark.createDataFrame([("Uses LLMs", "x"), ("no", "AI Bob"), (None, None)], "content string, displayName string"), ["llm", "ai"]).count() == 2
 
 
+DDL = [
+    ("/dw/01-ADS/订单汇总.sql", "CREATE TABLE IF NOT EXISTS ads.order_sum (\n id BIGINT COMMENT '编号', -- key\n amount DECIMAL(10, 2) COMMENT '金额, 元',\n PRIMARY KEY (id)\n) COMMENT '订单汇总表' PARTITIONED BY (dt STRING COMMENT '日期');"),
+    ("/dw/01-ADS/load.sql", "INSERT OVERWRITE TABLE order_sum SELECT id, sum(amount) FROM (SELECT *, row_number() over (partition by id, dt order by ts desc) rn FROM dwd.orders) o JOIN dim.shop s ON o.sid = s.sid WHERE rn = 1 GROUP BY id, o.dt;"),
+    ("/dw/02-DWD/orders.md", "# Orders\nCREATE TABLE dwd.orders (id BIGINT, sid BIGINT)"),
+]
+
+
+def small_catalog(spark):
+    return catalog.build(spark.createDataFrame(DDL, "path string, text string"))
+
+
 def test_catalog_and_search(spark, tmp_path):
-    made = {(r.layer, r.name): r for r in queries.QUERIES["catalog_build"](spark, "").collect()}
+    made = {(r.layer, r.name): r for r in small_catalog(spark).collect()}
     assert set(made) == {("ADS", "ads.order_sum"), ("DWD", "dwd.orders")} or set(made) == {("ADS", "ads.order_sum"), ("DWD", "dwd.orders"), ("ADS", "order_sum")}
     entry = made["ADS", "ads.order_sum"]
     assert entry.description == "订单汇总" and entry.table_comment == "订单汇总表" and [c.comment for c in entry.columns] == ["编号", "金额, 元"] and [c.name for c in entry.partition_columns] == ["dt"]
-    found = queries.QUERIES["catalog_search"](spark, "").collect()
+    found = catalog.search(small_catalog(spark), "统计 order 金额 dt").collect()
     assert found[0].name == "ads.order_sum" and found[0].score > found[-1].score
     assert catalog.query_tokens("查询 Order_ID 的 12 345 ＡＰＩ") == ["order_id", "id", "345", "api"]
-    sinks.write_catalog(queries._catalog(spark), str(tmp_path / "c"))
+    sinks.write_catalog(small_catalog(spark), str(tmp_path / "c"))
     assert spark.read.json(str(tmp_path / "c" / "search")).count() == len(made)
     (tmp_path / "dw" / "ADS").mkdir(parents=True)
     (tmp_path / "dw" / "ADS" / "t.sql").write_text("CREATE TABLE t (a INT)")
     (tmp_path / "dw" / "ADS" / "t.py").write_text("no")
     assert [r.text for r in files.text_tree(spark, str(tmp_path / "dw")).collect()] == ["CREATE TABLE t (a INT)"]
-    assert catalog.counts(queries._catalog(spark)).where("layer = 'ADS'").first().commented == 1
+    assert catalog.counts(small_catalog(spark)).where("layer = 'ADS'").first().commented == 1
 
 
 @pytest.mark.parametrize(
@@ -233,7 +243,7 @@ def test_catalog_and_search(spark, tmp_path):
     ],
 )
 def test_sql_checks(spark, sql, dialect, want):
-    got = sqlcheck.check(spark.createDataFrame([("p", sql)], "path string, sql string"), dialect, queries._catalog(spark))
+    got = sqlcheck.check(spark.createDataFrame([("p", sql)], "path string, sql string"), dialect, small_catalog(spark))
     assert {r.code for r in got.collect()} == want
 
 
@@ -271,7 +281,7 @@ def test_other_sources_and_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == 2
     sinks.replace_table(rows, str(tmp_path / "t"))
     sinks.replace_table(rows.withColumn("v", F.lit(7)), str(tmp_path / "t"))
-    assert [r.v for r in spark.read.parquet(str(tmp_path / "t")).collect()] == [7]
+    assert [r.v for r in sinks.read_table(spark, str(tmp_path / "t")).collect()] == [7]
     cards = spark.createDataFrame([([(f"c{k}", "int", "x" if k == 0 else None) for k in range(12)],)], "columns array<struct<name:string,type:string,comment:string>>")
     assert cards.select(sinks.table_card(F.col("columns")).alias("c")).first().c.endswith("c9, ...(+2)")
     tries = spark.createDataFrame([("a", 1, False), ("a", 2, True), ("a", 3, True), ("b", 1, False)], "source_id string, attempt int, success boolean")

@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from millrace.schemas import QA
+from millrace.sources import sinks
 from millrace.streaming import incremental
 
 SCHEMA = "id string, v long, ts timestamp"
@@ -18,10 +19,10 @@ def test_upserts_by_batch_equal_one_batch(spark, tmp_path):
     for rows in batches:
         land(spark, tmp_path, "x", rows)
         incremental.upsert_into(incremental.read(spark, f"{tmp_path}/in", SCHEMA), f"{tmp_path}/table", "id", f"{tmp_path}/check", "ts").awaitTermination()
-    got = {(r.id, r.v) for r in spark.read.parquet(f"{tmp_path}/table").collect()}
+    got = {(r.id, r.v) for r in sinks.read_table(spark, f"{tmp_path}/table").collect()}
     assert got == {("1", 3), ("2", 2), ("3", 1)}
     incremental.upsert_into(incremental.read(spark, f"{tmp_path}/in", SCHEMA), f"{tmp_path}/table", "id", f"{tmp_path}/check2", "ts").awaitTermination()
-    assert {(r.id, r.v) for r in spark.read.parquet(f"{tmp_path}/table").collect()} == got
+    assert {(r.id, r.v) for r in sinks.read_table(spark, f"{tmp_path}/table").collect()} == got
 
 
 def test_distinct_ids(spark, tmp_path):
@@ -43,6 +44,49 @@ def test_cursor_and_baseline(spark, tmp_path):
     assert incremental.first_run_start(datetime(2026, 1, 31)) == datetime(2026, 1, 1)
 
 
+def test_a_stop_before_the_swap_leaves_the_old_table(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/t"
+    rows = spark.createDataFrame([("1", 1), ("2", 1)], "id string, v long")
+    sinks.replace_table(rows, path)
+    held = sinks.read_table(spark, path)
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "_swap_manifest", lambda *_: (_ for _ in ()).throw(RuntimeError("stopped")))
+        for change in (lambda: sinks.replace_table(rows.withColumn("v", F.lit(7)), path), lambda: sinks.upsert_table(rows.withColumn("v", F.lit(7)), path, "id")):
+            try:
+                change()
+            except RuntimeError:
+                pass
+            assert {(r.id, r.v) for r in sinks.read_table(spark, path).collect()} == {("1", 1), ("2", 1)}
+    sinks.replace_table(rows.withColumn("v", F.lit(8)), path)
+    assert {r.v for r in sinks.read_table(spark, path).collect()} == {8} and held.count() == 2  # readers that had begun go on
+    assert sinks.read_table(spark, f"{tmp_path}/none") is None
+
+
+def test_upserts_write_only_the_buckets_of_their_keys(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    rows = spark.range(500).selectExpr("id", "id % 7 AS v")
+    sinks.upsert_table(rows, path, "id")
+    before = sinks.read_manifest(spark, path)
+    sinks.upsert_table(spark.createDataFrame([(3, 100), (1000, 1)], "id long, v long"), path, "id")
+    after = sinks.read_manifest(spark, path)
+    assert 1 <= sum(before[b] != after[b] for b in before) <= 2 and set(before) <= set(after)
+    got = {r.id: r.v for r in sinks.read_table(spark, path).collect()}
+    assert got == {k: k % 7 for k in range(500)} | {3: 100, 1000: 1}
+    sinks.upsert_table(spark.createDataFrame([(3, 100), (1000, 1)], "id long, v long"), path, "id")
+    assert {r.id: r.v for r in sinks.read_table(spark, path).collect()} == got
+
+
+def test_a_log_batch_that_runs_twice_counts_once(spark, tmp_path):
+    """The same files from a new checkpoint: batch 0 again."""
+    spark.createDataFrame([(f"{i}", "good") for i in range(25)], "id string, label string").coalesce(1).write.parquet(f"{tmp_path}/in")
+    seen = []
+    for k in range(2):
+        stream = incremental.read(spark, f"{tmp_path}/in", "id string, label string")
+        incremental.when_due(stream, f"{tmp_path}/log", f"{tmp_path}/state", f"{tmp_path}/check{k}", lambda log: seen.append(log.count())).awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/log").count() == 25 and set(seen) == {25}
+    assert [tuple(r) for r in sinks.read_table(spark, f"{tmp_path}/state").select("batch", "labelled", "acted_at").collect()] == [(0, 25, 25)]
+
+
 def test_threshold(spark, tmp_path):
     seen = []
     for k in range(3):
