@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: Rows of one Arrow batch.  Texts may be long, so batches stay far below Spark's default of 10,000.
 BATCH_ROWS = 1000
 
@@ -23,14 +24,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Session settings under which long texts cross to Python in bounded batches."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-            shared = f"/tmp/millrace-checkpoints-{os.getpid()}"
-        context.setCheckpointDir(shared)
+    shared_folder(spark)
     return spark
 
 

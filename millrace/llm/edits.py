@@ -28,16 +28,21 @@ class TokenTree:
     so the sums of log(size) nodes change for each of them.
     """
 
-    def __init__(self, pieces: list[str], tokens: np.ndarray):
-        self.build(pieces, tokens)
+    def __init__(self, text: str, chars: np.ndarray, tokens: np.ndarray):
+        """chars and tokens: how many code points of the text, and how many tokens, each pre-token has."""
+        self.build(text, chars, tokens)
 
-    def build(self, pieces: list[str], tokens: np.ndarray) -> None:
-        n = len(pieces)
+    def build(self, text: str, chars: np.ndarray, tokens: np.ndarray) -> None:
+        n = len(chars)
         self.size = 1 << max(n - 1, 0).bit_length()
-        self.first, self.count = pieces, n
+        self.text, self.count = text, n
+        self.bounds = np.zeros(n + 1, np.int64)
+        np.cumsum(chars, out=self.bounds[1:])
+        if int(self.bounds[-1]) != len(text):
+            raise ValueError("the leaves are not those of the text")
         self.changed: dict[int, tuple[list[str], list[int]]] = {}  # leaves that no longer hold their one pre-token
         self.chars, self.tokens = np.zeros(2 * self.size, np.int64), np.zeros(2 * self.size, np.int64)
-        self.chars[self.size : self.size + n] = np.fromiter(map(len, pieces), np.int64, n)
+        self.chars[self.size : self.size + n] = chars
         self.tokens[self.size : self.size + n] = tokens
         level = self.size
         while level > 1:
@@ -48,29 +53,29 @@ class TokenTree:
     def leaf(self, k: int) -> list[str]:
         """The pre-tokens of a leaf."""
         held = self.changed.get(k)
-        return held[0] if held is not None else [self.first[k]] if k < self.count else []
+        return held[0] if held is not None else [self.text[self.bounds[k] : self.bounds[k + 1]]] if k < self.count else []
 
-    def pieces(self) -> list[str]:
-        """All pre-tokens in order."""
-        if not self.changed:
-            return self.first
+    def _spliced(self, untouched, made) -> list:
+        """What lies between the changed leaves and what they hold, in order."""
         out, at = [], 0
         for k in sorted(self.changed):
-            out += self.first[at:k]
-            out += self.changed[k][0]
-            at = k + 1
-        return out + self.first[at:]
-
-    def piece_tokens(self) -> np.ndarray:
-        """The tokens of all pre-tokens in order."""
-        own = self.tokens[self.size : self.size + self.count]
+            out += [untouched(at, k), made(k)]
+            at = min(k + 1, self.count)
+        return [*out, untouched(at, self.count)]
+
+    def whole(self) -> tuple[str, np.ndarray, np.ndarray]:
+        """The text, and the code points and tokens of all its pre-tokens in order."""
+        own_chars, own_tokens = (sums[self.size : self.size + self.count] for sums in (self.chars, self.tokens))
         if not self.changed:
-            return own.copy()
-        out, at = [], 0
-        for k in sorted(self.changed):
-            out += [own[at:k], np.array(self.changed[k][1], np.int64)]
-            at = k + 1
-        return np.concatenate([*out, own[at:]])
+            return self.text, own_chars.copy(), own_tokens.copy()
+        text = "".join(self._spliced(lambda a, b: self.text[self.bounds[a] : self.bounds[max(a, b)]], lambda k: "".join(self.changed[k][0])))
+        chars = np.concatenate(self._spliced(lambda a, b: own_chars[a:b], lambda k: np.fromiter(map(len, self.changed[k][0]), np.int64)))
+        tokens = np.concatenate(self._spliced(lambda a, b: own_tokens[a:b], lambda k: np.array(self.changed[k][1], np.int64)))
+        return text, chars, tokens
+
+    @property
+    def n_pieces(self) -> int:
+        return self.count + sum(len(own) - (k < self.count) for k, (own, _) in self.changed.items())
 
     def find(self, at: int) -> tuple[int, int]:
         """The leaf that holds code point ``at`` and the code points before that leaf; the last filled leaf if there are no more."""
@@ -151,69 +156,105 @@ class TokenTree:
             self.chars[path] += more[0]
             self.tokens[path] += more[1]
         if len(pieces) > CROWDED:
-            self.build(self.pieces(), self.piece_tokens())
+            self.build(*self.whole())
 
 
-def _recounted(code: Encoder, texts: list[str], edits: list[list[dict]]) -> Iterator[tuple[TokenTree, int, int, int]]:
-    """For each text: its tree after the edits, tokens before, edits made and pre-tokens matched again."""
+def leaves_of(code: Encoder, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text: the code points and the tokens of its pre-tokens."""
     split = [code.pieces(t) for t in texts]
     code.learn(chain.from_iterable(split))
     known = code.memo.__getitem__
-    trees = [TokenTree(s, np.fromiter(map(len, map(known, s)), np.int64, len(s)) // 4) for s in split]
+    return [(np.fromiter(map(len, s), np.int64, len(s)), np.fromiter(map(len, map(known, s)), np.int64, len(s)) // 4) for s in split]
+
+
+def recount(code: Encoder, trees: list[TokenTree], edits: list[list[dict]]) -> list[tuple[int, int, int]]:
+    """Makes each tree's edits in order; returns tokens before, edits made and pre-tokens matched again.
+
+    All trees' nth edits are planned together, so that new pre-tokens are
+    merged together.  What an edit doesn't touch is neither matched nor encoded.
+    """
     before = [int(t.tokens[1]) for t in trees]
-    again = [0] * len(texts)
+    again = [0] * len(trees)
     pattern = code.pattern
-    for turn in range(max(map(len, edits), default=0)):  # all documents' nth edits together, so that new pre-tokens are merged together
+    for turn in range(max(map(len, edits), default=0)):
         plans = [(d, trees[d].plan(pattern, e[turn]["start"] or 0, e[turn]["end"] or 0, e[turn]["text"] or "")) for d, e in enumerate(edits) if turn < len(e) and e[turn] is not None]
-        code.learn((p for _, (_, _, pieces, _, _) in plans for p in pieces), keep=True)
+        code.learn((p for _, (_, _, pieces, _, _) in plans for p in pieces), keep=turn > 0)
         for d, (leaf, last, pieces, kept, after) in plans:
             trees[d].put(leaf, last, pieces, [len(code.memo[p]) // 4 for p in pieces])
             again[d] += len(pieces) - kept - after
-    for d, tree in enumerate(trees):
-        yield tree, before[d], len(edits[d]), again[d]
+    return [(b, len(e), n) for b, e, n in zip(before, edits, again, strict=True)]
+
+
+STATE = "doc_id long, text string, piece_chars array<int>, piece_tokens array<int>"
+COUNTED = ("n_tokens_before", "n_edits", "n_recounted", "n_pieces", "n_tokens")
+
+
+def _arrays(parts: list[np.ndarray]) -> pa.ListArray:
+    sizes = np.array([len(x) for x in parts], np.int64)
+    return lists(np.concatenate(parts).astype(np.int32) if len(parts) else np.zeros(0, np.int32), sizes, pa.int32())
+
+
+def count(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """The leaves of every whole text, to be stored: doc_id, text, piece_chars and piece_tokens.
+
+    n_tokens of a text is the sum of piece_tokens.  A null text counts as
+    empty and has no leaves; rows that repeat are counted each for itself; a
+    text of any length is counted whole; an empty table gives an empty
+    result; other columns are not read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = encoder(path, pattern)
+        for batch in gathered(batches, "text", 4 << 20):
+            found = leaves_of(code, batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), _arrays([c for c, _ in found]), _arrays([t for _, t in found])], ["doc_id", "text", "piece_chars", "piece_tokens"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, STATE)
 
 
-def token_counts(docs: DataFrame, path: str, pattern: str, edits_column: str = "edits", with_tree: bool = True) -> DataFrame:
-    """Token counts before and after edits, and the pre-tokens that carry them.
+def edit(state: DataFrame, path: str, pattern: str, edits_column: str = "edits") -> DataFrame:
+    """Token counts after edits of counted texts, from their stored leaves: the state after them and COUNTED.
 
-    Each row's edits, an array of (start, end, text), are made in order: code
-    points [start, end) of the text as the edits before left it are replaced.
-    Returns doc_id, n_tokens_before, n_edits, n_recounted (pre-tokens matched
-    again), n_pieces and n_tokens after all edits, and, with ``with_tree``,
-    piece_chars and piece_tokens, the leaves of the tree.
+    state has doc_id, text, piece_chars and piece_tokens, as count() or an
+    earlier edit() gave them, and each row's edits, an array of (start, end,
+    text), made in order: code points [start, end) of the text as the edits
+    before left it are replaced.  Trees are built from the leaves; only what
+    an edit touches, and the code points around it that a match may look at,
+    is matched and encoded.  Returns doc_id, text, piece_chars and
+    piece_tokens after all edits, n_tokens_before, n_edits, n_recounted
+    (pre-tokens matched again), n_pieces and n_tokens.
 
     A null text counts as empty; null edits are none, and a null place in one
     is 0, a null text empty; places beyond the text mean its end; rows that
-    repeat are counted each for itself; an empty table gives an empty result.
+    repeat are edited each for itself; leaves that don't add up to the text
+    fail the job; an empty table gives an empty result.
     """
-    names = ["doc_id", "n_tokens_before", "n_edits", "n_recounted", "n_pieces", "n_tokens"]
-    schema = ", ".join(f"{n} long" for n in names) + ", piece_chars array<int>, piece_tokens array<int>" * with_tree
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path, pattern)
         for batch in gathered(batches, "text", 4 << 20):
-            rows, chars, tokens = [], [], []
-            for tree, before, n, again in _recounted(code, batch.column("text").to_pylist(), [e or [] for e in batch.column("edits").to_pylist()]):
-                size = tree.count + sum(len(own) - (k < tree.count) for k, (own, _) in tree.changed.items())
-                rows.append((before, n, again, size, int(tree.tokens[1])))
-                if with_tree:
-                    chars.append(np.fromiter(map(len, tree.pieces()), np.int32, size))
-                    tokens.append(tree.piece_tokens().astype(np.int32))
-            leaves = [lists(np.concatenate(x), np.array([len(c) for c in chars], np.int64), pa.int32()) for x in (chars, tokens)] if with_tree else []
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in zip(*rows, strict=True)), *leaves], [*names, *["piece_chars", "piece_tokens"][: len(leaves)]])
+            columns = [batch.column(c) for c in ("piece_chars", "piece_tokens")]
+            flat = [c.flatten().to_numpy(zero_copy_only=False) for c in columns]
+            ends = np.cumsum(columns[0].value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            trees = [TokenTree(text or "", flat[0][a:b], flat[1][a:b]) for text, a, b in zip(batch.column("text").to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            numbers = recount(code, trees, [e or [] for e in batch.column("edits").to_pylist()])
+            after = [t.whole() for t in trees]
+            counts = [(*x, t.n_pieces, int(t.tokens[1])) for x, t in zip(numbers, trees, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([x for x, _, _ in after], pa.string()), _arrays([c for _, c, _ in after]), _arrays([t for _, _, t in after]), *(pa.array(x, pa.int64()) for x in zip(*counts, strict=True))],
+                ["doc_id", "text", "piece_chars", "piece_tokens", *COUNTED],
+            )
 
     kind = "array<struct<start:int,end:int,text:string>>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.col(edits_column).cast(kind).alias("edits")).mapInArrow(run, schema)
+    none = F.array().cast("array<int>")
+    rows = state.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *(F.coalesce(c, none).alias(c) for c in ("piece_chars", "piece_tokens")), F.col(edits_column).cast(kind).alias("edits"))
+    return rows.mapInArrow(run, f"{STATE}, " + ", ".join(f"{n} long" for n in COUNTED))
 
 
-def revision(docs: DataFrame) -> DataFrame:
-    """doc_id, text and edits of a fixed revision: a cut a third in, an insertion in the middle, a new beginning and a new end."""
+def revised(docs: DataFrame) -> DataFrame:
+    """docs with edits, a fixed revision: a cut a third in, an insertion in the middle, a new beginning and a new end."""
     n = F.length(text_or_empty())
     third, half = (n / 3).cast("int"), (n / 2).cast("int")
-    edit = lambda start, end, text: F.struct(start.alias("start"), end.alias("end"), F.lit(text).alias("text"))
+    edit_ = lambda start, end, text: F.struct(start.alias("start"), end.alias("end"), F.lit(text).alias("text"))
     far = F.lit(2**31 - 1)
-    return docs.select(
-        "doc_id",
-        text_or_empty().alias("text"),
-        F.array(edit(third, third + 7, ""), edit(half, half, " we've revised"), edit(F.lit(0), F.lit(1), "It's "), edit(far, far, "\n\nEnd 2026.")).alias("edits"),
-    )
+    return docs.withColumn("edits", F.array(edit_(third, third + 7, ""), edit_(half, half, " we've revised"), edit_(F.lit(0), F.lit(1), "It's "), edit_(far, far, "\n\nEnd 2026.")))

@@ -45,4 +45,42 @@ SELECT d.doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, CAST((length(h) - len
 FROM d JOIN t ON t.doc_id = d.doc_id
 """
 
-QUERIES = {"op3_histogram_top_k": OP3, "op7_multi_order_jaccard": OP7, "op8_prefix_free_dedup": OP8}
+OP9 = """
+WITH table_ AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+d AS (SELECT doc_id, CAST(length(h) / 2 AS BIGINT) + 16 AS size,
+  xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(h, '..'), lambda b: CAST('0x' || b AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM h, table_),
+k AS (SELECT DISTINCT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key FROM documents),
+w AS (SELECT doc_id, key, s, -ln((CAST('0x' || substr(md5(s || ':' || key), 1, 13) AS BIGINT) + 0.5) / 4503599627370496) AS draw FROM k, range(41) AS r(s)),
+p AS (SELECT doc_id, CAST(arg_min(s, draw) FILTER (WHERE s < 40) AS INTEGER) AS shard, CAST(arg_min(s, draw) AS INTEGER) AS grown_shard, any_value(substr(md5('slot:' || key), 1, 2)) AS bucket FROM w GROUP BY doc_id)
+SELECT d.doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, d.doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM d JOIN p ON p.doc_id IS NOT DISTINCT FROM d.doc_id
+"""
+
+BASE5 = """
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: {'p': i, 'g': array_to_string(w[i:i + 4], ' ')}), recursive := true) FROM w WHERE len(w) >= 5),
+r AS (SELECT doc_id, p FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+c AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM r, range(5) AS z(k) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM w)
+SELECT w.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(w) < 10 OR 100 * coalesce(c.n, 0) > 20 * len(w) AS base_failed
+FROM w JOIN l ON l.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = w.doc_id
+"""
+
+_KINDS = {
+    "assign": (1, "(?i:password|passwd|secret|token|api_?key)[\\x22\\x27]?\\x20*[:=]\\x20*[\\x22\\x27]?([A-Za-z0-9+/_.=-]+)", 1, 6),
+    "access": (2, "AKIA[A-Z0-9]+", 0, 20),
+    "hex": (3, "[0-9a-f]+", 0, 24),
+}
+_SPANS = " UNION ALL ".join(
+    f"""SELECT doc_id, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'a': coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0), 'n': length(m[i]), 'x': length(x[i])}}), recursive := true), {order} AS o, '{kind}' AS kind, {least} AS least
+  FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS x, regexp_split_to_array(t, '{pattern}') AS g FROM t WHERE regexp_matches(t, '{pattern}'))"""
+    for kind, (order, pattern, group, least) in _KINDS.items()
+)
+BASE6 = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({_SPANS}), k AS (SELECT doc_id, CAST(a AS BIGINT) AS a, CAST(a + n AS BIGINT) AS b, o, kind FROM s WHERE x >= least)
+SELECT t.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, o), '')) AS base_sha256 FROM t LEFT JOIN k ON k.doc_id = t.doc_id GROUP BY t.doc_id
+"""
+
+QUERIES = {"op3_histogram_top_k": OP3, "op7_multi_order_jaccard": OP7, "op8_prefix_free_dedup": OP8, "op9_hash_tree_shards": OP9, "base_of_op5": BASE5, "base_of_op6": BASE6}

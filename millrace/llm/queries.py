@@ -41,8 +41,11 @@ def op3_histogram_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    revised = edits.revision(read(spark, sf_dir, "documents"))
-    return edits.token_counts(revised, _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_tree=False)
+    path = _vocabulary("byte_bpe_50k.tiktoken")
+    counted = edits.revised(edits.count(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
+    after = edits.edit(counted, path, public_tokenizers.PATTERN)
+    leaves = F.sha2(F.array_join(F.col("piece_tokens").cast("array<string>"), ",").cast("binary"), 256)
+    return after.select("doc_id", *edits.COUNTED, leaves.alias("leaves_sha256"))
 
 
 def op5_monotone_tree_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +65,16 @@ def op6_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def base_of_op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5 that SQL can express."""
+    return op5_monotone_tree_rules(spark, sf_dir).drop("kept")
+
+
+def base_of_op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that SQL can express."""
+    return op6_randomness_secrets(spark, sf_dir).drop("spans")
+
+
 def op7_multi_order_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     membership, _ = jaccard.jaccard_join(read(spark, sf_dir, "documents"), k=5, percent=80)
     return membership.select("doc_id", "n_shingles", "component_id")
@@ -91,7 +104,7 @@ def op10_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cotrained_quality, op2_byte_bpe, op3_histogram_top_k, op4_edit_token_counts, op5_monotone_tree_rules, op6_randomness_secrets, op7_multi_order_jaccard, op8_prefix_free_dedup, op9_hash_tree_shards, op10_binary_packing)}
+    return {f.__name__: f for f in (op1_cotrained_quality, op2_byte_bpe, op3_histogram_top_k, op4_edit_token_counts, op5_monotone_tree_rules, op6_randomness_secrets, op7_multi_order_jaccard, op8_prefix_free_dedup, op9_hash_tree_shards, op10_binary_packing, base_of_op5, base_of_op6)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,104 +2,110 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Shards of a full region and of a full rack.
-REGION, RACK = 16, 4
-DRAW = 1 << 32
-
-
-def _draw(key: Column, level: str, node: Column) -> Column:
-    """An integer in [0, 2**32) for a key at a node: 32 bits of an MD5."""
-    name = F.concat(F.lit(level), node.cast("string"), F.lit(":"), key)
-    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long")
-
-
-def _claims(draw: Column, before: Column, upto: Column) -> Column:
-    """A subtree with shards [before, upto) takes the key from all older subtrees with odds (upto - before) : before."""
-    return draw * upto >= before * F.lit(DRAW)
-
-
-def _entry(draw: Column, before: Column) -> Column:
-    """The shard whose weight, when it was added, drew the key into the subtree: the least k with draw >= before / (k + 1)."""
-    return F.when(before == 0, F.lit(0).cast("long")).otherwise(F.call_function("div", before * F.lit(DRAW) + draw - 1, F.greatest(draw, F.lit(1).cast("long"))) - 1)
-
+#: Racks of a full region and shards of a full rack.
+REGION, RACK = 4, 4
+#: Hex digits of an MD5 that a draw uses: as many bits as a double holds.
+DIGITS = 13
+#: Region, rack, shard: weight.
+Tree = Mapping[int, Mapping[int, Mapping[int, float]]]
 
-def _long(x: int) -> Column:
-    return F.lit(x).cast("long")
 
-
-def _floor(x: Column, unit: int) -> Column:
-    return F.call_function("div", x, _long(unit)) * unit
-
-
-def with_shard(df: DataFrame, key: Column, shards: int, out: str) -> DataFrame:
-    """Adds ``out``: the shard of ``key`` among ``shards``.
-
-    The tree holds regions of 16 shards and racks of 4; a node's weight is the
-    number of shards below it.  At each level the newest subtree draws first:
-    it claims the key when its hash draw falls into its share of the weight
-    so far.  The draw also tells which unit of weight made the claim, and
-    only subtrees newer than that unit draw at the next level.  Raising one
-    weight therefore moves keys into the added unit and nowhere else, and a
-    subtree with unchanged weights keeps its keys unless that unit takes them.
-    """
+def even_tree(shards: int) -> dict[int, dict[int, dict[int, float]]]:
+    """Shards of weight 1 in racks of 4 and regions of 16, filled in order."""
     if shards < 1:
         raise ValueError("shards must be positive")
+    tree: dict[int, dict[int, dict[int, float]]] = {}
+    for s in range(shards):
+        rack = s // RACK
+        tree.setdefault(rack // REGION, {}).setdefault(rack, {})[s] = 1.0
+    return tree
+
+
+def weighted(tree: Tree, regions: Mapping[int, float] | None = None, racks: Mapping[int, float] | None = None) -> dict[int, dict[int, dict[int, float]]]:
+    """The tree with some regions or racks brought to a weight of their own, shared by what is below them as before."""
+    out = {}
+    for r, held in tree.items():
+        below = {}
+        for k, shards in held.items():
+            scale = (racks or {}).get(k, total := sum(shards.values())) / total if shards else 1.0
+            below[k] = {s: w * scale for s, w in shards.items()}
+        whole = sum(sum(shards.values()) for shards in below.values())
+        scale = (regions or {}).get(r, whole) / whole if whole else 1.0
+        out[r] = {k: {s: w * scale for s, w in shards.items()} for k, shards in below.items()}
+    return out
+
+
+def with_shard(df: DataFrame, key: Column, tree: Tree, out: str) -> DataFrame:
+    """Adds ``out``: the shard of ``key`` in the tree; shards of weight 0 get nothing.
+
+    Every shard draws -ln(u) / weight, u being hashed from its number and the
+    key; a rack draws the least of its shards' draws and a region the least of
+    its racks'.  A subtree's draw is then exponential at the rate of its whole
+    weight, so that descending to the least region, its least rack and its
+    least shard gives every subtree its share.  Draws depend on nothing else:
+    where a weight rises, keys move into that shard alone, where it falls,
+    out of it alone, and every subtree whose weights stay keeps all others.
+    """
     name = F.coalesce(key.cast("string"), F.lit("null"))
-    n = _long(shards)
+    leaves = [[[(s, float(w)) for s, w in sorted(shards.items()) if w > 0] for _, shards in sorted(held.items())] for _, held in sorted(tree.items())]
+    leaves = [kept for held in leaves if (kept := [rack for rack in held if rack])]
+    if not leaves:
+        raise ValueError("no shard has a weight")
+    table = F.array(*(F.array(*(F.array(*(F.struct(F.lit(s).alias("shard"), F.lit(w).alias("weight")) for s, w in rack)) for rack in held)) for held in leaves))
 
-    def region(held: Column, r: Column) -> Column:
-        before, draw = r * REGION, _draw(name, "region", r)
-        return F.when(_claims(draw, before, F.least(before + REGION, n)), _entry(draw, before)).otherwise(held)
+    def draw(leaf: Column) -> Column:
+        digits = F.substring(F.md5(F.concat(leaf["shard"].cast("string"), F.lit(":"), name).cast("binary")), 1, DIGITS)
+        u = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(16**DIGITS)
+        return F.struct((-F.log(u) / leaf["weight"]).alias("draw"), leaf["shard"].alias("shard"))
 
-    def rack(held: Column, j: Column) -> Column:
-        before = _floor(held, REGION) + j * RACK
-        draw = _draw(name, "rack", F.call_function("div", before, _long(RACK)))
-        return F.when((before > held) & (before < n) & _claims(draw, before, F.least(before + RACK, n)), _entry(draw, before)).otherwise(held)
+    def least(nodes: Column, below) -> Column:
+        return F.array_min(F.transform(nodes, below))
 
-    def shard(held: Column, j: Column) -> Column:
-        s = _floor(held, RACK) + j
-        return F.when((s > held) & (s < n) & _claims(_draw(name, "shard", s), s, s + 1), s).otherwise(held)
+    found = least(table, lambda region: least(region, lambda rack: least(rack, draw)))
+    return df.withColumn(out, found["shard"].cast("int"))
 
-    held = _long(0)  # at each level from the oldest node to the newest, which has the last word
-    for level, nodes in ((region, -(-shards // REGION)), (rack, REGION // RACK), (shard, RACK)):
-        if nodes > 1:
-            held = F.aggregate(F.sequence(_long(1), _long(nodes - 1)), held, level)
-    return df.withColumn(out, held.cast("int"))
 
+#: Rows of one key that are written out at once.
+CHUNK = 1000
 
-def assign(docs: DataFrame, shards: int = 40, slot_buckets: int = 64) -> DataFrame:
+
+def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is ``key``: doc_id and the number of shards alone decide, and
     grown_shard is the shard among ``shards`` + 1.  size is the text's UTF-8
     bytes plus 16.  slot numbers a shard's rows from 0 without gaps: rows are
-    ranked within hash buckets of the shard, and counts of the at most
-    shards * slot_buckets buckets give each bucket's first slot, so that no
-    task sorts a whole shard and texts are never shuffled.
+    numbered within 256 hash buckets of the shard, and counts of the buckets
+    give each bucket's first slot, so that no task sorts a whole shard and
+    texts are never shuffled.
 
     A null text counts as empty (size 16, checksum 0); rows with null doc_id
-    share one shard; repeated rows stay, each with its own slot; an empty
-    table gives an empty result.
+    share one shard; repeated rows stay, each with its own slot: equal ones
+    are counted first, numbered together and written out in chunks that
+    spread over tasks, so that one that makes up much of the table is no
+    one task's; an empty table gives an empty result; other columns are not
+    read.
     """
     body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(body) + 16).cast("long").alias("size"),
-        F.crc32(body).alias("text_crc32"),
-    )
-    rows = with_shard(with_shard(rows, F.col("doc_id"), shards, "shard"), F.col("doc_id"), shards + 1, "grown_shard")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(9)), F.lit(slot_buckets)))
-    counts = rows.groupBy("shard", "bucket").count()
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
+    rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    rows = with_shard(with_shard(rows, F.col("doc_id"), even_tree(shards), "shard"), F.col("doc_id"), even_tree(shards + 1), "grown_shard")
+    place = F.md5(F.concat(F.lit("slot:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    rows = rows.withColumn("bucket", F.conv(F.substring(place, 1, 2), 16, 10).cast("int")).checkpoint()
+    counts = rows.groupBy("shard", "bucket").agg(F.sum("n").alias("n"))  # at most shards * 256 rows, whatever the input
+    upto = Window.partitionBy("shard").orderBy("bucket")
+    first = counts.select("shard", "bucket", (F.sum("n").over(upto) - F.col("n")).alias("first"))
     within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("rank", F.row_number().over(within))
-    # at most shards * slot_buckets rows, whatever the input
-    return ranked.join(F.broadcast(first), ["shard", "bucket"]).select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("rank") - 1).cast("long").alias("slot"), F.col("grown_shard").cast(T.IntegerType())
+    numbered = rows.withColumn("own", F.sum("n").over(within) - F.col("n")).join(F.broadcast(first), ["shard", "bucket"])
+    chunks = numbered.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {CHUNK}")))).hint("rebalance")
+    each = chunks.withColumn("k", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("n"), (F.col("chunk") + 1) * CHUNK) - 1)))
+    return each.select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("own") + F.col("k")).cast("long").alias("slot"), F.col("grown_shard").cast(T.IntegerType())
     )

@@ -149,19 +149,39 @@ def test_edits_equal_full_recount():
         made.append(own)
         final.append(text)
     code = bpe.encoder(PLAIN, P.PATTERN)
-    for (tree, before, n, _), start, end, own in zip(edits._recounted(code, texts, made), texts, final, made, strict=True):
-        pieces = tree.pieces()
-        assert pieces == code.pieces(end) and n == len(own)
-        assert (before, tree.tokens[1], tree.chars[1]) == (len(REFERENCE_PLAIN.encode_ordinary(start)), len(REFERENCE_PLAIN.encode_ordinary(end)), len(end))
+    trees = [edits.TokenTree(t, *leaves) for t, leaves in zip(texts, edits.leaves_of(code, texts), strict=True)]
+    for tree, (before, n, _), start, end, own in zip(trees, edits.recount(code, trees, made), texts, final, made, strict=True):
+        text, chars, tokens = tree.whole()
+        assert text == end and chars.tolist() == [len(p) for p in code.pieces(end)] and n == len(own) and tree.n_pieces == len(chars)
+        assert (before, tree.tokens[1], tokens.sum(), tree.chars[1]) == (len(REFERENCE_PLAIN.encode_ordinary(start)), *[len(REFERENCE_PLAIN.encode_ordinary(end))] * 2, len(end))
+
+
+def test_stored_leaves_spare_encoding(spark, monkeypatch):
+    """Edits of a counted text encode what they touch and nothing else, from call to call."""
+    texts = ["many common words in a row " * 300, "x", None]
+    counted = edits.count(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PLAIN, P.PATTERN).collect()
+    code = bpe.Encoder(bpe.Vocabulary(PLAIN), P.PATTERN)
+    trees = [edits.TokenTree(r.text, np.array(r.piece_chars, np.int64), np.array(r.piece_tokens, np.int64)) for r in counted]
+    asked = []
+    learn = code.learn
+    monkeypatch.setattr(code, "learn", lambda pieces, keep=False: learn(asked.extend(p := list(pieces)) or p, keep))
+    for _ in range(3):
+        numbers = edits.recount(code, trees, [[{"start": 4000, "end": 4004, "text": "other"}], [], []])
+        assert numbers[0][2] < 12
+    assert len(asked) < 60 and trees[0].tokens[1] == len(REFERENCE_PLAIN.encode_ordinary(trees[0].whole()[0]))
 
 
 def test_edit_counts_rows(odd_docs, no_docs, spark):
-    rows = edits.token_counts(edits.revision(odd_docs), PLAIN, P.PATTERN).collect()
+    counted = edits.count(odd_docs, PLAIN, P.PATTERN)
+    once = edits.edit(edits.revised(counted), PLAIN, P.PATTERN)
     texts = {r.doc_id: r.text or "" for r in odd_docs.collect()}
-    for r in rows:
-        if r.doc_id is not None:
-            assert r.n_tokens_before == len(REFERENCE_PLAIN.encode_ordinary(texts[r.doc_id]))
-            assert r.n_tokens == sum(r.piece_tokens) and r.n_pieces == len(r.piece_chars) and r.n_edits == 4
-    assert len(rows) == odd_docs.count() and edits.token_counts(edits.revision(no_docs), PLAIN, P.PATTERN).count() == 0
-    none = spark.createDataFrame([(1, "abc", None), (2, None, [(None, None, None)])], "doc_id long, text string, edits array<struct<start:int,end:int,text:string>>")
-    assert {(r.doc_id, r.n_edits, r.n_tokens) for r in edits.token_counts(none, PLAIN, P.PATTERN).collect()} == {(1, 0, len(REFERENCE_PLAIN.encode_ordinary("abc"))), (2, 1, 0)}
+    for rows, n in ((once, 1), (edits.edit(edits.revised(once.select("doc_id", "text", "piece_chars", "piece_tokens")), PLAIN, P.PATTERN), 2)):
+        got = rows.collect()
+        assert len(got) == odd_docs.count()
+        for r in got:
+            assert r.n_tokens == sum(r.piece_tokens) == len(REFERENCE_PLAIN.encode_ordinary(r.text)) and r.n_pieces == len(r.piece_chars) and r.n_edits == 4
+            if r.doc_id is not None and n == 1:
+                assert r.n_tokens_before == len(REFERENCE_PLAIN.encode_ordinary(texts[r.doc_id])) and r.text.startswith("It's ")
+    assert edits.edit(edits.revised(edits.count(no_docs, PLAIN, P.PATTERN)), PLAIN, P.PATTERN).count() == 0
+    none = spark.createDataFrame([(1, "abc", [3], [1], None), (2, None, None, None, [(None, None, None)])], "doc_id long, text string, piece_chars array<int>, piece_tokens array<int>, edits array<struct<start:int,end:int,text:string>>")
+    assert {(r.doc_id, r.n_edits, r.n_tokens) for r in edits.edit(none, PLAIN, P.PATTERN).collect()} == {(1, 0, 1), (2, 1, 0)}
