@@ -12,8 +12,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from ._common import lists, pieces_of, text_or_empty, trim
-from ._links import components
 from ._shingles import forget, mix, shingle_sets, shingles
 
 #: Seeds of the orders that lead to the first candidates, and of those that a pair's prefixes must also share tokens under.
@@ -72,10 +72,12 @@ def count_sketch(docs: DataFrame, k: int, bits: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, percent: int, shared: Broadcast) -> DataFrame:
-    """doc_id, n, set_hash, rare, tops and prefix of every document.
+    """doc_id, n, set_hash, rare, tops, prefix and filters of every document.
 
     prefix: the tokens of the set that come first by corpus count (then by
-    value), as many as a linked set must share one of.  tops: the first token
+    value), as many as a linked set must share one of.  filters: 16 bits of
+    each of the as many tokens that come first under the filter orders, one
+    order after the other.  tops: the first token
     under each of the star orders.  rare: how many tokens are in the lower
     half of the counts that this set has.  shared: the table of count_sketch().
     """
@@ -102,17 +104,24 @@ def signatures(docs: DataFrame, k: int, percent: int, shared: Broadcast) -> Data
                     if len(full):
                         scattered = mix(grams, seed)
                         tops[full, j] = np.minimum.reduceat(scattered, starts[full]).view(np.int64)
+                filters = np.zeros((len(FILTER_SEEDS), int(take.sum())), "<u2")
+                bounds = np.concatenate([[0], np.cumsum(take)])
+                for j, seed in enumerate(FILTER_SEEDS):
+                    scattered = mix(grams, seed)
+                    for d in full.tolist():
+                        filters[j, bounds[d] : bounds[d + 1]] = np.partition(scattered[starts[d] : ends[d]], take[d] - 1)[: take[d]] & np.uint64(0xFFFF)
+                several = [filters[:, a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 rare = np.zeros(len(n), np.int64)
                 if len(full):
                     rare[full] = np.add.reduceat((counts < 40).astype(np.int64), starts[full])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(hashes, pa.binary()), pa.array(rare), lists(tops.ravel(), np.full(len(n), len(STAR_SEEDS)), pa.int64()), lists(prefix, take, pa.int64())],
-                    ["doc_id", "n", "set_hash", "rare", "tops", "prefix"],
+                    [batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(hashes, pa.binary()), pa.array(rare), lists(tops.ravel(), np.full(len(n), len(STAR_SEEDS)), pa.int64()), lists(prefix, take, pa.int64()), pa.array(several, pa.binary())],
+                    ["doc_id", "n", "set_hash", "rare", "tops", "prefix", "filters"],
                 )
         forget()
         trim()
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, set_hash binary, rare long, tops array<long>, prefix array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, n long, set_hash binary, rare long, tops array<long>, prefix array<long>, filters binary")
 
 
 def _near(df: DataFrame) -> DataFrame:
@@ -136,28 +145,42 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return chosen.mapInArrow(run, "id long, shingles binary")
 
 
-def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two ascending sets link: their prefixes must meet under every filter order before they are compared."""
-    la, lb = len(a), len(b)
-    if 100 * min(la, lb) < percent * max(la, lb):
-        return False
-    for seed in FILTER_SEEDS:
-        ma, mb = mix(a, seed), mix(b, seed)
-        pa_, pb = la - -(-percent * la // 100) + 1, lb - -(-percent * lb // 100) + 1
-        first_a, first_b = (np.partition(m, p - 1)[:p] for m, p in ((ma, pa_), (mb, pb)))
-        if not np.isin(first_a, first_b).any():
-            return False
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common >= percent * (la + lb - common)
+def _joined(pairs: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """Pairs (a, b) with what their first (a, ...) and second documents (b, ...) have: the second meet their pairs where they are and then move to the first."""
+    return second.join(_near(pairs), "b").join(first, "a")
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets.
+def _meet_in_every_order(pairs: DataFrame, filters: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes fit and whose prefixes share a token under every filter order, as far as 16 bits of each token tell.
 
-    Sets of the second documents meet their pairs where they are made and
-    then move to the first documents, whose sets move once each.
+    This comes before sets move, and moves a few bytes for each document of a
+    pair.  filters: id, n and filters of documents.
     """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for na, x, nb, y in zip(*(batch.column(c).to_pylist() for c in ("na", "fa", "nb", "fb")), strict=True):
+                ok = 100 * min(na, nb) >= percent * max(na, nb)
+                if ok:
+                    orders = zip(np.frombuffer(x, "<u2").reshape(len(FILTER_SEEDS), -1), np.frombuffer(y, "<u2").reshape(len(FILTER_SEEDS), -1), strict=True)
+                    ok = all(not set(p.tolist()).isdisjoint(q.tolist()) for p, q in orders)
+                kept.append(ok)
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    side = lambda s: filters.join(_near(pairs.select(F.col(s).alias("id")).distinct()), "id", "left_semi").select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("filters").alias(f"f{s}"))
+    return _joined(pairs, side("a"), side("b")).select("a", "b", "na", "fa", "nb", "fb").mapInArrow(run, "a long, b long")
+
+
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two ascending sets link."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def _verify(docs: DataFrame, pairs: DataFrame, filters: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link: those that pass the filters of every order, by their whole sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [
@@ -165,9 +188,10 @@ def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
             ]
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
+    pairs = _meet_in_every_order(pairs, filters, percent).checkpoint()
     first = _sets_of(docs, pairs.select(F.col("a").alias("id")), k).select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     second = _sets_of(docs, pairs.select(F.col("b").alias("id")), k).select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    return second.join(_near(pairs), "b").join(first, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return _joined(pairs, first, second).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def _with_component(rows: DataFrame, id_: str, links: DataFrame) -> DataFrame:
@@ -192,11 +216,14 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: in
        tokens.  This costs a pair a document and order, however large the
        group, and unites most of each group of near copies.
     4. Prefix join, which makes the result exact: two linked sets share a
-       prefix token under the first order.  Tokens whose documents are all in
-       one component are done; on the others, documents of different
+       prefix token under the first order, which in the smaller of them lies
+       among the first ninth of its tokens (for 80 percent).  Tokens whose
+       documents are all in one component are done, and so are those that
+       no document has that early; on the others, documents of different
        components that pass the length and position filters become
-       candidates.  Pairs must then share prefix tokens under each further
-       order before their whole sets are compared.
+       candidates.
+    5. In both rounds a candidate must share prefix tokens under each further
+       order as well; only then do the whole sets move to be compared.
 
     Sets are compared by 64-bit hashes of their shingles.  A null text or one
     without words has n_shingles 0 and links with nothing; rows with null
@@ -218,22 +245,27 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: in
     chosen = worded.join(_near(copies), ["doc_id", "set_hash"], "left_anti").select("doc_id", "n", "rare", "tops", "prefix")
     nodes = members.select(F.col("rep").alias("doc_id")).distinct()
 
+    filters = worded.join(_near(copies), ["doc_id", "set_hash"], "left_anti").select(F.col("doc_id").alias("id"), "n", "filters")
+
     tops = chosen.select("doc_id", "rare", F.posexplode("tops").alias("j", "top"))
     heads = tops.groupBy("j", "top").agg(F.min_by("doc_id", F.struct("rare", "doc_id")).alias("head"), F.count("*").alias("size")).where("size > 1")
     stars = tops.join(heads, ["j", "top"]).where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct().checkpoint()
-    links = _verify(docs, stars, k, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+    links = _verify(docs, stars, filters, k, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
 
     # the set's size and the token's place in one number: postings are most of what is shuffled
     posted = _with_component(chosen, "doc_id", links).select("doc_id", "n", "component", F.posexplode("prefix").alias("pos", "token")).select("token", "doc_id", "component", (F.shiftleft("n", 32) + F.col("pos")).alias("at"))
-    open_ = posted.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    early = lambda n, pos: (100 + percent) * pos <= (100 - percent) * n  # noqa: E731  where the smaller of two linked sets has their first common token
+    n, pos = F.shiftright("at", 32), F.col("at").bitwiseAND(2**32 - 1)
+    open_ = posted.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(early(n, pos)).alias("early")).where("early AND lo <> hi").select("token")
     left = posted.join(open_, "token").checkpoint()
-    left = left.select("token", "doc_id", "component", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(2**32 - 1).alias("pos"))
+    left = left.select("token", "doc_id", "component", n.alias("n"), pos.alias("pos"))
     x, y = (left.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "component", "pos"))) for s in "xy")
+    x = x.where(early(F.col("n_x"), F.col("pos_x")))
     least = -F.floor(-(F.lit(percent) * (F.col("n_x") + F.col("n_y"))) / (100 + percent))
     reach = 1 + F.least(F.col("n_x") - F.col("pos_x") - 1, F.col("n_y") - F.col("pos_y") - 1)
-    passes = (F.col("doc_id_x") < F.col("doc_id_y")) & (F.col("component_x") != F.col("component_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (reach >= least)
-    pairs = x.join(y, (x["token"] == y["token"]) & passes).select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct().checkpoint()
-    links = links.union(_verify(docs, pairs, k, percent)).distinct().checkpoint()
+    passes = (F.col("n_x") <= F.col("n_y")) & (F.col("component_x") != F.col("component_y")) & (100 * F.col("n_x") >= percent * F.col("n_y")) & (reach >= least)
+    pairs = x.join(y, (x["token"] == y["token"]) & passes).select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b")).distinct().checkpoint()
+    links = links.union(_verify(docs, pairs, filters, k, percent)).distinct().checkpoint()
 
     # a doc_id with several texts ties their representatives together
     ties = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).join(nodes.select(F.col("doc_id").alias("a")), "a", "left_semi")

@@ -111,9 +111,11 @@ def sample(rows: DataFrame, most: int) -> DataFrame:
 
 
 def labelled_sample(counts: DataFrame, labels: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Features and labels of about ``most`` labelled documents at most, in a fixed order."""
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = sample(counts.join(marks, "doc_id"), most).toPandas().sort_values(["doc_id", *COUNTS], kind="stable")
+    """Features and labels of about ``most`` labelled documents at most, in a fixed order; one row stands for all of a doc_id."""
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().where("quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    chosen = sample(marks, most).checkpoint()
+    rows = counts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(*COUNTS)).alias("c"))  # bounded by the sample
+    rows = rows.select("doc_id", "quality", "c.*").toPandas().sort_values("doc_id", kind="stable")
     names, x = features_of({c: rows[c].to_numpy() for c in COUNTS})
     return x, rows["quality"].to_numpy().astype(float), names
 
@@ -128,8 +130,10 @@ def judge(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, min_w
     ``most_labelled`` rows of ``labels`` (doc_id, quality); everything else covers all documents.
 
     A null text has no words and fails the base; rows with null doc_id or
-    label take no part in fitting; repeated rows are judged each for itself;
-    without labels of both kinds every document that passes the base is kept.
+    label take no part in fitting; repeated rows are judged each for itself,
+    and count once in fitting; texts of any length are read whole; an empty
+    table gives an empty result; without labels of both kinds every document
+    that passes the base is kept.
     """
     counts = document_counts(docs).checkpoint()
     x, y, names = labelled_sample(counts, labels, most_labelled)

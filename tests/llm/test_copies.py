@@ -6,9 +6,9 @@ import pyarrow as pa
 import pytest
 
 from millrace.llm import jaccard, pfp, shards
-from millrace.llm._links import components
 from millrace.llm._phrases import phrases
 from millrace.llm._shingles import shingle_sets
+from millrace.operators.graph import components
 
 
 def brute_components(rows):
@@ -81,6 +81,29 @@ def test_components(spark):
     assert {(r.id, r.component) for r in components(links).collect()} == {(1, 1), (2, 1), (3, 1), (12, 1), (6, 6), (7, 6), (8, 6), (9, 6)}
 
 
+def test_a_token_of_all_documents_pairs_none(spark, monkeypatch):
+    """Documents that share most of their words without linking: no candidates come of them."""
+    shared = " ".join(f"common{k}" for k in range(60))
+    texts = [f"{' '.join(f'own{i}x{j}' for j in range(20))} {shared}" for i in range(400)]
+    seen = []
+    meet = jaccard._meet_in_every_order
+    monkeypatch.setattr(jaccard, "_meet_in_every_order", lambda pairs, *rest: seen.append(pairs.count()) or meet(pairs, *rest))
+    membership, links = jaccard.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert all(r.component_id == r.doc_id for r in membership.collect()) and links.count() == 0
+    assert seen[0] <= 4 * len(texts) and seen[1] == 0
+
+
+@pytest.mark.parametrize("small", [0, 1_000_000])
+def test_both_sides_of_small_lists(spark, monkeypatch, odd_docs, small):
+    """Lists that are sent to every executor, and the same lists joined by shuffling."""
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(pfp, "SMALL", small)
+    docs = odd_docs.where("doc_id IS NOT NULL")
+    want, _ = brute_components([(r.doc_id, r.text) for r in docs.collect()])
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_join(docs)[0].collect()} == want
+    assert sorted(spans_of(docs)) == brute_spans([(r.doc_id, (r.text or "").encode()) for r in docs.collect()])
+
+
 def brute_spans(rows, window=50):
     first, want = {}, []
     for i, data in sorted(rows, key=lambda r: r[0]):
@@ -156,6 +179,38 @@ def test_spans_of_repetitive_texts(spark):
     assert sorted(spans_of(docs)) == brute_spans([(i, t.encode()) for i, t in enumerate(texts)])
 
 
+def test_whole_characters(spark):
+    """Characters that a span cuts go as a whole; genuine replacement characters stay."""
+    texts = ["x" * 30 + "é" * 60, "é" * 60, "a\ufffdb " + "x" * 30 + "é" * 13 + "\ufffd", "日本語" * 40, "z" + "日本語" * 40 + "\ufffd"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pfp.without_repeats(docs, whole_characters=True).collect():
+        data, out = r.text.encode(), b""
+        cut = {k for s in r.spans for k in range(s["start"], s["end"])}
+        at = 0
+        for sign in r.text:
+            n = len(sign.encode())
+            out += b"" if cut & set(range(at, at + n)) else data[at : at + n]
+            at += n
+        assert bytes(r.kept) == out and out.decode() is not None
+    kept = {r.doc_id: bytes(r.kept).decode() for r in pfp.without_repeats(docs, whole_characters=True).collect()}
+    assert kept[2].startswith("a\ufffdb") and kept[4].endswith("\ufffd")
+
+
+def test_texts_of_many_spans_take_linear_time(spark):
+    import time
+
+    one = "".join(chr(97 + k % 26) for k in range(7)) * 9
+    took = []
+    for n in (500, 4000, 16_000):
+        rows = [(0, one), (1, "".join(f"{one}<{k}>" for k in range(n)))]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        began = time.time()
+        got = next(r for r in pfp.without_repeats(docs).collect() if r.doc_id == 1)
+        assert len(got.spans) == n and bytes(got.kept) == "".join(f"<{k}>" for k in range(n)).encode()
+        took.append(time.time() - began)
+    assert took[2] < 8 * took[1] + 3
+
+
 def test_spans_of_nothing(no_docs):
     assert pfp.without_repeats(no_docs).count() == 0
 
@@ -182,12 +237,63 @@ def test_shards(odd_docs, no_docs):
     assert sorted((r.doc_id or -1, r.size, r.text_crc32) for r in rows) == want
 
 
+def drawn(key, tree):
+    """A plain walk down the tree."""
+    import math
+
+    draw = lambda s, w: -math.log((int(hashlib.md5(f"{s}:{key}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13) / w
+    rack_of = lambda shards: min((draw(s, w), s) for s, w in shards.items() if w > 0)
+    region = min(tree, key=lambda r: min(rack_of(x) for x in tree[r].values()))
+    rack = min(tree[region], key=lambda k: rack_of(tree[region][k]))
+    return rack_of(tree[region][rack])[1]
+
+
+def test_shards_by_a_plain_walk(spark):
+    from pyspark.sql import functions as F
+
+    tree = shards.weighted(shards.even_tree(11), regions={0: 5.0}, racks={1: 3.0})
+    tree[0][0][2] = 4.0
+    assert abs(sum(sum(x.values()) for x in shards.weighted(shards.even_tree(20), regions={0: 5.0})[0].values()) - 5) < 1e-9
+    rows = shards.with_shard(spark.range(500), F.col("id"), tree, "s").collect()
+    assert [r.s for r in rows] == [drawn(r.id, tree) for r in rows]
+
+
+def test_movement_stays_in_the_subtree_whose_weight_changes(spark):
+    from pyspark.sql import functions as F
+
+    tree = shards.even_tree(24)
+    raised, rack, region, none = (shards.weighted(tree) for _ in range(4))
+    raised[0][1][6] = 3.0
+    rack = shards.weighted(tree, racks={2: 8.0})
+    region = shards.weighted(tree, regions={1: 2.0})
+    none[1][5][21] = 0.0
+    df = spark.range(6000)
+    for name, t in {"base": tree, "raised": raised, "rack": rack, "region": region, "none": none}.items():
+        df = shards.with_shard(df, F.col("id"), t, name)
+    got = df.toPandas()
+    moved = {n: got[got.base != got[n]] for n in ("raised", "rack", "region", "none")}
+    assert (moved["raised"].raised == 6).all() and len(moved["raised"])
+    assert (moved["rack"]["rack"] // 4 == 2).all() and len(moved["rack"])
+    assert (moved["region"].base >= 16).all() and (moved["region"].region < 16).all() and len(moved["region"])
+    assert (moved["none"].base == 21).all() and 21 not in set(got.none)
+    share = got.groupby("raised").size() / len(got)
+    assert abs(share[6] - 3 / 26) < 0.02
+
+
+def test_a_row_that_repeats_often(spark):
+    docs = spark.range(5000).selectExpr("CASE WHEN id < 2500 THEN 7 ELSE id END AS doc_id", "CASE WHEN id < 2500 THEN 'same' ELSE 'x' END AS text")
+    slots = {}
+    for r in shards.assign(docs, 3).collect():
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert sum(map(len, slots.values())) == 5000 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_every_added_shard_takes_rows_only_into_itself(spark):
     from pyspark.sql import functions as F
 
     df = spark.range(4000).withColumnRenamed("id", "k")
     for n in (1, 2, 3, 4, 5, 15, 16, 17, 18, 33, 39, 40, 41):
-        df = shards.with_shard(df, F.col("k"), n, f"s{n}").withColumn(f"s{n}", F.col(f"s{n}"))
+        df = shards.with_shard(df, F.col("k"), shards.even_tree(n), f"s{n}")
     got = df.toPandas()
     for a in (1, 2, 3, 4, 15, 16, 17, 39, 40):
         if f"s{a + 1}" in got:

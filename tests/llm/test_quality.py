@@ -60,6 +60,39 @@ def test_rules_rows(odd_docs, no_docs, labels):
     assert {r.kept != r.base_failed for r in rules.judge(odd_docs, labels.limit(0)).collect()} == {True}
 
 
+def test_rules_against_plain_python(spark, odd_docs, labels):
+    """Every count from its definition, and every verdict by walking the nodes one by one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd_docs.select((F.col("doc_id") + 10**6).alias("doc_id"), "text"))
+    marks = spark.read.parquet(f"{SF}/labels.parquet")
+    texts = {}
+    for r in docs.collect():
+        texts.setdefault(r.doc_id, set()).add(r.text or "")
+    counts = _stats.document_counts(docs)
+    x, y, names = rules.labelled_sample(counts, marks, 20_000)
+    trees = rules.fit_trees(x, y, np.array([rules.MONOTONE.get(n, 0) for n in names]))
+    for r in rules.judge(docs, marks).collect():
+        if len(texts[r.doc_id]) > 1:
+            continue
+        text = next(iter(texts[r.doc_id]))
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        seen, dup = set(), 0
+        for line in text.split("\n"):
+            if re.search(r"[^\x20\x09-\x0D]", line):
+                dup += line in seen
+                seen.add(line)
+        want = (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines) == want
+        if len(words) < 400:
+            assert r.n_repeat_words == brute_repeats(words)
+        assert r.base_failed == (len(words) < 10 or 100 * r.n_repeat_words > 20 * len(words))
+        row, score = _stats.features_of({c: np.array([r[c]]) for c in _stats.COUNTS})[1][0], trees.base
+        for node in trees.roots.tolist():
+            while trees.child[node] != node:
+                node = int(trees.child[node]) + int(row[trees.feature[node]] > trees.threshold[node])
+            score += trees.value[node]
+        assert r.kept == (not r.base_failed and score >= 0) and abs(score - r.score) < 1e-9
+
+
 def test_cotraining_rows(odd_docs, no_docs, labels):
     rows = cotrain.classify(odd_docs, labels, rounds=1).collect()
     assert len(rows) == odd_docs.count() and all(0 <= r.quality_score <= 1 for r in rows)
