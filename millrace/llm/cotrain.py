@@ -27,14 +27,21 @@ GRAM_SLOTS = 4096
 
 
 class _Slots(dict):
+    """A worker's memo of words' slots; it is emptied with the task that fills it."""
+
     def __missing__(self, word: str) -> int:
         found = self[word] = xxhash.xxh32_intdigest(word) % GRAM_SLOTS
         return found
 
 
-def gram_slots(text: str, words: list[str], slots: _Slots) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct slots of a text's words and of its character trigrams."""
-    own = np.unique(np.fromiter(map(slots.__getitem__, words), np.int64, len(words)))
+_slots = _Slots()
+
+
+def gram_slots(text: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of a text's distinct words, in order, and the distinct slots of its character trigrams."""
+    if len(_slots) > 200_000:
+        _slots.clear()
+    own = np.array([_slots[w] for w in dict.fromkeys(words)], np.int64)
     raw = np.frombuffer(text.encode(), np.uint8).astype(np.uint32)
     signs = (raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]) * np.uint32(2654435761) >> np.uint32(20) if len(raw) > 2 else raw[:0]
     return own, np.flatnonzero(np.bincount(signs, minlength=GRAM_SLOTS))
@@ -71,12 +78,12 @@ def learn_grams(docs: DataFrame, marks: DataFrame) -> Grams:
     rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select((_fold(F.col("doc_id")) * 2 + F.col("quality")).alias("group"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, texts, slots = np.zeros((FOLDS * 2, 2 * GRAM_SLOTS), np.int64), np.zeros(FOLDS * 2, np.int64), _Slots()
+        held, texts = np.zeros((FOLDS * 2, 2 * GRAM_SLOTS), np.int64), np.zeros(FOLDS * 2, np.int64)
         for whole in batches:
             for batch in pieces_of(whole, "text"):
                 for group, text in zip(batch.column("group").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    words, signs = gram_slots(text, find_words(text), slots)
-                    held[group, words] += 1
+                    words, signs = gram_slots(text, find_words(text))
+                    held[group, words] += 1  # once, however many words share a slot
                     held[group, GRAM_SLOTS + signs] += 1
                     texts[group] += 1
         group, slot = np.nonzero(held)
@@ -98,13 +105,12 @@ class Describer:
         self.odds = {f: grams.odds(f) for f in (None, *range(FOLDS))}
 
     def __call__(self, texts: list[str], folds: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
-        slots = _Slots()
         counts, odds = np.zeros((len(texts), len(COUNTS)), np.int64), np.zeros((len(texts), 2))
         for k, (text, fold) in enumerate(zip(texts, folds, strict=True)):
             words = find_words(text)
             counts[k] = counts_of(text, words)
             table = self.odds[fold]
-            odds[k] = [table[kind][own].mean() if len(own) else 0.0 for kind, own in enumerate(gram_slots(text, words, slots))]
+            odds[k] = [table[kind][own].mean() if len(own) else 0.0 for kind, own in enumerate(gram_slots(text, words))]
         return counts, np.round(odds * FRACTION) / FRACTION
 
 
@@ -228,6 +234,7 @@ def described(docs: DataFrame, marks: DataFrame, grams: Grams) -> DataFrame:
             for batch in pieces_of(whole, "text"):
                 counts, odds = tell(batch.column("text").to_pylist(), batch.column("fold").to_pylist())
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(np.ascontiguousarray(c)) for c in (*counts.T, *odds.T))], [*names, *COUNTS, *GRAMS])
+        _slots.clear()
         trim()
 
     fields = [f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names]
@@ -415,6 +422,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **fitt
                     score = model.score(_inputs(dict(zip(COUNTS, counts.T, strict=True)) | dict(zip(GRAMS, odds.T, strict=True)) | meta))[2]
                     batch = batch.filter(pa.array(score >= threshold))
                 yield batch.select([f"c{k}" for k in range(len(names))])
+        _slots.clear()
         trim()
 
     fields = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields))
