@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
 CJK = r"\x{4e00}-\x{9fff}"
 #: Words that counts of vocabulary leave out.
-STOP_WORDS = tuple(
-    """the a an is are was were be been being have has had do does did will would could should may might shall can to of in for
-    on with at by from as into through during before after above below between but and or not no nor so yet both either neither each
-    every all any few more most other some such than too very just about up out if then it its this that these those i me my
-    you your he she we they them his her our their what which who whom how when where why rt https http co amp
-    的 了 在 是 我 有 和 就 不 人 都 一 一个 上 也 很 到 说 要 去 你 会 着 没有 看 好 自己 这""".split()
-)
+STOP_WORDS = (
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "shall", "can", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as", "into", "through", "during", "before",
+    "after", "above", "below", "between", "but", "and", "or", "not", "no", "nor", "so", "yet", "both", "either", "neither", "each", "every", "all",
+    "any", "few", "more", "most", "other", "some", "such", "than", "too", "very", "just", "about", "up", "out", "if", "then", "it", "its", "this",
+    "that", "these", "those", "i", "me", "my", "you", "your", "he", "she", "we", "they", "them", "his", "her", "our", "their", "what", "which",
+    "who", "whom", "how", "when", "where", "why", "rt", "https", "http", "co", "amp", "的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "一",
+    "一个", "上", "也", "很", "到", "说", "要", "去", "你", "会", "着", "没有", "看", "好", "自己", "这",
+)
 
 
 def blank_to_null(x: Column) -> Column:

@@ -15,11 +15,12 @@ from ..schemas import COLUMN, SIGNALS
 
 LAYERS = ("ADS", "DWS", "DWT", "DWD", "ODS")
 #: Words that a search leaves out, and names that tell little and weigh half.
-STOP_WORDS = frozenset(
-    """select from where join left right inner outer group by order limit and or as on in is not null like between case when then else end
-    having insert into table create drop alter set with union all distinct true false the of for
-    查询 统计 导出 获取 数据 信息 明细 汇总 报表 字段 表 结果 最近 按 各 所有 需要 希望 帮忙 帮我 请 一下""".split()
-)
+STOP_WORDS = (
+    "select", "from", "where", "join", "left", "right", "inner", "outer", "group", "by", "order", "limit", "and", "or", "as", "on", "in", "is",
+    "not", "null", "like", "between", "case", "when", "then", "else", "end", "having", "insert", "into", "table", "create", "drop", "alter", "set",
+    "with", "union", "all", "distinct", "true", "false", "the", "of", "for", "查询", "统计", "导出", "获取", "数据", "信息", "明细", "汇总", "报表", "字段", "表", "结果",
+    "最近", "按", "各", "所有", "需要", "希望", "帮忙", "帮我", "请", "一下",
+)
 LOW_INFORMATION = frozenset(("id", "name", "code", "dt", "ds", "type", "status", "flag"))
 WEIGHTS = {"name": 5.0, "description": 4.0, "table_comment": 4.0, "column_comments": 4.0, "column_names": 3.0, "partition_names": 3.0, "path": 1.0}
 

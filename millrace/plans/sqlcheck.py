@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import sqltext
 
 DIALECTS = ("hive", "hive-legacy", "sparksql", "gaussdb")
-#: Words of Hive and Spark that the gaussdb dialect lacks.
+#: Words of Hive and Spark that the gaussdb dialect lacks, and words that change data or tables.
 HIVE_ONLY = ("lateral view", "explode(", "collect_set(", "from_unixtime(", "unix_timestamp(")
 DESTRUCTIVE = re.compile(r"(?i)(?<!\w)(?:drop|truncate|delete|update|insert\s+(?:overwrite|into)|create\s+table|alter\s+table)(?!\w)")
 MESSAGES = {
