@@ -13,7 +13,6 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ._common import gathered, text_or_empty, trim
 from ._merge import MergeTable
@@ -188,34 +187,35 @@ def pieces(docs: DataFrame, path: str, end_id: int = 2, most: int = 4096, memo:
     return rows.mapInArrow(run, "doc_id long, piece_no int, start long, length long, ids binary, doc_tokens long")
 
 
-def place(pieces: DataFrame, most: int = 4096, buckets: int | None = None) -> DataFrame:
+#: Low bits of a sequence id that hold the logarithm of its length: the bucket of its equals.
+LEVEL_BITS = 5
+
+
+def place(pieces: DataFrame) -> DataFrame:
     """Adds sequence_id and offset to pieces, whatever else their rows carry (but for columns of these names, which are replaced).
 
     Each piece is a sequence of its own of a power-of-two length, so nothing
-    is padded and offset is 0.  Equal lengths share a bucket of sequence ids:
-    ids of one length are congruent to it modulo the number of (length, hash
-    bucket) groups, and rank within a group makes them unique.  Batches of
-    one length are thus consecutive ranks.  Rows are dealt to buckets by their
-    number, so that repeated rows spread as well, and there are as many
-    buckets a length as shuffle partitions (256 at least), so that no task
-    ranks more than its share.
+    is padded and offset is 0.  The low bits of sequence_id are the logarithm
+    of the length, so that sequences of equal length make up one bucket and
+    no other does; the bits above number the rows.  Rows stay where they are,
+    none is counted or sorted, and rows that repeat get ids of their own.
+
+    Row numbers follow partitions and the order in them: pieces must come
+    from a table, a checkpoint or a scan, which give a lost partition again
+    in the same order.
     """
-    kinds = most.bit_length()
-    buckets = buckets or max(256, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    names = [n for n in pieces.columns if n not in ("sequence_id", "offset")]
-    level = (F.lit(kinds - 1) - F.log2(F.col("length").cast("double")).cast("int")).cast("long")
-    rows = pieces.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("piece"), F.monotonically_increasing_id().alias("row"), level.alias("level"))
-    rows = rows.withColumn("bucket", F.col("level") * buckets + F.pmod(F.xxhash64("row", F.lit(10)), F.lit(buckets)))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("row")) - 1
-    return rows.select(F.col("piece.*"), (rank.cast("long") * (kinds * buckets) + F.col("bucket")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    names = [F.col(f"`{n}`") for n in pieces.columns if n not in ("sequence_id", "offset")]
+    level = F.log2(F.col("length").cast("double")).cast("long")
+    return pieces.select(*names, (F.shiftleft(F.monotonically_increasing_id(), LEVEL_BITS) + level).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 2, most: int = 4096, buckets: int | None = None, **encoding) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 2, most: int = 4096, **encoding) -> DataFrame:
     """Packs all documents: a row per piece with doc_id, piece_no, start, length, ids, doc_tokens, sequence_id, offset.
 
     Null texts count as empty (one piece with ``end_id``); repeated rows are
     packed each for itself; an empty table gives an empty result; a text of
     any length is cut, never shortened; other columns of docs are not read,
-    whatever they are called.
+    whatever they are called; docs must be a table or a checkpoint, see
+    place().
     """
-    return place(pieces(docs, path, end_id, most, **encoding), most, buckets)
+    return place(pieces(docs, path, end_id, most, **encoding))

@@ -100,7 +100,7 @@ def op10_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2, most=4096)
     # the checksum stands for the ids before rows move, so that ids aren't shuffled
     cut = cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids", "piece_no")
-    return packing.place(cut, most=4096).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return packing.place(cut).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -108,7 +108,8 @@ def starts(n, most):
 
 def test_packing_covers_every_id(odd_docs, no_docs):
     rows = packing.pack(odd_docs, WORDS, 2, 512).collect()
-    assert len({r.sequence_id for r in rows}) == len(rows) and all(r.offset == 0 and r.length == len(r.ids) // 4 for r in rows)
+    assert len({r.sequence_id for r in rows}) == len(rows) and all(1 << r.sequence_id % (1 << packing.LEVEL_BITS) == r.length for r in rows)
+    assert all(r.offset == 0 and r.length == len(r.ids) // 4 for r in rows)
     made = {}
     for r in sorted(rows, key=lambda r: r.start):
         made.setdefault((r.doc_id, r.doc_tokens), []).append(r)
