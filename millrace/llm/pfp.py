@@ -446,9 +446,9 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     met = dealt.repartition(parts, "part").mapInArrow(_meet, _FIELDS).checkpoint()
 
     still = met.where("kind = 'open'").groupBy("doc_id", "tag").agg(F.collect_list("data").alias("open")).checkpoint()
-    opened = own.join(_near(still, 64 + F.aggregate("open", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x))), ["doc_id", "tag"]).select("doc_id", "tag", "text", "open").mapInArrow(_open(window, parts), _FIELDS)
+    opened = own.join(_near(still, 64 + F.aggregate("open", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x))), ["doc_id", "tag"]).select("doc_id", "tag", "text", "open").mapInArrow(_open(window, 2 * parts), _FIELDS)
     opened = opened.withColumn("part", F.when(F.col("kind") != "known", F.col("part")).otherwise(F.xxhash64("doc_id")))
-    sorted_ = opened.repartition(parts, "part").mapInArrow(_sort(window), _FIELDS)
+    sorted_ = opened.repartition(2 * parts, "part").mapInArrow(_sort(window), _FIELDS)
 
     whole = copies.where(F.col("size") >= window).select("doc_id", "tag", F.col("size").alias("size"))
     known = met.where("kind = 'known'").select("doc_id", "tag", "data").union(sorted_.select("doc_id", "tag", "data"))
