@@ -241,6 +241,61 @@ def test_keys_of_every_encoding_are_found(spark):
     assert wrong <= 0.01 * len(keys)
 
 
+def brute_random(texts, rate=0.01):
+    """The battery, both limits and the random spans of texts, number by number."""
+    costs, signs = secrets._costs(), secrets.SIGNS
+    found = []
+    for d, text in enumerate(texts):
+        for m in re.finditer(secrets.TOKEN, text or ""):
+            x = m[0]
+            alphabet = next((a for p, a in secrets.ENCODINGS if re.search(p, x)), None)
+            if alphabet is None or not re.search("[0-9]", x) or not re.search("[A-Za-z]", x):
+                continue
+            n, size, values = len(x), len(alphabet), [alphabet.index(c) for c in x]
+            chi = size / n * sum(x.count(c) ** 2 for c in alphabet) - n
+            low = [2 * v < size for v in values]
+            k = sum(low)
+            runs = 1 + sum(a != b for a, b in zip(low, low[1:], strict=False))
+            pairs = 2 * k * (n - k)
+            z_runs = 99 if k in (0, n) else abs(runs - 1 - pairs / n) / math.sqrt(max(pairs * (pairs - n) / (n * n * (n - 1)), 0.01))
+            mean, square = sum(values) / n, sum(v * v for v in values) / n
+            z_serial = 99 if square <= mean * mean else math.sqrt(n) * abs(sum(a * b for a, b in zip(values, values[1:], strict=False)) / (n - 1) - mean * mean) / (square - mean * mean)
+            df = size - 1
+            z_chi = (max(chi / df, 0) ** (1 / 3) - 1 + 2 / (9 * df)) / math.sqrt(2 / (9 * df))
+            natural = sum(costs[a * len(signs) + b] for a, b in zip([0, *(signs.index(c) + 1 for c in x)], (signs.index(c) for c in x), strict=False))
+            found.append((d, m.start(), m.end(), n, natural - n * math.log(size) - math.log(len(secrets.ENCODINGS)), max(z_chi, z_runs, z_serial, 0) ** 2 / 2 - math.log(3)))
+    if not found:
+        return set()
+    weight = [2.0 ** int(math.log2(n)) for _, _, _, n, _, _ in found]
+    weight = [math.log(w * len(found) / sum(weight)) for w in weight]
+
+    def step_up(values, total):
+        sure = [e for k, e in enumerate(sorted(values, reverse=True), 1) if total * math.exp(-e) <= rate * sum(v >= e - 1e-9 for v in values)]
+        return min(sure, default=math.inf)
+
+    grid = lambda v, step, top: math.floor(min(max(v, -step), top) / step) * step
+    gains = [grid(f[4], secrets.STEP, secrets.STEP * secrets.STEPS) + w for f, w in zip(found, weight, strict=True)]
+    doubts = [grid(f[5], secrets.DOUBT_STEP, secrets.DOUBT_STEP * secrets.DOUBT_STEPS) + w for f, w in zip(found, weight, strict=True)]
+    limit = step_up([g for g, f in zip(gains, found, strict=True) if f[4] >= 0], len(found))
+    passed = [k for k, f in enumerate(found) if f[4] >= 0 and gains[k] >= limit - 1e-9]
+    doubted = step_up([doubts[k] for k in passed if found[k][5] >= 0], len(passed))
+    out = set()
+    for k in passed:
+        d, a, b = found[k][:3]
+        if doubts[k] < doubted - 1e-9 and not any(s < b and a < e for s, _, e, _ in brute_base(texts[d] or "")):
+            out.add((d, a, b))
+    return out
+
+
+def test_battery_against_plain_python(spark):
+    docs, _, _ = planted(spark)
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    rng = random.Random(12)
+    texts += [" ".join(rng.choice(["".join(rng.choice("abcdefghij0123456789") for _ in range(24)), "a1b2" * 8, "0123456789abcdefghijklmnopqrst", "buffer_table_2024_version_stream", "Zz9" * 9]) for _ in range(4)) for _ in range(30)]
+    got = {(r.doc_id, s["start"], s["end"]) for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() for s in r.spans if s["kind"] == "random"}
+    assert got == brute_random(texts) and len(got) > 30
+
+
 def test_scan_and_redaction_take_linear_time(spark):
     import time
 
