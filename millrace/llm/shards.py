@@ -72,8 +72,8 @@ def with_shard(df: DataFrame, key: Column, tree: Tree, out: str) -> DataFrame:
     return df.withColumn(out, found["shard"].cast("int"))
 
 
-#: Rows of one key that are written out at once.
-CHUNK = 1000
+#: Rows of one key that are written out at once, and hash buckets of a shard.
+CHUNK, BUCKETS = 1000, 256
 
 
 def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
@@ -82,9 +82,9 @@ def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
     The law is ``key``: doc_id and the number of shards alone decide, and
     grown_shard is the shard among ``shards`` + 1.  size is the text's UTF-8
     bytes plus 16.  slot numbers a shard's rows from 0 without gaps: rows are
-    numbered within 256 hash buckets of the shard, and counts of the buckets
-    give each bucket's first slot, so that no task sorts a whole shard and
-    texts are never shuffled.
+    numbered within 256 hash buckets of the shard, and counts of the buckets,
+    of which the driver gets one number each, give each bucket's first slot,
+    so that no task sorts a whole shard and texts are never shuffled.
 
     A null text counts as empty (size 16, checksum 0); rows with null doc_id
     share one shard; repeated rows stay, each with its own slot: equal ones
@@ -99,11 +99,13 @@ def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
     rows = with_shard(with_shard(rows, F.col("doc_id"), even_tree(shards), "shard"), F.col("doc_id"), even_tree(shards + 1), "grown_shard")
     place = F.md5(F.concat(F.lit("slot:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     rows = rows.withColumn("bucket", F.conv(F.substring(place, 1, 2), 16, 10).cast("int")).checkpoint()
-    counts = rows.groupBy("shard", "bucket").agg(F.sum("n").alias("n"))  # at most shards * 256 rows, whatever the input
-    upto = Window.partitionBy("shard").orderBy("bucket")
-    first = counts.select("shard", "bucket", (F.sum("n").over(upto) - F.col("n")).alias("first"))
+    counts = [0] * (shards * BUCKETS)
+    for r in rows.groupBy("shard", "bucket").agg(F.sum("n").alias("n")).collect():  # at most shards * BUCKETS rows, whatever the input
+        counts[r["shard"] * BUCKETS + r["bucket"]] = r["n"]
+    first = [sum(counts[k - k % BUCKETS : k]) for k in range(len(counts))]
+    table = F.split(F.lit(",".join(map(str, first))), ",").cast("array<long>")
     within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
-    numbered = rows.withColumn("own", F.sum("n").over(within) - F.col("n")).join(F.broadcast(first), ["shard", "bucket"])
+    numbered = rows.withColumn("own", F.sum("n").over(within) - F.col("n")).withColumn("first", F.element_at(table, F.col("shard") * BUCKETS + F.col("bucket") + 1))
     chunks = numbered.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {CHUNK}")))).hint("rebalance")
     each = chunks.withColumn("k", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("n"), (F.col("chunk") + 1) * CHUNK) - 1)))
     return each.select(
