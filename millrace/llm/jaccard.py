@@ -275,7 +275,11 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: in
 
 
 def keep_first(docs: DataFrame, **joining) -> DataFrame:
-    """The documents, with all their columns, without those that share a component with a smaller doc_id; rows with null doc_id stay."""
+    """The documents, with all their columns, without those that share a component with a smaller doc_id.
+
+    Rows with null doc_id and texts without words stay, and so do all rows
+    of a document that stays; an empty table gives an empty result.
+    """
     membership, _ = jaccard_join(docs, **joining)
     gone = membership.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct().checkpoint()
-    return docs.join(_near(gone), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(_near(gone), "doc_id", "left_anti").select(*(F.col(f"`{n}`") for n in docs.columns))
