@@ -216,7 +216,8 @@ def edit(state: DataFrame, path: str, pattern: str, edits_column: str = "edits")
     """Token counts after edits of counted texts, from their stored leaves: the state after them and COUNTED.
 
     state has doc_id, text, piece_chars and piece_tokens, as count() or an
-    earlier edit() gave them, and each row's edits, an array of (start, end,
+    earlier edit() gave them (rows whose leaves are null, or a table without
+    these two columns, are counted here first), and each row's edits, an array of (start, end,
     text), made in order: code points [start, end) of the text as the edits
     before left it are replaced.  Trees are built from the leaves; only what
     an edit touches, and the code points around it that a match may look at,
@@ -233,10 +234,16 @@ def edit(state: DataFrame, path: str, pattern: str, edits_column: str = "edits")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path, pattern)
         for batch in gathered(batches, "text", 4 << 20):
+            texts = batch.column("text").to_pylist()
             columns = [batch.column(c) for c in ("piece_chars", "piece_tokens")]
             flat = [c.flatten().to_numpy(zero_copy_only=False) for c in columns]
-            ends = np.cumsum(columns[0].value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            trees = [TokenTree(text or "", flat[0][a:b], flat[1][a:b]) for text, a, b in zip(batch.column("text").to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            ends = np.cumsum(columns[0].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+            leaves = [(flat[0][a:b], flat[1][a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            uncounted = [d for d, missing in enumerate(columns[0].is_null().to_pylist()) if missing]
+            for d, own in zip(uncounted, leaves_of(code, [texts[d] for d in uncounted]), strict=True):
+                leaves[d] = own
+            trees = [TokenTree(text, *own) for text, own in zip(texts, leaves, strict=True)]
+            del texts, leaves, flat
             numbers = recount(code, trees, [e or [] for e in batch.column("edits").to_pylist()])
             after = [t.whole() for t in trees]
             counts = [(*x, t.n_pieces, int(t.tokens[1])) for x, t in zip(numbers, trees, strict=True)]
@@ -246,8 +253,8 @@ def edit(state: DataFrame, path: str, pattern: str, edits_column: str = "edits")
             )
 
     kind = "array<struct<start:int,end:int,text:string>>"
-    none = F.array().cast("array<int>")
-    rows = state.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *(F.coalesce(c, none).alias(c) for c in ("piece_chars", "piece_tokens")), F.col(edits_column).cast(kind).alias("edits"))
+    leaves = [(F.col(c) if c in state.columns else F.lit(None)).cast("array<int>").alias(c) for c in ("piece_chars", "piece_tokens")]
+    rows = state.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *leaves, F.col(edits_column).cast(kind).alias("edits"))
     return rows.mapInArrow(run, f"{STATE}, " + ", ".join(f"{n} long" for n in COUNTED))
 
 

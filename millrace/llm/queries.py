@@ -42,8 +42,8 @@ def op4_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = _vocabulary("byte_bpe_50k.tiktoken")
-    counted = edits.revised(edits.count(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
-    after = edits.edit(counted, path, public_tokenizers.PATTERN)
+    docs = edits.revised(read(spark, sf_dir, "documents").select("doc_id", "text"))  # no leaves yet: they are counted, then edited, in one pass
+    after = edits.edit(docs, path, public_tokenizers.PATTERN)
     leaves = F.sha2(F.array_join(F.col("piece_tokens").cast("array<string>"), ",").cast("binary"), 256)
     return after.select("doc_id", *edits.COUNTED, leaves.alias("leaves_sha256"))
 

@@ -176,6 +176,8 @@ def test_edit_counts_rows(odd_docs, no_docs, spark):
     counted = edits.count(odd_docs, PLAIN, P.PATTERN)
     once = edits.edit(edits.revised(counted), PLAIN, P.PATTERN)
     texts = {r.doc_id: r.text or "" for r in odd_docs.collect()}
+    at_once = edits.edit(edits.revised(odd_docs.select("doc_id", "text")), PLAIN, P.PATTERN)
+    assert sorted(map(tuple, once.fillna(-1, "doc_id").collect()), key=repr) == sorted(map(tuple, at_once.fillna(-1, "doc_id").collect()), key=repr)
     for rows, n in ((once, 1), (edits.edit(edits.revised(once.select("doc_id", "text", "piece_chars", "piece_tokens")), PLAIN, P.PATTERN), 2)):
         got = rows.collect()
         assert len(got) == odd_docs.count()
