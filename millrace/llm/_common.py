@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder
 
-#: Rows of one Arrow batch.  Texts may be long, so batches stay far below Spark's default of 10,000.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch.  Texts may be long, so batches stay far below Spark's defaults of 10,000 and 64 MB.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 #: Characters that separate words: space and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,6 +24,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Session settings under which long texts cross to Python in bounded batches."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     shared_folder(spark)
     return spark
 
