@@ -65,7 +65,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     import public_tokenizers
 
     prepare(spark)
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, most=4096, memo=60_000, batch_bytes=1 << 20)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, most=4096, memo=50_000, batch_bytes=3 << 18)
 
 
 STAGES = [
