@@ -17,7 +17,7 @@ from ._common import gathered, lists, text_or_empty
 from ._merge import MergeTable
 
 #: Entries that a worker's memo of pre-tokens may hold before it is emptied.
-MEMO = 300_000
+MEMO = 150_000
 
 
 class Vocabulary:
@@ -118,7 +118,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path, pattern)
-        for batch in gathered(batches, "text", 8 << 20):
+        for batch in gathered(batches, "text", 4 << 20):
             ids, lengths = code(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(ids, lengths, pa.int32())], ["doc_id", "ids"])
 
