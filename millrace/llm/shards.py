@@ -95,10 +95,10 @@ def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
     """
     body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
-    rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
     rows = with_shard(with_shard(rows, F.col("doc_id"), even_tree(shards), "shard"), F.col("doc_id"), even_tree(shards + 1), "grown_shard")
     place = F.md5(F.concat(F.lit("slot:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    rows = rows.withColumn("bucket", F.conv(F.substring(place, 1, 2), 16, 10).cast("int")).checkpoint()
+    rows = rows.withColumn("bucket", F.conv(F.substring(place, 1, 2), 16, 10).cast("int"))
+    rows = rows.groupBy("shard", "bucket", "doc_id", "text_crc32", "size", "grown_shard").agg(F.count("*").alias("n")).checkpoint()
     counts = [0] * (shards * BUCKETS)
     for r in rows.groupBy("shard", "bucket").agg(F.sum("n").alias("n")).collect():  # at most shards * BUCKETS rows, whatever the input
         counts[r["shard"] * BUCKETS + r["bucket"]] = r["n"]
