@@ -141,7 +141,7 @@ def digest_markdown(spark, sf_dir):
     return sinks.markdown(_flagship(spark, sf_dir), None, "2024-01-31", "en")
 
 
-@query(f"{_CHOSEN} SELECT to_json({{'place': place, 'title': title, 'url': url, 'n_mentions': n_mentions}}) AS json FROM c WHERE place <= 20")
+@query(f"{_CHOSEN} SELECT CAST(to_json({{'place': place, 'title': title, 'url': url, 'n_mentions': n_mentions}}) AS VARCHAR) AS json FROM c WHERE place <= 20")
 def digest_json(spark, sf_dir):
     return sinks.as_json(_flagship(spark, sf_dir).select("place", "title", "url", F.size("mentions").alias("n_mentions")))
 
