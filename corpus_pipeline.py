@@ -10,6 +10,8 @@ whole, and an empty table gives an empty result.
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,18 @@ from millrace.llm import cotrain, jaccard, packing, pfp, secrets
 from millrace.llm._common import fresh, prepare, read
 
 
+def _begin(spark: SparkSession) -> None:
+    """Before a stage: what earlier ones no longer need goes.
+
+    Spark removes broadcasts from executors and checkpoints from the shared
+    folder once the driver's garbage collector finds that nothing uses them,
+    which on an idle driver may take half an hour.
+    """
+    prepare(spark)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _names(docs: DataFrame) -> list[Column]:
     return [F.col(f"`{n}`") for n in docs.columns]
 
@@ -31,12 +45,13 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 
 def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier holds good."""
+    _begin(spark)
     return cotrain.keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of every group of near copies (five words, similarity of 0.8)."""
-    prepare(spark)
+    _begin(spark)
     return jaccard.keep_first(docs)
 
 
@@ -46,7 +61,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A character of which bytes were cut goes as a whole, and so do documents
     of which nothing but white space is left.
     """
-    prepare(spark)
+    _begin(spark)
     spans, kept = fresh("spans", docs.columns), fresh("kept", docs.columns)
     cut = pfp.without_repeats(docs, window=50, spans_column=spans, kept_column=kept, whole_characters=True)
     touched, text = F.size(spans) > 0, F.col(kept).cast("string")
@@ -56,7 +71,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with secrets replaced by a mark."""
-    prepare(spark)
+    _begin(spark)
     return _with_text(secrets.redact(docs), F.col("text")).select(_names(docs))
 
 
@@ -64,7 +79,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Pieces of power-of-two lengths, each a sequence: ids as little-endian 32-bit integers."""
     import public_tokenizers
 
-    prepare(spark)
+    _begin(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, most=4096, memo=50_000, batch_bytes=3 << 18)
 
 
