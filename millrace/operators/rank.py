@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import shared_folder
+
 
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
     """The first n rows with rank (from 1): a top-k per partition, then one over at most n rows of each."""
@@ -25,12 +27,60 @@ def capped(df: DataFrame, group: str, group_order: str, per_group: int, total: i
     return few.withColumn("place", place).where(F.col("place") <= total)
 
 
-def thread_positions(df: DataFrame, conversation: str, created: str, seq: str) -> DataFrame:
-    """Adds thread_position: the place by time in a conversation of two rows or more, else null."""
-    own = Window.partitionBy(conversation)
-    place = F.row_number().over(own.orderBy(created, seq))
-    known = F.col(conversation).isNotNull() & (F.count("*").over(own) > 1)
-    return df.withColumn("thread_position", F.when(known, place))
+def _same(groups: list[str]) -> Column:
+    """Whether a row's groups, nulls among them, are those of the other side, which has them as __0, __1 and so on."""
+    same = F.lit(True)
+    for k, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"__{k}"))
+    return same
+
+
+def places_by_range(df: DataFrame, groups: list[str], *order: Column | str, place: str = "place") -> DataFrame:
+    """Adds the place (long, from 0) of each row in its group by ``order``, without a task that holds a group.
+
+    Rows are sorted into ranges by group and order and stored; a row's place
+    is its place in its range plus the rows of its group in earlier ranges,
+    which a table with a row for each group and range tells.  Rows that are
+    equal by ``order`` stay in one range.  Nulls are a group like any other.
+    """
+    shared_folder(df.sparkSession)
+    keys = [F.col(g) for g in groups]
+    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("__at", F.monotonically_increasing_id()).checkpoint()
+    own = F.shiftright("__at", 33)  # the upper bits of such an id are the range
+    runs = ranged.groupBy(*(k.alias(f"__{i}") for i, k in enumerate(keys)), own.alias("__part")).agg(F.min("__at").alias("__first"), F.count("*").alias("__rows"))
+    earlier = Window.partitionBy(*(f"__{i}" for i in range(len(keys)))).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("__offset", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)) - F.col("__first"))
+    found = ranged.join(runs, _same(groups) & (own == F.col("__part")))
+    return found.select(*(F.col(f"`{c}`") for c in df.columns), (F.col("__at") + F.col("__offset")).alias(place))
+
+
+def places(df: DataFrame, groups: list[str], *order: Column | str, place: str = "place", size: str | None = None, most: int = 100_000) -> DataFrame:
+    """Adds the place (long, from 0) of each row in its group by ``order``, and under ``size`` the group's rows.
+
+    Groups of up to ``most`` rows are sorted in windows, the others, of which
+    there are at most rows / most, by ranges (see places_by_range()), so that
+    no task sorts more than ``most`` rows of a group.  Both give the same.
+    """
+    shared_folder(df.sparkSession)
+    whole = Window.partitionBy(*(F.col(g) for g in groups))
+    window = lambda x: x.withColumns({place: F.row_number().over(whole.orderBy(*order)).cast("long") - 1} | ({size: F.count("*").over(whole)} if size else {}))
+    large = df.groupBy(*(F.col(g).alias(f"__{k}") for k, g in enumerate(groups))).agg(F.count("*").alias("__n")).where(F.col("__n") > most).checkpoint()
+    if large.isEmpty():
+        return window(df)
+    names = [F.col(f"`{c}`") for c in df.columns]
+    ranged = places_by_range(df.join(large, _same(groups)).select(*names, *([F.col("__n").alias(size)] if size else [])), groups, *order, place=place)
+    return window(df.join(large, _same(groups), "left_anti")).unionByName(ranged)
+
+
+def thread_positions(df: DataFrame, conversation: str, created: str, seq: str, most: int = 100_000) -> DataFrame:
+    """Adds thread_position (int): the place by time, then seq, in a conversation of two rows or more, else null.
+
+    A conversation may be larger than a task: beyond ``most`` rows its places
+    come from ranges with prefix counts, see places().
+    """
+    known = places(df.where(F.col(conversation).isNotNull()), [conversation], created, seq, place="thread_position", size="__size", most=most)
+    placed_ = known.withColumn("thread_position", F.when(F.col("__size") > 1, F.col("thread_position") + 1).cast("int")).drop("__size")
+    return placed_.unionByName(df.where(F.col(conversation).isNull()).withColumn("thread_position", F.lit(None).cast("int")))
 
 
 def ties(df: DataFrame, n: int, group: str, value: str, policy: str, *breakers: Column) -> DataFrame:

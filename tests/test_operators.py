@@ -287,3 +287,31 @@ def test_other_sources_and_sinks(spark, tmp_path):
     tries = spark.createDataFrame([("a", 1, False), ("a", 2, True), ("a", 3, True), ("b", 1, False)], "source_id string, attempt int, success boolean")
     ok, failed = registry.first_success(tries)
     assert [(r.source_id, r.attempt) for r in ok.collect()] == [("a", 2)] and failed.count() == 2
+
+
+def test_places_are_the_same_by_windows_and_by_ranges(spark):
+    rows = [(c, t % 7, t) for c, n in (("a", 300), ("b", 1), (None, 40), ("c", 25)) for t in range(n)]
+    df = spark.createDataFrame(rows, "c string, t int, s int").repartition(5)
+    want, sizes = {}, {}
+    for c in {r[0] for r in rows}:
+        own = sorted((t, s) for c_, t, s in rows if c_ == c)
+        want |= {(c, s): k for k, (_, s) in enumerate(own)}
+        sizes[c] = len(own)
+    for most in (0, 20, 1000):
+        got = rank.places(df, ["c"], "t", "s", size="n", most=most).collect()
+        assert len(got) == len(rows) and {(r.c, r.s): r.place for r in got} == want and all(r.n == sizes[r.c] for r in got)
+        threads = rank.thread_positions(df, "c", "t", "s", most=most).collect()
+        assert {(r.c, r.s): r.thread_position for r in threads} == {(c, s): k + 1 if c and c != "b" else None for (c, s), k in want.items()}
+    assert rank.places(df.limit(0), ["c"], "t", most=0).count() == 0
+
+
+def test_a_hot_conversation_is_split(spark):
+    """Places by ranges: no range holds much more than its share of a group that has all rows."""
+    df = spark.range(40_000).select(F.lit("hot").alias("c"), F.col("id").alias("s"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = rank.places(df, ["c"], "s", most=1000).withColumn("task", F.spark_partition_id()).checkpoint()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found.groupBy("task").count().agg(F.max("count")).first()[0] < 20_000
+    assert found.where("place <> s").count() == 0
