@@ -27,6 +27,10 @@ def capped(df: DataFrame, group: str, group_order: str, per_group: int, total: i
     return few.withColumn("place", place).where(F.col("place") <= total)
 
 
+#: Rows up to which a table of groups and ranges is sent to every executor.
+SMALL = 100_000
+
+
 def _same(groups: list[str]) -> Column:
     """Whether a row's groups, nulls among them, are those of the other side, which has them as __0, __1 and so on."""
     same = F.lit(True)
@@ -49,8 +53,9 @@ def places_by_range(df: DataFrame, groups: list[str], *order: Column | str, plac
     own = F.shiftright("__at", 33)  # the upper bits of such an id are the range
     runs = ranged.groupBy(*(k.alias(f"__{i}") for i, k in enumerate(keys)), own.alias("__part")).agg(F.min("__at").alias("__first"), F.count("*").alias("__rows"))
     earlier = Window.partitionBy(*(f"__{i}" for i in range(len(keys)))).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("__offset", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)) - F.col("__first"))
-    found = ranged.join(runs, _same(groups) & (own == F.col("__part")))
+    runs = runs.select(*(f"__{i}" for i in range(len(keys))), "__part", (F.coalesce(F.sum("__rows").over(earlier), F.lit(0)) - F.col("__first")).alias("__offset")).checkpoint()
+    near = F.broadcast(runs) if runs.count() <= SMALL else runs  # else rows move once more, to the entries of their ranges
+    found = ranged.join(near, _same(groups) & (own == F.col("__part")))
     return found.select(*(F.col(f"`{c}`") for c in df.columns), (F.col("__at") + F.col("__offset")).alias(place))
 
 

@@ -289,7 +289,7 @@ def test_other_sources_and_sinks(spark, tmp_path):
     assert [(r.source_id, r.attempt) for r in ok.collect()] == [("a", 2)] and failed.count() == 2
 
 
-def test_places_are_the_same_by_windows_and_by_ranges(spark):
+def test_places_are_the_same_by_windows_and_by_ranges(spark, monkeypatch):
     rows = [(c, t % 7, t) for c, n in (("a", 300), ("b", 1), (None, 40), ("c", 25)) for t in range(n)]
     df = spark.createDataFrame(rows, "c string, t int, s int").repartition(5)
     want, sizes = {}, {}
@@ -297,7 +297,8 @@ def test_places_are_the_same_by_windows_and_by_ranges(spark):
         own = sorted((t, s) for c_, t, s in rows if c_ == c)
         want |= {(c, s): k for k, (_, s) in enumerate(own)}
         sizes[c] = len(own)
-    for most in (0, 20, 1000):
+    for most, small in ((0, 0), (0, 1000), (20, 1000), (1000, 1000)):
+        monkeypatch.setattr(rank, "SMALL", small)
         got = rank.places(df, ["c"], "t", "s", size="n", most=most).collect()
         assert len(got) == len(rows) and {(r.c, r.s): r.place for r in got} == want and all(r.n == sizes[r.c] for r in got)
         threads = rank.thread_positions(df, "c", "t", "s", most=most).collect()
