@@ -83,4 +83,40 @@ SELECT t.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) F
   sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, o), '')) AS base_sha256 FROM t LEFT JOIN k ON k.doc_id = t.doc_id GROUP BY t.doc_id
 """
 
-QUERIES = {"op3_histogram_top_k": OP3, "op7_multi_order_jaccard": OP7, "op8_prefix_free_dedup": OP8, "op9_hash_tree_shards": OP9, "base_of_op5": BASE5, "base_of_op6": BASE6}
+#: The cheapest of some ways (cost c, audit t), the least audit of equals.
+_LEAST = "list_sort(list_filter([{}], lambda w: w.c IS NOT NULL))[1]"
+_WAY = "{{'c': CASE WHEN {when} THEN {state}.c + {price} END, 't': {state}.t || '{audit}'}}"
+
+
+def _retained(role: str, pairs: dict[str, int]) -> str:
+    ways = [_WAY.format(when="true", state=role, price=3, audit="D")]
+    for op, price, when in (("K", 0, f"f.x = '{role}' AND f.fault NOT IN ('b', 'd')"), ("R", 2, "f.fault NOT IN ('b', 'd')")):
+        if not (op == "R" and role == "s"):
+            ways += [_WAY.format(when=when, state=state, price=f"{price + 2 * n} + CAST(f.fault = 't' AS BIGINT)", audit="I" * n + op) for state, n in pairs.items()]
+    return _LEAST.format(", ".join(ways))
+
+
+_PAIRS = {"s": {"e": 0}, "u": {"e": 0, "s": 0, "a": 0, "u": 1}, "a": {"u": 0, "e": 1, "s": 1, "a": 1}}
+OP13 = f"""
+WITH RECURSIVE table_ AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))) AS h FROM conversations),
+k AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(h, '..'), lambda b: CAST('0x' || b AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS k FROM h, table_),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) FROM k WHERE k > 0),
+p AS (SELECT conv_id, turn, role, text, left(role, 1) AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+f AS (SELECT *, x IS NOT NULL AND lag(x) OVER w || x NOT IN ('su', 'ua', 'au') AS bad, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'b' WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 't' ELSE '' END AS fault FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated, count(*) FILTER (WHERE bad) AS illegal FROM f GROUP BY conv_id),
+r AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'c': CAST(0 AS BIGINT), 't': ''}} AS e, CAST(NULL AS STRUCT(c BIGINT, t VARCHAR)) AS s, CAST(NULL AS STRUCT(c BIGINT, t VARCHAR)) AS u, CAST(NULL AS STRUCT(c BIGINT, t VARCHAR)) AS a FROM g
+  UNION ALL
+  SELECT r.conv_id, f.i, {{'c': e.c + 3, 't': e.t || 'D'}}, {", ".join(_retained(role, pairs) for role, pairs in _PAIRS.items())} FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.i = r.i + 1
+),
+b AS (SELECT g.*, {_LEAST.format("r.e, {'c': s.c + 4, 't': s.t || 'II'}, {'c': u.c + 2, 't': u.t || 'I'}, r.a")} AS best FROM g JOIN r ON g.conv_id IS NOT DISTINCT FROM r.conv_id AND g.n = r.i),
+o AS (SELECT conv_id, unnest(range(1, length(best.t) + 1)) AS j, best.t AS t FROM b),
+y AS (SELECT o.conv_id, j, substr(t, j, 1) AS op, f.role, f.x, f.text FROM o LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM o.conv_id AND substr(t, j, 1) <> 'I' AND f.i = length(replace(substr(t, 1, j), 'I', ''))),
+z AS (SELECT conv_id, j, CASE WHEN op = 'K' THEN role WHEN (row_number() OVER w - first_value(CAST(op = 'K' AND x = 's' AS INTEGER)) OVER w) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, '') AS line FROM y WHERE op <> 'D' WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+l AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY j) AS whole FROM z GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.t, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN l ON l.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+QUERIES = {"op3_histogram_top_k": OP3, "op7_multi_order_jaccard": OP7, "op8_prefix_free_dedup": OP8, "op9_hash_tree_shards": OP9, "op13_subsequence_repair": OP13, "base_of_op5": BASE5, "base_of_op6": BASE6}

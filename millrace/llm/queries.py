@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cotrain, edits, jaccard, oracle, packing, pfp, rules, secrets, shards, topk
+from . import bpe, cotrain, edits, jaccard, oracle, packing, pfp, repair, rules, secrets, shards, topk
 from ._common import read
 
 
@@ -103,8 +103,19 @@ def op10_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(cut).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op13_subsequence_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = repair.damaged(said)
+    found = repair.summary(repair.repair(turns)).join(repair.gaps(turns), "conv")
+    every = said.select("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")).alias("conv")).distinct()
+    number = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return every.join(found, "conv", "left").select(
+        "conv_id", *(number(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cotrained_quality, op2_byte_bpe, op3_histogram_top_k, op4_edit_token_counts, op5_monotone_tree_rules, op6_randomness_secrets, op7_multi_order_jaccard, op8_prefix_free_dedup, op9_hash_tree_shards, op10_binary_packing, base_of_op5, base_of_op6)}
+    return {f.__name__: f for f in (op1_cotrained_quality, op2_byte_bpe, op3_histogram_top_k, op4_edit_token_counts, op5_monotone_tree_rules, op6_randomness_secrets, op7_multi_order_jaccard, op8_prefix_free_dedup, op9_hash_tree_shards, op10_binary_packing, op13_subsequence_repair, base_of_op5, base_of_op6)}
 
 
 def oracle_sql() -> dict[str, str]:
