@@ -83,6 +83,32 @@ SELECT t.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) F
   sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, o), '')) AS base_sha256 FROM t LEFT JOIN k ON k.doc_id = t.doc_id GROUP BY t.doc_id
 """
 
+_TOLD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
+_leaf = lambda chars: "sha256(" + " || ".join(_TOLD.format(c) for c in ("doc_id", "source", "lang", chars, "text")) + ")"
+OP11 = f"""
+WITH RECURSIVE table_ AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT *, coalesce(xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR))), '..'), lambda b: CAST('0x' || b AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0, false) AS touched FROM documents, table_),
+e AS (SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, {_leaf("(n_chars + CAST(touched AS BIGINT))")} AS tampered FROM d),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM e),
+r AS (SELECT lang, 0 AS v, i, leaf AS h, n FROM l UNION ALL SELECT lang, v + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), any_value(n + 1) // 2 FROM r WHERE n > 1 GROUP BY lang, v, i // 2),
+s AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS j, count(*) OVER () AS m FROM r WHERE n = 1),
+q AS (SELECT 0 AS v, j, subroot AS h, m FROM s UNION ALL SELECT v + 1, j // 2, sha256(string_agg(h, '' ORDER BY j)), any_value(m + 1) // 2 FROM q WHERE m > 1 GROUP BY v, j // 2),
+f AS (
+  SELECT lang, i, 0 AS v, i AS at, tampered AS h, '' AS proof, n FROM l
+  UNION ALL
+  SELECT f.lang, f.i, f.v + 1, f.at // 2, sha256(CASE WHEN f.at % 2 = 0 THEN f.h || coalesce(r.h, '') ELSE r.h || f.h END), f.proof || coalesce(r.h, ''), (f.n + 1) // 2
+  FROM f LEFT JOIN r ON r.lang IS NOT DISTINCT FROM f.lang AND r.v = f.v AND r.i = xor(f.at, 1) WHERE f.n > 1
+),
+g AS (
+  SELECT f.lang, f.i, 0 AS v, s.j AS at, f.h, f.proof, s.m FROM f JOIN s ON s.lang IS NOT DISTINCT FROM f.lang WHERE f.n = 1
+  UNION ALL
+  SELECT g.lang, g.i, g.v + 1, g.at // 2, sha256(CASE WHEN g.at % 2 = 0 THEN g.h || coalesce(q.h, '') ELSE q.h || g.h END), g.proof || coalesce(q.h, ''), (g.m + 1) // 2
+  FROM g LEFT JOIN q ON q.v = g.v AND q.j = xor(g.at, 1) WHERE g.m > 1
+)
+SELECT l.doc_id, l.leaf, s.subroot, q.h AS root, sha256(g.proof) AS proof_sha256, g.h AS folded_root, g.h = q.h AS verified
+FROM l JOIN s ON s.lang IS NOT DISTINCT FROM l.lang JOIN g ON g.lang IS NOT DISTINCT FROM l.lang AND g.i = l.i AND g.m = 1 JOIN q ON q.m = 1
+"""
+
 #: The cheapest of some ways (cost c, audit t), the least audit of equals.
 _LEAST = "list_sort(list_filter([{}], lambda w: w.c IS NOT NULL))[1]"
 _WAY = "{{'c': CASE WHEN {when} THEN {state}.c + {price} END, 't': {state}.t || '{audit}'}}"
@@ -119,4 +145,4 @@ SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN l ON l.conv_id IS NOT DISTINCT FROM c.conv_id
 """
 
-QUERIES = {"op3_histogram_top_k": OP3, "op7_multi_order_jaccard": OP7, "op8_prefix_free_dedup": OP8, "op9_hash_tree_shards": OP9, "op13_subsequence_repair": OP13, "base_of_op5": BASE5, "base_of_op6": BASE6}
+QUERIES = {"op3_histogram_top_k": OP3, "op7_multi_order_jaccard": OP7, "op8_prefix_free_dedup": OP8, "op9_hash_tree_shards": OP9, "op11_merkle_manifest": OP11, "op13_subsequence_repair": OP13, "base_of_op5": BASE5, "base_of_op6": BASE6}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cotrain, edits, jaccard, oracle, packing, pfp, repair, rules, secrets, shards, topk
+from . import bpe, cotrain, edits, jaccard, manifest, oracle, packing, pfp, repair, rules, secrets, shards, topk
 from ._common import read
 
 
@@ -103,6 +103,16 @@ def op10_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(cut).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = read(spark, sf_dir, "documents").select(*fields)
+    touched = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    chars = F.col("n_chars").cast("decimal(20,0)") + F.when(touched, 1).otherwise(0)
+    tampered = manifest.digest_of([chars if f == "n_chars" else F.col(f) for f in fields])
+    found = manifest.manifest(docs, fields, carry={"tampered": tampered}).withColumn("folded_root", manifest.fold(F.col("tampered"), F.col("proof")))
+    return found.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def op13_subsequence_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     turns = repair.damaged(said)
@@ -115,7 +125,7 @@ def op13_subsequence_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cotrained_quality, op2_byte_bpe, op3_histogram_top_k, op4_edit_token_counts, op5_monotone_tree_rules, op6_randomness_secrets, op7_multi_order_jaccard, op8_prefix_free_dedup, op9_hash_tree_shards, op10_binary_packing, op13_subsequence_repair, base_of_op5, base_of_op6)}
+    return {f.__name__: f for f in (op1_cotrained_quality, op2_byte_bpe, op3_histogram_top_k, op4_edit_token_counts, op5_monotone_tree_rules, op6_randomness_secrets, op7_multi_order_jaccard, op8_prefix_free_dedup, op9_hash_tree_shards, op10_binary_packing, op11_merkle_manifest, op13_subsequence_repair, base_of_op5, base_of_op6)}
 
 
 def oracle_sql() -> dict[str, str]:
