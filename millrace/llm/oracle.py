@@ -109,6 +109,16 @@ SELECT l.doc_id, l.leaf, s.subroot, q.h AS root, sha256(g.proof) AS proof_sha256
 FROM l JOIN s ON s.lang IS NOT DISTINCT FROM l.lang JOIN g ON g.lang IS NOT DISTINCT FROM l.lang AND g.i = l.i AND g.m = 1 JOIN q ON q.m = 1
 """
 
+OP12 = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+y AS (SELECT doc_id, i FROM x QUALIFY row_number() OVER (PARTITION BY v ORDER BY doc_id, i) > 1),
+z AS (SELECT DISTINCT doc_id, i + k AS p FROM y, range(20) AS r(k)),
+u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM u ANTI JOIN z USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
 #: The cheapest of some ways (cost c, audit t), the least audit of equals.
 _LEAST = "list_sort(list_filter([{}], lambda w: w.c IS NOT NULL))[1]"
 _WAY = "{{'c': CASE WHEN {when} THEN {state}.c + {price} END, 't': {state}.t || '{audit}'}}"
@@ -145,4 +155,4 @@ SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN l ON l.conv_id IS NOT DISTINCT FROM c.conv_id
 """
 
-QUERIES = {"op3_histogram_top_k": OP3, "op7_multi_order_jaccard": OP7, "op8_prefix_free_dedup": OP8, "op9_hash_tree_shards": OP9, "op11_merkle_manifest": OP11, "op13_subsequence_repair": OP13, "base_of_op5": BASE5, "base_of_op6": BASE6}
+QUERIES = {"op3_histogram_top_k": OP3, "op7_multi_order_jaccard": OP7, "op8_prefix_free_dedup": OP8, "op9_hash_tree_shards": OP9, "op11_merkle_manifest": OP11, "op12_recompression_dedup": OP12, "op13_subsequence_repair": OP13, "base_of_op5": BASE5, "base_of_op6": BASE6}

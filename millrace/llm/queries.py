@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cotrain, edits, jaccard, manifest, oracle, packing, pfp, repair, rules, secrets, shards, topk
+from . import bpe, cotrain, edits, jaccard, manifest, oracle, packing, pfp, recompress, repair, rules, secrets, shards, topk
 from ._common import read
 
 
@@ -113,6 +113,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = recompress.without_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), window=20)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op13_subsequence_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     turns = repair.damaged(said)
@@ -125,7 +131,7 @@ def op13_subsequence_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cotrained_quality, op2_byte_bpe, op3_histogram_top_k, op4_edit_token_counts, op5_monotone_tree_rules, op6_randomness_secrets, op7_multi_order_jaccard, op8_prefix_free_dedup, op9_hash_tree_shards, op10_binary_packing, op11_merkle_manifest, op13_subsequence_repair, base_of_op5, base_of_op6)}
+    return {f.__name__: f for f in (op1_cotrained_quality, op2_byte_bpe, op3_histogram_top_k, op4_edit_token_counts, op5_monotone_tree_rules, op6_randomness_secrets, op7_multi_order_jaccard, op8_prefix_free_dedup, op9_hash_tree_shards, op10_binary_packing, op11_merkle_manifest, op12_recompression_dedup, op13_subsequence_repair, base_of_op5, base_of_op6)}
 
 
 def oracle_sql() -> dict[str, str]:
