@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sqltext
+from ..operators.asof import last_before
 from ..schemas import COLUMN, SIGNALS
 
 LAYERS = ("ADS", "DWS", "DWT", "DWD", "ODS")
@@ -62,12 +63,17 @@ def extract(files: DataFrame) -> DataFrame:
 
 
 def qualify(entries: DataFrame) -> DataFrame:
-    """Short names of filled tables take the full name of the last such table of the layer that an earlier path defines."""
+    """Short names of filled tables take the full name of the last such table of the layer that an earlier path, or their own, defines.
+
+    Definitions and uses of a short name are sorted together and never
+    paired, see last_before(); each path asks once.
+    """
     short = F.lower(F.element_at(F.split("name", r"\."), -1))
-    full = entries.where(F.contains("name", F.lit(".")) & (F.size("columns") > 0)).select("layer", short.alias("short"), F.col("path").alias("def_path"), F.col("name").alias("full_name"))
+    full = entries.where(F.contains("name", F.lit(".")) & (F.size("columns") > 0)).select("layer", short.alias("short"), "path", F.col("name").alias("full_name"))
     named = entries.withColumn("short", F.when(~F.contains("name", F.lit(".")), short))
-    near = named.where("short IS NOT NULL").join(full, ["layer", "short"]).where("def_path <= path").groupBy("layer", "path", "name").agg(F.max_by("full_name", "def_path").alias("full_name"))
-    return named.join(near, ["layer", "path", "name"], "left").withColumn("name", F.coalesce("full_name", "name")).drop("short", "full_name")
+    asked = named.where("short IS NOT NULL").select("layer", "short", "path").distinct()
+    near = last_before(asked, full, ["layer", "short"], "path", "full_name").where("full_name IS NOT NULL")
+    return named.join(near, ["layer", "short", "path"], "left").withColumn("name", F.coalesce("full_name", "name")).drop("short", "full_name")
 
 
 def build(files: DataFrame, keep_unknown: bool = False) -> DataFrame:

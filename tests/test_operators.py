@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import classify, dedupe, merge, profile, rank
+from millrace.operators import asof, classify, dedupe, merge, profile, rank
 from millrace.plans import archive, catalog, digest, qalog, shapes, sqlcheck
 from millrace.schemas import ARTICLE, POST, QA
 from millrace.sources import feeds, files, registry, sinks
@@ -316,3 +316,60 @@ def test_a_hot_conversation_is_split(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert found.groupBy("task").count().agg(F.max("count")).first()[0] < 20_000
     assert found.where("place <> s").count() == 0
+
+
+@pytest.mark.parametrize("many", [0, 10**6])
+def test_greedy_titles_against_the_plain_pass(spark, monkeypatch, many):
+    """Groups that overlap, equal titles, unknown times; pairs at once, and rounds with centres first."""
+    import random
+
+    monkeypatch.setattr(dedupe, "PAIRS", many)
+    monkeypatch.setattr(dedupe, "PAIRS_A_TOKEN", many)
+    rng = random.Random(8)
+    rows = []
+    for i in range(260):
+        base = [f"t{chr(97 + i % 7)}{chr(97 + k)}" for k in range(10)]
+        for _ in range(rng.randint(0, 4)):
+            base[rng.randrange(10)] = f"e{chr(97 + rng.randrange(6))}"
+        rows.append((i, " ".join(base) if i % 31 else "", None if rng.random() < 0.25 else NOW + timedelta(hours=rng.randrange(200))))
+    df = spark.createDataFrame(rows, "seq long, title string, published_at timestamp")
+    for threshold, hours in ((0.6, 24), (0.8, 1000), (1.0, 3)):
+        got = {r.seq: r.leader for r in dedupe.greedy_title_groups(df, threshold=threshold, hours=hours).collect()}
+        assert got == brute_greedy(rows, threshold, hours)
+
+
+def test_titles_alike_never_meet_in_pairs(spark, monkeypatch):
+    """4,000 titles, each like every other: no more comparisons than tokens of their prefixes."""
+    seen = []
+    alike = dedupe._alike
+    monkeypatch.setattr(dedupe, "_alike", lambda pairs, *rest: seen.append(pairs.count()) or alike(pairs, *rest))
+    letters = F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")
+    df = spark.range(4000).select(F.col("id").alias("seq"), F.concat(F.lit("all of these words are in every one of our titles here "), letters).alias("title"), F.lit(None).cast("timestamp").alias("published_at"))
+    found = dedupe.greedy_title_groups(df, threshold=0.8)
+    assert found.agg(F.count("*"), F.max("leader")).first()[:] == (4000, 0)
+    assert sum(seen) < 4 * 4000
+
+
+@pytest.mark.parametrize("ranges", [1, 4, 37])
+def test_last_fact_before(spark, ranges):
+    import random
+
+    rng = random.Random(ranges)
+    key = lambda: rng.choice(["hot", "hot", "hot", "a", "b", "only uses", None])
+    facts = [(key(), rng.choice([None, *range(60)]), f"v{k}") for k in range(80)] + [("only facts", 1, "x"), ("hot", 3, None)]
+    facts = [f for f in facts if f[0] != "only uses"]
+    uses = [(key(), rng.choice([None, *range(-3, 60)]), k) for k in range(200)]
+    found = asof.last_before(spark.createDataFrame(uses, "k string, t int, id int"), spark.createDataFrame(facts, "k string, t int, v string"), ["k"], "t", "v", ranges).collect()
+    assert len(found) == len(uses)
+    for r in found:
+        before = [(t, v) for k, t, v in facts if None not in (r.k, r.t, t, v) and k == r.k and t <= r.t]
+        assert r.v == (max(before)[1] if before else None)
+
+
+def test_a_name_with_many_definitions_and_uses(spark):
+    """2,000 definitions and 2,000 uses of one short name: rows added, not multiplied."""
+    plan = spark.range(2000).select(F.lit("DWD").alias("layer"), F.lit("t").alias("short"), F.format_string("p%05d", F.col("id") * 2 + 1).alias("path"))
+    facts = spark.range(2000).select(F.lit("DWD").alias("layer"), F.lit("t").alias("short"), F.format_string("p%05d", F.col("id") * 2).alias("path"), F.format_string("db%d.t", "id").alias("full_name"))
+    found = asof.last_before(plan, facts, ["layer", "short"], "path", "full_name")
+    assert found.where(F.col("full_name") != F.format_string("db%d.t", F.floor(F.substring("path", 2, 5).cast("int") / 2))).count() == 0 and found.count() == 2000
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
