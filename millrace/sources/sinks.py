@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 import os
 import re
+import time
 import uuid
 from collections.abc import Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,73 +82,148 @@ def _folder(spark: SparkSession, path: str):
     return jvm, place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def read_manifest(spark: SparkSession, path: str) -> dict[str, str]:
-    """What a table consists of: a folder below ``path`` for each part.  No table: none."""
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions that a table's manifests have, ascending."""
     jvm, place, fs = _folder(spark, f"{path}/_manifest")
     if not fs.exists(place):
-        return {}
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(place)]
+    return sorted(int(n[1:]) for n in names if re.fullmatch(r"v\d+", n))
+
+
+def read_version(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, dict[str, str]]:
+    """The latest version of a table (or the one asked for) and what it consists of: a folder below ``path`` for each part.  No table: version 0, no parts."""
+    if version is None:
+        version = max(_versions(spark, path), default=0)
+    if not version:
+        return 0, {}
+    jvm, place, fs = _folder(spark, f"{path}/_manifest/v{version:012d}")
     stream = fs.open(place)
     try:
-        return json.loads(bytes(stream.readAllBytes()).decode())
+        return version, json.loads(bytes(stream.readAllBytes()).decode())
     finally:
         stream.close()
 
 
-def _swap_manifest(spark: SparkSession, path: str, parts: Mapping[str, str]) -> None:
-    """The one step that readers see: a file is renamed over the old one.  Folders that neither the old nor the new manifest names go."""
-    before = read_manifest(spark, path)
-    jvm, place, fs = _folder(spark, f"{path}/_manifest.{uuid.uuid4().hex}")
+def read_manifest(spark: SparkSession, path: str) -> dict[str, str]:
+    return read_version(spark, path)[1]
+
+
+def _commit(spark: SparkSession, path: str, version: int, parts: Mapping[str, str]) -> bool:
+    """Compare and swap: names these parts as a version, unless another writer has named it already.
+
+    A manifest is written under a name of its own and then moved to that of
+    its version, which fails where there is one.  On a local folder that is a
+    link, which the system makes in one step or not at all; elsewhere a
+    rename without overwriting, which file systems such as HDFS do in one
+    step.  (A store that can't, as plain object stores, needs one writer.)
+    """
+    jvm, place, fs = _folder(spark, f"{path}/_manifest/.{uuid.uuid4().hex}")
     stream = fs.create(place, True)
     stream.write(json.dumps(dict(parts)).encode())
     stream.close()
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri() if place.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(fs.makeQualified(place), fs.makeQualified(jvm.org.apache.hadoop.fs.Path(f"{path}/_manifest")), options)
-    used = {f.partition("/")[0] for f in (*before.values(), *parts.values())}
-    for status in fs.listStatus(jvm.org.apache.hadoop.fs.Path(path)):
-        name = status.getPath().getName()
-        if status.isDirectory() and name.startswith("data-") and name not in used:
-            fs.delete(status.getPath(), True)
+    target = jvm.org.apache.hadoop.fs.Path(f"{path}/_manifest/v{version:012d}")
+    try:
+        if fs.getScheme() == "file":
+            files, local = jvm.java.nio.file.Files, lambda x: jvm.java.io.File(fs.makeQualified(x).toUri().getPath()).toPath()
+            files.createLink(local(target), local(place))
+            fs.delete(place, False)
+        else:
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+            context.rename(fs.makeQualified(place), fs.makeQualified(target), spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        return True
+    except Py4JJavaError as e:
+        if "AlreadyExists" not in e.java_exception.getClass().getName():
+            raise
+        fs.delete(place, False)
+        return False
+
+
+def _tidy(spark: SparkSession, path: str, version: int) -> None:
+    """Deletes what only versions before the previous one name: folders that no manifest names may be another writer's, and stay (see vacuum())."""
+    known = _versions(spark, path)
+    old = [v for v in known if v < version - 1]
+    if not old:
+        return
+    jvm, place, fs = _folder(spark, path)
+    of = lambda v: {f.partition("/")[0] for f in read_version(spark, path, v)[1].values()}
+    try:
+        used = set().union(*(of(v) for v in known if v >= version - 1))
+        gone = set().union(*(of(v) for v in old)) - used
+    except Py4JJavaError as e:  # another writer tidies up as well
+        if "FileNotFound" not in e.java_exception.getClass().getName():
+            raise
+        return
+    for name in gone:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
+    for v in old:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/_manifest/v{v:012d}"), False)
+
+
+def vacuum(spark: SparkSession, path: str, hours: float = 24) -> list[str]:
+    """Deletes the data of writers that stopped before they named it: folders that no manifest names and that are older than any write takes."""
+    jvm, place, fs = _folder(spark, path)
+    used = {f.partition("/")[0] for v in _versions(spark, path) for f in read_version(spark, path, v)[1].values()}
+    latest = time.time() * 1000 - hours * 3_600_000
+    gone = [s.getPath() for s in fs.listStatus(place) if s.isDirectory() and s.getPath().getName().startswith("data-") and s.getPath().getName() not in used and s.getModificationTime() <= latest]
+    for folder in gone:
+        fs.delete(folder, True)
+    return [folder.getName() for folder in gone]
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """A table that replace_table() or upsert_table() wrote, as its manifest now has it; None if there is none."""
+    """A table that replace_table() or upsert_table() wrote, as its latest manifest has it; None if there is none."""
     parts = sorted(set(read_manifest(spark, path).values()))
     return spark.read.parquet(*(f"{path}/{p}" for p in parts)) if parts else None
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Writes a new folder, then names it in the manifest: readers see the old or the new table, and a stop in between leaves the old one.
+    """Writes a new folder, then names it in a new manifest: readers see the old or the new table, and a stop in between leaves the old one.
 
-    The folder that the table had before stays until the next replacement, for readers that have begun.
+    Of two that replace a table at once the later one's stands.  The folders
+    that the table had before stay until the next change, for readers that
+    have begun.
     """
-    name = f"data-{uuid.uuid4().hex}"
+    spark, name = df.sparkSession, f"data-{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{name}")
-    _swap_manifest(df.sparkSession, path, {"all": name})
+    while not _commit(spark, path, version := read_version(spark, path)[0] + 1, {"all": name}):
+        pass
+    _tidy(spark, path, version)
 
 
 def upsert_table(changes: DataFrame, path: str, key: str, order: str | None = None, buckets: int = 64) -> None:
     """Merges rows into a table by key, the last wins; only the hash buckets that the rows fall into are written anew.
 
     Doing it again with the same rows changes nothing, and a stop at any
-    point leaves the old or the new table.
+    point leaves the old or the new table.  Several may merge at once: who
+    finds that another version came first merges again those buckets that it
+    changed, and tries the next version, so that no rows are lost.
     """
     from ..operators.merge import upsert
 
     spark = changes.sparkSession
-    parts = read_manifest(spark, path)
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
     fresh = upsert(changes.limit(0), changes, key, order)
-    touched = [r["b"] for r in fresh.select(bucket.alias("b")).distinct().collect()]  # at most as many as buckets
-    if not touched:
-        return
-    held = sorted(parts[str(b)] for b in touched if str(b) in parts)
-    if held:
-        fresh = upsert(spark.read.parquet(*(f"{path}/{p}" for p in held)).select(fresh.columns), fresh, key, order)
-    name = f"data-{uuid.uuid4().hex}"
-    fresh.withColumn("__bucket", bucket).repartition(len(touched), "__bucket").write.partitionBy("__bucket").parquet(f"{path}/{name}")
-    _swap_manifest(spark, path, parts | {str(b): f"{name}/__bucket={b}" for b in touched})
+    # the changes are evaluated once, and stored, so that a later try merges the same
+    staged = f"data-{uuid.uuid4().hex}"
+    fresh.withColumn("__bucket", bucket).write.partitionBy("__bucket").parquet(f"{path}/{staged}")
+    jvm, place, fs = _folder(spark, f"{path}/{staged}")
+    touched = [s.getPath().getName().rpartition("=")[2] for s in fs.listStatus(place) if s.isDirectory()]  # at most as many as buckets
+    written: dict[str, tuple[str | None, str]] = {}  # of each bucket, the part that was merged and the new one
+    while touched:
+        version, parts = read_version(spark, path)
+        stale = [b for b in touched if b not in written or written[b][0] != parts.get(b)]
+        if stale:
+            held = sorted({parts[b] for b in stale if b in parts})
+            mine = spark.read.schema(fresh.schema).parquet(*(f"{path}/{staged}/__bucket={b}" for b in stale))
+            both = upsert(spark.read.schema(fresh.schema).parquet(*(f"{path}/{p}" for p in held)), mine, key, order) if held else mine
+            name = f"data-{uuid.uuid4().hex}"
+            both.withColumn("__bucket", bucket).repartition(len(stale), "__bucket").write.partitionBy("__bucket").parquet(f"{path}/{name}")
+            written |= {b: (parts.get(b), f"{name}/__bucket={b}") for b in stale}
+        if _commit(spark, path, version + 1, parts | {b: new for b, (_, new) in written.items()}):
+            _tidy(spark, path, version + 1)
+            break
+    fs.delete(place, True)
 
 
 def search_entries(catalog: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def test_a_stop_before_the_swap_leaves_the_old_table(spark, tmp_path, monkeypatc
     sinks.replace_table(rows, path)
     held = sinks.read_table(spark, path)
     with monkeypatch.context() as m:
-        m.setattr(sinks, "_swap_manifest", lambda *_: (_ for _ in ()).throw(RuntimeError("stopped")))
+        m.setattr(sinks, "_commit", lambda *_: (_ for _ in ()).throw(RuntimeError("stopped")))
         for change in (lambda: sinks.replace_table(rows.withColumn("v", F.lit(7)), path), lambda: sinks.upsert_table(rows.withColumn("v", F.lit(7)), path, "id")):
             try:
                 change()
@@ -94,3 +94,53 @@ def test_threshold(spark, tmp_path):
         stream = incremental.read(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema)
         incremental.when_due(stream, f"{tmp_path}/log", f"{tmp_path}/state", f"{tmp_path}/check", lambda log: seen.append(log.count()), least=4).awaitTermination()
     assert seen == [6]
+
+
+def test_two_writers_keep_both(spark, tmp_path, monkeypatch):
+    """Another writer commits between what this one read and its own commit: rows of both are there, also in the same bucket."""
+    path = f"{tmp_path}/t"
+    rows = lambda *r: spark.createDataFrame(list(r), "id long, v long")
+    sinks.upsert_table(rows((1, 1), (2, 1), (3, 1)), path, "id", "v", buckets=2)
+    commit, tried = sinks._commit, []
+
+    def late(spark, where, version, parts):
+        if not tried:
+            tried.append(version)
+            sinks.upsert_table(rows((2, 5), (3, 9), (10, 1), (11, 1)), path, "id", "v", buckets=2)
+        else:
+            tried.append(version)
+        return commit(spark, where, version, parts)
+
+    monkeypatch.setattr(sinks, "_commit", late)
+    sinks.upsert_table(rows((1, 7), (3, 5), (20, 1), (21, 1)), path, "id", "v", buckets=2)
+    assert tried == [2, 2, 3]  # this one's, the other's, this one's again
+    got = {r.id: r.v for r in sinks.read_table(spark, path).collect()}
+    assert got == {1: 7, 2: 5, 3: 5, 10: 1, 11: 1, 20: 1, 21: 1}
+
+
+def test_many_writers_at_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = f"{tmp_path}/t"
+    write = lambda k: sinks.upsert_table(spark.createDataFrame([(100 * k + i, k) for i in range(20)] + [(-1, k)], "id long, v long"), path, "id", "v", buckets=3)
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(write, range(6)))
+    got = {r.id: r.v for r in sinks.read_table(spark, path).collect()}
+    assert set(got) == {100 * k + i for k in range(6) for i in range(20)} | {-1} and got[5] == 0
+    assert sinks.read_version(spark, path)[0] == 6
+
+
+def test_two_replacements_and_what_is_left_behind(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/t"
+    rows = lambda v: spark.createDataFrame([(1, v)], "id long, v long")
+    commit, tried = sinks._commit, []
+    monkeypatch.setattr(sinks, "_commit", lambda *a: (tried or (tried.append(1), sinks.replace_table(rows(1), path))) and commit(*a))
+    sinks.replace_table(rows(2), path)
+    assert sinks.read_version(spark, path)[0] == 2 and sinks.read_table(spark, path).first().v == 2
+    monkeypatch.setattr(sinks, "_commit", commit)
+    rows(9).write.parquet(f"{path}/data-lost")  # of a writer that stopped, or is still at work
+    sinks.replace_table(rows(3), path)
+    sinks.replace_table(rows(4), path)
+    folders = {p.name for p in tmp_path.joinpath("t").iterdir() if p.name.startswith("data-")}
+    assert "data-lost" in folders and len(folders) == 3 and sinks.vacuum(spark, path) == []
+    assert sinks.vacuum(spark, path, hours=-1) == ["data-lost"] and sinks.read_table(spark, path).first().v == 4
