@@ -13,7 +13,7 @@ from .plans import archive, qalog
 from .queries import _DAY, _days, query, table
 from .session import scratch, shared_folder
 from .sources import sinks
-from .streaming import incremental
+from .streaming import incremental, stateful
 
 _HOUR = "(conv_id * 7 + turn) % 24"
 
@@ -396,3 +396,54 @@ def rotated_baseline(spark, sf_dir):
     new = lambda a, b: merge.added(a, b, "id")
     incremental.rotate_baseline(spark, before, path, new)
     return incremental.rotate_baseline(spark, now, path, new)
+
+
+def _landings(spark, name, landings, work) -> DataFrame:
+    """What a stream gives when folders of files land one after the other, and the query starts anew for each from its checkpoint."""
+    path = scratch(spark, name)
+    for rows in landings:
+        rows.write.mode("append").parquet(f"{path}/in")
+        stream = work(incremental.read(spark, f"{path}/in", rows.schema))
+        stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+_AT = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')"
+
+
+@query(f"""
+WITH a AS (SELECT * FROM events WHERE event_id % 3 = 0), c AS (SELECT user_id, arg_max(event_id, {_AT} || lpad(CAST(event_id AS VARCHAR), 20, '0')) AS latest FROM a GROUP BY user_id),
+b AS (SELECT event_id FROM a UNION ALL SELECT event_id FROM events LEFT JOIN c ON c.user_id = events.user_id WHERE latest IS NULL OR event_id > latest)
+SELECT event_id, count(*) AS times FROM b GROUP BY event_id
+""")
+def stream_since_cursors(spark, sf_dir):
+    """A third of the events lands, then all of them: the second time, what is newer than its user's cursor."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("created"))
+    found = _landings(spark, "cursors", [events.where("event_id % 3 = 0"), events], lambda s: stateful.newer_than_cursors(s, "user_id", "event_id", "created"))
+    return found.groupBy("event_id").agg(F.count("*").alias("times"))
+
+
+@query("""
+WITH a AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events WHERE event_id % 2 = 0),
+k AS (SELECT user_id, event_id AS known FROM a WHERE place = 1),
+b AS (SELECT events.user_id, event_id, known, row_number() OVER (PARTITION BY events.user_id ORDER BY ts DESC, event_id DESC) AS place FROM events LEFT JOIN k ON k.user_id = events.user_id WHERE events.user_id % 5 > 0 OR known IS NULL OR event_id <> known),
+e AS (SELECT user_id, min(place) AS stop FROM b WHERE event_id = known GROUP BY user_id)
+SELECT 1 AS listing, event_id FROM a UNION ALL SELECT 2, event_id FROM b LEFT JOIN e ON e.user_id = b.user_id WHERE stop IS NULL OR place < stop
+""")
+def stream_until_known(spark, sf_dir):
+    """Every user's events listed newest first, first half of them, then all: the second listing up to where the first began, which a fifth of the users have deleted."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    newest = rank.Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    listed = lambda df, k: df.select("user_id", F.lit(k).alias("listing"), F.row_number().over(newest).alias("place"), "event_id")
+    first = listed(events.where("event_id % 2 = 0"), 1)
+    known = first.where("place = 1 AND user_id % 5 = 0").select("event_id")
+    second = listed(events.join(known, "event_id", "left_anti"), 2)
+    return _landings(spark, "listings", [first, second], lambda s: stateful.until_known(s, "user_id", "listing", "place", "event_id")).select("listing", "event_id")
+
+
+@query("SELECT log, unnest(range(20, n + 1, 20)) AS labelled FROM (SELECT 'log' || (doc_id % 7) AS log, count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY 1)")
+def stream_due_marks(spark, sf_dir):
+    """Logs that land in two parts, with a mark at every twenty labelled rows."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("log"), (F.col("doc_id") % 7).cast("string")).alias("log"), F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "bad").alias("label"))
+    parts = [labels.where(f"doc_id % 2 = {k}").drop("doc_id") for k in (0, 1)]
+    return _landings(spark, "marks", parts, lambda s: stateful.due_marks(s, "log", "label")).select("log", "labelled")
