@@ -116,21 +116,26 @@ def query_tokens(query: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def search(catalog: DataFrame, query: str, n: int = 20, prefer: Sequence[str] = ("ADS", "DWS", "DWT"), layers: Sequence[str] | None = None, require_hit: bool = False) -> DataFrame:
-    """layer, name and score of the n best entries.
-
-    Each word adds the weights of the fields that contain it, half if it tells
-    little; a preferred layer adds 3, 2 or 1, by default also without any
-    hit.  The words are literals, so scoring is one pass without a join.
-    """
+def search_fields() -> dict[str, Column]:
+    """What a search looks at in an entry, in lower case."""
     empty = F.lit("")
-    fields = {
+    return {
         "name": F.lower("name"), "description": F.lower(F.coalesce("description", empty)), "table_comment": F.lower(F.coalesce("table_comment", empty)),
         "column_comments": F.lower(F.array_join(F.transform("columns", lambda c: F.coalesce(c["comment"], empty)), "\n")),
         "column_names": F.lower(F.array_join(F.transform("columns", lambda c: c["name"]), "\n")),
         "partition_names": F.lower(F.array_join(F.transform("partition_columns", lambda c: c["name"]), "\n")),
         "path": F.lower(F.array_join(F.concat("sql_files", "doc_files"), "\n")),
     }
+
+
+def search(catalog: DataFrame, query: str, n: int = 20, prefer: Sequence[str] = ("ADS", "DWS", "DWT"), layers: Sequence[str] | None = None, require_hit: bool = False) -> DataFrame:
+    """layer, name and score of the n best entries.
+
+    Each word adds the weights of the fields that contain it, half if it tells
+    little; a preferred layer adds 3, 2 or 1, by default also without any
+    hit.  The words are literals, so scoring is one pass without a join.
+    """
+    fields = search_fields()
     score = F.lit(0.0)
     for word in query_tokens(query):
         for field, weight in WEIGHTS.items():

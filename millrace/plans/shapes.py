@@ -32,6 +32,20 @@ def latest_partition(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column) == df.agg(F.max(column)).scalar())
 
 
+def store_by(df: DataFrame, column: str, path: str) -> None:
+    """Writes a table in folders by a column, each value's rows together, so that queries on it read only the folders that they need."""
+    df.repartition(column).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+
+
+def latest_stored_partition(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """The rows of the largest value of the column that a stored table is partitioned by.
+
+    That value comes from a scan of no column; it reaches the scan of the
+    rows as a partition filter while the query runs, and one folder is read.
+    """
+    return latest_partition(spark.read.parquet(path), column)
+
+
 def having_all(rows: DataFrame, key: str, conditions: Sequence[Column]) -> DataFrame:
     """Keys that meet every condition, each on some row."""
     return rows.groupBy(key).agg(F.bool_and(F.lit(True)).alias("t"), *(F.bool_or(c).alias(f"c{k}") for k, c in enumerate(conditions))).where(" AND ".join(f"c{k}" for k in range(len(conditions)))).select(key)

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import posts, texts, times, urls
-from .operators import classify, dedupe, merge, profile, rank
+from .operators import classify, dedupe, history, merge, profile, rank
 from .plans import archive, digest, qalog, shapes
-from .session import shared_folder
+from .session import scratch, shared_folder
 from .sources import feeds
 
 REFERENCE = datetime(2024, 1, 31)
@@ -343,6 +343,14 @@ def latest_partition(spark, sf_dir):
     return shapes.latest_partition(table(spark, sf_dir, "orders").withColumn("dt", F.to_date("o_orderdate")), "dt").select("o_orderkey", "o_custkey")
 
 
+@query("SELECT o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m') AS dt FROM orders WHERE strftime(o_orderdate, '%Y-%m') = (SELECT max(strftime(o_orderdate, '%Y-%m')) FROM orders)")
+def latest_stored_partition(spark, sf_dir):
+    """Orders stored by month; the last month is the only folder read."""
+    path = scratch(spark, "months")
+    shapes.store_by(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("dt")), "dt", path)
+    return shapes.latest_stored_partition(spark, path, "dt").select("o_orderkey", "o_custkey", F.col("dt").cast("string").alias("dt"))
+
+
 @query("""
 SELECT user_id, 'all' AS logic FROM events GROUP BY 1 HAVING bool_or(event_type = 'error') AND bool_or(value > 50) UNION ALL
 SELECT DISTINCT user_id, 'any' FROM events WHERE event_type = 'error' OR value > 50
@@ -413,6 +421,23 @@ def status_over_snapshots(spark, sf_dir):
     return merge.status_over_snapshots(table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("date")), "user_id", "date")
 
 
+_WEEKS = "SELECT DISTINCT user_id, CAST(date_trunc('week', ts) AS DATE) AS week FROM events WHERE user_id IS NOT NULL AND event_type = 'error'"
+
+
+@query(f"""
+WITH w AS ({_WEEKS}), n AS (SELECT week, row_number() OVER (ORDER BY week) AS i FROM (SELECT DISTINCT week FROM w)),
+g AS (SELECT user_id, w.week, i, i - row_number() OVER (PARTITION BY user_id ORDER BY i) AS run FROM w JOIN n ON n.week = w.week)
+SELECT user_id, CAST(min(week) AS VARCHAR) AS first_seen, CAST(max(week) AS VARCHAR) AS last_seen, CASE WHEN max(i) = (SELECT max(i) FROM n) THEN 'active' ELSE 'unfollowed' END AS status, count(DISTINCT run) AS intervals FROM g GROUP BY user_id
+""")
+def status_from_intervals(spark, sf_dir):
+    """Weekly snapshots merged one after the other into intervals; earlier ones are never read again."""
+    path = scratch(spark, "history")
+    weeks = table(spark, sf_dir, "events").where("event_type = 'error'").select("user_id", F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("week")).distinct().checkpoint()
+    for day in sorted(r["week"] for r in weeks.select("week").distinct().collect()):  # the snapshots' days
+        history.merge_snapshot(weeks.where(F.col("week") == day), path, "user_id", day)
+    return history.status(spark, path, "user_id")
+
+
 @query("""
 WITH t AS (SELECT DISTINCT 'u' || user_id AS u FROM events WHERE event_type = 'click'), p AS (SELECT DISTINCT 'u' || user_id AS u FROM events WHERE event_type = 'error'),
 yes AS (SELECT u FROM p WHERE CAST(substr(u, 2) AS BIGINT) % 2 = 0), no AS (SELECT u FROM p WHERE CAST(substr(u, 2) AS BIGINT) % 5 = 0)

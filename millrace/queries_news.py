@@ -12,7 +12,7 @@ from .operators import classify
 from .plans import digest
 from .queries import _ARTICLES, _KEY, REFERENCE, _articles, _flagship, query, table
 from .session import scratch
-from .sources import feeds, files, registry, sinks
+from .sources import feeds, files, paged, registry, sinks
 
 
 def _sql(s: str) -> str:
@@ -252,6 +252,22 @@ def listing_pages(spark, sf_dir):
     return files.union_pages([page(0, F.col("o_orderpriority").alias("note")), page(1, F.col("o_custkey").alias("customer")), page(2)])
 
 
+@query("""
+SELECT 'data' AS kind, row_number() OVER (ORDER BY c_custkey) - 1 AS at, CAST(c_custkey AS VARCHAR) AS told FROM customer UNION ALL
+SELECT 'segments', page * 1000 + row_number() OVER (PARTITION BY page ORDER BY segment) - 1, segment FROM (SELECT DISTINCT dense_rank() OVER (ORDER BY c_custkey // 100) - 1 AS page, c_mktsegment AS segment FROM customer WHERE c_mktsegment IS NOT NULL)
+""")
+def paged_listing(spark, sf_dir):
+    """Customers landed as pages of up to a hundred with their segments beside them, read as one listing, a task a page."""
+    path = scratch(spark, "pages")
+    rows = table(spark, sf_dir, "customer").select(F.lpad(F.floor(F.col("c_custkey") / 100).cast("string"), 12, "0").alias("page"), F.struct(F.col("c_custkey").alias("id")).alias("row"), "c_mktsegment")
+    page = F.struct(F.sort_array(F.collect_list("row")).alias("data"), F.struct(F.array_sort(F.collect_set("c_mktsegment")).alias("segments")).alias("includes"))
+    rows.groupBy("page").agg(F.to_json(page).alias("value")).repartition("page").write.partitionBy("page").text(path)
+    landed = paged.pages(spark, path)
+    data = paged.listing(landed).select(F.lit("data").alias("kind"), F.col("seq").alias("at"), F.get_json_object("value", "$.id").alias("told"))
+    beside = landed.where("kind = 'segments'").select("kind", (F.col("page") * 1000 + F.col("place")).alias("at"), F.replace(F.col("value"), F.lit('"'), F.lit("")).alias("told"))
+    return data.unionByName(beside)
+
+
 @query("""
 SELECT conv_id, string_agg(CASE turn % 8 WHEN 0 THEN '# ' WHEN 1 THEN '## ' WHEN 2 THEN '  ### ' WHEN 3 THEN '- ' WHEN 4 THEN '1. ' WHEN 5 THEN '> ' WHEN 6 THEN CASE WHEN conv_id % 2 = 0 THEN '[x] ' ELSE '[ ] ' END ELSE '' END || coalesce(role, ''), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id
 """)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import rank
-from .plans import catalog, qalog, shapes, sqlcheck
+from .plans import catalog, qalog, searchindex, shapes, sqlcheck
 from .queries import query, table
 from .sources import sinks
 
@@ -80,6 +80,23 @@ def catalog_search(spark, sf_dir):
     return catalog.search(_catalog(spark, sf_dir), "统计 T_12 编号 dt １２ 345")
 
 
+@query(f"""
+WITH e AS ({_ENTRIES}), c AS (SELECT *, lower(name) AS f1, description AS f2, table_comment AS f3, '编号 ' || p_partkey || chr(10) || 'a, b' AS f4, 'id' || chr(10) || 'v' AS f5, 'dt' AS f6,
+  lower(folder || '表' || p_partkey || '.sql' || chr(10) || folder || '载入' || p_partkey || '.sql' || CASE WHEN p_partkey % 3 = 0 THEN chr(10) || folder || '说明' || p_partkey || '.md' ELSE '' END) AS f7 FROM e),
+w AS (SELECT n_nationkey AS question_id, unnest(['t_' || n_nationkey, '编号', lower(n_name), 'nation', 'dt', 'sql']) AS word FROM nation),
+h AS (SELECT word, layer, name, CASE WHEN word = 'dt' THEN 0.5 ELSE 1.0 END * (5.0 * contains(f1, word)::INT + 4.0 * contains(f2, word)::INT + 4.0 * contains(f3, word)::INT + 4.0 * contains(f4, word)::INT + 3.0 * contains(f5, word)::INT + 3.0 * contains(f6, word)::INT + contains(f7, word)::INT) AS hits FROM (SELECT DISTINCT word FROM w), c),
+s AS (SELECT question_id, layer, name, sum(hits) + CASE layer WHEN 'ADS' THEN 3.0 WHEN 'DWS' THEN 2.0 WHEN 'DWT' THEN 1.0 ELSE 0.0 END AS score FROM w JOIN h ON h.word = w.word GROUP BY question_id, layer, name)
+SELECT question_id, layer, name, CAST(score AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, layer, name) AS INTEGER) AS place FROM s WHERE score > 0 QUALIFY place <= 20
+""")
+def catalog_search_many(spark, sf_dir):
+    """A question for every nation, all answered at once from an index of the catalog."""
+    entries = _catalog(spark, sf_dir).checkpoint()
+    ask = F.concat(F.lit("统计 T_"), F.col("n_nationkey").cast("string"), F.lit(" 编号 "), "n_name", F.lit(" dt SQL"))
+    questions = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("question_id"), ask.alias("question"))
+    index = searchindex.postings(searchindex.field_texts(entries)).checkpoint()
+    return searchindex.search_many(index, entries, questions)
+
+
 @query(f"SELECT layer, name, CAST(5.0 + CASE layer WHEN 'DWD' THEN 3.0 ELSE 0.0 END AS DOUBLE) AS score FROM ({_ENTRIES}) WHERE layer IN ('DWD', 'ODS') AND contains(name, 't_77') ORDER BY score DESC, layer, name LIMIT 20")
 def catalog_search_in_layers(spark, sf_dir):
     """Entries of two layers only, and only those with a hit."""
