@@ -51,8 +51,14 @@ h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 d AS (SELECT doc_id, CAST(length(h) / 2 AS BIGINT) + 16 AS size,
   xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(h, '..'), lambda b: CAST('0x' || b AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM h, table_),
 k AS (SELECT DISTINCT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key FROM documents),
-w AS (SELECT doc_id, key, s, -ln((CAST('0x' || substr(md5(s || ':' || key), 1, 13) AS BIGINT) + 0.5) / 4503599627370496) AS draw FROM k, range(41) AS r(s)),
-p AS (SELECT doc_id, CAST(arg_min(s, draw) FILTER (WHERE s < 40) AS INTEGER) AS shard, CAST(arg_min(s, draw) AS INTEGER) AS grown_shard, any_value(substr(md5('slot:' || key), 1, 2)) AS bucket FROM w GROUP BY doc_id)
+c AS (SELECT doc_id, key, g, j, 'r' AS kind, g AS node FROM k, range(3) AS r(g), range(64) AS t(j) WHERE j = 0 OR g = 2
+  UNION ALL SELECT doc_id, key, g, j, 'k', 4 * g + x FROM k, range(3) AS r(g), range(64) AS t(j), range(4) AS n(x) WHERE j = 0 OR g = 2
+  UNION ALL SELECT doc_id, key, g, j, 's', 16 * g + x FROM k, range(3) AS r(g), range(64) AS t(j), range(16) AS n(x) WHERE j = 0 OR g = 2),
+w AS (SELECT doc_id, key, g, j, kind, node, -ln((CAST('0x' || substr(md5(kind || node || ':' || j || ':' || key), 1, 13) AS BIGINT) + 0.5) / 4503599627370496) AS draw FROM c),
+a AS (SELECT doc_id, key, g, j, any_value(draw) FILTER (WHERE kind = 'r') AS draw, arg_min(node, draw) FILTER (WHERE kind = 'k') AS rack FROM w GROUP BY doc_id, key, g, j),
+b AS (SELECT a.doc_id, a.key, a.g, a.j, any_value(a.draw) AS draw, arg_min(w.node, w.draw) AS shard FROM a JOIN w ON w.doc_id IS NOT DISTINCT FROM a.doc_id AND w.g = a.g AND w.j = a.j AND w.kind = 's' AND w.node // 4 = a.rack GROUP BY a.doc_id, a.key, a.g, a.j),
+v AS (SELECT doc_id, key, g, j, shard, sum(draw) OVER (PARTITION BY doc_id, g ORDER BY j) / 16 AS came FROM b),
+p AS (SELECT doc_id, CAST(arg_min(shard, came) FILTER (WHERE shard < 40) AS INTEGER) AS shard, CAST(arg_min(shard, came) FILTER (WHERE shard < 41) AS INTEGER) AS grown_shard, any_value(substr(md5('slot:' || key), 1, 2)) AS bucket FROM v GROUP BY doc_id)
 SELECT d.doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, d.doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM d JOIN p ON p.doc_id IS NOT DISTINCT FROM d.doc_id
 """
 

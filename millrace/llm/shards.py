@@ -18,14 +18,15 @@ Tree = Mapping[int, Mapping[int, Mapping[int, float]]]
 
 
 def even_tree(shards: int) -> dict[int, dict[int, dict[int, float]]]:
-    """Shards of weight 1 in racks of 4 and regions of 16, filled in order."""
+    """Places of weight 1 for so many shards, in racks of 4 and regions of 16, filled in order.
+
+    The last region has places for shards that aren't there yet: see
+    ``shards`` of with_shard().
+    """
     if shards < 1:
         raise ValueError("shards must be positive")
-    tree: dict[int, dict[int, dict[int, float]]] = {}
-    for s in range(shards):
-        rack = s // RACK
-        tree.setdefault(rack // REGION, {}).setdefault(rack, {})[s] = 1.0
-    return tree
+    size = REGION * RACK
+    return {r: {k: {s: 1.0 for s in range(k * RACK, (k + 1) * RACK)} for k in range(r * REGION, (r + 1) * REGION)} for r in range(-(-shards // size))}
 
 
 def weighted(tree: Tree, regions: Mapping[int, float] | None = None, racks: Mapping[int, float] | None = None) -> dict[int, dict[int, dict[int, float]]]:
@@ -42,34 +43,97 @@ def weighted(tree: Tree, regions: Mapping[int, float] | None = None, racks: Mapp
     return out
 
 
-def with_shard(df: DataFrame, key: Column, tree: Tree, out: str) -> DataFrame:
+#: Attempts at a place that is there before a region's shards draw themselves.
+ATTEMPTS = 64
+
+
+def _draw(kind: str, node: Column, attempt: Column | int, name: Column) -> Column:
+    """-ln(u), u being hashed from a node, an attempt and the key: exponential, and the same whatever the tree."""
+    attempt = attempt if isinstance(attempt, Column) else F.lit(attempt)
+    text = F.concat(F.lit(kind), node.cast("string"), F.lit(":"), attempt.cast("string"), F.lit(":"), name)
+    return -F.log((F.conv(F.substring(F.md5(text.cast("binary")), 1, DIGITS), 16, 10).cast("double") + 0.5) / float(16**DIGITS))
+
+
+def _bound(x: Column, use) -> Column:
+    """use(x), with x evaluated once."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def with_shard(df: DataFrame, key: Column, tree: Tree, out: str, shards: int | None = None) -> DataFrame:
     """Adds ``out``: the shard of ``key`` in the tree; shards of weight 0 get nothing.
 
-    Every shard draws -ln(u) / weight, u being hashed from its number and the
-    key; a rack draws the least of its shards' draws and a region the least of
-    its racks'.  A subtree's draw is then exponential at the rate of its whole
-    weight, so that descending to the least region, its least rack and its
-    least shard gives every subtree its share.  Draws depend on nothing else:
-    where a weight rises, keys move into that shard alone, where it falls,
-    out of it alone, and every subtree whose weights stay keeps all others.
+    A key descends: the regions draw -ln(u) / weight, and the least draw wins;
+    then the racks of that region do, then the shards of that rack.  Weights
+    are those of what is below a node.  A draw depends on its node and the
+    key alone, so that where the weight of a subtree changes keys move into
+    it or out of it, level by level, and nowhere else.
+
+    With ``shards``, places of the tree from that number on aren't there yet.
+    A region that has some draws for all its places: a key that comes to one
+    that isn't there goes on, and the region's draw grows by its next one,
+    until a place is there or another region's draw is less.  (Refusing
+    arrivals thins them to the share of the places that are there, so shards
+    stay even; after 64 refusals the region's shards draw themselves.)  The
+    place that one more shard fills was refused before, and what it takes
+    all goes to that shard.
     """
     name = F.coalesce(key.cast("string"), F.lit("null"))
-    leaves = [[[(s, float(w)) for s, w in sorted(shards.items()) if w > 0] for _, shards in sorted(held.items())] for _, held in sorted(tree.items())]
-    leaves = [kept for held in leaves if (kept := [rack for rack in held if rack])]
-    if not leaves:
+    racks = {r: [(k, [(s, float(w)) for s, w in sorted(leaves.items()) if w > 0]) for k, leaves in sorted(held.items())] for r, held in sorted(tree.items())}
+    racks = {r: [(k, leaves) for k, leaves in held if leaves] for r, held in racks.items()}
+    total = lambda held: sum(w for _, leaves in held for _, w in leaves)
+    there = lambda s: shards is None or s < shards
+    full = {r: held for r, held in racks.items() if held and all(there(s) for _, leaves in held for s, _ in leaves)}
+    open_ = {r: held for r, held in racks.items() if r not in full and any(there(s) for _, leaves in held for s, _ in leaves)}
+    if not full and not open_:
         raise ValueError("no shard has a weight")
-    table = F.array(*(F.array(*(F.array(*(F.struct(F.lit(s).alias("shard"), F.lit(w).alias("weight")) for s, w in rack)) for rack in held)) for held in leaves))
 
-    def draw(leaf: Column) -> Column:
-        digits = F.substring(F.md5(F.concat(leaf["shard"].cast("string"), F.lit(":"), name).cast("binary")), 1, DIGITS)
-        u = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(16**DIGITS)
-        return F.struct((-F.log(u) / leaf["weight"]).alias("draw"), leaf["shard"].alias("shard"))
+    def leaf_table(leaves) -> Column:
+        return F.array(*(F.struct(F.lit(s).alias("node"), F.lit(w).alias("weight")) for s, w in leaves))
+
+    def rack_table(held) -> Column:
+        return F.array(*(F.struct(F.lit(k).alias("node"), F.lit(sum(w for _, w in leaves)).alias("weight"), leaf_table(leaves).alias("below")) for k, leaves in held))
+
+    def least(kind: str, nodes: Column, attempt: Column | int) -> Column:
+        """The place in ``nodes`` of the node with the least draw, the first of equals."""
+        return F.array_min(F.transform(nodes, lambda x, i: F.struct((_draw(kind, x["node"], attempt, name) / x["weight"]).alias("draw"), i.alias("at"))))["at"]
+
+    def descend(held: Column, attempt: Column | int) -> Column:
+        rack = F.get(held, least("k", held, attempt))["below"]
+        return _bound(rack, lambda leaves: F.get(leaves, least("s", leaves, attempt))["node"])
+
+    # the regions whose places are all there
+    table = F.array(*(F.struct(F.lit(r).alias("node"), F.lit(total(held)).alias("weight"), rack_table(held).alias("racks")) for r, held in full.items())) if full else None
+    never = F.struct(F.lit(float("inf")).alias("draw"), F.lit(-1).alias("at"))
+    best = F.array_min(F.transform(table, lambda x, i: F.struct((_draw("r", x["node"], 0, name) / x["weight"]).alias("draw"), i.alias("at")))) if full else never
+
+    def arrive(r: int, held, best: Column) -> Column:
+        """A region that lacks some: when the key comes to a place that is there, and to which shard; -1 where another region is first."""
+        nodes, weight = rack_table(held), total(held)
+
+        def step(state: Column, attempt: Column) -> Column:
+            came = state["draw"] + _draw("r", F.lit(r), attempt, name) / weight
+            place = lambda t: F.when(t < best["draw"], descend(nodes, attempt)).otherwise(-1)
+            kept = lambda p: F.when(p < shards, p).otherwise(-1)
+            tried = _bound(came, lambda t: F.struct(t.alias("draw"), _bound(place(t), kept).alias("shard")))
+            return F.when((state["shard"] >= 0) | (state["draw"] >= best["draw"]), state).otherwise(tried)
+
+        start = F.struct(F.lit(0.0).alias("draw"), F.lit(-1).alias("shard"))
+        own = [(s, w) for _, leaves in held for s, w in leaves if there(s)]
+
+        def last(state: Column) -> Column:
+            drawn = F.transform(leaf_table(own), lambda x: F.struct((state["draw"] + _draw("t", x["node"], 0, name) / x["weight"]).alias("draw"), x["node"].alias("shard")))
+            return F.when((state["shard"] >= 0) | (state["draw"] >= best["draw"]), state).otherwise(F.array_min(drawn))
+
+        found = F.aggregate(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)), start, step, last)
+        return _bound(found, lambda f: F.when((f["shard"] >= 0) & (f["draw"] < best["draw"]), f).otherwise(F.struct(F.lit(float("inf")).alias("draw"), F.lit(-1).alias("shard"))))
 
-    def least(nodes: Column, below) -> Column:
-        return F.array_min(F.transform(nodes, below))
+    def choose(best: Column) -> Column:
+        inside = descend(F.get(table, best["at"])["racks"], 0) if full else F.lit(-1)
+        if not open_:
+            return inside
+        return _bound(F.array_min(F.array(*(arrive(r, held, best) for r, held in open_.items()))), lambda f: F.when(f["shard"] >= 0, f["shard"]).otherwise(inside))
 
-    found = least(table, lambda region: least(region, lambda rack: least(rack, draw)))
-    return df.withColumn(out, found["shard"].cast("int"))
+    return df.withColumn(out, _bound(best, choose).cast("int"))
 
 
 #: Rows of one key that are written out at once, and hash buckets of a shard.
@@ -95,7 +159,7 @@ def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
     """
     body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
-    rows = with_shard(with_shard(rows, F.col("doc_id"), even_tree(shards), "shard"), F.col("doc_id"), even_tree(shards + 1), "grown_shard")
+    rows = with_shard(with_shard(rows, F.col("doc_id"), even_tree(shards), "shard", shards), F.col("doc_id"), even_tree(shards + 1), "grown_shard", shards + 1)
     place = F.md5(F.concat(F.lit("slot:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     rows = rows.withColumn("bucket", F.conv(F.substring(place, 1, 2), 16, 10).cast("int"))
     rows = rows.groupBy("shard", "bucket", "doc_id", "text_crc32", "size", "grown_shard").agg(F.count("*").alias("n")).checkpoint()

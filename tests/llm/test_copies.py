@@ -237,15 +237,32 @@ def test_shards(odd_docs, no_docs):
     assert sorted((r.doc_id or -1, r.size, r.text_crc32) for r in rows) == want
 
 
-def drawn(key, tree):
+def drawn(key, tree, n=None):
     """A plain walk down the tree."""
     import math
 
-    draw = lambda s, w: -math.log((int(hashlib.md5(f"{s}:{key}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13) / w
-    rack_of = lambda shards: min((draw(s, w), s) for s, w in shards.items() if w > 0)
-    region = min(tree, key=lambda r: min(rack_of(x) for x in tree[r].values()))
-    rack = min(tree[region], key=lambda k: rack_of(tree[region][k]))
-    return rack_of(tree[region][rack])[1]
+    draw = lambda kind, node, j: -math.log((int(hashlib.md5(f"{kind}{node}:{j}:{key}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13)
+    weight = lambda x: sum(map(weight, x.values())) if isinstance(x, dict) else x
+
+    def descend(region, j):
+        rack = min((draw("k", k, j) / weight(x), k) for k, x in region.items() if weight(x) > 0)[1]
+        return min((draw("s", s, j) / w, s) for s, w in region[rack].items() if w > 0)[1]
+
+    found = []
+    for r, region in tree.items():
+        places = [(s, w) for x in region.values() for s, w in x.items() if w > 0]
+        if not any(n is None or s < n for s, _ in places):
+            continue
+        t = 0.0
+        for j in range(shards.ATTEMPTS):
+            t += draw("r", r, j) / weight(region)
+            s = descend(region, j)
+            if n is None or s < n:
+                found.append((t, s))
+                break
+        else:
+            found.append(min((t + draw("t", s, 0) / w, s) for s, w in places if s < n))
+    return min(found)[1]
 
 
 def test_shards_by_a_plain_walk(spark):
@@ -253,31 +270,58 @@ def test_shards_by_a_plain_walk(spark):
 
     tree = shards.weighted(shards.even_tree(11), regions={0: 5.0}, racks={1: 3.0})
     tree[0][0][2] = 4.0
+    tree[7] = {70: {700: 2.0, 701: 0.0}, 71: {}}
     assert abs(sum(sum(x.values()) for x in shards.weighted(shards.even_tree(20), regions={0: 5.0})[0].values()) - 5) < 1e-9
     rows = shards.with_shard(spark.range(500), F.col("id"), tree, "s").collect()
     assert [r.s for r in rows] == [drawn(r.id, tree) for r in rows]
 
 
+@pytest.mark.parametrize(("n", "attempts"), [(1, 64), (1, 2), (9, 1), (16, 64), (17, 64), (17, 0), (40, 64), (41, 64)])
+def test_places_that_are_not_there(spark, monkeypatch, n, attempts):
+    """Arrivals at missing places are refused; after the last attempt the shards that are there draw."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(shards, "ATTEMPTS", max(attempts, 1))
+    tree = shards.even_tree(n)
+    rows = shards.with_shard(spark.range(300), F.col("id"), tree, "s", n).collect()
+    assert [r.s for r in rows] == [drawn(r.id, tree, n) for r in rows] and all(r.s < n for r in rows)
+
+
 def test_movement_stays_in_the_subtree_whose_weight_changes(spark):
     from pyspark.sql import functions as F
 
-    tree = shards.even_tree(24)
+    tree = shards.even_tree(32)
     raised, rack, region, none = (shards.weighted(tree) for _ in range(4))
     raised[0][1][6] = 3.0
     rack = shards.weighted(tree, racks={2: 8.0})
     region = shards.weighted(tree, regions={1: 2.0})
     none[1][5][21] = 0.0
-    df = spark.range(6000)
-    for name, t in {"base": tree, "raised": raised, "rack": rack, "region": region, "none": none}.items():
+    df, trees = spark.range(6000), {"base": tree, "raised": raised, "rack": rack, "region": region, "none": none}
+    for name, t in trees.items():
         df = shards.with_shard(df, F.col("id"), t, name)
     got = df.toPandas()
     moved = {n: got[got.base != got[n]] for n in ("raised", "rack", "region", "none")}
-    assert (moved["raised"].raised == 6).all() and len(moved["raised"])
-    assert (moved["rack"]["rack"] // 4 == 2).all() and len(moved["rack"])
-    assert (moved["region"].base >= 16).all() and (moved["region"].region < 16).all() and len(moved["region"])
-    assert (moved["none"].base == 21).all() and 21 not in set(got.none)
-    share = got.groupby("raised").size() / len(got)
-    assert abs(share[6] - 3 / 26) < 0.02
+
+    def into(m, after, changed):
+        """Level by level, keys move into the subtrees whose weight has risen only."""
+        for size, at in ((16, changed // 16), (4, changed // 4), (1, changed)):
+            across = m[(m.base // size) != (m[after] // size)]
+            held = across if size == 16 else across[across.base // (4 * size) == across[after] // (4 * size)]
+            assert (held[after] // size == at).all()
+
+    assert len(moved["raised"]) and len(moved["rack"]) and len(moved["region"]) and len(moved["none"])
+    into(moved["raised"], "raised", 6)
+    into(moved["rack"], "rack", 8)
+    assert (moved["region"].base >= 16).all() and (moved["region"].region < 16).all()
+    # a weight that falls to nothing: keys leave its region, its rack, or it, and 21 has none
+    left = moved["none"]
+    assert (left.base // 16 == 1).all() and 21 not in set(got.none)
+    inside = left[left.none // 16 == 1]
+    assert (inside.base // 4 == 5).all() and (inside[inside.none // 4 == 5].base == 21).all()
+    for name, t in trees.items():
+        weights = {s: w for region in t.values() for rack in region.values() for s, w in rack.items()}
+        share = got.groupby(name).size() / len(got)
+        assert all(abs(share.get(s, 0) - w / sum(weights.values())) < 0.02 for s, w in weights.items())
 
 
 def test_a_row_that_repeats_often(spark):
@@ -293,7 +337,7 @@ def test_every_added_shard_takes_rows_only_into_itself(spark):
 
     df = spark.range(4000).withColumnRenamed("id", "k")
     for n in (1, 2, 3, 4, 5, 15, 16, 17, 18, 33, 39, 40, 41):
-        df = shards.with_shard(df, F.col("k"), shards.even_tree(n), f"s{n}")
+        df = shards.with_shard(df, F.col("k"), shards.even_tree(n), f"s{n}", n)
     got = df.toPandas()
     for a in (1, 2, 3, 4, 15, 16, 17, 39, 40):
         if f"s{a + 1}" in got:
