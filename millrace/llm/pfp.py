@@ -119,6 +119,23 @@ def _packed(kind: str, part: np.ndarray, entries: np.ndarray, ids: np.ndarray, t
         yield pa.RecordBatch.from_arrays([pa.array([kind] * n), pa.array([p for p, _ in out], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([d for _, d in out], pa.binary())], schema=_SCHEMA)
 
 
+#: Documents that a blob may name: entries hold their number in it.
+NAMED = 50_000
+
+
+def _repacked(kind: str, part: int, entries: np.ndarray, doc: np.ndarray, ids: np.ndarray, tags: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Entries that go on to another part, with the documents that they name."""
+    order = np.lexsort((tags[doc], ids[doc]))
+    entries, doc = entries[order].copy(), doc[order]
+    number = np.cumsum(_groups(ids[doc], tags[doc])) - 1
+    for a in range(0, int(number[-1]) + 1 if len(number) else 0, NAMED):
+        low, high = np.searchsorted(number, [a, a + NAMED])
+        own, mine = doc[low:high], entries[low:high]
+        first = np.flatnonzero(np.diff(number[low:high], prepend=-1))
+        mine["doc"] = number[low:high] - a
+        yield from _packed(kind, np.full(len(mine), part, np.int64), mine, ids[own][first], tags[own][first])
+
+
 def _unpacked(blobs: list[bytes], kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Entries of all blobs, the index of each one's document, and the documents' ids and tags."""
     entries, docs, ids, tags, known = [], [], [], [], 0
@@ -139,11 +156,11 @@ def _number(raw: np.ndarray) -> np.ndarray:
     return wide.view("<u8")[:, 0]
 
 
-def _parse(window: int, parts: int):
+def _parse(window: int, parts: int, salts: int):
     """Phrases of each batch: what repeats within the batch is resolved there, one of every phrase goes to the part of its trigger."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in gathered(batches, "text", PART):
+        for share, whole in enumerate(gathered(batches, "text", PART)):
             for at in range(0, whole.num_rows, 50_000):
                 batch = whole.slice(at, 50_000)
                 doc, first, n, key, ident = _phrases_of(batch, window)
@@ -176,48 +193,101 @@ def _parse(window: int, parts: int):
                 place[by_id] = np.arange(len(ids))
                 sent["doc"], sent["pos"] = place[doc[kept]], first[kept]
                 sent["n"] = np.where(many[kept], n[kept] | MARK, n[kept])
-                yield from _packed("phrase", (key[kept] % np.uint64(parts)).astype(np.int64), sent, ids[by_id], tags[by_id])
+                yield from _packed("phrase", _share((key[kept] % np.uint64(parts)).astype(np.int64), salts, share), sent, ids[by_id], tags[by_id])
 
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The dictionary of a part: phrases that a smaller document holds are known, those whose trigger others share in part stay open."""
-    blobs = []
+#: Batches whose phrases meet in one task.
+MEET = 1000
+
+
+def _salts(total: int, meet: int) -> int:
+    """How many tasks share a part's phrases before they meet: one for every ``meet`` batches."""
+    return max(1, -(-total // (PART * meet)))
+
+
+def _meeting(dealt: DataFrame, parts: int, salts: int, step) -> DataFrame:
+    """Runs step(last) on what is dealt to the parts; with salts, on shares of each part first, which hand on what their own can't settle.
+
+    A batch is dealt to part * salts + salt.  So a trigger, a phrase or a
+    window that very many batches have is first reduced share by share.
+    """
+    if salts > 1:
+        dealt = dealt.repartition(parts, "part").mapInArrow(step(False), _FIELDS)
+        dealt = dealt.withColumn("part", F.when(F.col("kind").isin("phrase", "window"), F.floor(F.col("part") / salts)).otherwise(F.col("part")))
+    return dealt.repartition(parts, "part").mapInArrow(step(True), _FIELDS)
+
+
+def _share(parts: np.ndarray, salts: int, batch: int) -> np.ndarray:
+    """Where a batch's entries for these parts go: all to the batch's share of each."""
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    return parts * salts + (batch + (context.partitionId() * 7919 if context else 0)) % salts
+
+
+def _by_part(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[pa.RecordBatch | None, int, list[bytes]]]:
+    """What a task has got: rows of other kinds as they come, then each part's blobs of this one."""
+    blobs: dict[int, list[bytes]] = {}
     for batch in batches:
-        mine = pa.array([k == "phrase" for k in batch.column("kind").to_pylist()], pa.bool_())
-        blobs += batch.filter(mine).column("data").to_pylist()
+        mine = pa.array([k == kind for k in batch.column("kind").to_pylist()], pa.bool_())
+        own = batch.filter(mine)
+        for part, data in zip(own.column("part").to_pylist(), own.column("data").to_pylist(), strict=True):
+            blobs.setdefault(part, []).append(data)
         rest = batch.filter(pa.compute.invert(mine))
         if rest.num_rows:
-            yield rest
-    if not blobs:
-        return
-    entries, doc, ids, tags = _unpacked(blobs, PHRASE)
-    blobs.clear()
-    key, ident, pos, many = _number(entries["key"]), entries["ident"].copy(), entries["pos"].copy(), entries["n"].copy()
-    del entries
-    order = np.lexsort((ids[doc], ident, key))
-    doc, key, ident, pos, many = doc[order], key[order], ident[order], pos[order], many[order]
-    own = ids[doc]
-    del order
-    same, begins = _groups(key, ident), _groups(key)
-    known = own > own[same][np.cumsum(same) - 1]
-    at = np.flatnonzero(begins)
-    group = np.cumsum(begins) - 1
-    several = (np.minimum.reduceat(own, at) < np.maximum.reduceat(own, at))[group]
-    kinds = np.add.reduceat(same.astype(np.int64), at)[group]
-    marked = np.logical_or.reduceat(many >= MARK, at)[group]
-    hot = marked | (kinds > MANY)
-    open_ = ~known & (hot | several & (kinds > 1))
-    n = (many & (MARK - 1)).astype(np.int64)
-    if known.any():
-        yield _by_doc("known", doc[known], ids, tags, pos[known], n[known])
-    if open_.any():
-        yield _by_doc("open", doc[open_], ids, tags, pos[open_], np.where(hot[open_], n[open_] | MARK, n[open_]))
-    del doc, ids, tags, key, ident, pos, many, own, same, begins, known, group, several, kinds, marked, hot, open_, n
+            yield rest, 0, []
+    for part in list(blobs):
+        yield None, part, blobs.pop(part)
     trim()
 
 
+def _meet(last: bool):
+    """The dictionary of a part: phrases that a smaller document holds are known, those whose trigger others share in part stay open.
+
+    A share of a part settles what it can: copies are known, and a trigger
+    with very many phrases opens them, as windows, and hands on one of them,
+    marked, so that the rest of the corpus learns of it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rest, part, blobs in _by_part(batches, "phrase"):
+            if rest is not None:
+                yield rest
+                continue
+            entries, doc, ids, tags = _unpacked(blobs, PHRASE)
+            blobs.clear()
+            key, ident, pos, many = _number(entries["key"]), entries["ident"], entries["pos"], entries["n"]
+            order = np.lexsort((ids[doc], ident, key))
+            doc, key, ident, pos, many, entries = doc[order], key[order], ident[order], pos[order], many[order], entries[order]
+            own = ids[doc]
+            del order
+            same, begins = _groups(key, ident), _groups(key)
+            known = own > own[same][np.cumsum(same) - 1]
+            at = np.flatnonzero(begins)
+            group = np.cumsum(begins) - 1
+            several = (np.minimum.reduceat(own, at) < np.maximum.reduceat(own, at))[group]
+            kinds = np.add.reduceat(same.astype(np.int64), at)[group]
+            marked = np.logical_or.reduceat(many >= MARK, at)[group]
+            hot = marked | (kinds > MANY)
+            open_ = ~known & (hot | several & (kinds > 1)) if last else ~known & hot
+            n = (many & (MARK - 1)).astype(np.int64)
+            if known.any():
+                yield _by_doc("known", doc[known], ids, tags, pos[known], n[known])
+            if open_.any():
+                yield _by_doc("open", doc[open_], ids, tags, pos[open_], np.where(hot[open_], n[open_] | MARK, n[open_]))
+            if not last:
+                on = ~known & (~hot | begins)
+                entries = entries[on].copy()
+                entries["n"] = np.where(hot[on], n[on] | MARK, n[on])
+                yield from _repacked("phrase", part, entries, doc[on], ids, tags)
+            del entries, doc, ids, tags, key, ident, pos, many, own, same, begins, known, group, several, kinds, marked, hot, open_, n
+            trim()
+
+    return run
+
+
 WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<u2"), ("pos", "<u4")])
 
 
@@ -245,11 +315,38 @@ def _windows(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + first[which]
 
 
-def _open(window: int, parts: int):
+def _windows_meet(last: bool, later):
+    """The windows of each hash: those that stand earlier too, as later() tells from sorted groups, are known; a share of a part hands on the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rest, part, blobs in _by_part(batches, "window"):
+            if rest is not None:
+                yield rest
+                continue
+            entries, doc, ids, tags = _unpacked(blobs, WINDOW)
+            blobs.clear()
+            order = np.lexsort((entries["pos"], tags[doc], ids[doc], entries["b"], entries["a"]))
+            entries, doc = entries[order], doc[order]
+            same, pos = _groups(entries["a"], entries["b"]), entries["pos"].astype(np.int64)
+            known = later(same, ids[doc], tags[doc], pos)
+            if known.any():
+                yield _by_doc("known", doc[known], ids, tags, pos[known], np.ones(int(known.sum()), np.int64))
+            if not last:
+                yield from _repacked("window", part, entries[same], doc[same], ids, tags)
+
+    return run
+
+
+def _in_smaller(same: np.ndarray, ids: np.ndarray, tags: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Which rows of sorted groups are in a larger document than the first of their group."""
+    return ids > ids[same][np.cumsum(same) - 1]
+
+
+def _open(window: int, parts: int, salts: int):
     """Open phrases again: their texts go to the part of their trigger; of hot triggers, their windows go to the parts of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in gathered(batches, "text", PART):
+        for share, whole in enumerate(gathered(batches, "text", PART)):
             for at in range(0, whole.num_rows, 50_000):
                 batch = whole.slice(at, 50_000)
                 batch = batch.take(pa.compute.sort_indices(batch.column("doc_id")))
@@ -267,7 +364,7 @@ def _open(window: int, parts: int):
                     which, pos = _windows(first[hot], n[hot])
                     d = doc[hot][which]
                     for a in range(0, len(d), 100_000):
-                        yield from _resolve_windows(data, starts, ids, tags, d[a : a + 100_000], pos[a : a + 100_000], window, parts)
+                        yield from _resolve_windows(data, starts, ids, tags, d[a : a + 100_000], pos[a : a + 100_000], window, parts, salts, share)
 
     return run
 
@@ -292,7 +389,7 @@ def _texts_of(cold, data, starts, ids, tags, doc, first, n, window, parts) -> pa
     return pa.RecordBatch.from_arrays([pa.array(["texts"] * m), pa.array([p for p, _ in out], pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([x for _, x in out], pa.binary())], schema=_SCHEMA)
 
 
-def _resolve_windows(data, starts, ids, tags, d, pos, window, parts) -> Iterator[pa.RecordBatch]:
+def _resolve_windows(data, starts, ids, tags, d, pos, window, parts, salts, share) -> Iterator[pa.RecordBatch]:
     """Windows of hot triggers: what a smaller document of the batch holds is known, one of each goes on by its digest."""
     a, b = _digest(_words(data, starts[d] + pos, window))
     order = np.lexsort((ids[d], b, a))
@@ -305,7 +402,7 @@ def _resolve_windows(data, starts, ids, tags, d, pos, window, parts) -> Iterator
     entries = np.zeros(int((~known).sum()), WINDOW)
     for name, x in (("a", a), ("b", b), ("doc", d), ("pos", pos)):
         entries[name] = x[~known]
-    yield from _packed("window", (a[~known] % np.uint64(parts)).astype(np.int64), entries, ids, tags)
+    yield from _packed("window", _share((a[~known] % np.uint64(parts)).astype(np.int64), salts, share), entries, ids, tags)
 
 
 def _suffix_ranks(data: np.ndarray, window: int) -> np.ndarray:
@@ -406,7 +503,7 @@ def _sort(window: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 50, meet: int = MEET) -> DataFrame:
     """doc_id, tag and spans: the stretches of bytes that repeat smaller documents.
 
     A byte is in a span if a ``window``-byte string covers it that also
@@ -431,7 +528,10 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
        instead, one of each from a batch.
     4. The parse turns known phrases and windows back into spans.
 
-    Phrases are told apart by 104 bits of hashes, hot windows by 128.
+    Phrases are told apart by 104 bits of hashes, hot windows by 128.  A
+    trigger or a phrase that very many batches have meets in two steps (see
+    _meeting()): ``meet`` batches at a time first, of which each hands on a
+    phrase once, and of a hot trigger one phrase.
     """
     rows = _rows(docs)
     hashed = rows.select("doc_id", "tag", F.unhex(F.md5(F.col("text").cast("binary"))).alias("same"), F.octet_length("text").cast("long").alias("size")).checkpoint()
@@ -442,12 +542,16 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 << 20)))
 
     own = rows.join(_near(copies.select("doc_id", "tag").distinct()), ["doc_id", "tag"], "left_anti")
-    dealt = own.mapInArrow(_parse(window, parts), _FIELDS).withColumn("part", F.when(F.col("kind") == "phrase", F.col("part")).otherwise(F.xxhash64("doc_id")))
-    met = dealt.repartition(parts, "part").mapInArrow(_meet, _FIELDS).checkpoint()
+    salts = _salts(total, meet)
+    dealt = own.mapInArrow(_parse(window, parts, salts), _FIELDS).withColumn("part", F.when(F.col("kind") == "phrase", F.col("part")).otherwise(F.xxhash64("doc_id")))
+    met = _meeting(dealt, parts, salts, _meet).checkpoint()
 
     still = met.where("kind = 'open'").groupBy("doc_id", "tag").agg(F.collect_list("data").alias("open")).checkpoint()
-    opened = own.join(_near(still, 64 + F.aggregate("open", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x))), ["doc_id", "tag"]).select("doc_id", "tag", "text", "open").mapInArrow(_open(window, 2 * parts), _FIELDS)
+    opened = own.join(_near(still, 64 + F.aggregate("open", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x))), ["doc_id", "tag"]).select("doc_id", "tag", "text", "open").mapInArrow(_open(window, 2 * parts, salts), _FIELDS)
     opened = opened.withColumn("part", F.when(F.col("kind") != "known", F.col("part")).otherwise(F.xxhash64("doc_id")))
+    if salts > 1:  # windows meet by shares first; texts are dealt to whole parts
+        opened = opened.repartition(2 * parts, "part", "kind").mapInArrow(_windows_meet(False, _in_smaller), _FIELDS)
+        opened = opened.withColumn("part", F.when(F.col("kind") == "window", F.floor(F.col("part") / salts)).otherwise(F.col("part")))
     sorted_ = opened.repartition(2 * parts, "part").mapInArrow(_sort(window), _FIELDS)
 
     whole = copies.where(F.col("size") >= window).select("doc_id", "tag", F.col("size").alias("size"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ._common import WORD, gathered, prepare, trim
 from ._symbols import Sums, names_of, window_phrases, words_of
-from .pfp import _FIELDS, MARK, PART, PHRASE, WINDOW, _by_doc, _bytes_of, _groups, _near, _number, _packed, _rows, _unpacked, _windows
+from .pfp import _FIELDS, MARK, MEET, PART, PHRASE, WINDOW, _by_doc, _by_part, _bytes_of, _groups, _meeting, _near, _number, _packed, _repacked, _rows, _salts, _share, _unpacked, _windows, _windows_meet
 
 #: Words that are parsed at once, for each of which parsing takes about 300 bytes, and texts that are.
 STRETCH, TEXTS = 1 << 18, 50_000
@@ -81,10 +81,10 @@ def _later(same: np.ndarray, *place: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return ~equal, equal & ~same
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in gathered(batches, "text", PART):
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    for share, whole in enumerate(gathered(batches, "text", PART)):
         for at in range(0, whole.num_rows, TEXTS):
-            yield whole.slice(at, TEXTS)
+            yield share, whole.slice(at, TEXTS)
 
 
 class _Minded:
@@ -113,12 +113,12 @@ class _Minded:
         return False
 
 
-def _parse(window: int, parts: int):
+def _parse(window: int, parts: int, salts: int):
     """Phrases of each batch: those that it has earlier are known, a key with several phrases in it leaves them open, one phrase of each key goes to the key's part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minded = _Minded()
-        for batch in _slices(batches):
+        for share, batch in _slices(batches):
             texts = _Texts(batch)
             ids, tags = texts.ids, texts.tags
             doc, first, n, key, ident = texts.phrases(window)
@@ -151,56 +151,54 @@ def _parse(window: int, parts: int):
             place[by_id] = np.arange(len(ids))
             sent["doc"], sent["pos"] = place[doc[told]], first[told]
             sent["n"] = np.where(several[told], n[told] | MARK, n[told])
-            yield from _packed("phrase", (key[told] % np.uint64(parts)).astype(np.int64), sent, ids[by_id], tags[by_id])
+            yield from _packed("phrase", _share((key[told] % np.uint64(parts)).astype(np.int64), salts, share), sent, ids[by_id], tags[by_id])
 
     return run
 
 
-def _sorted_out(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[pa.RecordBatch | None, list[bytes]]]:
-    """What a part has got: rows of other kinds as they come, and at the end the blobs of this one."""
-    blobs: list[bytes] = []
-    for batch in batches:
-        mine = pa.array([k == kind for k in batch.column("kind").to_pylist()], pa.bool_())
-        blobs += batch.filter(mine).column("data").to_pylist()
-        rest = batch.filter(pa.compute.invert(mine))
-        if rest.num_rows:
-            yield rest, []
-    yield None, blobs
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The phrases of each key: those that stand earlier too are known, and where a key has several phrases they are open."""
-    for rest, blobs in _sorted_out(batches, "phrase"):
-        if rest is not None:
-            yield rest
-        if not blobs:
-            continue
-        entries, doc, ids, tags = _unpacked(blobs, PHRASE)
-        blobs.clear()
-        key, ident, pos, n = _number(entries["key"]), entries["ident"].copy(), entries["pos"].astype(np.int64), entries["n"].copy()
-        del entries
-        order = np.lexsort((pos, tags[doc], ids[doc], ident, key))
-        doc, key, ident, pos, n = doc[order], key[order], ident[order], pos[order], n[order]
-        same, begins = _groups(key, ident), _groups(key)
-        known, _ = _later(same, ids[doc], tags[doc], pos)
-        at, group = np.flatnonzero(begins), np.cumsum(begins) - 1
-        shared = (np.add.reduceat(same.astype(np.int64), at) > 1) | np.logical_or.reduceat(n >= MARK, at)
-        marked = n >= MARK  # those are open where they come from
-        open_ = ~known & ~marked & shared[group]
-        if known.any():
-            yield _by_doc("known", doc[known], ids, tags, pos[known], (n[known] & (MARK - 1)).astype(np.int64))
-        if open_.any():
-            yield _by_doc("open", doc[open_], ids, tags, pos[open_], n[open_].astype(np.int64))
-        del doc, ids, tags, key, ident, pos, n, same, begins, known, group, shared, marked, open_
-        trim()
-
-
-def _open(window: int, parts: int):
+def _meet(last: bool):
+    """The phrases of each key: those that stand earlier too are known, and where a key has several phrases they are open.
+
+    A share of a part settles what it can and hands on one phrase of each
+    key, marked if the key has several.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rest, part, blobs in _by_part(batches, "phrase"):
+            if rest is not None:
+                yield rest
+                continue
+            entries, doc, ids, tags = _unpacked(blobs, PHRASE)
+            blobs.clear()
+            key, pos = _number(entries["key"]), entries["pos"].astype(np.int64)
+            order = np.lexsort((pos, tags[doc], ids[doc], entries["ident"], key))
+            doc, key, pos, entries = doc[order], key[order], pos[order], entries[order]
+            n = entries["n"]
+            same, begins = _groups(key, entries["ident"]), _groups(key)
+            known, _ = _later(same, ids[doc], tags[doc], pos)
+            at, group = np.flatnonzero(begins), np.cumsum(begins) - 1
+            shared = ((np.add.reduceat(same.astype(np.int64), at) > 1) | np.logical_or.reduceat(n >= MARK, at))[group]
+            open_ = ~known & (n < MARK) & shared  # marked ones are open where they come from
+            if known.any():
+                yield _by_doc("known", doc[known], ids, tags, pos[known], (n[known] & (MARK - 1)).astype(np.int64))
+            if open_.any():
+                yield _by_doc("open", doc[open_], ids, tags, pos[open_], n[open_].astype(np.int64))
+            if not last:
+                on = entries[begins].copy()
+                on["n"] = np.where(shared[begins], on["n"] | MARK, on["n"])
+                yield from _repacked("phrase", part, on, doc[begins], ids, tags)
+            del entries, doc, ids, tags, key, pos, n, same, begins, known, group, shared, open_
+            trim()
+
+    return run
+
+
+def _open(window: int, parts: int, salts: int):
     """Open phrases again: each of their windows goes to the part of its hash, one of equal ones from a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minded = _Minded()
-        for batch in _slices(batches):
+        for share, batch in _slices(batches):
             texts = _Texts(batch)
             ids, tags = texts.ids, texts.tags
             lists = [np.frombuffer(b"".join(x), "<i4").reshape(-1, 2) for x in batch.column("open").to_pylist()]
@@ -228,29 +226,16 @@ def _open(window: int, parts: int):
                 entries = np.zeros(int((~known).sum()), WINDOW)
                 for name, values in (("a", x), ("b", y), ("doc", owner), ("pos", pos)):
                     entries[name] = values[~known]
-                yield from _packed("window", (entries["a"] % np.uint64(parts)).astype(np.int64), entries, ids, tags)
+                yield from _packed("window", _share((entries["a"] % np.uint64(parts)).astype(np.int64), salts, share), entries, ids, tags)
 
     return run
 
 
-def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of each hash: those that stand earlier too are known."""
-    for rest, blobs in _sorted_out(batches, "window"):
-        if rest is not None:
-            yield rest
-        if not blobs:
-            continue
-        entries, doc, ids, tags = _unpacked(blobs, WINDOW)
-        pos = entries["pos"].astype(np.int64)
-        order = np.lexsort((pos, tags[doc], ids[doc], entries["b"], entries["a"]))
-        doc, pos = doc[order], pos[order]
-        known, _ = _later(_groups(entries["a"][order], entries["b"][order]), ids[doc], tags[doc], pos)
-        if known.any():
-            yield _by_doc("known", doc[known], ids, tags, pos[known], np.ones(int(known.sum()), np.int64))
-        trim()
-
-
-def repeated_words(docs: DataFrame, window: int = 20) -> DataFrame:
+def _resolve(last: bool):
+    return _windows_meet(last, lambda same, *place: _later(same, *place)[0])
+
+
+def repeated_words(docs: DataFrame, window: int = 20, meet: int = MEET) -> DataFrame:
     """doc_id, tag and spans: the words that ``window`` words in a row cover which also start earlier.
 
     Earlier is in a smaller document, or further ahead in the same one.
@@ -272,9 +257,10 @@ def repeated_words(docs: DataFrame, window: int = 20) -> DataFrame:
        128-bit hashes.
 
     Phrases are told apart by 104 bits of hashes.  What a batch has often goes
-    on once, and once from a task that has it often, so that the part of a
-    phrase, of surroundings or of a window that very many documents share
-    gets no more than an entry for each of their batches or tasks.
+    on once, and once from a task that has it often; what very many batches
+    have meets in two steps, ``meet`` batches at a time first (see pfp's
+    _meeting()), of which each hands on one entry, so that no task gets much
+    of a phrase, of surroundings or of a window that most documents share.
     """
     spark = prepare(docs.sparkSession)
     rows = _rows(docs)
@@ -285,13 +271,14 @@ def repeated_words(docs: DataFrame, window: int = 20) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 << 20)))
 
     own = rows.join(_near(copies), ["doc_id", "tag"], "left_anti")
-    dealt = own.mapInArrow(_parse(window, parts), _FIELDS).withColumn("part", F.when(F.col("kind") == "phrase", F.col("part")).otherwise(F.xxhash64("doc_id")))
-    met = dealt.repartition(parts, "part").mapInArrow(_meet, _FIELDS).checkpoint()
+    salts = _salts(total, meet)
+    dealt = own.mapInArrow(_parse(window, parts, salts), _FIELDS).withColumn("part", F.when(F.col("kind") == "phrase", F.col("part")).otherwise(F.xxhash64("doc_id")))
+    met = _meeting(dealt, parts, salts, _meet).checkpoint()
 
     still = met.where("kind = 'open'").groupBy("doc_id", "tag").agg(F.collect_list("data").alias("open")).checkpoint()
-    opened = own.join(_near(still, 64 + F.aggregate("open", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x))), ["doc_id", "tag"]).select("doc_id", "tag", "text", "open").mapInArrow(_open(window, parts), _FIELDS)
+    opened = own.join(_near(still, 64 + F.aggregate("open", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x))), ["doc_id", "tag"]).select("doc_id", "tag", "text", "open").mapInArrow(_open(window, parts, salts), _FIELDS)
     opened = opened.withColumn("part", F.when(F.col("kind") == "window", F.col("part")).otherwise(F.xxhash64("doc_id")))
-    resolved = opened.repartition(parts, "part").mapInArrow(_resolve, _FIELDS)
+    resolved = _meeting(opened, parts, salts, _resolve)
 
     known = met.where("kind = 'known'").select("doc_id", "tag", "data").union(resolved.select("doc_id", "tag", "data"))
     gathered_ = known.groupBy("doc_id", "tag").agg(F.collect_list("data").alias("data"))

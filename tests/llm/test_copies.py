@@ -132,8 +132,9 @@ def test_spans_against_brute_force(odd_docs):
     assert got == brute_spans([(r.doc_id, (r.text or "").encode()) for r in odd_docs.collect() if r.doc_id is not None])
 
 
+@pytest.mark.parametrize("salts", [1, 3])
 @pytest.mark.parametrize("sent,many,stretch", [(64, 256, 1 << 19), (1, 1, 1 << 19), (2, 3, 70), (64, 256, 130)])
-def test_span_steps_in_one_process(monkeypatch, sent, many, stretch):
+def test_span_steps_in_one_process(monkeypatch, sent, many, stretch, salts):
     """All steps on batches here, with limits so low that triggers are hot and texts are parsed in several stretches."""
     import random
 
@@ -154,8 +155,14 @@ def test_span_steps_in_one_process(monkeypatch, sent, many, stretch):
         return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     rows = [(i, t.decode(errors="replace").encode()) for i, t in rows]
-    dealt = [x for part in (rows[:13], rows[13:25], rows[25:]) for x in pfp._parse(50, 5)(iter([batch(part)]))]
-    met = list(pfp._meet(iter(dealt)))
+    def shared(batches, kind):
+        """What shares hand on, under the number of the whole part."""
+        for b in batches:
+            part = [p // salts if k == kind else p for k, p in zip(b.column("kind").to_pylist(), b.column("part").to_pylist(), strict=True)]
+            yield b.set_column(1, "part", pa.array(part, pa.int64()))
+
+    dealt = [x for part in (rows[:13], rows[13:25], rows[25:]) for x in pfp._parse(50, 5, salts)(iter([batch(part)]))]
+    met = list(pfp._meet(True)(shared(pfp._meet(False)(iter(dealt)), "phrase") if salts > 1 else iter(dealt)))
     still = {}
     for b in met:
         for kind, doc, data in zip(*(b.column(c).to_pylist() for c in ("kind", "doc_id", "data")), strict=True):
@@ -163,7 +170,9 @@ def test_span_steps_in_one_process(monkeypatch, sent, many, stretch):
                 still.setdefault(doc, []).append(data)
     mine = [r for r in rows if r[0] in still]
     again = [batch(part, open=pa.array([still[i] for i, _ in part])) for part in (mine[:9], mine[9:]) if part]
-    opened = [x for b in again for x in pfp._open(50, 5)(iter([b]))]
+    opened = [x for b in again for x in pfp._open(50, 5, salts)(iter([b]))]
+    if salts > 1:
+        opened = list(shared(pfp._windows_meet(False, pfp._in_smaller)(iter(opened)), "window"))
     covered = {i: bytearray(len(t)) for i, t in rows}
     for b in (*met, *pfp._sort(50)(iter(opened))):
         for kind, doc, data in zip(*(b.column(c).to_pylist() for c in ("kind", "doc_id", "data")), strict=True):
@@ -345,3 +354,39 @@ def test_every_added_shard_takes_rows_only_into_itself(spark):
             assert (moved[f"s{a + 1}"] == a).all() and len(moved) > 0
     counts = np.bincount(got["s40"], minlength=40)
     assert counts.min() > 60 and counts.max() < 150
+
+
+@pytest.mark.parametrize("operator", ["bytes", "words"])
+def test_hot_phrases_meet_in_two_steps(spark, monkeypatch, operator):
+    """A passage, and surroundings of a passage, in most documents: the same result by shares as at once, and no task gets an entry for every batch."""
+    import random
+
+    from millrace.llm import recompress
+
+    rng = random.Random(6)
+    line = " ".join(f"shared{k}" for k in range(24))
+    texts = [" ".join([f"own{rng.randrange(10**9)}" for _ in range(rng.randint(5, 40))] + [line, *(["again and again the same words stand here " * 4] if i % 2 else [])] + [f"end{rng.randrange(10**9)}" for _ in range(30)]) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(900, texts[5])], "doc_id long, text string").repartition(12)
+    module = pfp if operator == "bytes" else recompress
+    spans = pfp.repeated_spans if operator == "bytes" else recompress.repeated_words
+    found = lambda: sorted((r.doc_id, [tuple(s) for s in r.spans]) for r in spans(docs).collect())
+    want = found()
+    assert len(want) > 250
+    monkeypatch.setattr(module, "_salts", lambda total, meet: 5)
+    assert found() == want
+
+
+def test_shares_hand_on_little():
+    """What a share of a part hands on of one hot trigger, and of one phrase that all batches have."""
+    rows = 600
+    ids, tags = np.arange(rows), np.zeros(rows, np.int64)
+    entries = np.zeros(rows, pfp.PHRASE)
+    entries["ident"], entries["n"], entries["doc"] = np.arange(rows), 1, np.arange(rows)
+    entries["ident"][300:] = 7
+    entries["key"][300:, 0] = 1  # the second half is one phrase, the first many phrases of one trigger
+    blobs = list(pfp._packed("phrase", np.zeros(rows, np.int64), entries, ids, tags))
+    out = list(pfp._meet(False)(iter(blobs)))
+    kinds = [k for b in out for k in b.column("kind").to_pylist()]
+    sent = [d for b in out for k, d in zip(b.column("kind").to_pylist(), b.column("data").to_pylist(), strict=True) if k == "phrase"]
+    left = pfp._unpacked(sent, pfp.PHRASE)[0]
+    assert len(left) == 2 and sorted(left["n"].tolist()) == [1, 1 | pfp.MARK] and kinds.count("open") == 300 and kinds.count("known") == 299
