@@ -244,8 +244,8 @@ def described(docs: DataFrame, marks: DataFrame, grams: Grams) -> DataFrame:
 USED = (*COUNTS, *GRAMS, "n_chars", *META_NAMES)
 #: Places after the point, in bits, to which terms of sums over documents are rounded, so that their order is of no effect.
 FRACTION = 2.0**20
-#: Parts in which cells are kept; each part sends its sums to the driver.
-PARTS = 4
+#: Parts whose sums are added up in one task, and those that send theirs to the driver.
+FAN, LAST = 32, 4
 
 
 def unlabelled_cells(table: DataFrame, text: View, meta: View) -> DataFrame:
@@ -260,7 +260,7 @@ def unlabelled_cells(table: DataFrame, text: View, meta: View) -> DataFrame:
 
     rows = table.where(F.col("quality").isNull()).mapInArrow(run, "text_hash long, cells binary")
     texts = rows.groupBy("text_hash").agg(F.min("cells").alias("cells"))
-    return texts.groupBy("cells").agg(F.count("*").alias("n")).coalesce(PARTS).checkpoint()
+    return texts.groupBy("cells").agg(F.count("*").alias("n")).checkpoint()
 
 
 def exchanged_sums(cells: DataFrame, givers: dict[str, View], takers: dict[str, View], confidence: float) -> dict[tuple[str, int], tuple[int, np.ndarray, np.ndarray]]:
@@ -285,8 +285,24 @@ def exchanged_sums(cells: DataFrame, givers: dict[str, View], takers: dict[str,
             columns = [[k[0] for k in keys], [k[1] for k in keys], [int(sums[k][0]) for k in keys], [sums[k][1].tobytes() for k in keys], [sums[k][2].tobytes() for k in keys]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["taker", "good", "n", "slope", "bend"])
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int], list] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                held = sums.setdefault((r["taker"], r["good"]), [0, 0.0, 0.0])
+                held[:] = [held[0] + r["n"], held[1] + np.frombuffer(r["slope"]), held[2] + np.frombuffer(r["bend"])]
+        if sums:
+            rows = [(*k, n, slope.tobytes(), bend.tobytes()) for k, (n, slope, bend) in sums.items()]
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["taker", "good", "n", "slope", "bend"])
+
     total = {(v, g): (0, np.zeros(len(t.beta)), np.zeros((len(t.beta),) * 2)) for v, t in takers.items() for g in (0, 1)}
-    for r in cells.mapInArrow(run, "taker string, good int, n long, slope binary, bend binary").collect():  # at most 4 rows a part
+    fields = "taker string, good int, n long, slope binary, bend binary"
+    sums_, parts = cells.mapInArrow(run, fields), cells.rdd.getNumPartitions()
+    while parts > LAST:  # a tree: every task adds up the sums of some parts, so that no task and not the driver gets those of all
+        parts = -(-parts // FAN)
+        sums_ = sums_.repartition(parts).mapInArrow(add, fields)
+    for r in sums_.collect():  # 4 rows a part, of a size that the views' bins give
         n, slope, bend = total[r.taker, r.good]
         total[r.taker, r.good] = (n + r.n, slope + np.frombuffer(r.slope), bend + np.frombuffer(r.bend).reshape(bend.shape))
     return total
@@ -301,10 +317,12 @@ def fit(table: DataFrame, rounds: int = 3, exchange: int = 500, confidence: floa
     ``confidence``.  Copies of a text count once.  A class that a view hands
     over counts half a labelled document a text and round, and all its texts
     together no more than ``exchange`` texts would, so that labels keep their
-    say however large the table is.  A round is one pass over the distinct
-    cells of unlabelled texts: gradient and curvature of what is handed over,
-    at the taker's present weights, are all that leaves the executors, and
-    the driver then fits labels and that second-order term together.
+    say however large the table is.  A round is one pass over the cells of
+    unlabelled texts, in as many tasks as they have parts: gradient and
+    curvature of what is handed over, at the taker's present weights, are
+    added up from task to task in a tree and are all that leaves the
+    executors, and the driver then fits labels and that second-order term
+    together.
     """
     # one row a document, so that rows that repeat don't make the sample larger
     known = table.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min(F.struct("text_hash", "quality", *USED)).alias("r")).select("doc_id", "r.*")
