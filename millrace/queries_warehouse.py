@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,6 +139,55 @@ def sql_lint(spark, sf_dir):
     return sqlcheck.check(texts, "hive-legacy", _catalog(spark, sf_dir)).select("path", "code")
 
 
+def _pieces(*choices: tuple[str, ...]) -> str:
+    """SQL, for either engine, of a text made of one piece of each kind, so that every combination occurs; ~ stands for a quote, | for a new line."""
+    out, size = [], 1
+    for texts in choices:
+        cases = " ".join(f"WHEN {k} THEN " + " || ".join(f"chr({ord(chr(39) if x == '~' else chr(10))})" if x in "~|" else f"'{x}'" for x in re.split(r"([~|])", t) if x) for k, t in enumerate(texts) if t)
+        out.append(f"CASE CAST(floor(o_orderkey / {size}) AS BIGINT) % {len(texts)} {cases} ELSE '' END")
+        size *= len(texts)
+    return " || ".join(out)
+
+
+#: What comes first, is selected, read, asked for and sorted by, in every combination.
+_VARIED = _pieces(
+    ("", "DROP TABLE a; ", "/* delete x */ ", "INSERT OVERWRITE TABLE t ", "-- update y|", "alter  TABLE b; "),
+    ("SELECT *", "select id, v AS w", "SELECT DISTINCT *", "SELECT sum(v)::int AS s, a.id", "SELECT (SELECT max(x) FROM q) AS m, id", "SELECT ~*~, `id`", "SELECT explode(x) AS id"),
+    (" FROM dw.t a", "|from t JOIN u ON a.i = u.i", " FROM t join u on (select 1) = u.i join w ON w.i = 2", " FROM t a JOIN b ON a.i=b.i|JOIN c ON 1=1 left join d ON d.i = a.i", " FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY v) rn FROM s) z JOIN a ON 1=1 JOIN b ON 1=1 JOIN c ON 1=1"),
+    ("", " WHERE dt = ~x~", " where v > 2 -- ORDER BY 7|", " WHERE a.dt IN (~1~, ~drop~)"),
+    ("", " ORDER BY 1", " order by id DESC", " ORDER BY zz, id", " ORDER BY a.w LIMIT 5"),
+)
+_FLAT = "plain"
+for _ in range(3):  # what stands in parentheses, from inside out: a mark, and another one for a subquery
+    _FLAT = f"regexp_replace(regexp_replace({_FLAT}, '(?i)\\(\\s*select[^()]*\\)', '{{Q}}', 'g'), '\\([^()]*\\)', '{{}}', 'g')"
+
+
+@query(f"""
+WITH t AS (SELECT o_orderkey, regexp_replace(regexp_replace({_VARIED}, '/\\*.*?\\*/', ' ', 'g'), '--[^\\n]*', ' ', 'g') AS plain FROM orders),
+f AS (SELECT o_orderkey, plain, {_FLAT} AS flat FROM t),
+p AS (SELECT o_orderkey, plain, flat, regexp_extract(flat, '(?is)select\\s+(?:distinct\\s+)?(.*?)\\s+from\\s', 1) AS given, regexp_extract(flat, '(?is)order\\s+by\\s+(.*?)(?:\\s+limit\\s.*)?$', 1) AS sorts FROM f),
+n AS (SELECT *, list_filter(list_transform(string_split(given, ','), lambda x: lower(regexp_extract(trim(x), '([A-Za-z_][A-Za-z_0-9]*)`?$', 1))), lambda x: x <> '') AS names,
+  list_filter(list_transform(string_split(sorts, ','), lambda x: lower(regexp_extract(trim(regexp_replace(x, '(?i)\\s+(asc|desc)\\s*$', '')), '([A-Za-z_0-9]+)$', 1))), lambda x: x <> '') AS keys FROM p),
+c AS (SELECT o_orderkey, unnest(list_filter([
+  CASE WHEN regexp_matches(plain, '(?i)(^|\\W)(drop|truncate|delete|update|insert\\s+(overwrite|into)|create\\s+table|alter\\s+table)(\\W|$)') THEN 'destructive' END,
+  CASE WHEN regexp_matches(plain, '(?i)\\bselect\\s+(distinct\\s+)?\\*') THEN 'select-star' END,
+  CASE WHEN contains(plain, '::') THEN 'hive-legacy-postgres-cast' END,
+  CASE WHEN len(regexp_extract_all(plain, '(?i)\\bjoin\\b')) >= 3 AND NOT contains(lower(plain), 'row_number') THEN 'many-joins' END,
+  CASE WHEN len(list_filter(keys, lambda k: regexp_full_match(k, '[0-9]+'))) > 0 THEN 'hive-orderby-positional' END,
+  CASE WHEN len(list_filter(keys, lambda k: NOT regexp_full_match(k, '[0-9]+') AND NOT list_contains(names, k))) > 0 THEN 'hive-orderby-not-selected' END,
+  CASE WHEN contains(given, '{{Q}}') THEN 'hive-legacy-scalar-subquery-select' END,
+  CASE WHEN regexp_matches(flat, '(?i)\\son\\s[^()]*\\{{Q\\}}') THEN 'hive-legacy-scalar-subquery-on' END], lambda x: x IS NOT NULL)) AS code FROM n),
+g AS (SELECT o_orderkey, unnest(list_filter([CASE WHEN contains(plain, '`') THEN 'gaussdb-backticks' END, CASE WHEN contains(lower(plain), 'explode(') THEN 'gaussdb-hive-only' END], lambda x: x IS NOT NULL)) AS code FROM t)
+SELECT 'hive-legacy' AS dialect, o_orderkey, code FROM c UNION ALL SELECT 'gaussdb', o_orderkey, code FROM g
+""")
+def sql_flags(spark, sf_dir):
+    """A text for every order, of pieces in all combinations, checked in two dialects; the twin reads the same texts with patterns of its own."""
+    texts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.expr(_VARIED).alias("sql"))
+    old = sqlcheck.check(texts, "hive-legacy").select(F.lit("hive-legacy").alias("dialect"), F.col("path").cast("long").alias("o_orderkey"), "code")
+    other = sqlcheck.check(texts, "gaussdb").where("code LIKE 'gaussdb%'")
+    return old.unionByName(other.select(F.lit("gaussdb").alias("dialect"), F.col("path").cast("long").alias("o_orderkey"), "code"))
+
+
 @query("""
 SELECT 'hive' AS dialect, 'hive-postgres-cast' AS code, count(*) AS n FROM part UNION ALL SELECT 'sparksql', 'hive-postgres-cast', count(*) FROM part
 UNION ALL SELECT 'gaussdb', 'gaussdb-backticks', count(*) FROM part UNION ALL SELECT 'gaussdb', 'gaussdb-hive-only', count(*) FROM part WHERE p_partkey % 2 = 0
