@@ -139,12 +139,12 @@ def sql_lint(spark, sf_dir):
     return sqlcheck.check(texts, "hive-legacy", _catalog(spark, sf_dir)).select("path", "code")
 
 
-def _pieces(*choices: tuple[str, ...]) -> str:
-    """SQL, for either engine, of a text made of one piece of each kind, so that every combination occurs; ~ stands for a quote, | for a new line."""
-    out, size = [], 1
+def _pieces(*choices: tuple[str, ...], key: str = "o_orderkey", size: int = 1) -> str:
+    """SQL, for either engine, of a text made of one piece of each kind, so that every combination occurs; ~ stands for a quote, | for a new line, # for the key."""
+    signs, out = {"~": "chr(39)", "|": "chr(10)", "#": f"CAST({key} AS STRING)"}, []
     for texts in choices:
-        cases = " ".join(f"WHEN {k} THEN " + " || ".join(f"chr({ord(chr(39) if x == '~' else chr(10))})" if x in "~|" else f"'{x}'" for x in re.split(r"([~|])", t) if x) for k, t in enumerate(texts) if t)
-        out.append(f"CASE CAST(floor(o_orderkey / {size}) AS BIGINT) % {len(texts)} {cases} ELSE '' END")
+        cases = " ".join(f"WHEN {k} THEN " + " || ".join(signs.get(x, f"'{x}'") for x in re.split(r"([~|#])", t) if x) for k, t in enumerate(texts) if t)
+        out.append(f"CASE CAST(floor({key} / {size}) AS BIGINT) % {len(texts)} {cases} ELSE '' END" if len(texts) > 1 else cases.removeprefix("WHEN 0 THEN "))
         size *= len(texts)
     return " || ".join(out)
 
@@ -202,6 +202,53 @@ def sql_dialects(spark, sf_dir):
     return out
 
 
+_FOLDER = (("/dw/01-ADS/", "/w/dws_etl/sub/", "/a/odsx/", "/x/DWD/ods/", "/dwt.old/"),)
+_DEFINED = _pieces(*_FOLDER, ("m", "z", "表"), ("_def_#.sql",), key="p_partkey")
+_FILLED = _pieces(*_FOLDER, key="p_partkey") + " || " + _pieces(("p_fill_#.sql",), key="p_partkey")
+_DEFINITION = _pieces(
+    ("CREATE TABLE ", "create external table if not exists ", "-- CREATE TABLE old.x (y INT)|CREATE TABLE IF NOT EXISTS "), ("ads.t_#", "t_#"),
+    (" (id BIGINT COMMENT ~编号, 主键~, v DECIMAL(10, 2))", "|(|  `id` STRING,|  note STRING COMMENT ~a~ -- x, y|, PRIMARY KEY (id)|)", " (k INT NOT NULL DEFAULT 0, w DOUBLE)"),
+    ("", " COMMENT ~表 #~"), ("", " PARTITIONED BY (dt STRING COMMENT ~日期~)", " PARTITIONED BY (dt STRING, h INT) STORED AS ORC"), ("", " TBLPROPERTIES (~comment~=~p #~)"), key="p_partkey", size=15,
+)
+_FILLING = _pieces(
+    ("INSERT OVERWRITE TABLE ", "insert into table "), ("t_#", "ads.t_#"),
+    (" SELECT DISTINCT id, sum(v)|FROM dwd.s1 o JOIN dim.shop s ON o.i = s.i -- FROM nowhere|GROUP BY id, o.dt", " SELECT id FROM (SELECT *, row_number() over (partition by id, dt order by ts desc) rn FROM ods.a) z WHERE rn = 1", " select id from t1 left join `t2` on 1=1 group by substr(id, 1, 2)|having count(*) > 1;"),
+    key="p_partkey", size=7,
+)
+_BARE = "regexp_replace(regexp_replace({0}, '--[^\\n]*', ' ', 'g'), '`', '', 'g')"
+#: The entries of a list at its own level, parentheses and quoted texts whole, without what surrounds them.
+_ENTRIES_OF = "list_filter(list_transform(regexp_extract_all({0}, '(?:\\([^()]*\\)|\\x27[^\\x27]*\\x27|[^,()\\x27])+'), lambda x: trim(x, chr(10) || ' ')), lambda x: x <> '')"
+_COLUMN = "regexp_extract(x, '^(\\w+)', 1) || ':' || replace(regexp_extract(x, '^\\w+\\s+(\\w+(?:\\([^()]*\\))?)', 1), ', ', ',') || ':' || regexp_extract(x, '(?i)comment\\s+\\x27([^\\x27]*)', 1)"
+_COLUMNS = "array_to_string(list_transform(list_filter({0}, lambda x: NOT regexp_matches(x, '(?i)^primary')), lambda x: " + _COLUMN + "), '|')"
+_LAYERED = "coalesce(list_filter(list_transform(string_split(path, '/'), lambda p: upper(regexp_extract(p, '(?i)(?:^|[^a-z])(ADS|DWS|DWT|DWD|ODS)(?:$|[^a-z])', 1))), lambda p: p <> '')[1], 'UNKNOWN')"
+
+
+@query(f"""
+WITH d AS (SELECT p_partkey, {_DEFINED} AS path, {_BARE.format(_DEFINITION)} AS t FROM part), f AS (SELECT p_partkey, {_FILLED} AS path, {_BARE.format(_FILLING)} AS t FROM part),
+d1 AS (SELECT *, regexp_extract(t, '(?is)create\\s+(?:external\\s+)?table\\s+(?:if\\s+not\\s+exists\\s+)?([\\w.]+)', 1) AS name, regexp_extract(t, '(?s)\\w\\s*\\(((?:\\([^()]*\\)|[^()])*)\\)', 1) AS body, regexp_replace(t, '(?s)^.*?\\w\\s*\\((?:\\([^()]*\\)|[^()])*\\)', '') AS rest FROM d),
+d2 AS (SELECT path, name, {_COLUMNS.format(_ENTRIES_OF.format("body"))} AS columns, {_COLUMNS.format(_ENTRIES_OF.format("regexp_extract(rest, '(?i)partitioned by \\(([^()]*)\\)', 1)"))} AS parts,
+  coalesce(nullif(regexp_extract(regexp_replace(rest, '\\([^()]*\\)', '', 'g'), '(?i)comment\\s+\\x27([^\\x27]*)', 1), ''), regexp_extract(rest, '(?i)\\x27comment\\x27=\\x27([^\\x27]*)', 1)) AS told, NULL AS src, NULL AS grp, NULL AS keys, false AS is_distinct, false AS numbered FROM d1),
+f2 AS (SELECT path, regexp_extract(t, '(?i)insert\\s+(?:overwrite|into)\\s+table\\s+([\\w.]+)', 1) AS name, '' AS columns, '' AS parts, '' AS told, regexp_extract_all(t, '(?i)\\b(?:from|join)\\s+([\\w.]+)', 1) AS src,
+  {_ENTRIES_OF.format("regexp_extract(t, '(?is)group\\s+by\\s+(.*?)(?:\\s+having|;|$)', 1)")} AS grp, {_ENTRIES_OF.format("regexp_extract(t, '(?i)partition by (.*?) order', 1)")} AS keys, regexp_matches(t, '(?i)select\\s+distinct') AS is_distinct, contains(lower(t), 'row_number') AS numbered FROM f),
+u AS (SELECT *, {_LAYERED} AS layer, regexp_extract(path, '([^/]*)$', 1) AS file FROM (SELECT * FROM d2 UNION ALL SELECT * FROM f2)),
+q AS (SELECT u.*, CASE WHEN contains(u.name, '.') THEN u.name ELSE coalesce((SELECT arg_max(x.name, x.path) FROM u x WHERE x.layer = u.layer AND contains(x.name, '.') AND x.columns <> '' AND x.path <= u.path AND regexp_extract(x.name, '([^.]*)$', 1) = u.name), u.name) END AS whole FROM u)
+SELECT layer, whole AS name, coalesce(arg_min(nullif(regexp_extract(file, '^([一-鿿][一-鿿\\w]*)', 1), ''), path) FILTER (WHERE regexp_matches(file, '^[一-鿿]')), '') AS description, coalesce(arg_min(told, path) FILTER (WHERE told <> ''), '') AS table_comment, string_agg(path, ',' ORDER BY path) AS sql_files,
+  coalesce(arg_min(columns, path) FILTER (WHERE columns <> ''), '') AS columns, coalesce(arg_min(parts, path) FILTER (WHERE parts <> ''), '') AS partition_columns, coalesce(string_agg(array_to_string(src, ','), ',' ORDER BY path) FILTER (WHERE len(src) > 0), '') AS source_tables,
+  coalesce(string_agg(array_to_string(grp, ';'), ';' ORDER BY path) FILTER (WHERE len(grp) > 0), '') AS group_by, coalesce(string_agg(array_to_string(keys, ';'), ';' ORDER BY path) FILTER (WHERE len(keys) > 0), '') AS row_number_keys, bool_or(is_distinct) AS has_distinct, bool_or(numbered) AS has_row_number
+FROM q WHERE layer <> 'UNKNOWN' GROUP BY layer, whole
+""")
+def catalog_of_varied_files(spark, sf_dir):
+    """Definitions and ETL texts for every part, of pieces in many combinations, in folders of all kinds; the twin reads the same texts with patterns of its own."""
+    file = lambda path, text: F.struct(F.expr(path).alias("path"), F.expr(text).alias("text"))
+    files = table(spark, sf_dir, "part").select(F.explode(F.array(file(_DEFINED, _DEFINITION), file(_FILLED, _FILLING))).alias("f")).select("f.*")
+    told = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["name"], x["type"], x["comment"])), "|")
+    signs = F.col("signals")
+    return catalog.build(files).select(
+        "layer", "name", "description", "table_comment", F.array_join("sql_files", ",").alias("sql_files"), told(F.col("columns")).alias("columns"), told(F.col("partition_columns")).alias("partition_columns"), F.array_join(signs["source_tables"], ",").alias("source_tables"),
+        F.array_join(signs["group_by"], ";").alias("group_by"), F.array_join(signs["row_number_keys"], ";").alias("row_number_keys"), signs["has_distinct"].alias("has_distinct"), signs["has_row_number"].alias("has_row_number"),
+    )
+
+
 _ADVICE = {"click": "Which clicks?", "error": "Ask for the log", "view": "Which clicks?"}
 
 
