@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import posts, texts, times, urls
 from .operators import classify
 from .plans import digest
-from .queries import _ARTICLES, _KEY, REFERENCE, _articles, _flagship, query, table
+from .queries import _ARTICLES, _KEY, REFERENCE, _articles, _flagship, _pieces, query, table
 from .session import scratch
 from .sources import feeds, files, paged, registry, sinks
 
@@ -236,6 +236,36 @@ def missing_document(spark, sf_dir):
     return table(spark, sf_dir, "nation").join(notes, "n_nationkey", "left").select("n_nationkey", "n_name", "note")
 
 
+_ITEM = _pieces(
+    ("<title>T #</title>", "<title></title>", "<title> A &amp; B | #</title>", ""),
+    ("<link>https://e.org/a?x=#&amp;utm_source=q</link>", "<guid>http://e.org/g/#</guid>", "<guid isPermaLink=\"false\">tag:#</guid>", "<link></link><guid isPermaLink=\"true\">https://e.org/h/#</guid>", "<link>/r/#</link>"),
+    ("<pubDate>Tue, 02 Jan 2024 03:04:05 GMT</pubDate>", "<pubDate>2024-01-02T03:04:05+02:00</pubDate>", "<dc:date>2024-03-04</dc:date>", "<pubDate>soon</pubDate>", "", "<pubDate></pubDate><dc:date>2024-05-06T07:08:09Z</dc:date>"),
+    ("<description>short</description>", "<description>a long text of #</description><content:encoded>tiny</content:encoded>", "<content:encoded>only # here</content:encoded>", "", "<description>a</description><content:encoded>&lt;p&gt;the &lt;b&gt;longer&lt;/b&gt; one&lt;/p&gt;</content:encoded>"),
+    ("", "<category>a</category><category> </category><category>b</category>", "<category>1</category><category>2</category><category>3</category><category>4</category><category>5</category><category>6</category>"), key="c_custkey",
+)
+_ONE = "trim(regexp_extract(x, '(?s)<{0}[^>]*>([^<]*)</{0}>', 1), chr(10) || ' ')"
+_READ = "replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+
+@query(f"""
+WITH i AS (SELECT c_custkey AS id, {_ITEM} AS x FROM customer),
+f AS (SELECT id, {_READ.format(_ONE.format("title"))} AS title, {_ONE.format("link")} AS link, CASE WHEN contains(x, 'isPermaLink="false"') THEN '' ELSE {_ONE.format("guid")} END AS guid, coalesce(nullif({_ONE.format("pubDate")}, ''), {_ONE.format("dc:date")}) AS day,
+  {_READ.format(_ONE.format("description"))} AS d, {_READ.format(_ONE.format("content:encoded"))} AS c, list_filter(list_transform(regexp_extract_all(x, '<category>([^<]*)</category>', 1), lambda t: trim(t)), lambda t: t <> '')[1:5] AS tags FROM i),
+u AS (SELECT *, {_READ.format("coalesce(nullif(link, ''), guid)")} AS url, regexp_replace(day, '^[A-Za-z]+, ', '') AS said FROM f),
+t AS (SELECT *, CASE WHEN regexp_matches(said, '^[0-9]+ [A-Z]') THEN strptime(said, '%d %b %Y %H:%M:%S GMT') WHEN regexp_matches(said, 'T.*[+]02:00$') THEN strptime(said[1:19], '%Y-%m-%dT%H:%M:%S') - INTERVAL 2 HOUR WHEN regexp_matches(said, 'T.*Z$') THEN strptime(said, '%Y-%m-%dT%H:%M:%SZ') WHEN regexp_full_match(said, '[0-9-]+') THEN strptime(said, '%Y-%m-%d') END AS ts FROM u)
+SELECT id, regexp_replace(title, '\\s+', ' ', 'g') AS title, regexp_replace(regexp_replace(CASE WHEN starts_with(url, '/') THEN 'https://feeds.example.org' || url ELSE url END, '^http:', 'https:'), '[?&]utm_[^&]*', '') AS url, CAST(epoch_us(ts) AS BIGINT) AS published_us,
+  trim(regexp_replace(regexp_replace(CASE WHEN length(c) > length(d) THEN c ELSE d END, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS summary, array_to_string(tags, ',') AS tags, CASE WHEN ts IS NULL THEN 'date_unknown' ELSE '' END AS flags FROM t WHERE title <> '' AND url <> ''
+""")
+def feed_items_of_all_shapes(spark, sf_dir):
+    """A feed for every customer, its item made of pieces in all combinations; the twin reads the same texts with patterns of its own."""
+    head = "<?xml version='1.0'?><rss xmlns:dc='d' xmlns:content='c'><channel>"
+    landed = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("seq"), F.lit("s").alias("source_id"), F.lit("https://feeds.example.org/f.xml").alias("url"), F.concat(F.lit(head + "<item>"), F.expr(_ITEM), F.lit("</item></channel></rss>")).alias("content"))
+    items, _ = feeds.parse(landed)
+    return items.select(
+        F.shiftright("seq", feeds.ITEM_BITS).alias("id"), "title", "url", F.unix_micros("published_at").alias("published_us"), "summary", F.array_join("tags", ",").alias("tags"), F.array_join("flags", ",").alias("flags")
+    )
+
+
 @query("SELECT CAST(conv_id AS VARCHAR) AS user_id, 'user' || conv_id AS username, turn AS post_seq, role AS id, text FROM conversations")
 def nested_posts(spark, sf_dir):
     """Conversations as documents of users with posts, made flat again."""

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import rank
 from .plans import catalog, qalog, searchindex, shapes, sqlcheck
-from .queries import query, table
+from .queries import _pieces, query, table
 from .sources import sinks
 
 LAYERS = ("ADS", "DWS", "DWT", "DWD", "ODS")
@@ -139,16 +137,6 @@ def sql_lint(spark, sf_dir):
     return sqlcheck.check(texts, "hive-legacy", _catalog(spark, sf_dir)).select("path", "code")
 
 
-def _pieces(*choices: tuple[str, ...], key: str = "o_orderkey", size: int = 1) -> str:
-    """SQL, for either engine, of a text made of one piece of each kind, so that every combination occurs; ~ stands for a quote, | for a new line, # for the key."""
-    signs, out = {"~": "chr(39)", "|": "chr(10)", "#": f"CAST({key} AS STRING)"}, []
-    for texts in choices:
-        cases = " ".join(f"WHEN {k} THEN " + " || ".join(signs.get(x, f"'{x}'") for x in re.split(r"([~|#])", t) if x) for k, t in enumerate(texts) if t)
-        out.append(f"CASE CAST(floor({key} / {size}) AS BIGINT) % {len(texts)} {cases} ELSE '' END" if len(texts) > 1 else cases.removeprefix("WHEN 0 THEN "))
-        size *= len(texts)
-    return " || ".join(out)
-
-
 #: What comes first, is selected, read, asked for and sorted by, in every combination.
 _VARIED = _pieces(
     ("", "DROP TABLE a; ", "/* delete x */ ", "INSERT OVERWRITE TABLE t ", "-- update y|", "alter  TABLE b; "),
