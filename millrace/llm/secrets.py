@@ -29,22 +29,36 @@ ENCODINGS = (
     ("^[0-9A-Za-z_-]+$", UPPER + LOWER + DIGITS + "-_"),
 )
 
-#: Natural text: chances of the class of the next sign (lower, upper, digit, other) at a token's start and after each
-#: class, and -4 ln of the chance of each letter after each letter, then at the start of a word, as digits of base 36.
-#: Letters are from English sources and prose in four languages, a fifth of each chance spread over rarer pairs.
+#: Natural text: chances of the class of the next sign (lower, upper, digit, other) at a token's start and after each class.
 SIGNS = UPPER + LOWER + DIGITS + "+/-_"
 CLASSES = {"": (0.55, 0.25, 0.10, 0.10), "a": (0.80, 0.05, 0.05, 0.10), "A": (0.27, 0.55, 0.06, 0.12), "0": (0.05, 0.05, 0.82, 0.08), "+": (0.62, 0.20, 0.13, 0.05)}
-PAIRS = """
-ggdddkhhcmkbd7ghmaa8cijkjm clgi6kkiecm5kgbjmefhcmmmbl cmijakl57nedjg8kmfhbglmmlm bgif4jle9mmfle9kneddemiljn bjebcfjgdmlag8fgk7abhjifjj ahihaeif8njekf6im8ebdklmkk 9gij5khdbnkdjbdjnd9ddjimlj 7ijj4kkeanlgkeakneechlimll fidgadhhhmlde59hlfa9jilkmj
-3mhk5llihnjjlhajnhhhbmmmln elih2kiicnmekegimgchhldmlm akjg5aliammakgcjmhdefmlm8m agki3kli8nmihgbcnhfggmmmln bhd88iafdmjfjeailfc8giimkl ggfdfbjiemkge5gfm7cc9jhllm 5lji97lhenmclg9fmbhcgklmgn ilkjfkliimnilfhkmfhh1mmmmn ahhh5jffbmjghbajmccbgjimhl
-djbi7ki9cklgifdgkfc6emjmhn bjii8jl58nmgjfbjmbeedljmgi eggi6gigenlbd8eek9cbjkkbml 7lkk4kli6nmjjgblnhihkmlmln 9lkhakl48nmhleclnbfhkmklmn 9k8j8ilibnmeehbbfch7kgmikl cfii8jkcbnmegbb8ne98jlemkl dhgi4kigbljfggejkgfe5jmmki aecc9ehfbjidfcaeicb8ghfjjj
-""".split()
+#: Words of names, paths and prose in four languages, from whose letters the chances of letters after letters are counted.
+NATURAL = (
+    "the and that have for not with you this but from they will would there their what about which when make can like time just know take people into year good some could them see other than then now look only come over think also back after use two how our work first well way even new want because any these give day most",
+    "index table value return default option version release build config status network address buffer handle parser request response session object string number array module package import export public private static class function method library system user local share site file folder path page image style script test debug error message level service client server query cache queue event update delete select order group",
+    "les des une dans pour que qui est pas sur avec plus sont comme mais nous vous leur cette entre ainsi toujours",
+    "der die und den von das mit sich des auf nicht ein eine als auch werden aus hat dass durch zwischen schon",
+    "los las del por una con para como pero sus este entre cuando todo esta desde nosotros porque ciudad mejor",
+)
+#: How many times all letters count as followers of each letter, in proportion to their own counts, and the share of chances that is even.
+PRIOR, EVEN = 3.0, 0.2
+
+
+def _followers() -> list[list[float]]:
+    """The chance of each letter after each letter, then at the start of a word."""
+    counts = [[0.0] * 26 for _ in range(27)]
+    for word in " ".join(NATURAL).split():
+        for last, letter in zip((26, *map(LOWER.index, word)), word, strict=False):
+            counts[last][LOWER.index(letter)] += 1
+    own = [sum(row[k] for row in counts) for k in range(26)]
+    share = [n / sum(own) for n in own]
+    return [[(1 - EVEN) * (n + PRIOR * s) / (sum(row) + PRIOR) + EVEN / 26 for n, s in zip(row, share, strict=True)] for row in counts]
 
 
 def _costs() -> list[float]:
     """-ln of the chance of every sign after nothing and after every sign in natural text, in rows of SIGNS."""
     kind = lambda s: "a" if s in LOWER else "A" if s in UPPER else "0" if s in DIGITS else "+"
-    rows = [[math.exp(-int(c, 36) / 4) for c in row] for row in PAIRS]
+    rows = _followers()
     costs = []
     for last in ("", *SIGNS):
         row = rows[LOWER.index(last.lower()) if last.isalpha() else 26]
