@@ -114,16 +114,18 @@ def by_layer(catalog: DataFrame) -> DataFrame:
     return catalog.orderBy("layer", "name")
 
 
-def stop_after(rounds: DataFrame, enough: int = 100, fair: int = 50, idle: int = 5, lost: int = 10) -> DataFrame:
-    """The rounds of a page scan (round, found) up to the one after which it stops, with the rows so far and the rounds without any in a row.
+def stop_after(rounds: DataFrame, *scan: str, enough: int = 100, fair: int = 50, idle: int = 5, lost: int = 10) -> DataFrame:
+    """The rounds of page scans (``scan``, round, found) up to the one after which each stops, with the rows so far and the rounds without any in a row.
 
     A scan stops with ``enough`` rows, with a ``fair`` number after ``idle``
-    empty rounds in a row, or after ``lost`` empty rounds.  One scan's rounds
-    are few; the window is over them alone.
+    empty rounds in a row, or after ``lost`` empty rounds.  A scan's rounds
+    are few; windows are over those of one scan.  Rounds are numbered, with
+    gaps where a scan has left some out, which don't count as empty.
     """
-    so_far = Window.orderBy("round").rowsBetween(Window.unboundedPreceding, 0)
-    told = rounds.withColumn("total", F.sum("found").over(so_far)).withColumn("last", F.max(F.when(F.col("found") > 0, F.col("round"))).over(so_far))
-    told = told.withColumn("idle", (F.col("round") - F.coalesce("last", F.min("round").over(so_far) - 1)).cast("long"))
+    own = Window.partitionBy(*scan).orderBy("round")
+    so_far = own.rowsBetween(Window.unboundedPreceding, 0)
+    told = rounds.withColumn("__place", F.row_number().over(own)).withColumn("total", F.sum("found").over(so_far)).withColumn("__last", F.max(F.when(F.col("found") > 0, F.col("__place"))).over(so_far))
+    told = told.withColumn("idle", (F.col("__place") - F.coalesce("__last", F.lit(0))).cast("long"))
     stops = (F.col("total") >= enough) | (F.col("total") >= fair) & (F.col("idle") >= idle) | (F.col("idle") >= lost)
-    before = F.max(F.when(stops, 1).otherwise(0)).over(Window.orderBy("round").rowsBetween(Window.unboundedPreceding, -1))
-    return told.withColumn("__before", before).where(F.coalesce("__before", F.lit(0)) == 0).select("round", "found", "total", "idle")
+    before = F.max(F.when(stops, 1).otherwise(0)).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    return told.withColumn("__before", before).where(F.coalesce("__before", F.lit(0)) == 0).select(*scan, "round", "found", "total", "idle")

@@ -170,14 +170,13 @@ def rebuilt_lists(spark, sf_dir):
 
 
 @query("""
-SELECT c_custkey AS id, CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS INTEGER) AS seq, count(*) AS posts, arg_max(o_orderkey, (epoch_us(o_orderdate) // 86400000000) * 10000000 + o_orderkey) AS latest_id FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey < 100 GROUP BY c_custkey
+SELECT c_custkey AS id, CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS INTEGER) AS seq, count(*) AS posts, arg_max(o_orderkey, (epoch_us(o_orderdate) // 86400000000) * 10000000 + o_orderkey) AS latest_id FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey
 """)
 def users_with_posts(spark, sf_dir):
     """Tracked users in their order, without those that have no posts."""
-    users = table(spark, sf_dir, "customer").where("c_custkey < 100").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("seq"))
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("seq"))
     found = merge.users_with_posts(users, table(spark, sf_dir, "orders").withColumn("created", F.date_format("o_orderdate", "yyyy-MM-dd")), "o_custkey", "o_orderkey", "created")
-    place = F.row_number().over(rank.Window.orderBy("seq")) - 1  # at most 100 users
-    return found.select("id", place.cast("int").alias("seq"), "posts", "latest_id")
+    return rank.places_by_range(found, [], "seq").select("id", F.col("place").cast("int").alias("seq"), "posts", "latest_id")
 
 
 @query("SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'manual' ELSE 'auto' END AS origin FROM customer")
@@ -253,7 +252,7 @@ def typed_sink_rows(spark, sf_dir):
 
 
 @query("""
-SELECT '| author | text | likes | link |' || chr(10) || '|---|---|---|---|' || chr(10) || string_agg('| ' || c_mktsegment || ' | a \\| ' || c_name || ' | ' || c_custkey || ' | https://e.org/' || c_custkey || ' |', chr(10) ORDER BY c_custkey) AS text FROM customer WHERE c_custkey < 100
+SELECT '| author | text | likes | link |' || chr(10) || '|---|---|---|---|' || chr(10) || string_agg('| ' || c_mktsegment || ' | a \\| ' || c_name || ' | ' || c_custkey || ' | https://e.org/' || c_custkey || ' |', chr(10) ORDER BY c_custkey) AS text FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 100)
 """)
 def posts_markdown(spark, sf_dir):
     key = F.col("c_custkey")
@@ -287,11 +286,11 @@ def json_line_log(spark, sf_dir):
     return sinks.read_table(spark, f"{path}-table")
 
 
-@query(f"SELECT 'day' AS kind, CAST(d AS VARCHAR) AS date, count(*) AS rows FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events WHERE CAST(ts AS DATE) <= DATE '2024-01-03') GROUP BY d UNION ALL SELECT 'latest', '2024-01-02', count(*) FROM ({_DAY.format(2)})")
+@query(f"SELECT 'day' AS kind, CAST(d AS VARCHAR) AS date, count(*) AS rows FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events) GROUP BY d UNION ALL SELECT 'latest', '2024-01-02', count(*) FROM ({_DAY.format(2)})")
 def daily_snapshots(spark, sf_dir):
     """Days as partitions, one of them written twice, and the latest one as a table of its own."""
     path = scratch(spark, "days")
-    days = table(spark, sf_dir, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("date")).distinct().where("date <= '2024-01-03'")
+    days = table(spark, sf_dir, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("date")).distinct()
     sinks.write_snapshot(days, path)
     sinks.write_snapshot(days.where("date = '2024-01-02'"), path, latest=f"{path}-latest")
     held = spark.read.parquet(path).groupBy(F.date_format("date", "yyyy-MM-dd").alias("date")).agg(F.count("*").alias("rows"))
@@ -321,15 +320,16 @@ def newest_posts(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE c AS (SELECT conv_id AS round, CASE WHEN conv_id % 7 < 3 THEN 0 ELSE count(*) END AS found FROM conversations WHERE conv_id < 200 GROUP BY conv_id),
-n AS (SELECT *, row_number() OVER (ORDER BY round) AS i FROM c),
-w AS (SELECT i, round, found, found AS total, CASE WHEN found > 0 THEN 0 ELSE 1 END AS idle, false AS stop FROM n WHERE i = 1
-  UNION ALL SELECT n.i, n.round, n.found, w.total + n.found, CASE WHEN n.found > 0 THEN 0 ELSE w.idle + 1 END, false FROM w JOIN n ON n.i = w.i + 1 WHERE NOT (w.total >= 100 OR w.total >= 50 AND w.idle >= 5 OR w.idle >= 10))
-SELECT round, found, CAST(total AS BIGINT) AS total, CAST(idle AS BIGINT) AS idle FROM w
+WITH RECURSIVE c AS (SELECT conv_id // 200 AS scan, conv_id AS round, CASE WHEN conv_id % 7 < 3 THEN 0 ELSE count(*) END AS found FROM conversations GROUP BY conv_id),
+n AS (SELECT *, row_number() OVER (PARTITION BY scan ORDER BY round) AS i FROM c),
+w AS (SELECT scan, i, round, found, found AS total, CASE WHEN found > 0 THEN 0 ELSE 1 END AS idle FROM n WHERE i = 1
+  UNION ALL SELECT n.scan, n.i, n.round, n.found, w.total + n.found, CASE WHEN n.found > 0 THEN 0 ELSE w.idle + 1 END FROM w JOIN n ON n.scan = w.scan AND n.i = w.i + 1 WHERE NOT (w.total >= 100 OR w.total >= 50 AND w.idle >= 5 OR w.idle >= 10))
+SELECT scan, round, found, CAST(total AS BIGINT) AS total, CAST(idle AS BIGINT) AS idle FROM w
 """)
 def scan_stop(spark, sf_dir):
-    rounds = table(spark, sf_dir, "conversations").where("conv_id < 200").groupBy(F.col("conv_id").alias("round")).agg(F.count("*").alias("found"))
-    return rank.stop_after(rounds.withColumn("found", F.when(F.col("round") % 7 < 3, 0).otherwise(F.col("found")).cast("long")))
+    """Conversations as rounds of scans, two hundred to a scan, each up to where it stops."""
+    rounds = table(spark, sf_dir, "conversations").groupBy(F.floor(F.col("conv_id") / 200).alias("scan"), F.col("conv_id").alias("round")).agg(F.count("*").alias("found"))
+    return rank.stop_after(rounds.withColumn("found", F.when(F.col("round") % 7 < 3, 0).otherwise(F.col("found")).cast("long")), "scan")
 
 
 @query("SELECT CAST(conv_id * 1000 + turn AS VARCHAR) AS id, text AS full_text FROM conversations WHERE conv_id = 3 AND turn = 1 AND text IS NOT NULL")

@@ -54,11 +54,11 @@ def fetch_attempts(spark, sf_dir):
 
 
 @query("""
-SELECT page_id, md5(url) AS key, page_id > 105 AS fresh, page_id < 60 AS cleared FROM pages WHERE page_id < 120
+SELECT page_id, md5(url) AS key, page_id % 120 > 105 AS fresh, page_id % 120 < 60 AS cleared FROM pages
 """)
 def feed_cache(spark, sf_dir):
-    """Entries of one a minute from midnight on, at two o'clock: those of the last quarter are fresh, those older than an hour go."""
-    held = table(spark, sf_dir, "pages").where("page_id < 120").select("page_id", urls.cache_key(F.col("url")).alias("key"), F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("page_id") * 60_000_000).alias("fetched_at"))
+    """Entries of every minute from midnight on, at two o'clock: those of the last quarter are fresh, those older than an hour go."""
+    held = table(spark, sf_dir, "pages").select("page_id", urls.cache_key(F.col("url")).alias("key"), F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("page_id") % 120 * 60_000_000).alias("fetched_at"))
     now = datetime(2024, 1, 1, 2)
     kept, gone = registry.expired(held, now, hours=1)
     rows = kept.withColumn("cleared", F.lit(False)).unionByName(gone.withColumn("cleared", F.lit(True)))
