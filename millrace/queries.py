@@ -297,9 +297,7 @@ def title_classes(spark, sf_dir):
 def close_title_pairs(spark, sf_dir):
     """Titles alike whose times lie close, an unknown time being close to all."""
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 7 > 0, F.timestamp_seconds(F.col("doc_id") * 600)).alias("at"), "text")
-    pairs = dedupe.similar_title_pairs(rows, "id", "text", 0.9)
-    a, b = (rows.select(F.col("id").alias(s), F.col("at").alias(f"at_{s}")) for s in "ab")
-    return pairs.join(a, "a").join(b, "b").where(times.close(F.col("at_a"), F.col("at_b"), 48)).select("a", "b")
+    return dedupe.close_title_pairs(rows, "id", "text", "at", 0.9, 48)
 
 
 _GREEDY = f"""

@@ -373,3 +373,21 @@ def test_a_name_with_many_definitions_and_uses(spark):
     found = asof.last_before(plan, facts, ["layer", "short"], "path", "full_name")
     assert found.where(F.col("full_name") != F.format_string("db%d.t", F.floor(F.substring("path", 2, 5).cast("int") / 2))).count() == 0 and found.count() == 2000
     assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+
+
+def test_close_pairs(spark):
+    """Times on the borders of stretches, unknown times, and equal titles told by their first."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.sample(["alpha", "beta", "gamma", "delta", "eps", "zeta"], rng.randint(3, 5))), None if i % 9 == 0 else NOW + timedelta(hours=rng.choice([0, 3, 6, 12, 24, 25, 48, 100]))) for i in range(60)]
+    sets, first = {i: frozenset(t.split()) for i, t, _ in rows}, {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    at = {i: a for i, _, a in rows}
+    reps = sorted(first.values())
+    for threshold, hours in ((0.5, 24), (0.75, 3)):
+        close = lambda a, b: at[a] is None or at[b] is None or abs(at[a] - at[b]) <= timedelta(hours=hours)  # noqa: E731, B023
+        want = {(a, b) for a in reps for b in reps if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold and close(a, b)}
+        got = [(r.a, r.b) for r in dedupe.close_title_pairs(spark.createDataFrame(rows, "id long, t string, at timestamp"), "id", "t", "at", threshold, hours).collect()]
+        assert set(got) == want and len(got) == len(want)
