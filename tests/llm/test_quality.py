@@ -167,6 +167,46 @@ def test_cotraining_against_plain_python(spark):
     assert all(abs(got[r["doc_id"]] - p) < 1e-9 for r, p in zip(rows, both, strict=True))
 
 
+def test_both_views_hand_over_labels_and_change_verdicts(spark, monkeypatch):
+    """Sources and words that both tell of quality, and texts of the middling kind whose words don't: what one view is sure of teaches the other."""
+    rng = random.Random(2)
+    good, bad, both = ([f"{c}{k}" for k in range(30)] for c in ("good", "bad", "plain"))
+    rows, marks = [], []
+    for i in range(1600):
+        quality = i % 2
+        own = both if rng.random() < 0.25 else good if quality else bad
+        words = [rng.choice(own if rng.random() < 0.5 else both) for _ in range(40)]
+        # sources of the second half are never labelled
+        known = f"s{quality}{rng.randrange(3)}" if i < 800 else f"new{quality}{rng.randrange(3)}"
+        rows.append((i, " ".join(words), "en", known if rng.random() < 0.97 else "s00", 200))
+        if i < 160:
+            marks.append((i, quality))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    given = []
+    sums = cotrain.exchanged_sums
+    monkeypatch.setattr(cotrain, "exchanged_sums", lambda *a: given.append({taker: sum(out[taker, g][0] for g in (0, 1)) for taker in ("text", "meta")} if (out := sums(*a)) else None) or out)
+    scores = lambda rounds: {r.doc_id: r for r in cotrain.classify(docs, labels, rounds=rounds).collect()}
+    before, after = scores(0), scores(3)
+    assert len(given) == 3 and all(g["text"] > 100 and g["meta"] > 100 for g in given), given
+    changed = [i for i in before if before[i].kept != after[i].kept]
+    right = lambda found: np.mean([found[i].kept == bool(i % 2) for i in range(800, 1600)])
+    assert changed and right(after) > right(before), (len(changed), right(before), right(after))
+
+
+def test_sums_of_exchanges_are_added_up_in_a_tree(spark, monkeypatch):
+    """The same sums from one part and from forty, of which no task and not the driver gets all."""
+    docs, marks = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    _, _, table = cotrain.trained(docs, marks.where("doc_id % 2 = 0"), rounds=0)
+    model = cotrain.fit(table, rounds=0)
+    views = {"text": model.text, "meta": model.meta}
+    cells = cotrain.unlabelled_cells(table, model.text, model.meta)
+    one, many = (cotrain.exchanged_sums(cells.repartition(n).checkpoint(), views, views, 0.8) for n in (1, 40))
+    assert sum(n for n, _, _ in one.values()) > 0
+    for k in one:
+        assert one[k][0] == many[k][0] and all(np.array_equal(a, b) for a, b in zip(one[k][1:], many[k][1:], strict=True))
+
+
 def slot_of(word):
     import xxhash
 
