@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import sqltext
 from ..operators.asof import last_before
 from ..schemas import COLUMN, SIGNALS
+from ..session import stored
 
 LAYERS = ("ADS", "DWS", "DWT", "DWD", "ODS")
 #: Words that a search leaves out, and names that tell little and weigh half.
@@ -77,8 +78,11 @@ def qualify(entries: DataFrame) -> DataFrame:
 
 
 def build(files: DataFrame, keep_unknown: bool = False) -> DataFrame:
-    """One entry per layer and name: the first that isn't empty of each description, all paths, all signals."""
-    entries = qualify(extract(files))
+    """One entry per layer and name: the first that isn't empty of each description, all paths, all signals.
+
+    Texts are scanned once, though several steps look at what is found.
+    """
+    entries = qualify(stored(extract(files), "catalog"))
     if not keep_unknown:
         entries = entries.where("layer <> 'UNKNOWN'")
     first = lambda c, full: F.min_by(c, F.when(full, F.struct("path", "name")))

@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import shared_folder
 from .catalog import LOW_INFORMATION, WEIGHTS, query_tokens, search_fields
 
 #: Letters of a gram: words of a question have two at least, so that each has a gram.
 GRAM = 2
+#: Words up to which they are sent to every executor.
+FEW = 100_000
 
 
 def field_texts(catalog: DataFrame) -> DataFrame:
@@ -58,6 +61,10 @@ def search_many(index: DataFrame, entries: DataFrame, questions: DataFrame, n: i
     asked = distinct.select("word", F.explode(_grams(F.col("word"))).alias("gram")).join(counts, "gram", "left")
     # a word with a gram that no text has is in no text
     rarest = asked.groupBy("word").agg(F.min_by("gram", F.struct(F.coalesce("texts", F.lit(0)), "gram")).alias("gram"))
+    shared_folder(index.sparkSession)
+    rarest = rarest.checkpoint()
+    if rarest.count() <= FEW:  # then the index isn't shuffled
+        rarest = F.broadcast(rarest)
     found = index.join(rarest, "gram").where(F.contains("text", F.col("word")))
     weight = F.create_map(*(x for f, w in WEIGHTS.items() for x in (F.lit(f), F.lit(w))))[F.col("field")]
     half = F.when(F.col("word").isin(*LOW_INFORMATION), 0.5).otherwise(1.0)

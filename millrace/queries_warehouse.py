@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .operators import rank
 from .plans import catalog, qalog, searchindex, shapes, sqlcheck
 from .queries import _pieces, query, table
+from .session import spread, stored
 from .sources import sinks
 
 LAYERS = ("ADS", "DWS", "DWT", "DWD", "ODS")
@@ -33,7 +34,7 @@ def _files(spark, sf_dir) -> DataFrame:
     parts = F.array(file("表", define), file("载入", fill), F.when(key % 3 == 0, file("说明", told)))
     ends = F.array(F.lit(".sql"), F.lit(".sql"), F.lit(".md"))
     listed = F.zip_with(parts, ends, lambda f, e: F.when(f.isNotNull(), F.struct(F.concat(f["path"], e).alias("path"), f["text"].alias("text"))))
-    return table(spark, sf_dir, "part").select(F.explode(F.array_compact(listed)).alias("f")).select("f.*")
+    return spread(table(spark, sf_dir, "part").select("p_partkey")).select(F.explode(F.array_compact(listed)).alias("f")).select("f.*")
 
 
 def _catalog(spark, sf_dir) -> DataFrame:
@@ -90,10 +91,10 @@ SELECT question_id, layer, name, CAST(score AS DOUBLE) AS score, CAST(row_number
 """)
 def catalog_search_many(spark, sf_dir):
     """A question for every nation, all answered at once from an index of the catalog."""
-    entries = _catalog(spark, sf_dir).checkpoint()
+    entries = stored(_catalog(spark, sf_dir), "entries")
     ask = F.concat(F.lit("统计 T_"), F.col("n_nationkey").cast("string"), F.lit(" 编号 "), "n_name", F.lit(" dt SQL"))
     questions = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("question_id"), ask.alias("question"))
-    index = searchindex.postings(searchindex.field_texts(entries)).checkpoint()
+    index = searchindex.postings(searchindex.field_texts(entries))  # asked once: what a word's gram isn't in is dropped as it is made
     return searchindex.search_many(index, entries, questions)
 
 
@@ -133,7 +134,7 @@ def sql_lint(spark, sf_dir):
     other = key - key % 6  # a part of the first layer: its table is in the catalog
     named = F.concat(F.lit("ads.t_"), other.cast("string"))
     text = F.element_at(F.array(*(F.replace(F.replace(F.lit(t), F.lit("{n}"), named), F.lit("{k}"), other.cast("string")) for t, _ in _TEXTS)), (key % 6 + 1).cast("int"))
-    texts = table(spark, sf_dir, "part").select(F.concat(F.lit("q"), key.cast("string")).alias("path"), text.alias("sql"))
+    texts = spread(table(spark, sf_dir, "part").select("p_partkey")).select(F.concat(F.lit("q"), key.cast("string")).alias("path"), text.alias("sql"))
     return sqlcheck.check(texts, "hive-legacy", _catalog(spark, sf_dir)).select("path", "code")
 
 
@@ -170,7 +171,7 @@ SELECT 'hive-legacy' AS dialect, o_orderkey, code FROM c UNION ALL SELECT 'gauss
 """)
 def sql_flags(spark, sf_dir):
     """A text for every order, of pieces in all combinations, checked in two dialects; the twin reads the same texts with patterns of its own."""
-    texts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.expr(_VARIED).alias("sql"))
+    texts = spread(table(spark, sf_dir, "orders").select("o_orderkey")).select(F.col("o_orderkey").cast("string").alias("path"), F.expr(_VARIED).alias("sql"))
     old = sqlcheck.check(texts, "hive-legacy").select(F.lit("hive-legacy").alias("dialect"), F.col("path").cast("long").alias("o_orderkey"), "code")
     other = sqlcheck.check(texts, "gaussdb").where("code LIKE 'gaussdb%'")
     return old.unionByName(other.select(F.lit("gaussdb").alias("dialect"), F.col("path").cast("long").alias("o_orderkey"), "code"))
@@ -182,7 +183,7 @@ UNION ALL SELECT 'gaussdb', 'gaussdb-backticks', count(*) FROM part UNION ALL SE
 """)
 def sql_dialects(spark, sf_dir):
     text = F.concat(F.lit("SELECT `a`::int AS b"), F.when(F.col("p_partkey") % 2 == 0, ", explode(c) AS d").otherwise(""), F.lit(" FROM t WHERE note = 'explode'"))
-    texts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), text.alias("sql"))
+    texts = spread(table(spark, sf_dir, "part").select("p_partkey")).select(F.col("p_partkey").cast("string").alias("path"), text.alias("sql"))
     out = None
     for dialect in ("hive", "sparksql", "gaussdb"):
         found = sqlcheck.check(texts, dialect).groupBy("code").agg(F.count("*").alias("n")).select(F.lit(dialect).alias("dialect"), "code", "n")
@@ -228,7 +229,7 @@ FROM q WHERE layer <> 'UNKNOWN' GROUP BY layer, whole
 def catalog_of_varied_files(spark, sf_dir):
     """Definitions and ETL texts for every part, of pieces in many combinations, in folders of all kinds; the twin reads the same texts with patterns of its own."""
     file = lambda path, text: F.struct(F.expr(path).alias("path"), F.expr(text).alias("text"))
-    files = table(spark, sf_dir, "part").select(F.explode(F.array(file(_DEFINED, _DEFINITION), file(_FILLED, _FILLING))).alias("f")).select("f.*")
+    files = spread(table(spark, sf_dir, "part").select("p_partkey")).select(F.explode(F.array(file(_DEFINED, _DEFINITION), file(_FILLED, _FILLING))).alias("f")).select("f.*")
     told = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["name"], x["type"], x["comment"])), "|")
     signs = F.col("signals")
     return catalog.build(files).select(

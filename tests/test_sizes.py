@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from millrace import session
+from millrace.plans import catalog
 from millrace.sources import sinks
 
 
@@ -13,3 +15,24 @@ def test_bookmark_texts_stay_whole(spark):
     )
     assert {r.id: r.text for r in sinks.bookmark_rows(posts).collect()} == {"1": long, "2": ""}
     assert {r.id: len(r.text) for r in sinks.bookmark_rows(posts, 2000).collect()} == {"1": 2000, "2": 0}
+
+
+def test_texts_of_a_catalog_are_scanned_once(spark, tmp_path):
+    scanned = spark.sparkContext.accumulator(0)
+
+    def told(frames):
+        for frame in frames:
+            scanned.add(len(frame))
+            yield frame
+
+    files = [(f"/dw/01-ADS/{k}.sql", f"CREATE TABLE ads.t_{k} (id INT)") for k in range(40)] + [(f"/dw/01-ADS/{k}_fill.sql", f"INSERT INTO TABLE t_{k} SELECT id FROM s") for k in range(40)]
+    entries = catalog.build(spark.createDataFrame(files, "path string, text string").mapInPandas(told, "path string, text string"))
+    assert entries.count() == 40 and {r.name for r in entries.collect()} == {f"ads.t_{k}" for k in range(40)}
+    assert scanned.value == 80
+
+
+def test_a_small_file_is_worked_on_in_several_tasks(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/one.parquet")
+    scan = spark.read.parquet(f"{tmp_path}/one.parquet")
+    assert scan.rdd.getNumPartitions() == 1 and session.spread(scan).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in session.spread(scan).collect()) == list(range(1000))
