@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sqltext
-from ..session import shared_folder
+from ..session import stored
 
 DIALECTS = ("hive", "hive-legacy", "sparksql", "gaussdb")
 #: Words of Hive and Spark that the gaussdb dialect lacks, and words that change data or tables.
@@ -77,8 +77,7 @@ def check(texts: DataFrame, dialect: str = "hive", catalog: DataFrame | None = N
 
     read = texts.select("path", "sql").mapInPandas(run, "path string, codes array<string>, tables array<string>, filter string")
     if catalog is not None:
-        shared_folder(texts.sparkSession)
-        read = read.checkpoint()  # scanned once, though codes and tables both come from it
+        read = stored(read, "texts")  # scanned once, though codes and tables both come from it
     out = read.select("path", F.explode("codes").alias("code"))
     if catalog is not None:
         known = catalog.where(F.size("partition_columns") > 0).groupBy("name").agg(F.min_by(F.transform("partition_columns", lambda c: F.lower(c["name"])), F.col("layer") if "layer" in catalog.columns else F.lit(0)).alias("parts"))
