@@ -102,18 +102,50 @@ _SCHEMA = pa.schema([("kind", pa.string()), ("part", pa.int64()), ("doc_id", pa.
 _FIELDS = "kind string, part long, doc_id long, tag long, data binary"
 
 
+def _columns(entries: np.ndarray, docs: np.ndarray) -> bytes:
+    """Entries in order of their documents, column by column: what names places packs well, hashes don't."""
+    bytes_of = lambda x: np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+    places = bytes_of(np.diff(docs, prepend=0).astype("<u2")) + b"".join(bytes_of(entries[c]) for c in entries.dtype.names if c in PLACES)
+    packed = zlib.compress(places, 1)
+    return np.array([len(entries), len(packed)], "<u4").tobytes() + packed + b"".join(entries[c].tobytes() for c in entries.dtype.names if c not in (*PLACES, "doc"))
+
+
+def _entries(raw: bytes, kind: np.dtype) -> np.ndarray:
+    """The entries that _columns() has told."""
+    n, size = np.frombuffer(raw, "<u4", 2).tolist()
+    places, at, hashes = zlib.decompress(raw[8 : 8 + size]), 2 * n, 8 + size
+    out = np.empty(n, kind)
+    of_bytes = lambda x, width: np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(width, n).T)
+    out["doc"] = np.cumsum(of_bytes(places[:at], 2).view("<u2")[:, 0])
+    for c in kind.names:
+        if c in PLACES:
+            width = kind[c].itemsize
+            out[c] = of_bytes(places[at : at + width * n], width).view(kind[c])[:, 0]
+            at += width * n
+        elif c != "doc":
+            width = kind[c].itemsize
+            raw_c = raw[hashes : hashes + width * n]
+            out[c] = np.frombuffer(raw_c, kind[c].base, n * (width // kind[c].base.itemsize)).reshape(n, *kind[c].shape)
+            hashes += width * n
+    return out
+
+
+#: Columns of entries that say where something is.
+PLACES = ("pos", "n")
+
+
 def _packed(kind: str, part: np.ndarray, entries: np.ndarray, ids: np.ndarray, tags: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Entries as one blob for each part that they are dealt to, with the documents that they name."""
-    order = np.argsort(part, kind="stable")
+    order = np.lexsort((entries["doc"], part))
     part, entries = part[order], entries[order]
     begin = np.flatnonzero(_groups(part)).tolist()
     out = []
     for a, b in zip(begin, [*begin[1:], len(part)], strict=True):
-        mine = entries[a:b].copy()
-        own, mine["doc"] = np.unique(mine["doc"], return_inverse=True)
+        mine = entries[a:b]
+        own, docs = np.unique(mine["doc"], return_inverse=True)
         table = zlib.compress(np.diff(ids[own], prepend=0).astype("<i8").tobytes(), 1)
         head = np.array([len(own), len(table)], "<u4").tobytes()
-        out.append((int(part[a]), head + table + tags[own].astype("<u4").tobytes() + mine.tobytes()))
+        out.append((int(part[a]), head + table + tags[own].astype("<u4").tobytes() + _columns(mine, docs)))
     if out:
         n = len(out)
         yield pa.RecordBatch.from_arrays([pa.array([kind] * n), pa.array([p for p, _ in out], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([d for _, d in out], pa.binary())], schema=_SCHEMA)
@@ -143,7 +175,7 @@ def _unpacked(blobs: list[bytes], kind: np.dtype) -> tuple[np.ndarray, np.ndarra
         n, size = np.frombuffer(blob, "<u4", 2).tolist()
         ids.append(np.cumsum(np.frombuffer(zlib.decompress(blob[8 : 8 + size]), "<i8")))
         tags.append(np.frombuffer(blob, "<u4", n, 8 + size).astype(np.int64))
-        entries.append(np.frombuffer(blob, kind, -1, 8 + size + 4 * n))
+        entries.append(_entries(blob[8 + size + 4 * n :], kind))
         docs.append(entries[-1]["doc"].astype(np.int64) + known)
         known += n
     return tuple(np.concatenate(x) for x in (entries, docs, ids, tags))
@@ -198,8 +230,9 @@ def _parse(window: int, parts: int, salts: int):
     return run
 
 
-#: Batches whose phrases meet in one task.
-MEET = 1000
+#: Batches whose phrases meet in one task.  Of a hot trigger each sends SENT phrases at most, so that a task gets a million
+#: entries of it, or about 20 MB.  Beyond that phrases are dealt twice, at twice the shuffle.
+MEET = 16_000
 
 
 def _salts(total: int, meet: int) -> int:
