@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from millrace import session
+from millrace.operators import dedupe
 from millrace.plans import catalog
 from millrace.sources import sinks
 
@@ -36,3 +37,19 @@ def test_a_small_file_is_worked_on_in_several_tasks(spark, tmp_path):
     scan = spark.read.parquet(f"{tmp_path}/one.parquet")
     assert scan.rdd.getNumPartitions() == 1 and session.spread(scan).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
     assert sorted(r.id for r in session.spread(scan).collect()) == list(range(1000))
+
+
+def test_sets_that_only_share_rare_tokens_do_not_travel(spark, monkeypatch):
+    import random
+
+    rng, handed, alike = random.Random(4), [], dedupe._alike
+    words = ["".join(rng.sample("abcdefghijklmnopqrst", 6)) for _ in range(400)]
+    titles = [rng.sample(words, 60) for _ in range(120)]
+    for k in range(0, 40, 2):  # near copies, just like enough and just not
+        titles[k + 1] = titles[k][: 57 - k % 4 // 2] + rng.sample([w for w in words if w not in titles[k]], 3)
+    sets = [frozenset(t) for t in titles]
+    want = {(a, b) for b in range(120) for a in range(b) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.9}
+    monkeypatch.setattr(dedupe, "_alike", lambda pairs, *rest: handed.append(pairs.count()) or alike(pairs, *rest))
+    found = dedupe.similar_title_pairs(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(titles)], "id long, t string"), "id", "t", 0.9)
+    assert {(r.a, r.b) for r in found.collect()} == want and len(want) == 10
+    assert handed[0] <= 30
