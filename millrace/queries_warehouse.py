@@ -172,9 +172,8 @@ SELECT 'hive-legacy' AS dialect, o_orderkey, code FROM c UNION ALL SELECT 'gauss
 def sql_flags(spark, sf_dir):
     """A text for every order, of pieces in all combinations, checked in two dialects; the twin reads the same texts with patterns of its own."""
     texts = spread(table(spark, sf_dir, "orders").select("o_orderkey")).select(F.col("o_orderkey").cast("string").alias("path"), F.expr(_VARIED).alias("sql"))
-    old = sqlcheck.check(texts, "hive-legacy").select(F.lit("hive-legacy").alias("dialect"), F.col("path").cast("long").alias("o_orderkey"), "code")
-    other = sqlcheck.check(texts, "gaussdb").where("code LIKE 'gaussdb%'")
-    return old.unionByName(other.select(F.lit("gaussdb").alias("dialect"), F.col("path").cast("long").alias("o_orderkey"), "code"))
+    found = sqlcheck.check_dialects(texts, ["hive-legacy", "gaussdb"]).where("dialect = 'hive-legacy' OR code LIKE 'gaussdb%'")
+    return found.select("dialect", F.col("path").cast("long").alias("o_orderkey"), "code")
 
 
 @query("""
@@ -184,11 +183,7 @@ UNION ALL SELECT 'gaussdb', 'gaussdb-backticks', count(*) FROM part UNION ALL SE
 def sql_dialects(spark, sf_dir):
     text = F.concat(F.lit("SELECT `a`::int AS b"), F.when(F.col("p_partkey") % 2 == 0, ", explode(c) AS d").otherwise(""), F.lit(" FROM t WHERE note = 'explode'"))
     texts = spread(table(spark, sf_dir, "part").select("p_partkey")).select(F.col("p_partkey").cast("string").alias("path"), text.alias("sql"))
-    out = None
-    for dialect in ("hive", "sparksql", "gaussdb"):
-        found = sqlcheck.check(texts, dialect).groupBy("code").agg(F.count("*").alias("n")).select(F.lit(dialect).alias("dialect"), "code", "n")
-        out = found if out is None else out.unionByName(found)
-    return out
+    return sqlcheck.check_dialects(texts, ["hive", "sparksql", "gaussdb"]).groupBy("dialect", "code").agg(F.count("*").alias("n"))
 
 
 _FOLDER = (("/dw/01-ADS/", "/w/dws_etl/sub/", "/a/odsx/", "/x/DWD/ods/", "/dwt.old/"),)

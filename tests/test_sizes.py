@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from millrace import session
 from millrace.operators import dedupe
-from millrace.plans import catalog
+from millrace.plans import catalog, sqlcheck
 from millrace.sources import sinks
 
 
@@ -53,3 +53,14 @@ def test_sets_that_only_share_rare_tokens_do_not_travel(spark, monkeypatch):
     found = dedupe.similar_title_pairs(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(titles)], "id long, t string"), "id", "t", 0.9)
     assert {(r.a, r.b) for r in found.collect()} == want and len(want) == 10
     assert handed[0] <= 30
+
+
+def test_sql_texts_are_scanned_once_for_all_dialects(spark, monkeypatch):
+    from collections import Counter
+
+    texts = [("p", "SELECT `a`::int FROM t ORDER BY 1"), ("q", "-- none\nSELECT a, explode(b) FROM t"), ("r", None)]
+    scanned = spark.sparkContext.accumulator(0)
+    frame = spark.createDataFrame(texts, "path string, sql string").mapInPandas(lambda frames: ((scanned.add(len(f)), f)[1] for f in frames), "path string, sql string")
+    found = sqlcheck.check_dialects(frame, sqlcheck.DIALECTS).collect()
+    want = Counter((d, p, c) for d in sqlcheck.DIALECTS for p, s in texts for c in sqlcheck.text_codes(s or "", d)[0])
+    assert Counter((r.dialect, r.path, r.code) for r in found) == want and len(want) == 7 and scanned.value == 3
