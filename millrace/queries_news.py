@@ -11,7 +11,7 @@ from .functions import posts, texts, times, urls
 from .operators import classify
 from .plans import digest
 from .queries import _ARTICLES, _KEY, REFERENCE, _articles, _flagship, _pieces, query, table
-from .session import scratch
+from .session import TASKS, scratch, stored
 from .sources import feeds, files, paged, registry, sinks
 
 
@@ -287,12 +287,12 @@ SELECT 'data' AS kind, row_number() OVER (ORDER BY c_custkey) - 1 AS at, CAST(c_
 SELECT 'segments', page * 1000 + row_number() OVER (PARTITION BY page ORDER BY segment) - 1, segment FROM (SELECT DISTINCT dense_rank() OVER (ORDER BY c_custkey // 100) - 1 AS page, c_mktsegment AS segment FROM customer WHERE c_mktsegment IS NOT NULL)
 """)
 def paged_listing(spark, sf_dir):
-    """Customers landed as pages of up to a hundred with their segments beside them, read as one listing, a task a page."""
+    """Customers landed as pages of up to a hundred with their segments beside them, read as one listing, a task for each page or run of pages."""
     path = scratch(spark, "pages")
     rows = table(spark, sf_dir, "customer").select(F.lpad(F.floor(F.col("c_custkey") / 100).cast("string"), 12, "0").alias("page"), F.struct(F.col("c_custkey").alias("id")).alias("row"), "c_mktsegment")
     page = F.struct(F.sort_array(F.collect_list("row")).alias("data"), F.struct(F.array_sort(F.collect_set("c_mktsegment")).alias("segments")).alias("includes"))
-    rows.groupBy("page").agg(F.to_json(page).alias("value")).repartition("page").write.partitionBy("page").text(path)
-    landed = paged.pages(spark, path)
+    rows.groupBy("page").agg(F.to_json(page).alias("value")).repartition(TASKS * spark.sparkContext.defaultParallelism, "page").write.partitionBy("page").text(path)  # a file a page is more work than its bytes tell
+    landed = stored(paged.pages(spark, path), "listing")  # pages are opened once, though three steps look at their rows
     data = paged.listing(landed).select(F.lit("data").alias("kind"), F.col("seq").alias("at"), F.get_json_object("value", "$.id").alias("told"))
     beside = landed.where("kind = 'segments'").select("kind", (F.col("page") * 1000 + F.col("place")).alias("at"), F.replace(F.col("value"), F.lit('"'), F.lit("")).alias("told"))
     return data.unionByName(beside)

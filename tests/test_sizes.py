@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from millrace import session
 from millrace.operators import dedupe
 from millrace.plans import catalog, sqlcheck
-from millrace.sources import sinks
+from millrace.sources import paged, sinks
 
 
 def test_bookmark_texts_stay_whole(spark):
@@ -64,3 +64,12 @@ def test_sql_texts_are_scanned_once_for_all_dialects(spark, monkeypatch):
     found = sqlcheck.check_dialects(frame, sqlcheck.DIALECTS).collect()
     want = Counter((d, p, c) for d in sqlcheck.DIALECTS for p, s in texts for c in sqlcheck.text_codes(s or "", d)[0])
     assert Counter((r.dialect, r.path, r.code) for r in found) == want and len(want) == 7 and scanned.value == 3
+
+
+def test_very_many_pages_are_fewer_tasks(spark, tmp_path):
+    for k in range(300):
+        (tmp_path / f"p{k:03d}.json").write_text(f'{{"data": [{{"id": {k}}}]}}')
+    found = paged.pages(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 60
+    assert [tuple(r) for r in found.orderBy("page").collect()] == [(k, "data", 0, f'{{"id": {k}}}') for k in range(300)]
+    assert [r.number for r in paged._runs([("p", 5 << 20)] * 70, 3)] == list(range(3, 73))
