@@ -6,14 +6,15 @@ import re
 import unicodedata
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import sqltext
 from ..operators.asof import last_before
 from ..schemas import COLUMN, SIGNALS
-from ..session import stored
+from ..session import shared_folder, stored
 
 LAYERS = ("ADS", "DWS", "DWT", "DWD", "ODS")
 #: Words that a search leaves out, and names that tell little and weigh half.
@@ -33,48 +34,72 @@ def layer_of(path: Column) -> Column:
     return F.coalesce(F.try_element_at(F.filter(parts, lambda p: p != ""), F.lit(1)), F.lit("UNKNOWN"))
 
 
-def extract(files: DataFrame) -> DataFrame:
+_LIST = pa.list_(pa.string())
+_COLUMNS = pa.list_(pa.struct([(f, pa.string()) for f in ("name", "type", "comment")]))
+_SIGNALS = pa.struct([*((f, _LIST) for f in ("source_tables", "group_by", "row_number_keys")), ("has_distinct", pa.bool_()), ("has_row_number", pa.bool_())])
+#: What is found in files, and how many of them are held at a time.
+_FOUND = pa.schema([("path", pa.string()), ("layer", pa.string()), ("name", pa.string()), ("table_comment", pa.string()), ("columns", _COLUMNS), ("partition_columns", _COLUMNS), ("signals", _SIGNALS), ("is_sql", pa.bool_())])
+_HELD = 500
+
+
+def _found_in(path: str, layer: str, text: str) -> list[tuple]:
+    """The rows of a file, as _FOUND lists them."""
+    found = sqltext.tokens(text)
+    sql = path.lower().endswith(".sql")
+    created, filled = sqltext.created_tables(found), sqltext.inserted_tables(found)
+    names = created or filled or [path.rpartition("/")[2].rpartition(".")[0]]
+    own = sqltext.table_definition(found) if created else {"columns": [], "partition_columns": [], "table_comment": ""}
+    seen = sqltext.signals(found, text) if sql and not created else None
+    first = (path, layer, names[0], own["table_comment"], own["columns"], own["partition_columns"], seen, sql)
+    return [first, *((path, layer, name, "", [], [], seen, sql) for name in names[1:])]
+
+
+def extract(files: DataFrame, keep_unknown: bool = True) -> DataFrame:
     """Entries of files (path, text): a row per table that a file defines or fills, or else is named after.
 
     Only the first definition of a file has its columns read; they belong to
-    that table.  ETL texts give signals, documents only their path.
+    that table.  ETL texts give signals, documents only their path.  Which
+    layer a file lies in shows in its path, so that those of none needn't be
+    scanned where they aren't kept.
     """
-    schema = f"path string, name string, table_comment string, columns array<{COLUMN}>, partition_columns array<{COLUMN}>, signals {SIGNALS}, is_sql boolean"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for path, text in zip(frame["path"], frame["text"], strict=True):
-                text = text or ""
-                found = sqltext.tokens(text)
-                sql = path.lower().endswith(".sql")
-                created, filled = sqltext.created_tables(found), sqltext.inserted_tables(found)
-                names = created or filled or [path.rpartition("/")[2].rpartition(".")[0]]
-                own = sqltext.table_definition(found) if created else {"columns": [], "partition_columns": [], "table_comment": ""}
-                none = {"columns": [], "partition_columns": [], "table_comment": ""}
-                seen = sqltext.signals(found, text) if sql and not created else None
-                for k, name in enumerate(names):
-                    mine = own if k == 0 else none
-                    rows.append((path, name, mine["table_comment"], mine["columns"], mine["partition_columns"], seen, sql))
-            yield pd.DataFrame(rows, columns=["path", "name", "table_comment", "columns", "partition_columns", "signals", "is_sql"])
-
-    found = files.select("path", "text").mapInPandas(run, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _HELD):
+                rows = [row for path, layer, text in zip(*(c.to_pylist() for c in batch.slice(at, _HELD).columns), strict=True) for row in _found_in(path, layer, text or "")]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FOUND, strict=True)], schema=_FOUND)
+
+    layered = files.select("path", layer_of(F.col("path")).alias("layer"), "text")
+    if not keep_unknown:
+        layered = layered.where("layer <> 'UNKNOWN'")
+    schema = f"path string, layer string, name string, table_comment string, columns array<{COLUMN}>, partition_columns array<{COLUMN}>, signals {SIGNALS}, is_sql boolean"
     title = F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"^([\x{4e00}-\x{9fff}][\x{4e00}-\x{9fff}\w]*)", 1)
-    return found.withColumns({"layer": layer_of(F.col("path")), "description": title})
+    return layered.mapInArrow(run, schema).withColumn("description", title)
 
 
-def qualify(entries: DataFrame) -> DataFrame:
+def qualify(entries: DataFrame, most: int = 100_000) -> DataFrame:
     """Short names of filled tables take the full name of the last such table of the layer that an earlier path, or their own, defines.
 
-    Definitions and uses of a short name are sorted together and never
-    paired, see last_before(); each path asks once.
+    Adds the name's last part, ``short``, which names of one table share.
+    Entries with up to ``most`` of one are sorted in a window.  Of those with
+    more, of which there are at most entries / most, definitions and uses are
+    sorted in ranges, see last_before(), so that no task sorts more than
+    ``most`` entries of a name.  Both give the same.
     """
-    short = F.lower(F.element_at(F.split("name", r"\."), -1))
-    full = entries.where(F.contains("name", F.lit(".")) & (F.size("columns") > 0)).select("layer", short.alias("short"), "path", F.col("name").alias("full_name"))
-    named = entries.withColumn("short", F.when(~F.contains("name", F.lit(".")), short))
-    asked = named.where("short IS NOT NULL").select("layer", "short", "path").distinct()
-    near = last_before(asked, full, ["layer", "short"], "path", "full_name").where("full_name IS NOT NULL")
-    return named.join(near, ["layer", "short", "path"], "left").withColumn("name", F.coalesce("full_name", "name")).drop("short", "full_name")
+    shared_folder(entries.sparkSession)
+    keys, dotted = ["layer", "short"], F.contains("name", F.lit("."))
+    named = entries.withColumn("short", F.lower(F.element_at(F.split("name", r"\."), -1)))
+    full = F.when(dotted & (F.size("columns") > 0), F.col("name"))
+    # a path's own definitions come before its uses, the largest name last
+    here = Window.partitionBy(*keys).orderBy("path", full.isNull(), full).rowsBetween(Window.unboundedPreceding, 0)
+    window = lambda x: x.withColumn("name", F.when(dotted, F.col("name")).otherwise(F.coalesce(F.last(full, ignorenulls=True).over(here), "name")))
+    large = named.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*keys).checkpoint()
+    if large.isEmpty():
+        return window(named)
+    held = named.join(F.broadcast(large), keys, "left_semi")
+    facts = held.where(full.isNotNull()).select(*keys, "path", full.alias("full_name"))
+    asked = last_before(held.where(~dotted), facts, keys, "path", "full_name").withColumn("name", F.coalesce("full_name", "name")).drop("full_name")
+    return window(named.join(F.broadcast(large), keys, "left_anti")).unionByName(held.where(dotted)).unionByName(asked)
 
 
 def build(files: DataFrame, keep_unknown: bool = False) -> DataFrame:
@@ -82,19 +107,21 @@ def build(files: DataFrame, keep_unknown: bool = False) -> DataFrame:
 
     Texts are scanned once, though several steps look at what is found.
     """
-    entries = qualify(stored(extract(files), "catalog"))
-    if not keep_unknown:
-        entries = entries.where("layer <> 'UNKNOWN'")
+    entries = qualify(stored(extract(files, keep_unknown), "catalog"))
     first = lambda c, full: F.min_by(c, F.when(full, F.struct("path", "name")))
     texts = lambda c: F.coalesce(first(c, F.coalesce(F.col(c), F.lit("")) != ""), F.lit(""))
     lists = lambda c: F.coalesce(first(c, F.size(c) > 0), F.expr(f"CAST(array() AS array<{COLUMN}>)"))
-    paths = lambda cond: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("path")))), lambda x: x["path"]))
-    union = lambda f: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("signals").isNotNull(), F.struct("path", F.col(f"signals.{f}").alias("v"))))), lambda x: x["v"])))
-    return entries.groupBy("layer", "name").agg(
+    # one list for each kind of what is gathered, from which fields are taken
+    files_ = F.collect_list(F.struct("path", "is_sql"))
+    paths = lambda which: F.array_distinct(F.array_sort(F.transform(F.filter(files_, which), lambda x: x["path"])))
+    signs = F.collect_list(F.when(F.col("signals").isNotNull(), F.struct("path", "signals")))
+    union = lambda f: F.array_distinct(F.flatten(F.transform(F.array_sort(F.transform(signs, lambda x: F.struct(x["path"], x["signals"][f].alias("v")))), lambda x: x["v"])))
+    # the last part is told by the name; with it, entries that were brought together to be qualified needn't move again
+    found = entries.groupBy("layer", "short", "name").agg(
         texts("description").alias("description"),
         texts("table_comment").alias("table_comment"),
-        paths(F.col("is_sql")).alias("sql_files"),
-        paths(~F.col("is_sql")).alias("doc_files"),
+        paths(lambda x: x["is_sql"]).alias("sql_files"),
+        paths(lambda x: ~x["is_sql"]).alias("doc_files"),
         lists("columns").alias("columns"),
         lists("partition_columns").alias("partition_columns"),
         F.struct(
@@ -102,6 +129,7 @@ def build(files: DataFrame, keep_unknown: bool = False) -> DataFrame:
             *(F.coalesce(F.bool_or(f"signals.{f}"), F.lit(False)).alias(f) for f in ("has_distinct", "has_row_number")),
         ).alias("signals"),
     )
+    return found.drop("short")
 
 
 def counts(catalog: DataFrame) -> DataFrame:

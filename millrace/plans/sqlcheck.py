@@ -33,7 +33,7 @@ MESSAGES = {
 }
 
 
-def _dialect_codes(plain: str, found: list[sqltext.Token], dialect: str) -> list[str]:
+def _dialect_codes(plain: str, found: sqltext.Tokens, dialect: str) -> list[str]:
     low, codes = plain.lower(), []
     if DESTRUCTIVE.search(plain):
         codes.append("destructive")
@@ -43,7 +43,7 @@ def _dialect_codes(plain: str, found: list[sqltext.Token], dialect: str) -> list
         codes += ["gaussdb-backticks"] * ("`" in plain) + ["gaussdb-hive-only"] * any(w in low for w in HIVE_ONLY)
     elif "::" in plain:
         codes.append("hive-legacy-postgres-cast" if dialect == "hive-legacy" else "hive-postgres-cast")
-    if sum(t.kind == "word" and t.low == "join" for t in found) >= 3 and "row_number" not in low:
+    if len(found.places["join"]) >= 3 and "row_number" not in low:
         codes.append("many-joins")
     if dialect not in ("hive", "hive-legacy"):
         return codes

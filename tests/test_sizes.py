@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from millrace import session
+from millrace.functions import sqltext
 from millrace.operators import dedupe
 from millrace.plans import catalog, sqlcheck
 from millrace.sources import paged, sinks
@@ -73,3 +74,37 @@ def test_very_many_pages_are_fewer_tasks(spark, tmp_path):
     assert found.rdd.getNumPartitions() == 60
     assert [tuple(r) for r in found.orderBy("page").collect()] == [(k, "data", 0, f'{{"id": {k}}}') for k in range(300)]
     assert [r.number for r in paged._runs([("p", 5 << 20)] * 70, 3)] == list(range(3, 73))
+
+
+def test_entries_of_a_catalog_are_brought_together_once(spark):
+    files = [(f"/dw/01-ADS/{k}.sql", f"CREATE TABLE ads.t_{k} (id INT)") for k in range(9)] + [(f"/dw/01-ADS/{k}_fill.sql", f"INSERT INTO TABLE t_{k} SELECT id FROM s") for k in range(9)] + [("/dw/x/1.sql", "CREATE TABLE x.t_1 (id INT)")]
+    files = spark.createDataFrame(files, "path string, text string")
+    assert catalog.extract(files, keep_unknown=False).count() == 18 and catalog.extract(files).count() == 19
+    made = catalog.build(files)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert {(r.name, tuple(r.sql_files), tuple(r.signals.source_tables)) for r in made.collect()} == {(f"ads.t_{k}", (f"/dw/01-ADS/{k}.sql", f"/dw/01-ADS/{k}_fill.sql"), ("s",)) for k in range(9)}
+
+
+def test_names_with_very_many_entries_are_qualified_in_ranges(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["ADS", "ODS"]), rng.choice(["hot", "hot", "hot", "a", "b"]), f"/p{rng.randint(0, 60):02d}", rng.choice(["", "", "x.", "y.", "Z."]), rng.random() < 0.7) for _ in range(400)]
+    entries = spark.createDataFrame([(k, layer, path, whole + short, [("id", "", "")] if whole and told else []) for k, (layer, short, path, whole, told) in enumerate(rows)], "id int, layer string, path string, name string, columns array<struct<name:string,type:string,comment:string>>")
+    want = {}
+    for k, (layer, short, path, whole, _) in enumerate(rows):
+        before = [(p, w + s) for la, s, p, w, told in rows if w and told and (la, s) == (layer, short) and p <= path]
+        want[k] = whole + short if whole or not before else max(before)[1]
+    for most in (0, 60, 100_000):  # all, some and none in ranges
+        assert {r.id: r.name for r in catalog.qualify(entries, most).collect()} == want, most
+
+
+def test_tokens_are_held_by_columns():
+    sql = "SELECT 'a--b', `x y` /* ' */ FROM t.a -- FROM b\nWHERE c::int = '\\'' AND (d > \"e\") GROUP BY  f ,g) '"
+    found = sqltext.tokens(sql)
+    assert found.texts == ["SELECT", "'a--b'", ",", "`x y`", "FROM", "t.a", "WHERE", "c", "::", "int", "=", "'\\''", "AND", "(", "d", ">", '"e"', ")", "GROUP", "BY", "f", ",", "g", ")", "'"]
+    assert [found.kind(k) for k in (0, 1, 2, 3, 8, 11, 16, 24)] == ["word", "text", "sign", "name", "sign", "text", "name", "text"]
+    assert found.places["from"] == [4] and found.depths == [0] * 14 + [1] * 3 + [0] * 8
+    assert [sql[a:b] for a, b in found.spans] == found.texts and found.between([20, 21, 22]) == "f ,g"
+    assert sqltext.without_comments(sql) == sql.replace("/* ' */", " ").replace("-- FROM b", " ")
+    assert sqltext.tokens(" \n").texts == [] and sqltext.tokens("'\\").texts == ["'", "\\"] and sqltext.tokens("'\\").kind(0) == "sign"
