@@ -29,9 +29,9 @@ WEIGHTS = {"name": 5.0, "description": 4.0, "table_comment": 4.0, "column_commen
 
 
 def layer_of(path: Column) -> Column:
-    """The first part of a path that names a layer between signs that aren't letters, else UNKNOWN."""
-    parts = F.transform(F.split(path, "/"), lambda p: F.upper(F.regexp_extract(p, rf"(?i)(?:^|[^a-zA-Z])({'|'.join(LAYERS)})(?:$|[^a-zA-Z])", 1)))
-    return F.coalesce(F.try_element_at(F.filter(parts, lambda p: p != ""), F.lit(1)), F.lit("UNKNOWN"))
+    """The first name of a layer in a path that stands between signs that aren't letters, else UNKNOWN."""
+    found = F.upper(F.regexp_extract(path, rf"(?i)(?:^|[^a-zA-Z])({'|'.join(LAYERS)})(?:$|[^a-zA-Z])", 1))
+    return F.when(found != "", found).otherwise("UNKNOWN")
 
 
 _LIST = pa.list_(pa.string())
@@ -42,36 +42,38 @@ _FOUND = pa.schema([("path", pa.string()), ("layer", pa.string()), ("name", pa.s
 _HELD = 500
 
 
-def _found_in(path: str, layer: str, text: str) -> list[tuple]:
+def _found_in(path: str, layer: str, text: str, signals: bool = True) -> list[tuple]:
     """The rows of a file, as _FOUND lists them."""
     found = sqltext.tokens(text)
     sql = path.lower().endswith(".sql")
-    created, filled = sqltext.created_tables(found), sqltext.inserted_tables(found)
-    names = created or filled or [path.rpartition("/")[2].rpartition(".")[0]]
+    created = sqltext.created_tables(found)
+    names = created or sqltext.inserted_tables(found) or [path.rpartition("/")[2].rpartition(".")[0]]
     own = sqltext.table_definition(found) if created else {"columns": [], "partition_columns": [], "table_comment": ""}
-    seen = sqltext.signals(found, text) if sql and not created else None
+    seen = sqltext.signals(found, text) if signals and sql and not created else None
     first = (path, layer, names[0], own["table_comment"], own["columns"], own["partition_columns"], seen, sql)
     return [first, *((path, layer, name, "", [], [], seen, sql) for name in names[1:])]
 
 
-def extract(files: DataFrame, keep_unknown: bool = True) -> DataFrame:
+def extract(files: DataFrame, keep_unknown: bool = True, layers: Sequence[str] | None = None, signals: bool = True) -> DataFrame:
     """Entries of files (path, text): a row per table that a file defines or fills, or else is named after.
 
     Only the first definition of a file has its columns read; they belong to
     that table.  ETL texts give signals, documents only their path.  Which
-    layer a file lies in shows in its path, so that those of none needn't be
-    scanned where they aren't kept.
+    layer a file lies in shows in its path, so that those of none, or of other
+    layers than are asked for, needn't be scanned where they aren't kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, _HELD):
-                rows = [row for path, layer, text in zip(*(c.to_pylist() for c in batch.slice(at, _HELD).columns), strict=True) for row in _found_in(path, layer, text or "")]
+                rows = [row for path, layer, text in zip(*(c.to_pylist() for c in batch.slice(at, _HELD).columns), strict=True) for row in _found_in(path, layer, text or "", signals)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FOUND, strict=True)], schema=_FOUND)
 
     layered = files.select("path", layer_of(F.col("path")).alias("layer"), "text")
     if not keep_unknown:
         layered = layered.where("layer <> 'UNKNOWN'")
+    if layers is not None:
+        layered = layered.where(F.col("layer").isin(list(layers)))
     schema = f"path string, layer string, name string, table_comment string, columns array<{COLUMN}>, partition_columns array<{COLUMN}>, signals {SIGNALS}, is_sql boolean"
     title = F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"^([\x{4e00}-\x{9fff}][\x{4e00}-\x{9fff}\w]*)", 1)
     return layered.mapInArrow(run, schema).withColumn("description", title)
@@ -102,12 +104,15 @@ def qualify(entries: DataFrame, most: int = 100_000) -> DataFrame:
     return window(named.join(F.broadcast(large), keys, "left_anti")).unionByName(held.where(dotted)).unionByName(asked)
 
 
-def build(files: DataFrame, keep_unknown: bool = False) -> DataFrame:
+def build(files: DataFrame, keep_unknown: bool = False, layers: Sequence[str] | None = None, signals: bool = True) -> DataFrame:
     """One entry per layer and name: the first that isn't empty of each description, all paths, all signals.
 
-    Texts are scanned once, though several steps look at what is found.
+    Texts are scanned once, though several steps look at what is found.  Who
+    needs some layers only, or no signals, says so here, since what isn't read
+    afterwards is scanned for all the same: layers have nothing to do with
+    each other, and without signals their column is left out.
     """
-    entries = qualify(stored(extract(files, keep_unknown), "catalog"))
+    entries = qualify(stored(extract(files, keep_unknown, layers, signals), "catalog"))
     first = lambda c, full: F.min_by(c, F.when(full, F.struct("path", "name")))
     texts = lambda c: F.coalesce(first(c, F.coalesce(F.col(c), F.lit("")) != ""), F.lit(""))
     lists = lambda c: F.coalesce(first(c, F.size(c) > 0), F.expr(f"CAST(array() AS array<{COLUMN}>)"))
@@ -116,6 +121,10 @@ def build(files: DataFrame, keep_unknown: bool = False) -> DataFrame:
     paths = lambda which: F.array_distinct(F.array_sort(F.transform(F.filter(files_, which), lambda x: x["path"])))
     signs = F.collect_list(F.when(F.col("signals").isNotNull(), F.struct("path", "signals")))
     union = lambda f: F.array_distinct(F.flatten(F.transform(F.array_sort(F.transform(signs, lambda x: F.struct(x["path"], x["signals"][f].alias("v")))), lambda x: x["v"])))
+    told = F.struct(
+        *(union(f).alias(f) for f in ("source_tables", "group_by", "row_number_keys")),
+        *(F.coalesce(F.bool_or(f"signals.{f}"), F.lit(False)).alias(f) for f in ("has_distinct", "has_row_number")),
+    ).alias("signals")
     # the last part is told by the name; with it, entries that were brought together to be qualified needn't move again
     found = entries.groupBy("layer", "short", "name").agg(
         texts("description").alias("description"),
@@ -124,10 +133,7 @@ def build(files: DataFrame, keep_unknown: bool = False) -> DataFrame:
         paths(lambda x: ~x["is_sql"]).alias("doc_files"),
         lists("columns").alias("columns"),
         lists("partition_columns").alias("partition_columns"),
-        F.struct(
-            *(union(f).alias(f) for f in ("source_tables", "group_by", "row_number_keys")),
-            *(F.coalesce(F.bool_or(f"signals.{f}"), F.lit(False)).alias(f) for f in ("has_distinct", "has_row_number")),
-        ).alias("signals"),
+        *([told] if signals else []),
     )
     return found.drop("short")
 

@@ -37,8 +37,8 @@ def _files(spark, sf_dir) -> DataFrame:
     return spread(table(spark, sf_dir, "part").select("p_partkey")).select(F.explode(F.array_compact(listed)).alias("f")).select("f.*")
 
 
-def _catalog(spark, sf_dir) -> DataFrame:
-    return catalog.build(_files(spark, sf_dir))
+def _catalog(spark, sf_dir, layers=None, signals=False) -> DataFrame:
+    return catalog.build(_files(spark, sf_dir), layers=layers, signals=signals)
 
 
 _ENTRIES = f"""
@@ -54,7 +54,7 @@ SELECT layer, name, description, table_comment, folder || '表' || p_partkey ||
 def catalog_build(spark, sf_dir):
     told = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["name"], x["type"], x["comment"])), "|")
     signs = F.col("signals")
-    return _catalog(spark, sf_dir).select(
+    return _catalog(spark, sf_dir, signals=True).select(
         "layer", "name", "description", "table_comment", F.array_join("sql_files", ",").alias("sql_files"), F.array_join("doc_files", ",").alias("doc_files"), told(F.col("columns")).alias("columns"), told(F.col("partition_columns")).alias("partition_columns"),
         *(F.array_join(signs[f], ",").alias(f) for f in ("source_tables", "group_by", "row_number_keys")), signs["has_distinct"].alias("has_distinct"), signs["has_row_number"].alias("has_row_number"),
     )
@@ -101,7 +101,8 @@ def catalog_search_many(spark, sf_dir):
 @query(f"SELECT layer, name, CAST(5.0 + CASE layer WHEN 'DWD' THEN 3.0 ELSE 0.0 END AS DOUBLE) AS score FROM ({_ENTRIES}) WHERE layer IN ('DWD', 'ODS') AND contains(name, 't_77') ORDER BY score DESC, layer, name LIMIT 20")
 def catalog_search_in_layers(spark, sf_dir):
     """Entries of two layers only, and only those with a hit."""
-    return catalog.search(_catalog(spark, sf_dir), "t_77", prefer=("DWD",), layers=("DWD", "ODS"), require_hit=True)
+    layers = ("DWD", "ODS")
+    return catalog.search(_catalog(spark, sf_dir, layers), "t_77", prefer=("DWD",), layers=layers, require_hit=True)
 
 
 @query(f"SELECT layer, name, columns, partition_columns, path FROM (SELECT layer, name, 'id=编号 ' || p_partkey || '|v=a, b' AS columns, 'dt' AS partition_columns, folder || '表' || p_partkey || '.sql' AS path FROM ({_ENTRIES}))")

@@ -108,3 +108,18 @@ def test_tokens_are_held_by_columns():
     assert [sql[a:b] for a, b in found.spans] == found.texts and found.between([20, 21, 22]) == "f ,g"
     assert sqltext.without_comments(sql) == sql.replace("/* ' */", " ").replace("-- FROM b", " ")
     assert sqltext.tokens(" \n").texts == [] and sqltext.tokens("'\\").texts == ["'", "\\"] and sqltext.tokens("'\\").kind(0) == "sign"
+
+
+def test_what_isnt_asked_for_isnt_scanned_for(spark, monkeypatch):
+    from millrace.functions import sqltext as scanner
+
+    paths = [f"{a}{layer}{z}" for a in ("", "/", "x", "x_", "/ads_x/", "/y\n", "/0") for layer in ("ADS", "dwd", "Ods", "dim", "adsx") for z in ("", "/", "x", "_1/DWS/", ".sql", "\n")]
+    split = F.transform(F.split("p", "/"), lambda p: F.upper(F.regexp_extract(p, rf"(?i)(?:^|[^a-zA-Z])({'|'.join(catalog.LAYERS)})(?:$|[^a-zA-Z])", 1)))
+    by_part = F.coalesce(F.try_element_at(F.filter(split, lambda p: p != ""), F.lit(1)), F.lit("UNKNOWN"))
+    assert spark.createDataFrame([(p,) for p in [*paths, None]], "p string").where(catalog.layer_of(F.col("p")) != by_part).count() == 0
+    files = spark.createDataFrame([(f"/dw/{layer}/{k}.sql", f"INSERT INTO TABLE {layer}.t_{k} SELECT DISTINCT id FROM s_{k}") for layer in ("ADS", "ODS", "DIM") for k in range(3)], "path string, text string")
+    assert {r.layer for r in catalog.extract(files, layers=["ODS"]).collect()} == {"ODS"}
+    whole, part = catalog.build(files), catalog.build(files, layers=["ODS"], signals=False)
+    assert sorted(map(str, part.collect())) == sorted(map(str, whole.where("layer = 'ODS'").drop("signals").collect())) and "signals" not in part.columns
+    monkeypatch.setattr(scanner, "signals", None)  # isn't called
+    assert catalog._found_in("/dw/ODS/a.sql", "ODS", "INSERT INTO TABLE t SELECT 1", signals=False)[0][2] == "t"
