@@ -44,8 +44,8 @@ _HELD = 500
 
 def _found_in(path: str, layer: str, text: str, signals: bool = True) -> list[tuple]:
     """The rows of a file, as _FOUND lists them."""
-    found = sqltext.tokens(text)
     sql = path.lower().endswith(".sql")
+    found = sqltext.tokens(text) if signals and sql else sqltext.naming_tokens(text)
     created = sqltext.created_tables(found)
     names = created or sqltext.inserted_tables(found) or [path.rpartition("/")[2].rpartition(".")[0]]
     own = sqltext.table_definition(found) if created else {"columns": [], "partition_columns": [], "table_comment": ""}

@@ -123,3 +123,23 @@ def test_what_isnt_asked_for_isnt_scanned_for(spark, monkeypatch):
     assert sorted(map(str, part.collect())) == sorted(map(str, whole.where("layer = 'ODS'").drop("signals").collect())) and "signals" not in part.columns
     monkeypatch.setattr(scanner, "signals", None)  # isn't called
     assert catalog._found_in("/dw/ODS/a.sql", "ODS", "INSERT INTO TABLE t SELECT 1", signals=False)[0][2] == "t"
+
+
+def test_what_names_no_table_isnt_scanned(monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    pieces = ["CREATE TABLE ", "create", "Table ", "if not exists ", "INSERT INTO TABLE ", "insert overwrite table ", "insert ", "İnsert ", "overwrite ", "INTO ", "a.b", " t ", " . ", "`x y`", "'s'", "'", "`", "(", ")", ",", ";", "=", "::", "-- c\n", "/*", "*/", "\n", "x.insert", "1insert", "$", "\\", "select * from "]
+    told = 0
+    for text in ("".join(rng.choice(pieces) for _ in range(rng.randint(0, 24))) for _ in range(20_000)):
+        few, all_ = sqltext.naming_tokens(text), sqltext.tokens(text)
+        named = sqltext.inserted_tables(all_)
+        told += bool(named)
+        assert few.texts == all_.texts[: len(few)]
+        assert (sqltext.created_tables(few), sqltext.inserted_tables(few)) == (sqltext.created_tables(all_), named), text
+    assert told > 100
+    fill = "-- fills\nINSERT OVERWRITE TABLE a . b SELECT id, v FROM s WHERE d = 'x';"
+    assert sqltext.naming_tokens(fill).texts == ["INSERT", "OVERWRITE", "TABLE", "a", ".", "b", "SELECT", "id", ","]
+    assert sqltext.naming_tokens("# a text of words (only)").texts == [] and len(sqltext.naming_tokens(f"{fill} CREATE TABLE c (d INT)")) > 20
+    monkeypatch.setattr(sqltext, "tokens", None)  # isn't called
+    assert [catalog._found_in(f"/dw/ODS/{name}", "ODS", text, signals)[0][2] for name, text, signals in (("x.sql", fill, False), ("x.md", fill, True), ("y.md", "words", True))] == ["a.b", "a.b", "y"]
